@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.llm import mixing, sharding
+from codestrata.llm import mixing, quality, sharding
 from codestrata.llm.common import ship
 
 
@@ -15,7 +15,7 @@ def _shipping(f):
 
 
 def queries():
-    own = [mixing.op1_mixing, sharding.op6_sharding]
+    own = [mixing.op1_mixing, quality.op3_quality, sharding.op6_sharding]
     return {f.__name__: _shipping(f) for f in own}
 
 
