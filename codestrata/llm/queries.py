@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.llm import mixing, quality, secret_scan, sharding
+from codestrata.llm import decontaminate, mixing, quality, secret_scan, sharding
 from codestrata.llm.common import ship
 
 
@@ -15,7 +15,7 @@ def _shipping(f):
 
 
 def queries():
-    own = [mixing.op1_mixing, quality.op3_quality, sharding.op6_sharding, secret_scan.op7_secrets]
+    own = [mixing.op1_mixing, quality.op3_quality, sharding.op6_sharding, secret_scan.op7_secrets, decontaminate.op10_decontaminate]
     return {f.__name__: _shipping(f) for f in own}
 
 
