@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.llm import decontaminate, mixing, near_dedup, quality, secret_scan, sharding
+from codestrata.llm import decontaminate, mixing, near_dedup, quality, secret_scan, sharding, token_store
 from codestrata.llm.common import ship
 
 
@@ -15,7 +15,7 @@ def _shipping(f):
 
 
 def queries():
-    own = [mixing.op1_mixing, quality.op3_quality, sharding.op6_sharding, secret_scan.op7_secrets, near_dedup.op9_near_dedup, decontaminate.op10_decontaminate]
+    own = [mixing.op1_mixing, quality.op3_quality, token_store.op4_token_store, sharding.op6_sharding, secret_scan.op7_secrets, near_dedup.op9_near_dedup, decontaminate.op10_decontaminate]
     return {f.__name__: _shipping(f) for f in own}
 
 
