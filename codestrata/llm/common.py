@@ -54,7 +54,10 @@ def store(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, so that their Python workers can import it."""
+    """Send this package to the executors, so that their Python workers can import it, and bound Arrow batches.
+
+    A thousand rows a batch keep a worker's memory low where texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

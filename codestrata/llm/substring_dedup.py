@@ -27,12 +27,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codestrata.llm.common import partitions, store, table, utf8
 from codestrata.llm.words import mix64
 
-LENGTH, GRAM, MOST, BATCH = 200, 32, 512, 1 << 18
+LENGTH, GRAM, MOST, BATCH = 200, 32, 1024, 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -238,6 +237,14 @@ def _arrays(length: int):
     return run
 
 
+def _gram(text: bytes, length: int) -> int:
+    """Where a context's anchor lies in it: its first window has the anchor's gram as its leftmost least."""
+    x = _eights(text)
+    m = min(len(text), length) - GRAM + 1
+    h = mix64(x[:m] * _ODD[0] + x[8 : m + 8] * _ODD[1] + x[16 : m + 16] * _ODD[2] + x[24 : m + 24] * _ODD[3])
+    return int(((h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)).min() & np.uint64(0xFFFFFFFF))
+
+
 def _split(length: int):
     def run(batches):
         """Contexts cut to four ranges of their windows; the new anchor is the hash of what all windows of a range hold.
@@ -247,18 +254,18 @@ def _split(length: int):
             out = []
             for r in b.to_pylist():
                 # `grid`: windows by their distance before the gram, in [lo, lo + width)
-                width, lo = r["width"], r["grid"]
+                width, lo, gram = (r["width"], r["grid"], r["gram"]) if "gram" in r else (length - GRAM + 1, 0, _gram(r["bytes"], length))
                 step = -(-width // 4)
                 for g in range(lo, lo + width, step):
                     top = min(g + step, lo + width) - 1  # distances g..top; a window at distance d starts d before the gram
-                    a, z = max(0, r["gram"] - top), min(r["windows"] - 1, r["gram"] - g)
+                    a, z = max(0, gram - top), min(r["windows"] - 1, gram - g)
                     if a > z:
                         continue
-                    core = r["bytes"][r["gram"] - g : r["gram"] - top + length]
+                    core = r["bytes"][gram - g : gram - top + length]
                     piece = r["bytes"][a : z + length]
                     key = np.uint64(xxhash.xxh3_64_intdigest(core, seed=g * 1000 + top)).astype(np.int64)
                     c = np.uint64(xxhash.xxh3_64_intdigest(piece)).astype(np.int64)
-                    out.append((r["doc_id"], r["text_key"], int(key), int(c), r["first"] + a, z - a + 1, piece, r["gram"] - a, g, top - g + 1, r["n"]))
+                    out.append((r["doc_id"], r["text_key"], int(key), int(c), r["first"] + a, z - a + 1, piece, gram - a, g, top - g + 1, r["n"]))
             types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()] + [pa.int32()] * 3 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in f"{_CONTEXT}, {_GRID}, n long".split(", ")])
 
@@ -268,22 +275,6 @@ def _split(length: int):
 _GRID = "gram int, grid int, width int"
 
 
-def _gram_place(length: int):
-    def run(batches):
-        """Where a context's anchor lies in it."""
-        for b in batches:
-            at = []
-            for t in b.column("bytes").to_pylist():
-                x = _eights(t)
-                m = len(t) - GRAM + 1
-                h = mix64(x[:m] * _ODD[0] + x[8 : m + 8] * _ODD[1] + x[16 : m + 16] * _ODD[2] + x[24 : m + 24] * _ODD[3])
-                low = (h[: length - GRAM + 1] & np.uint64(0xFFFFFFFF00000000)) | np.arange(min(m, length - GRAM + 1), dtype=np.uint64)
-                at.append(int(low.min() & np.uint64(0xFFFFFFFF)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=[*b.schema.names, "gram"])
-
-    return run
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, text_key, lo, hi: byte ranges that repeats cover, for ``keyed`` documents; ranges may overlap."""
     spark = docs.sparkSession
@@ -308,7 +299,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     large = got.filter(F.col("different") > MOST)
     if large.head(1):
         columns = [x.split()[0] for x in f"{_CONTEXT}, {_GRID}, n long".split(", ")]
-        level = large.mapInArrow(_gram_place(length), T.StructType([*large.schema.fields, T.StructField("gram", T.IntegerType())])).withColumn("grid", F.lit(0)).withColumn("width", F.lit(length - GRAM + 1)).select(columns)
+        level = large.drop("different")
         for _ in range(6):
             pieces = store(level.mapInArrow(_split(length), f"{_CONTEXT}, {_GRID}, n long"), "pieces")
             cells2 = pieces.groupBy("h", "c").agg(F.sum("n").alias("total"))
@@ -345,10 +336,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _cut(keep_bytes: bool):
+def _cut(keep_bytes: bool, sieve=None):
+    """Cut the spans out; with a sieve, only rows that it stops, which have none."""
+
     def run(batches):
         for b in batches:
             out = []
+            if sieve is not None:
+                b = b.filter(pa.array(~_passes(sieve.value, b.column("text_key").to_numpy())))
             spans = b.column("spans").to_pylist() if "spans" in b.schema.names else [None] * b.num_rows
             for d, t, s in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist(), spans, strict=True):
                 gone = merged([(x["lo"], x["hi"]) for x in s or ()])
@@ -368,18 +363,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
     spans = store(repeated_spans(base, length).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
     sieve = spark.sparkContext.broadcast(_sieve(spans, "text_key"))
 
-    def within(passing: bool):
-        def run(batches):
-            for b in batches:
-                ok = _passes(sieve.value, b.column("text_key").to_numpy()) == passing
-                yield b.filter(pa.array(ok))
-
-        return base.mapInArrow(run, base.schema)
+    def passing(batches):
+        for b in batches:
+            yield b.filter(pa.array(_passes(sieve.value, b.column("text_key").to_numpy())))
 
     # Rows that no repeat touches stay where they are; the others meet their spans.
-    untouched = within(False).mapInArrow(_cut(keep_bytes), _RESULT)
+    untouched = base.mapInArrow(_cut(keep_bytes, sieve), _RESULT)
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))
-    joined = within(True).join(spans.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "spans"), same, "left")
+    joined = base.mapInArrow(passing, base.schema).join(spans.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "spans"), same, "left")
     return untouched.unionByName(joined.select("doc_id", "body", "spans").mapInArrow(_cut(keep_bytes), _RESULT))
 
 
