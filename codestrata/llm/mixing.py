@@ -128,7 +128,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float =
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs`` for each document that the mix takes, once for each started pass (1 or 2 copies)."""
+    """The columns of ``docs`` for each document that the mix takes, once for each started pass (1 or 2 copies).
+
+    Rows with a null id cannot be told apart and are left out; rows of a repeated id are taken alike."""
     m = mix(docs.select("doc_id", "text", "source"), **options)
     copies = m.documents.filter("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
     return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
