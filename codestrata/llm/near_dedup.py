@@ -25,18 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import SPACE, partitions, store, table
+from codestrata.llm.common import partitions, store, table
 from codestrata.llm.graph import components
 from codestrata.llm.words import STEP, WordHashes, grams, mix64
 
 SHINGLE, BANDS, ROWS, ESTIMATE, BLOCK, BLOCK_SHINGLES = 5, 32, 6, 0.62, 2048, 4_000_000
 REGISTERS = BANDS * ROWS
-_LOWER = {c: c + 32 for c in range(65, 91)} | {ord(c): " " for c in SPACE}
 
 
 def shingles(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes and how often each occurs."""
-    words = [w for w in text.translate(_LOWER).split(" ") if w]
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII white space parts
     return np.unique(grams(hashes.of(words), min(SHINGLE, len(words))), return_counts=True) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 

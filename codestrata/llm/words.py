@@ -21,19 +21,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a bound."""
+    """word (text, or its UTF-8 bytes) -> 64-bit hash, remembered up to a bound."""
 
     def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
-    def __missing__(self, w: str) -> int:
+    def __missing__(self, w: str | bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        self[w] = h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        self[w] = h = xxhash.xxh3_64_intdigest(w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass"))
         return h
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
