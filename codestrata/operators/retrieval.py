@@ -191,7 +191,7 @@ def merge_channels(hits: DataFrame, most: int = 8) -> DataFrame:
     """hits (path, snippet, channel, base): the first base (0.5 if none) plus the weight of every occurrence."""
     w = F.element_at(F.create_map(*[F.lit(x) for kv in CHANNEL_WEIGHT.items() for x in kv]), F.col("channel"))
     order = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(CHANNEL_WEIGHT) for x in (c, i)]), F.col("channel"))
-    merged = hits.groupBy("path", "snippet").agg((F.coalesce(F.min_by("base", F.struct(F.col("base").isNull(), order)), F.lit(0.5)) + F.sum(w)).alias("score"))
+    merged = hits.groupBy("path", "snippet").agg((F.coalesce(F.min_by("base", F.struct(F.col("base").isNull(), order, F.col("base"))), F.lit(0.5)) + F.sum(w)).alias("score"))
     return merged.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "path", "snippet").limit(most)
 
 

@@ -1,11 +1,43 @@
-"""Registry of the queries that demonstrate each operator, with their oracles."""
+"""Registry of the queries that demonstrate each operator, with their DuckDB oracles."""
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _oracles[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    for m in ("vector_queries", "text_queries", "structure_queries", "graph_queries", "review_queries"):
+        importlib.import_module(f"codestrata.plans.{m}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_oracles)
