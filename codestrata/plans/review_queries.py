@@ -1,0 +1,208 @@
+"""Diffs, findings and drafts over literal rows (no such tables are shipped) and over conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codestrata.functions import ids
+from codestrata.functions import text as T
+from codestrata.functions import vectors as V
+from codestrata.operators import diff as D
+from codestrata.operators import findings as N
+from codestrata.plans.registry import query, table
+
+DIFF = """diff --git a/x.dart b/x.dart
+--- a/x.dart
++++ b/x.dart
+@@ -1,3 +1,4 @@
+ a
+-b
++B
++C
+ d
+@@ -10 +11,2 @@ void f()
+ k
++l
+\\ No newline at end of file
+diff --git a/y.dart b/y.dart
+--- a/y.dart
++++ /dev/null
+@@ -1,2 +0,0 @@
+-one
+-two
+"""
+
+
+def _changes(spark):
+    return spark.createDataFrame([(1, DIFF)], "bundle int, raw string")
+
+
+@query("SELECT * FROM (VALUES ('x.dart', 'x.dart'), ('y.dart', NULL)) v(old_path, new_path)")
+def split_raw_diff(spark, d):
+    return D.split_raw(_changes(spark), "raw").select("old_path", "new_path")
+
+
+@query(
+    "SELECT * FROM (VALUES ('x.dart', 1, 'context', 1, 1, 'a'), ('x.dart', 1, 'removed', 2, NULL, 'b'), ('x.dart', 1, 'added', NULL, 2, 'B'), ('x.dart', 1, 'added', NULL, 3, 'C'), ('x.dart', 1, 'context', 3, 4, 'd'), "
+    "('x.dart', 2, 'context', 10, 11, 'k'), ('x.dart', 2, 'added', NULL, 12, 'l'), ('y.dart', 1, 'removed', 1, NULL, 'one'), ('y.dart', 1, 'removed', 2, NULL, 'two')) v(path, hunk, op, old_line, new_line, content)"
+)
+def diff_lines(spark, d):
+    files = D.split_raw(_changes(spark), "raw").withColumn("path", F.coalesce("new_path", "old_path"))
+    return D.parse_lines(files, "path", "body")
+
+
+# Documents as diffs: the old version has every line, the new one drops lines of a number that 5 divides.
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+o AS (SELECT doc_id, i, CASE WHEN i % 5 = 0 THEN 'removed' ELSE 'context' END AS op FROM l)
+SELECT doc_id, i::INT AS old_line, CASE WHEN op = 'context' THEN sum(CASE WHEN op = 'context' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) END::INT AS new_line FROM o"""
+)
+def diff_numbering(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    body = F.transform("l", lambda x, i: F.concat(F.when((i + 1) % 5 == 0, "-").otherwise(" "), F.regexp_replace(x, "\r", "")))
+    diff = docs.select("doc_id", F.concat(F.lit("@@ -1,9 +1,9 @@\n"), F.array_join(body, "\n"), F.lit("\n")).alias("diff"))
+    return D.parse_lines(diff, "doc_id", "diff").select("doc_id", "old_line", "new_line")
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, l_suppkey % 30 AS path, (l_partkey % 400)::INT AS line FROM lineitem WHERE l_orderkey <= 4000),
+s AS (SELECT p_partkey AS span_id, p_partkey % 30 AS path, (p_partkey % 400)::INT AS decl_line, (p_partkey % 400)::INT AS start, (p_partkey % 400 + p_size)::INT AS "end" FROM part WHERE p_partkey <= 300),
+j AS (SELECT line_id, arg_min(span_id, ("end" - start, start, span_id)) AS span_id FROM a JOIN s ON a.path = s.path AND line BETWEEN start AND "end" GROUP BY line_id),
+p AS (SELECT a.path, line, coalesce(j.span_id, -1) AS own, decl_line FROM a LEFT JOIN j USING (line_id) LEFT JOIN s ON s.span_id = j.span_id),
+n AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY path, own ORDER BY line) <= 2 THEN 0 ELSE 1 END AS new FROM p),
+c AS (SELECT *, sum(new) OVER (PARTITION BY path, own ORDER BY line ROWS UNBOUNDED PRECEDING) AS c FROM n),
+g AS (SELECT path, own, c, min(line) AS start_line, max(line) AS end_line, coalesce(bool_or(line = decl_line), false) AS t FROM c GROUP BY path, own, c)
+SELECT path, CASE WHEN own >= 0 THEN own END AS span_id, start_line, end_line, CASE WHEN t AND own >= 0 THEN 'symbol' WHEN start_line < end_line THEN 'range' ELSE 'line' END AS target_kind FROM g"""
+)
+def diff_targets(spark, d):
+    r = table(spark, d, "lineitem").filter("l_orderkey <= 4000")
+    added = r.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), (F.col("l_suppkey") % 30).alias("path"), (F.col("l_partkey") % 400).cast("int").alias("line"))
+    k = F.col("p_partkey")
+    symbols = table(spark, d, "part").filter("p_partkey <= 300").select(k.alias("span_id"), (k % 30).alias("path"), (k % 400).cast("int").alias("decl_line"), (k % 400).cast("int").alias("start"), (k % 400 + F.col("p_size")).cast("int").alias("end"))
+    return D.targets(added, symbols)
+
+
+@query("SELECT * FROM (VALUES ('x.dart')) v(path)")
+def candidate_paths(spark, d):
+    files = D.split_raw(_changes(spark), "raw").withColumn("change_id", F.coalesce("old_path", "new_path")).withColumn("is_binary", D.is_binary_patch(F.col("body"))).withColumn("is_deleted", F.col("new_path").isNull())
+    return D.candidate_paths(files, D.parse_lines(files, "change_id", "body"))
+
+
+RAW = """<think>ignore
+ANCHOR: 1-1
+TITLE: never
+BODY: never
+</think>
+<<<BEGIN_STRICT>>>
+ANCHOR: 2-3
+SEVERITY: high
+TITLE: First one
+BODY: See lines 2-3 and line 9.
+More of it.
+PATCH:
+```diff
+-a
++b
+```
+ANCHOR: 90-91
+TITLE: Outside
+BODY: dropped
+ANCHOR: 2-3
+TITLE: FIRST ONE
+BODY: a duplicate
+TITLE lost
+<<<END_STRICT>>>"""
+
+
+@query("SELECT 7 AS target_id, 2 AS start, 3 AS \"end\", 'High' AS severity, 'First one' AS title, 'See lines 2-3 and these lines.' || chr(10) || 'More of it.' AS body, '-a' || chr(10) || '+b' AS patch")
+def parse_findings(spark, d):
+    raw = spark.createDataFrame([(7, RAW, [(1, 20)])], "target_id int, raw string, allowed array<struct<start:int,end:int>>")
+    return N.parse_findings(raw)
+
+
+def _drafts(spark, d):
+    """Conversations as drafts: the conversation is the file, turns are anchors."""
+    n, t = F.col("conv_id"), F.col("turn")
+    return table(spark, d, "conversations").select((n * 100 + t).alias("id"), F.concat(F.lit("c"), (n % 40).cast("string")).alias("path"), F.when(n % 7 == 0, None).otherwise((n * 5 + t * 9).cast("int")).alias("start"), F.when(n % 7 == 0, None).otherwise((n * 5 + t * 9 + 2).cast("int")).alias("end"), F.when(t % 3 == 0, "High").when(t % 3 == 1, "Medium").otherwise("Low").alias("severity"), F.col("text").alias("body"))
+
+
+_DRAFTS = "SELECT conv_id * 100 + turn AS id, 'c' || conv_id % 40 AS path, CASE WHEN conv_id % 7 = 0 THEN NULL ELSE (conv_id * 5 + turn * 9)::INT END AS start, CASE WHEN conv_id % 7 = 0 THEN NULL ELSE (conv_id * 5 + turn * 9 + 2)::INT END AS \"end\", CASE turn % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END AS severity, text AS body FROM conversations"
+
+
+@query(
+    f"""WITH d AS ({_DRAFTS}), l AS (SELECT *, lag(id) OVER w AS pid, lag(start) OVER w AS ps, lag("end") OVER w AS pe FROM d WINDOW w AS (PARTITION BY path ORDER BY start NULLS LAST, id)),
+n AS (SELECT *, CASE WHEN pid IS NOT NULL AND (start IS NULL OR ps IS NULL OR (start <= pe AND ps <= "end") OR greatest(start - pe, ps - "end") <= 10) THEN 0 ELSE 1 END AS new FROM l)
+SELECT id, path, sum(new) OVER (PARTITION BY path ORDER BY start NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS cluster FROM n"""
+)
+def anchor_clusters(spark, d):
+    return N.anchor_clusters(_drafts(spark, d)).select("id", "path", "cluster")
+
+
+@query()
+def dedup_drafts(spark, d):
+    """Greedy and order-sensitive: held against a Python version in the tests."""
+    return N.dedup_drafts(_drafts(spark, d)).select("id", "path", "cluster", "theme", "value")
+
+
+@query(f"WITH d AS ({_DRAFTS}) SELECT id, path FROM d QUALIFY row_number() OVER (PARTITION BY path ORDER BY CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END DESC, length(body) DESC, contains(body, '```diff') DESC, id) = 1")
+def pick_best(spark, d):
+    return N.pick_best(_drafts(spark, d), ["path"]).select("id", "path")
+
+
+@query("WITH k AS (SELECT conv_id, turn, role || ':' || turn || '|line#' || left(sha256(text), 8) AS key FROM conversations), m AS (SELECT DISTINCT key FROM k WHERE conv_id % 3 = 0) SELECT conv_id, turn, key, CASE WHEN key IN (SELECT key FROM m) THEN 'skip' ELSE 'create' END AS action FROM k")
+def publish_plan(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("path"), F.col("turn").alias("line"), F.lit("line").alias("kind"), F.substring(F.sha2("text", 256), 1, 8).alias("snippet_hash"))
+    key = ids.idempotency_key(F.col("path"), F.col("line"), F.col("kind"), F.col("snippet_hash"))
+    notes = c.filter("conv_id % 3 = 0").select(F.concat(F.lit("text <!-- mrai:key="), key, F.lit(" --> more <!-- mrai:key=other -->")).alias("body"))
+    return N.publish_plan(c, N.markers(notes)).select("conv_id", "turn", "key", "action")
+
+
+@query("WITH k AS (SELECT conv_id, turn, role || ':' || turn || '|line#' || left(sha256(text), 8) AS key FROM conversations) SELECT conv_id, turn, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE conv_id % 3 = 0)")
+def unpublished(spark, d):
+    return publish_plan(spark, d).filter("action = 'create'").drop("action")
+
+
+@query("SELECT conv_id, turn, round(greatest(0.0, least(1.0, 0.6::DOUBLE + CASE WHEN contains(text, '`') THEN 0.15 ELSE 0 END + CASE WHEN length(text) > 300 THEN 0.05 ELSE 0 END - CASE WHEN conv_id * 900 > 20000 THEN 0.05 ELSE 0 END) - CASE WHEN turn % 2 = 1 THEN 0.2 ELSE 0 END), 6)::DOUBLE AS confidence, CASE WHEN conv_id * 20 > 2500 OR turn % 5 = 0 OR turn * 30 >= 80 THEN 'slow' ELSE 'fast' END AS route, floor(length(text) / 4)::BIGINT AS tokens FROM conversations")
+def confidence_and_route(spark, d):
+    n, t = F.col("conv_id"), F.col("turn")
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.round(V.confidence(F.col("text"), n * 900, t % 2 == 1), 6).alias("confidence"), V.initial_route(n * 20, F.when(t % 5 == 0, "symbol").otherwise("range"), t * 30).alias("route"), V.approx_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT count(*) FILTER (role = 'user') AS \"user\", count(*) FILTER (role = 'assistant') AS assistant FROM conversations")
+def role_counts(spark, d):
+    return N.counts(table(spark, d, "conversations"), "role", ["user", "assistant"])
+
+
+@query(
+    """WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, l, l[1 + doc_id % len(l)] AS line FROM t),
+r AS (SELECT doc_id, list_transform(l, lambda x: regexp_replace(x, '[ \\t\\n\\x0b\\f\\r]+$', '')) AS l, regexp_replace(line, '[ \\t\\n\\x0b\\f\\r]+$', '') AS line FROM b)
+SELECT doc_id, true AS applies, list_position(l, line)::INT AS line FROM r WHERE line <> ''"""
+)
+def patch_positions(spark, d):
+    docs = table(spark, d, "documents").withColumn("l", F.split("text", "\n", -1))
+    docs = docs.withColumn("line", F.get("l", (F.col("doc_id") % F.size("l")).cast("int"))).filter(T.rtrim_ws(F.col("line")) != "")
+    patch = F.concat(F.lit("-"), F.col("line"), F.lit("\n+new\n"))
+    return docs.select("doc_id", D.patch_applies(patch, F.col("text")).alias("applies"), D.reanchor(patch, F.col("text")).alias("line"))
+
+
+@query("SELECT * FROM (VALUES (1, 'see these lines and lines 4-6'), (2, 'see line 12 and these lines'), (3, 'see these lines and these lines')) v(id, body)")
+def line_mentions(spark, d):
+    rows = spark.createDataFrame([(1, "see line 12 and lines 4-6", 4, 6), (2, "see line 12 and lines 4-6", 12, 12), (3, "see line 12 and lines 4-6", None, None)], "id int, body string, s int, e int")
+    return rows.select("id", T.sanitize_line_mentions(F.col("body"), F.col("s"), F.col("e")).alias("body"))
+
+
+@query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def stream_windows(spark, d):
+    """A streaming query run to its end: counts of events in windows, with a watermark (an extension)."""
+    import uuid
+
+    from codestrata.streaming.jsonl import windowed_counts
+
+    events = table(spark, d, "events")
+    name = f"w{uuid.uuid4().hex}"
+    # pathGlobFilter: the folder holds other tables.
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(d)
+    q = windowed_counts(source).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
