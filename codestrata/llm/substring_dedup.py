@@ -288,9 +288,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # The rest: anchors with different contexts, one of them at least found once.
     mixed = cells.filter("different > 1")
     sieve = spark.sparkContext.broadcast(_sieve(mixed, "h"))
-    got = docs.mapInArrow(_fetch(sieve, length), _CONTEXT).join(mixed.select("h", "c", "n", "different"), ["h", "c"])
+    # One of each context before any join: a context that a third of all rows hold is a row of each task, not a hot key.
     one = F.min_by(F.struct("doc_id", "text_key", "first", "windows", "bytes"), F.struct("doc_id", "text_key", "first"))
-    got = got.groupBy("h", "c").agg(one.alias("r"), F.first("n").alias("n"), F.first("different").alias("different")).select("h", "c", "n", "different", "r.*")
+    got = docs.mapInArrow(_fetch(sieve, length), _CONTEXT).groupBy("h", "c").agg(one.alias("r"))
+    got = got.join(mixed.select("h", "c", "n", "different"), ["h", "c"]).select("h", "c", "n", "different", "r.*")
     got = store(got, "contexts")
     spans = [whole]
     small = got.filter(F.col("different") <= MOST)
@@ -309,8 +310,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 pieces.filter("n = 1").join(cells2.filter("total > 1").select("h", "c"), ["h", "c"])
                 .select("doc_id", "text_key", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + F.lit(length - 1)).cast("int").alias("hi"))
             )
-            rest = pieces.join(cells2.filter("different > 1"), ["h", "c"])
-            rows = rest.groupBy("h", "c").agg(F.min_by(F.struct(*[x for x in columns if x not in ("h", "c", "n")]), F.struct("doc_id", "text_key", "first")).alias("r"), F.first("total").alias("n"), F.first("different").alias("different"))
+            parts = F.struct(*[x for x in columns if x not in ("h", "c", "n")])
+            rows = pieces.groupBy("h", "c").agg(F.min_by(parts, F.struct("doc_id", "text_key", "first")).alias("r"))
+            rows = rows.join(cells2.filter("different > 1").select("h", "c", F.col("total").alias("n"), "different"), ["h", "c"])
             rest = store(rows.select("h", "c", "n", "different", "r.*"), "pieces-left")
             spans.append(solve(rest.filter(F.col("different") <= MOST).drop("gram", "grid", "width")))
             level = rest.filter((F.col("different") > MOST) & (F.col("width") > 1)).select(columns)
