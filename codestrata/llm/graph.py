@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from codestrata.llm.common import store
 
 
+SALTS = 8
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: neighbours above a node are tied to its least neighbour; small star: the node and those below it."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    tied = both.join(least, "u")
+    # A hub's rows are dealt over SALTS tasks, which its one row of `least` meets in each.
+    salted = both.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    tied = salted.join(least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))), ["u", "_s"])
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
