@@ -84,15 +84,15 @@ def pick_best(drafts: DataFrame, key: list[str]) -> DataFrame:
     return drafts.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
-#: Fixed value: how a published comment marks itself.
-MARKER = r"<!--\s*mrai:key=([^\s>]+)\s*-->"
+#: How a published comment marks itself; the name before ``=`` is a parameter where other writers' comments are read.
+MARKER_NAME = "review:key"
 
 
-def markers(*bodies: DataFrame) -> DataFrame:
+def markers(*bodies: DataFrame, name: str = MARKER_NAME) -> DataFrame:
     """Distinct markers, the first of each body."""
-    out = None
+    pattern, out = rf"<!--\s*{name}=([^\s>]+)\s*-->", None
     for b in bodies:
-        m = b.select(F.nullif(F.regexp_extract("body", MARKER, 1), F.lit("")).alias("marker")).filter("marker is not null")
+        m = b.select(F.nullif(F.regexp_extract("body", pattern, 1), F.lit("")).alias("marker")).filter("marker is not null")
         out = m if out is None else out.union(m)
     return out.distinct()
 
@@ -116,7 +116,7 @@ def counts(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 def to_markdown(severity: Column, title: Column, body: Column, patch: Column, key: Column) -> Column:
     fence = F.when(patch.isNotNull(), F.concat(F.lit("\n\n```diff\n"), patch, F.lit("\n```")))
-    return F.concat(F.lit("**["), severity, F.lit("]** "), title, F.lit("\n\n"), body, F.coalesce(fence, F.lit("")), F.lit("\n\n<!-- mrai:key="), key, F.lit(" -->"))
+    return F.concat(F.lit("**["), severity, F.lit("]** "), title, F.lit("\n\n"), body, F.coalesce(fence, F.lit("")), F.lit("\n\n<!-- review:key="), key, F.lit(" -->"))
 
 
 def anchor_ranges(ranges: Column) -> Column:

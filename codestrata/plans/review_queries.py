@@ -153,7 +153,7 @@ def pick_best(spark, d):
 def publish_plan(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("path"), F.col("turn").alias("line"), F.lit("line").alias("kind"), F.substring(F.sha2("text", 256), 1, 8).alias("snippet_hash"))
     key = ids.idempotency_key(F.col("path"), F.col("line"), F.col("kind"), F.col("snippet_hash"))
-    notes = c.filter("conv_id % 3 = 0").select(F.concat(F.lit("text <!-- mrai:key="), key, F.lit(" --> more <!-- mrai:key=other -->")).alias("body"))
+    notes = c.filter("conv_id % 3 = 0").select(F.concat(F.lit("text <!-- review:key="), key, F.lit(" --> more <!-- review:key=other -->")).alias("body"))
     return N.publish_plan(c, N.markers(notes)).select("conv_id", "turn", "key", "action")
 
 

@@ -116,3 +116,21 @@ def top_per_group(spark, d):
 
     w = W.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
     return table(spark, d, "lineitem").withColumn("r", F.row_number().over(w)).filter("r <= 2").select("l_orderkey", "l_suppkey", "l_linenumber")
+
+
+@query(
+    """WITH c AS (SELECT doc_id * 100 + i AS id, doc_id AS file, (i * 3)::INT AS s, least(i * 3 + 4, len(string_split(text, chr(10))))::INT AS e, string_split(text, chr(10)) AS l, (doc_id * 7 + i * 13) % 50 / 50.0::DOUBLE AS score FROM documents, (SELECT unnest(range(5)) AS i) WHERE i * 3 < len(string_split(text, chr(10))) AND (doc_id + i) % 3 <> 0),
+r AS (SELECT *, max(e) OVER (PARTITION BY file ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+b AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY s, id) AS b FROM r),
+g AS (SELECT file, min(s) AS start, max(e) AS "end", count(*) AS n, arg_max(id, (score, -s, -id)) AS best_id, max(score) AS best_score, any_value(l) AS l FROM b GROUP BY file, b)
+SELECT file, start, "end", n, best_id, best_score, array_to_string(l[start + 1:"end"], chr(10)) AS code FROM g WHERE array_to_string(l[start + 1:"end"], chr(10)) <> '' ORDER BY best_score DESC, file, start LIMIT 50"""
+)
+def code_results(spark, d):
+    from codestrata.operators.context import code_results as stitched
+
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\r", "").alias("text"))
+    n = F.size(F.split("text", "\n", -1))
+    c = docs.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).filter((F.col("i") * 3 < F.col("n")) & ((F.col("doc_id") + F.col("i")) % 3 != 0))
+    c = c.select((F.col("doc_id") * 100 + F.col("i")).alias("id"), F.col("doc_id").alias("file"), (F.col("i") * 3).alias("start_row"), F.least(F.col("i") * 3 + 4, F.col("n")).alias("end_row"), ((F.col("doc_id") * 7 + F.col("i") * 13) % 50 / 50.0).alias("score"))
+    hits = c.select("id", "score", F.lit(1).alias("rank"))
+    return stitched(hits, c.drop("score"), docs.withColumnRenamed("doc_id", "path"), 50).drop("rank")

@@ -195,3 +195,32 @@ def test_embedding_provider(spark):
 def test_plans_push_down_and_do_not_shuffle(spark, sf_dir):
     plan = retrieval.vector_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), [1.0] * 64, 5, id_col="vec_id", where=F.col("label") == 3).select("vec_id", "score")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan and "EqualTo(label,3)" in plan
+
+
+def test_context(spark):
+    from codestrata.operators import context as K
+
+    text = "import 'a';\nvoid f() {\n  g(); g(); h();\n  return 1;\n  x.dispose();\n}\n" + "\n".join(f"l{i}" for i in range(60))
+    files = spark.createDataFrame([("a.dart", text)], "path string, text string")
+    targets = spark.createDataFrame([(1, "a.dart", 3, 3, 3), (2, "a.dart", 50, 51, 50)], "target_id int, path string, start int, end int, line int")
+    spans = spark.createDataFrame([(7, "a.dart", 2, 6)], "span_id int, path string, start int, end int")
+    p = {r["target_id"]: r for r in K.primary_context(targets, files, 5).collect()}
+    assert p[1]["full_text"] == text and p[2]["full_text"] is None and p[2]["window"].split("\n")[0] == "    45 | l38" and p[1]["allowed"][0]["start"] == 1
+    f = {r["target_id"]: r for r in K.code_facts(targets.select("target_id", "path", "line"), files, spans).collect()}
+    assert f[1]["calls"][0] == "g" and f[1]["returns"] == ["return 1"] and f[1]["cleanup"] == ["dispose"] and f[2]["scope_end"] == 130
+    b = {r["target_id"]: (r["start"], r["end"]) for r in K.enclosing_body(targets.select("target_id", "path", "line"), files, spans).collect()}
+    assert b == {1: (2, 6), 2: (None, None)}
+    msg = '{"params": {"uri": "file:///w/r/a.dart", "diagnostics": [{"severity": 1, "range": {"start": {"line": 4}}}, {"severity": 2}]}}'
+    out = '{"params": {"uri": "file:///other/b.dart", "diagnostics": [{"severity": 1}]}}'
+    d = K.decode_diagnostics(spark.createDataFrame([(msg,), (out,), ("{",)], "j string"), "j", "/w/r")
+    assert sorted(map(tuple, d.collect()), key=str) == [("a.dart", 1, 4), ("a.dart", 2, None)]
+    chunks = spark.createDataFrame([(1, "a.dart", "class", "A", 1, 9), (2, "z.dart", "class", "Z", 1, 2)], "chunk_id int, file string, kind string, symbol_path string, start int, end int")
+    e = {r["chunk_id"]: r for r in K.enrich_chunks(chunks, spark.createDataFrame([(5, "a.dart", 2, 4)], "symbol_id int, file string, start int, end int"), d, spark.createDataFrame([(5, "```\nint x\n```")], "symbol_id int, text string"), spark.createDataFrame([(5, "b", i) for i in range(40)], "symbol_id int, file string, line int")).collect()}
+    assert (e[1]["symbol_id"], e[1]["errors"], e[1]["warnings"], e[1]["hover"], e[1]["n_references"], len(e[1]["references"])) == (5, 1, 1, "int x", 40, 32) and e[2]["n_references"] == 0 and e[1]["fqn"] == "a.dart::A"
+    rows = spark.createDataFrame([("1", "a/b.dart", "class", "B", "class B", "Doc.\nMore", "class B { go('/x'); }", ["z", "a"], [], ["kw"])], "id string, file string, kind string, symbol_path string, signature string, doc string, snippet string, imports array<string>, routes array<string>, keywords array<string>")
+    r = K.index_rows(rows).first()
+    assert r["embed_text"].startswith("dart | class | a/b.dart\nSignature: class B\nDoc: Doc.\nImports: a, z\nRoutes: /x") and "kw" in r["search_terms"] and r["search_blob"].startswith("a/b.dart\nB\n")
+    h = spark.createDataFrame([('```json\n{"queries": ["q"]}\n```',), ("no",)], "a string").select(K.context_hints(F.col("a")).alias("h")).collect()
+    assert h[0]["h"]["queries"] == ["q"] and h[1]["h"]["need_paths_like"] == []
+    rep = K.review_report(targets, spark.createDataFrame([(1, True), (None, False)], "start int, escalated boolean")).first()
+    assert (rep["targets"], rep["drafts"], rep["escalated"], rep["without_anchor"]) == (2, 2, 1, 1)
