@@ -43,7 +43,9 @@ def within_budget(items: Column, most: int, first_free: bool) -> Column:
 def normalize_code_light(c: Column, most: int) -> Column:
     """Right-trimmed lines, runs of blank ones collapsed to one, within ``most`` bytes, each ended by a line feed."""
     trimmed = F.transform(lines(c), rtrim_ws)
-    dense = F.filter(F.transform(F.sequence(F.lit(0), F.size(trimmed) - 1), lambda i: F.when((i > 0) & (F.get(trimmed, i) == "") & (F.get(trimmed, i - 1) == ""), None).otherwise(F.get(trimmed, i))), lambda x: x.isNotNull())
+    # Framed by line feeds, a run of blank lines is a run of three feeds or more; a fold over the lines would be quadratic.
+    framed = F.regexp_replace(F.concat(F.lit("\n"), F.array_join(trimmed, "\n"), F.lit("\n")), "\n{3,}", "\n\n")
+    dense = F.split(F.substring(framed, F.lit(2), F.char_length(framed) - 2), "\n", -1)
     dense = F.when(F.size(trimmed) == 0, F.array().cast("array<string>")).otherwise(dense)
     return F.array_join(F.transform(within_budget(dense, most, first_free=False), lambda x: F.concat(x, F.lit("\n"))), "")
 
