@@ -130,6 +130,12 @@ class Trie:
         high, _ = self.contexts._places()
         return (high.astype(np.uint64) << np.uint64(self.shift[0])) | self.contexts.lows(np.arange(self.contexts.n))
 
+    def stored(self) -> np.ndarray:
+        """The 40-bit successor of each stored pair."""
+        high, _ = self.successors._places()
+        s_low = self.shift[2]
+        return ((high.astype(np.uint64) << np.uint64(s_low)) | self.successors.lows(np.arange(self.successors.n))) & np.uint64((1 << SUCCESSOR_BITS) - 1)
+
     def to_bytes(self) -> bytes:
         small = lambda a: a.astype("<u4") if not len(a) or a.max() < 1 << 32 else a
         return pack([np.array(self.shift, dtype="<i8"), *self.contexts.arrays(), *self.pointers.arrays(), *self.successors.arrays(), small(self.counts), small(self.kinds), self.codes, self.book.astype("<f8")])

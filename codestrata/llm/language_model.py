@@ -6,13 +6,13 @@ model is a trie: all words of the shard with exact counts, the number of differe
 pairs found twice or more, with quantised values.
 
 The model is absolute discounting by one: ``p(w | v) = (c(v w) - 1) / c(v) + n(v) / c(v) * p(w)``, with n(v) the
-different successors of v, over a unigram ``p(w)``: the add-one estimate for the HEAD most frequent words, and the mean of
-all other words (and one unknown) for each of those. A pair found once thus needs no entry. As ``log p`` of a stored
-pair is that of the unigram plus a term of the pair's own, each shard adds up what it knows of each document, and
-the sums meet by chunk; texts and probabilities are never joined word by word.
+different successors of v, over the add-one unigram ``p(w) = (c(w) + 1) / (n + v + 1)`` of the exact counts. A pair found once
+thus needs no entry. As ``log p`` of a stored pair is that of the unigram plus a term of the pair's own, each shard adds
+up what it knows of each document, and the sums meet by chunk; texts and probabilities are never joined word by word. For
+that term a shard has the counts of the successors it stores: it asks for each once, by ranges of the successors' hashes.
 
 Tokens: runs of other than ASCII white space, A-Z lower-cased, then one end token. Defined cases: a null text is the
-empty one and scores its end; words unknown in training are scored by the mean of rare words; with no training
+empty one and scores its end; words unknown in training have a count of 0; with no training
 documents every token is unknown; rows of repeated ids are scored alike, row by row; other columns are not read.
 The most frequent words' pairs are spread over all shards by their second word, all others' share their word's shard.
 """
@@ -30,7 +30,9 @@ from codestrata.llm.common import id_crc, partitions, store, table, utf8
 from codestrata.llm.elias_fano import SUCCESSOR_BITS, Trie, pack, unpack
 from codestrata.llm.words import WordHashes
 
-CHUNK, HEAD, MOST_DOCS = 1 << 20, 1 << 18, 60_000
+CHUNK, MOST_DOCS = 1 << 20, 60_000
+#: Words with a unigram of their own: all.
+HEAD = float("inf")
 #: Hashes of the marks at the ends of a text; words never hash from a text with white space.
 _marks = WordHashes()
 START, END = np.uint64(_marks["\n start"]), np.uint64(_marks["\n end"])
@@ -124,17 +126,15 @@ def _shard_rows(batches, columns: list[str]):
 @dataclass
 class Model:
     """tries: a row (shard, trie) for each shard; n, v: tokens and different tokens in training; docs: training documents;
-    head: 40-bit hashes of the most frequent tokens, sorted, and their log10 probabilities; tail: that of any other;
+    after: rows (shard, part, blob) with the counts of the successors that a shard stores, in ranges of their hashes;
     heavy: words whose pairs lie in all shards, sorted, with their counts and different successors overall."""
 
     tries: DataFrame
+    after: DataFrame
     shards: int
     n: int
     v: int
     docs: int
-    head: np.ndarray
-    head_logp: np.ndarray
-    tail: float
     heavy: np.ndarray
     heavy_counts: np.ndarray
     heavy_kinds: np.ndarray
@@ -145,9 +145,9 @@ class Model:
         own = self.heavy[at] == word
         return np.where(own, self.heavy_counts[at], counts), np.where(own, self.heavy_kinds[at], kinds)
 
-    def logp(self, forty: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.head, forty), max(0, len(self.head) - 1))
-        return np.where(self.head[at] == forty, self.head_logp[at], self.tail) if len(self.head) else np.full(len(forty), self.tail)
+    def logp(self, count: np.ndarray) -> np.ndarray:
+        """The unigram of words with these counts."""
+        return np.log10((count + 1) / (self.n + self.v + 1))
 
 
 def heavy_words(docs: DataFrame, text_col: str, most: int = 64, sample: int = 2000) -> np.ndarray:
@@ -163,7 +163,7 @@ def heavy_words(docs: DataFrame, text_col: str, most: int = 64, sample: int = 20
     return np.unique(np.array([int(START), *(hashes[w] for w in top)], dtype=np.uint64))
 
 
-def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, head: int = HEAD) -> Model:
+def train(docs: DataFrame, text_col: str = "text", shards: int | None = None) -> Model:
     """Count all documents and build the tries."""
     spark = docs.sparkSession
     n_shards = shards or partitions(spark)
@@ -214,33 +214,66 @@ def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, he
     d = spread.get(start, (0, 0))[0]
     # The start's entry stands for the end token: both occur once a document.
     total, v = (row["n"] or 0) + sum(n for n, _ in spread.values()), row["v"] + len(spread)
-    # Words by classes of counts (an eighth of a doubling each); the head takes whole classes from the top.
-    ranked = light.withColumn("_class", F.floor(F.log2("n") * 8))
-    classes, least, room = ranked.groupBy("_class").count().orderBy(F.desc("_class")).collect(), None, head - len(spread)
-    for r in classes:  # a few hundred rows at most
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["_class"]
-    top = ranked.filter(F.col("_class") >= least).select("word", "n").collect() if least is not None else []  # at most `head` rows
-    top += [{"word": w, "n": n} for w, (n, _) in spread.items() if w != start]
-    word = np.array([r["word"] for r in top] + [int(END.astype(np.int64))] * (d > 0), dtype=np.int64).view(np.uint64) & _FORTY
-    times = np.array([r["n"] for r in top] + [d] * (d > 0), dtype=np.int64)
-    order = np.argsort(word, kind="stable")
-    rest = (total + v + 1 - int((times + 1).sum())) / (total + v + 1) / (v - len(times) + 1)
-    return Model(tries, n_shards, total, v, d, word[order], np.log10((times[order] + 1) / (total + v + 1)), float(np.log10(rest)), heavy, *(np.array([spread.get(w, (0, 0))[k] for w in heavy.view(np.int64).tolist()], dtype=np.int64) for k in (0, 1)))
+    return Model(tries, successor_counts(tries, n_shards), n_shards, total, v, d, heavy, *(np.array([spread.get(w, (0, 0))[k] for w in heavy.view(np.int64).tolist()], dtype=np.int64) for k in (0, 1)))
+
+
+def successor_counts(tries: DataFrame, shards: int) -> DataFrame:
+    """shard, part, blob: the different successors that a shard's trie stores, and how often each occurs in training.
+
+    Shards send what they counted, and which successors they ask for, to ranges of the 40-bit hashes; a heavy word's
+    counts from all shards are added up there."""
+
+    def ranges(forty: np.ndarray):
+        """(range, from, to) over sorted hashes."""
+        part = forty * np.uint64(shards) >> np.uint64(SUCCESSOR_BITS)
+        cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+        return [(int(part[a]), a, z) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if a < z]
+
+    def ask(batches):
+        for b in batches:
+            for shard, raw in zip(b.column("shard").to_pylist(), b.column("trie").to_pylist(), strict=True):
+                t = Trie.load(raw)
+                word, counts = t.words(), np.array(t.counts, dtype=np.int64)
+                word = np.where(word == START, END, word) & _FORTY  # as often as texts start, they end
+                order = np.argsort(word, kind="stable")
+                word, counts, wanted = word[order], counts[order], np.unique(t.stored())
+                out = [(p, 0, shard, pack([_five(word[a:z]), counts[a:z]])) for p, a, z in ranges(word)]
+                out += [(p, 1, shard, pack([_five(wanted[a:z])])) for p, a, z in ranges(wanted)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary())], names=["part", "kind", "shard", "blob"])
+
+    def answer(batches):
+        now, got, word, counts = None, [], None, None
+        for b in batches:
+            out = []
+            for part, kind, shard, blob in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "shard", "blob")), strict=True):
+                if part != now:
+                    now, got, word = part, [], None
+                if kind == 0:
+                    got.append(unpack(blob))
+                    continue
+                if word is None:
+                    word, at = np.unique(np.concatenate([_from_five(x) for x, _ in got]), return_inverse=True)
+                    counts, got = np.zeros(len(word), np.int64), [n for _, n in got]
+                    np.add.at(counts, at, np.concatenate(got))
+                    got = []
+                five = unpack(blob)[0]
+                out.append((shard, part, pack([five, *_small(counts[np.searchsorted(word, _from_five(five))])])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["shard", "part", "blob"])
+
+    asked = tries.mapInArrow(ask, "part int, kind int, shard int, blob binary")
+    return store(asked.repartitionById(shards, F.col("part")).sortWithinPartitions("part", "kind").mapInArrow(answer, "shard int, part int, blob binary"), "after")
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns in ``keep``, n_tokens, n_known, train_tokens, base_score and score, for every row."""
     spark = docs.sparkSession
     kinds = dict(docs.select(*keep).dtypes)
-    shared = spark.sparkContext.broadcast(Model(None, model.shards, model.n, model.v, model.docs, model.head, model.head_logp, model.tail, model.heavy, model.heavy_counts, model.heavy_kinds))  # head: at most HEAD words
+    shared = spark.sparkContext.broadcast(Model(None, None, model.shards, model.n, model.v, model.docs, model.heavy, model.heavy_counts, model.heavy_kinds))
     names = ["shard", "chunk", "kind", "blob"]
     fields = docs.select(*keep).schema
 
     def split(batches):
-        """Kind 1: a chunk's pairs for a shard; kind 2: the chunk's rows themselves, which any shard passes on."""
+        """Kind 2: a chunk's pairs for a shard; kind 3: the chunk's rows themselves, which any shard passes on."""
         from pyspark import TaskContext
 
         part, own = TaskContext.get().partitionId(), shared.value
@@ -250,22 +283,27 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table_.schema) as w:
                 w.write_table(table_)
-            out = [(s, 1, x) for s, x in blobs(words, own.shards, True, own.heavy)] + [(chunk % own.shards, 2, sink.getvalue().to_pybytes())]
+            out = [(s, 2, x) for s, x in blobs(words, own.shards, True, own.heavy)] + [(chunk % own.shards, 3, sink.getvalue().to_pybytes())]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=names)
 
     def look_up(batches):
         own, base_of = shared.value, None
-        all_tokens, trie, now = own.n + own.v + 1, None, None
+        trie, now, after = None, None, []
         for b in batches:
             out = []
             for shard, chunk, kind, blob in zip(*(b.column(c).to_pylist() for c in names), strict=True):
                 if shard != now:
-                    now, trie = shard, None
+                    now, trie, after, follower = shard, None, [], None
                 if kind == 0:
                     trie = Trie.mapped(blob)
-                elif kind == 2:
+                elif kind == 1:
+                    after.append(unpack(blob))
+                elif kind == 3:
                     out.append((chunk, 0, blob))
                 else:
+                    if follower is None:  # parts are ranges of hashes, in order
+                        follower = np.concatenate([np.zeros(0, np.uint64), *(_from_five(x[0]) for x in after)])
+                        often, after = np.concatenate([np.zeros(0, np.int64), *(_counts(*x[1:]) for x in after)]), []
                     word, d1, d2, five, t1, t2, docs_ = unpack(blob)
                     pairs_of, times, second = _counts(d1, d2), _counts(t1, t2), _from_five(five)
                     at = trie.context(word) if trie else np.full(len(word), -1)
@@ -275,13 +313,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
                     c, kinds_ = own.totals(word, c, kinds_)
                     known = c > 0
                     token = word != START
-                    base_of = np.where(token, np.log10((c + 1) / all_tokens), 0)
-                    model_of = np.where(token, own.logp(word & _FORTY), 0) + np.where(known, np.log10(np.maximum(kinds_, 1) / np.maximum(c, 1)), 0)
+                    base_of = np.where(token, own.logp(c), 0)
+                    model_of = base_of + np.where(known, np.log10(np.maximum(kinds_, 1) / np.maximum(c, 1)), 0)
                     pair_word = np.repeat(np.arange(len(word)), pairs_of)
                     value = trie.value(at[pair_word], second) if trie else np.zeros(len(second))
                     gain = np.zeros(len(second))
                     hit = value > 0
-                    gain[hit] = np.log10(1 + value[hit] / kinds_[pair_word[hit]] / 10 ** own.logp(second[hit]))
+                    gain[hit] = np.log10(1 + value[hit] / kinds_[pair_word[hit]] / 10 ** own.logp(often[np.searchsorted(follower, second[hit])]))
                     each = np.repeat(np.arange(len(second)), times)
                     w = pair_word[each]
                     n_docs = int(docs_.max()) + 1
@@ -292,13 +330,12 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
 
     def gather(batches):
         own, now, sums, rows = shared.value, None, None, None
-        end_base = np.log10((own.docs + 1) / (own.n + own.v + 1))
-        end_model = float(own.logp(np.array([END & _FORTY]))[0])
+        end = float(own.logp(np.array(own.docs)))
 
         def result():
             n = rows.column("_words").to_numpy()
             columns = [rows.column(c).combine_chunks() for c in keep]
-            extra = [pa.array(n + 1), pa.array(np.rint(sums[2]).astype(np.int64) + (own.docs > 0)), pa.array(np.full(len(n), own.n, np.int64)), pa.array(sums[0] + end_base), pa.array(sums[1] + end_model)]
+            extra = [pa.array(n + 1), pa.array(np.rint(sums[2]).astype(np.int64) + (own.docs > 0)), pa.array(np.full(len(n), own.n, np.int64)), pa.array(sums[0] + end), pa.array(sums[1] + end)]
             return pa.RecordBatch.from_arrays([*columns, *extra], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         for b in batches:
@@ -321,7 +358,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     text = docs.select(*keep, utf8(text_col).alias("body"))
     pairs = text.mapInArrow(split, "shard int, chunk long, kind int, blob binary")
     tries = model.tries.select("shard", F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("kind"), F.col("trie").alias("blob"))
-    summed = tries.union(pairs).repartitionById(model.shards, F.col("shard")).sortWithinPartitions("shard", "kind", "chunk").mapInArrow(look_up, "chunk long, kind int, blob binary")
+    after = model.after.select("shard", F.col("part").cast("long").alias("chunk"), F.lit(1).alias("kind"), "blob")
+    summed = tries.union(after).union(pairs).repartitionById(model.shards, F.col("shard")).sortWithinPartitions("shard", "kind", "chunk").mapInArrow(look_up, "chunk long, kind int, blob binary")
     out = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return summed.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gather, out)
 

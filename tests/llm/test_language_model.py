@@ -86,3 +86,25 @@ def test_the_model_beats_its_base_on_text_like_its_own(docs_of):
     model = L.train(docs_of([line() for _ in range(60)]), shards=2)
     r = L.score(docs_of([line() for _ in range(5)]), model).collect()
     assert all(x["score"] > x["base_score"] for x in r)
+
+
+def test_every_word_of_a_large_vocabulary_has_its_own_unigram(docs_of):
+    """More words than any fixed head: each is scored from its own count, alone and after another word."""
+    words = [f"w{i}" for i in range(270_000)]
+    train = [" ".join(words[i : i + 27_000]) for i in range(0, len(words), 27_000)] * 2 + ["rare", "x often"] + ["x often often"] * 40 + ["x seldom"] * 2
+    n, v, d = 2 * len(words) + 1 + 2 + 120 + 4 + len(train), len(words) + 5, len(train)
+    p = lambda c: (c + 1) / (n + v + 1)
+    r = {x["doc_id"]: x for x in L.score(docs_of(["rare", "unknown", "x seldom"]), L.train(docs_of(train), shards=3)).collect()}
+    assert all(x["train_tokens"] == n for x in r.values())
+    kinds = 10 + 2  # words that texts start with
+    want = {
+        0: math.log10(kinds / d * p(1)) + math.log10(p(d)),
+        1: math.log10(kinds / d * p(0)) + math.log10(p(d)),
+    }
+    # "rare" ends its one text: c = 1, one successor, a pair found once.
+    for i, w in want.items():
+        assert abs(r[i]["score"] - w) < 1e-9
+    x_pair = 42 / d + kinds / d * p(43)
+    seldom = 1 / 43 + 2 / 43 * p(2)
+    end = 1 / 2 + 1 / 2 * p(d)
+    assert abs(r[2]["score"] - math.log10(x_pair * seldom * end)) < 0.02 * 3
