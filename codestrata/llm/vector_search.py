@@ -10,10 +10,11 @@ square root of the greatest squared norm less the vector's own, so that the near
 sampled queries reach ``recall`` against brute force over the sample. Every row is indexed; equal vectors are indexed
 once with their ``k + 1`` least ids, as no more can be among the nearest. A cell's rows are dealt in blocks of about
 ``BLOCK`` rows over tasks, and each query meets the blocks of the cells that it probes, keeping its best k in a task.
+A query whose cells held fewer than k candidates is answered exactly: it meets blocks of all rows.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, neither as query nor as candidate; rows of a repeated id and vector are one candidate; ties go to the smaller
-id; with fewer than k candidates all are returned if a probed cell holds them; an empty table gives an empty result.
+id; with fewer than k candidates all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import partitions, table
+from codestrata.llm.common import partitions, store, table
 
 TABLES, HASHES, WIDTH, REACH, BLOCK, SAMPLE, QUERIES, RECALL, SEED = 4, 4, 1.35, 3, 2048, 8000, 128, 0.97, 11
 
@@ -139,7 +140,7 @@ _KEYED = "table int, cell long, block long, kind int, vec_id long, ids array<lon
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query (``is_query`` refers to vec_id)."""
+    """query_id, rank, vec_id, score: the k nearest found of each query (``is_query`` refers to vec_id), fewer only where there are fewer."""
     spark = vectors.sparkSession
     rows = clean(vectors, id_col, vector_col)
     index = index or fit(rows, k)
@@ -170,7 +171,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | Non
                 cells = index.order(index.projected(x, t))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), b.column("vec_id"), b.column("vector"), pa.array(cells.tolist(), pa.list_(pa.int64()))], names=["table", "vec_id", "vector", "cells"])
 
-    probes = rows.filter(is_query).select("vec_id", "vector").mapInArrow(probe, "table int, vec_id long, vector array<double>, cells array<long>")
+    queries = rows.filter(is_query).select("vec_id", "vector")
+    probes = queries.mapInArrow(probe, "table int, vec_id long, vector array<double>, cells array<long>")
     asked = (
         probes.withColumn("cell", F.explode("cells"))
         .join(sizes, ["table", "cell"])
@@ -178,14 +180,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | Non
         .select("table", "cell", "block", F.lit(1).alias("kind"), "vec_id", none.cast("array<long>").alias("ids"), "vector")
     )
     keys = ["table", "cell", "block"]
-    best = (
-        stored.union(asked)
-        .repartition(partitions(spark), *keys)
-        .sortWithinPartitions(*keys, "kind")
-        .mapInArrow(_rank(k), "query_id long, best array<struct<nearness:double,vec_id:long>>")
-        .groupBy("query_id")
-        .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
-    )
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.repartition(partitions(spark), *keys)
+            .sortWithinPartitions(*keys, "kind")
+            .mapInArrow(_rank(k), "query_id long, best array<struct<nearness:double,vec_id:long>>")
+            .groupBy("query_id")
+            .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+        )
+
+    best = store(nearest(stored.union(asked)), "nearest")
+    full = best.filter(F.size("best") >= k)
+    short = queries.distinct().join(full.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    if short.head(1):
+        # Blocks of all rows, whatever their cell.
+        blocks = -(-rows.count() // BLOCK)
+        whole = lambda df, block, kind, *rest: df.select(F.lit(-1).alias("table"), F.lit(0).cast("long").alias("cell"), block.cast("long").alias("block"), F.lit(kind).alias("kind"), *rest)
+        every = whole(distinct, F.pmod(F.xxhash64("ids"), F.lit(blocks)), 0, none.cast("long").alias("vec_id"), "ids", "vector")
+        again = whole(short.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), F.col("_block"), 1, "vec_id", none.cast("array<long>").alias("ids"), "vector")
+        best = full.union(nearest(every.union(again)))
     out = best.select("query_id", F.posexplode("best").alias("pos", "b"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), "b.vec_id", (-F.col("b.nearness")).alias("score"))
 

@@ -179,3 +179,24 @@ def test_search_of_few(spark, shipped):
     assert sorted((r["query_id"], r["vec_id"]) for r in got) == [(0, 3), (0, 20), (20, 0), (20, 3)]
     assert V.search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert V.search(few.limit(1), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_queries_whose_cells_hold_too_few_are_answered_whole(spark, shipped):
+    """Tight clusters fit one probe, which leaves outliers alone in their cells; and few rows are all candidates."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(4, 24)))
+    clusters = unit(np.vstack([np.repeat(centres, 100, axis=0) + 0.001 * rng.normal(size=(400, 24)), rng.normal(size=(6, 24))]))
+    for x, is_query in ((clusters, F.col("vec_id") >= 395), (unit(rng.normal(size=(20, 24))), F.lit(True))):
+        rows = [(i, v) for i, v in enumerate(x.tolist())]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        by = {}
+        for r in V.search(df, is_query).orderBy("query_id", "rank").collect():
+            by.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert sorted(by) == (list(range(395, 406)) if len(x) > 20 else list(range(20)))
+        for q, found in by.items():
+            s = x @ x[q]
+            s[q] = -np.inf
+            want = sorted((i for i in range(len(x)) if i != q), key=lambda i: -s[i])[:20]
+            assert len(set(found)) == len(want) and q not in found
+            assert len(x) > 20 or found == want
