@@ -5,9 +5,9 @@ Items and texts are compared as lower-case runs of letters and digits. A window
 are looked at are those that hold one of an item's ``d + 1`` disjoint pieces unchanged, which every match must (no match
 is lost by that). Each such item-sized window, at every shift up to d, is mapped by CGK random walks, which turn edit
 distance into Hamming distance; bit sampling (``BITS`` coordinates of a walk, ``WALKS`` repetitions) makes candidates of
-windows whose sampled coordinates all equal the item's. The number of repetitions is chosen so that a window at the
-allowed distance is missed with a probability under a hundredth. An exact edit distance between the item and the
-candidate's surroundings decides.
+windows whose sampled coordinates all equal the item's. For items of up to ``FILTERED`` words that misses a match at the
+allowed distance with a probability under a hundredth; for longer ones it does not, so all their windows are candidates.
+An exact edit distance between the item and the candidate's surroundings decides.
 
 The scan keeps rows where they are: one pass, no shuffle. Items are broadcast in slices of at most ``SLICE`` items; a
 larger benchmark takes several passes.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from codestrata.llm.common import table
 from codestrata.llm.words import PLAIN, WordHashes, grams, mix64
 
-RATE, MIN_WORDS, PIECE, WALKS, BITS, SLICE = 0.2, 8, 4, 24, 2, 50_000
+RATE, MIN_WORDS, PIECE, WALKS, BITS, FILTERED, SLICE = 0.2, 8, 4, 24, 2, 60, 50_000
 MATCH = pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("item_words", pa.int32()), ("start_word", pa.int32()), ("end_word", pa.int32())])
 MATCH_SQL = "array<struct<item_id:long,distance:int,item_words:int,start_word:int,end_word:int>>"
 PAD = np.uint64(0)
@@ -48,7 +48,7 @@ class Items:
     piece_hash: dict[int, np.ndarray]
     piece_of: dict[int, np.ndarray]
     filters: dict[int, np.ndarray]
-    samples: list[np.ndarray]
+    samples: list[np.ndarray | None]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], rate: float) -> Items:
@@ -73,7 +73,7 @@ class Items:
             piece_of[q] = np.array([x[1:] for x in found], dtype=np.int64)
             filters[q] = np.zeros(1 << 22, dtype=bool)
             filters[q][(piece_hash[q] & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        samples = [sampled(h[None, :], np.array([len(h)]), len(h))[0] for h in words]
+        samples = [sampled(h[None, :], np.array([len(h)]), len(h))[0] if len(h) <= FILTERED else None for h in words]
         return cls(ids, words, limits, piece_hash, piece_of, filters, samples)
 
 
@@ -136,12 +136,13 @@ def matches(h: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]
         s = np.unique(np.clip(np.array(sorted(starts)), 0, max(0, len(h) - size)))
         for lo in range(0, len(s), 2048):
             part = s[lo : lo + 2048]
-            lengths = np.minimum(size, len(h) - part)
-            windows = h[np.minimum(part[:, None] + np.arange(size)[None, :], len(h) - 1)]
-            hit = (sampled(windows, lengths, size) == items.samples[i][None]).all(axis=2).any(axis=1)
+            if items.samples[i] is not None:
+                lengths = np.minimum(size, len(h) - part)
+                windows = h[np.minimum(part[:, None] + np.arange(size)[None, :], len(h) - 1)]
+                part = part[(sampled(windows, lengths, size) == items.samples[i][None]).all(axis=2).any(axis=1)]
             done = -1
-            for w in part[hit]:
-                if w + size + d <= done:  # inside a part that has been aligned
+            for w in part:
+                if min(len(h), w + size + d) <= done:  # inside a part that has been aligned
                     continue
                 a, done = max(0, int(w) - d), min(len(h), int(w) + size + 2 * d + 1)
                 cost, start, end = best_alignment(item, h[a:done])

@@ -200,3 +200,16 @@ def test_queries_whose_cells_hold_too_few_are_answered_whole(spark, shipped):
             want = sorted((i for i in range(len(x)) if i != q), key=lambda i: -s[i])[:20]
             assert len(set(found)) == len(want) and q not in found
             assert len(x) > 20 or found == want
+
+
+def test_long_items_are_found_at_the_allowed_distance():
+    rng, hashes = random.Random(13), WordHashes()
+    word = lambda: "w%d" % rng.randrange(10**9)
+    for size in (60, 61, 250, 500):
+        for k in range(80 if size == 250 else 20):
+            item = [word() for _ in range(size)]
+            d = D.allowed(size)
+            middle = edits(rng, item, d) if k % 2 else [word() if x in where else w for where in [set(rng.sample(range(size), d))] for x, w in enumerate(item)]
+            text = [word() for _ in range(30)] + middle + [word() for _ in range(30)]
+            found = D.matches(hashes.of(text), D.Items.of([(k, " ".join(item))], D.RATE))
+            assert [m[0] for m in found] == [k] and found[0][1] <= d
