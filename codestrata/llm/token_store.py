@@ -7,7 +7,7 @@ it by key. A document's recipe is its list of keys.
 
 Layout of a store: ``rows`` (Parquet parts in ascending doc_id order; doc_id, part, page, offset, n_tokens, keys, lengths,
 owned, payload, leaf) and ``manifest`` (a Merkle tree in three levels: a leaf hashes a recipe, a page hashes up to PAGE
-leaves, a part its pages, the root all parts). Ids are little-endian, 2 bytes each where the vocabulary allows, else 4.
+leaves, a part its pages, the root all parts) and ``root``. Ids are little-endian, 2 bytes each where the vocabulary allows, else 4.
 Reading fetches the chunks that other documents own, joins them in recipe order, checks every chunk's key and leaf
 against what it rebuilt, and every page against the manifest.
 
@@ -321,9 +321,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1, **columns: s
     placed.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows")
     delete(spark, staged_path)
     pages = spark.read.schema(ROW).parquet(f"{path}/rows")
-    page_hash = F.unhex(F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "leaf"))), lambda x: F.hex(x["leaf"])), "")), 256))
-    tree = pages.groupBy("part", "page").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), page_hash.alias("hash"))
+    tree = pages.groupBy("part", "page").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), _page_hash().alias("hash"))
     tree.write.mode("overwrite").parquet(f"{path}/manifest")
+    spark.range(1).select(F.lit(root(spark, path)).alias("root")).write.mode("overwrite").parquet(f"{path}/root")
+
+
+def _page_hash():
+    return F.unhex(F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "leaf"))), lambda x: F.hex(x["leaf"])), "")), 256))
 
 
 def root(spark: SparkSession, path: str) -> str:
@@ -333,6 +337,17 @@ def root(spark: SparkSession, path: str) -> str:
     return parts.agg(F.hex(joined("part")).alias("r")).first()["r"].lower()
 
 
+def check(spark: SparkSession, path: str) -> None:
+    """Raise unless the stored leaves hash to the manifest's pages, with their counts, and these to the stored root."""
+    if spark.read.parquet(f"{path}/root").first()["root"] != root(spark, path):
+        raise ValueError("the manifest does not hash to the stored root")
+    again = spark.read.schema(ROW).parquet(f"{path}/rows").groupBy("part", "page").agg(F.count("*").alias("_n"), F.sum("n_tokens").alias("_t"), _page_hash().alias("_again"))
+    same = F.col("hash").eqNullSafe(F.col("_again")) & F.col("n_docs").eqNullSafe(F.col("_n")) & F.col("n_tokens").eqNullSafe(F.col("_t"))
+    bad = spark.read.parquet(f"{path}/manifest").join(again, ["part", "page"], "full").filter(~same).first()
+    if bad:
+        raise ValueError(f"part {bad['part']}, page {bad['page']}: not as in the manifest")
+
+
 READ = "doc_id long, part int, page long, offset long, n_tokens long, ids binary, leaf binary"
 
 
@@ -340,7 +355,9 @@ def _rebuild(batches):
     """Ids of each document from its own chunks and those fetched, in recipe order; every key is checked."""
     for b in batches:
         out = []
-        for doc_id, part, page, offset, n, width, keys, lengths, owned, payload, fetched in zip(*(b.column(c).to_pylist() for c in ("doc_id", "part", "page", "offset", "n_tokens", "width", "keys", "lengths", "owned", "payload", "fetched")), strict=True):
+        for doc_id, part, page, offset, n, width, keys, lengths, owned, payload, leaf, fetched in zip(*(b.column(c).to_pylist() for c in ("doc_id", "part", "page", "offset", "n_tokens", "width", "keys", "lengths", "owned", "payload", "leaf", "fetched")), strict=True):
+            if leaf_of(keys) != leaf:
+                raise ValueError(f"document {doc_id}: the recipe is damaged")
             got, at, pieces = {x["key"]: x["payload"] for x in fetched or ()}, 0, []
             for k, size, mine in zip(keys, lengths, owned, strict=True):
                 if mine:
@@ -352,7 +369,7 @@ def _rebuild(batches):
             ids = b"".join(pieces)
             if len(ids) != n * width:
                 raise ValueError(f"document {doc_id}: {len(ids) // width} ids, {n} expected")
-            out.append((doc_id, part, page, offset, n, np.frombuffer(ids, dtype=f"<u{width}").astype("<u4").tobytes(), leaf_of(keys)))
+            out.append((doc_id, part, page, offset, n, np.frombuffer(ids, dtype=f"<u{width}").astype("<u4").tobytes(), leaf))
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in READ.split(", ")])
 
@@ -367,7 +384,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     need = part.select("part", "offset", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("keys", "owned"), lambda x: ~x["owned"]), lambda x: x["keys"]))).alias("key"))
     have = rows.filter(F.exists(F.arrays_zip("owned", "shared"), lambda x: x["owned"] & x["shared"])).mapInArrow(_shared_chunks, "key binary, payload binary")
     fetched = need.join(have, "key").groupBy("part", "offset").agg(F.collect_list(F.struct("key", "payload")).alias("fetched"))
-    return whole.unionByName(part.join(fetched, ["part", "offset"]).select(*whole.columns)).select("doc_id", "part", "page", "offset", "n_tokens", "width", "keys", "lengths", "owned", "payload", "fetched").mapInArrow(_rebuild, READ)
+    return whole.unionByName(part.join(fetched, ["part", "offset"]).select(*whole.columns)).select("doc_id", "part", "page", "offset", "n_tokens", "width", "keys", "lengths", "owned", "payload", "leaf", "fetched").mapInArrow(_rebuild, READ)
 
 
 def _shared_chunks(batches):
@@ -385,7 +402,8 @@ def _shared_chunks(batches):
 
 
 def verified(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids before it in the whole store), n_tokens, ids, with each page's hash checked against the manifest."""
+    """doc_id, start (ids before it in the whole store), n_tokens, ids, of a store that has passed ``check``; each document's leaf is checked as it is rebuilt."""
+    check(spark, path)
     manifest = spark.read.parquet(f"{path}/manifest")
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("_t"))  # a row for each part file
     starts = parts.select("part", (F.sum("_t").over(W.orderBy("part")) - F.col("_t")).alias("_start"))
@@ -394,8 +412,7 @@ def verified(spark: SparkSession, path: str) -> DataFrame:
 
 def damaged_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages whose rebuilt leaves do not hash to the manifest's value: none in a sound store."""
-    page_hash = F.unhex(F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "leaf"))), lambda x: F.hex(x["leaf"])), "")), 256))
-    again = read(spark, path).groupBy("part", "page").agg(page_hash.alias("_again"), F.count("*").alias("_n"))
+    again = read(spark, path).groupBy("part", "page").agg(_page_hash().alias("_again"), F.count("*").alias("_n"))
     manifest = spark.read.parquet(f"{path}/manifest")
     return manifest.join(again, ["part", "page"], "full").filter(~F.col("hash").eqNullSafe(F.col("_again")) | ~F.col("n_docs").eqNullSafe(F.col("_n")))
 

@@ -90,3 +90,31 @@ def test_empty_table(docs_of, spark, tmp_path):
     T.write(docs_of([]), path, PATH)
     assert T.verified(spark, path).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_an_altered_recipe_and_a_missing_part_are_seen(docs_of, spark, tmp_path):
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "store")
+    T.write(docs_of([" ".join(str(i) for i in range(900)), "b", "c"]), path, PATH)
+    assert T.verified(spark, path).count() == 3
+    rows = spark.read.parquet(f"{path}/rows")
+    moved = str(tmp_path / "moved")
+    shutil.copytree(path, moved)
+    keys = F.expr("transform(sequence(1, size(keys)), i -> element_at(keys, -i))")
+    lists = {"keys": keys, "lengths": F.reverse("lengths"), "owned": F.transform("owned", lambda x: F.lit(True)), "payload": F.col("payload")}
+    order = rows.filter("size(keys) > 1").first()
+    ends = [sum(order["lengths"][:i]) * order["width"] for i in range(len(order["lengths"]) + 1)]
+    turned = b"".join(bytes(order["payload"])[a:z] for a, z in reversed(list(zip(ends, ends[1:]))))
+    long = F.size("keys") > 1
+    lists["payload"] = F.lit(turned)
+    rows.select(*[F.when(long, lists[c]).otherwise(F.col(c)).alias(c) if c in lists else c for c in rows.columns]).write.mode("overwrite").parquet(f"{moved}/rows")
+    with pytest.raises(Exception, match="recipe is damaged"):
+        T.verified(spark, moved).collect()
+    lost = str(tmp_path / "lost")
+    shutil.copytree(path, lost)
+    rows.filter("doc_id <> 1").write.mode("overwrite").parquet(f"{lost}/rows")
+    with pytest.raises(ValueError, match="not as in the manifest"):
+        T.verified(spark, lost)
