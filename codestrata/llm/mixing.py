@@ -40,10 +40,10 @@ class Mix:
     slots: int
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size: the number of words."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """doc_id, source, size (the number of words) and, where ``row_col`` names it, row."""
     return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+        *([F.col(row_col).alias("row")] if row_col else []), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     )
 
 
@@ -106,7 +106,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float =
         .withColumn("cell_start", F.sum("cell_size").over(W.partitionBy("source_id").orderBy("bucket")) - F.col("cell_size"))
         .select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "source_id", "source_size", "target", "cell_start")
     )
-    in_cell = W.partitionBy("source_id", "bucket").orderBy("key", "doc_id", "size")
+    row = ["row"] if "row" in base.columns else []
+    in_cell = W.partitionBy("source_id", "bucket").orderBy("key", "doc_id", "size", *row)
     placed = (
         base.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
         .withColumn("place", F.row_number().over(in_cell))
@@ -121,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float =
         .withColumn("to_word", F.least((F.col("rank") + 1) * block - F.col("at"), F.col("size")))
     )
     joined = parts.join(schedule, ["source_id", "rank"], "left")
-    own = ["source_id", "bucket", "place", "doc_id", "source", "size", "source_size", "target"]
+    own = ["source_id", "bucket", "place", "doc_id", "source", "size", "source_size", "target", *row]
     documents = joined.groupBy(*own).agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))), F.lit(0)).cast("long").alias("taken"))
     pieces = joined.filter("slot is not null").select("slot", "rank", "epoch", "source", "doc_id", "place", "bucket", "from_word", "to_word")
     return Mix(sources, schedule, pieces, documents, block, slots)
@@ -130,10 +131,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float =
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The columns of ``docs`` for each document that the mix takes, once for each started pass (1 or 2 copies).
 
-    Rows with a null id cannot be told apart and are left out; rows of a repeated id are taken alike."""
-    m = mix(docs.select("doc_id", "text", "source"), **options)
-    copies = m.documents.filter("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    Rows are told apart by id, source and text, null ids too; rows equal in all three are taken alike."""
+    named = lambda c: F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+    row = F.unhex(F.md5(F.concat_ws(":", F.md5(named("doc_id").cast("binary")), F.md5(named("source").cast("binary")), named("text")).cast("binary")))
+    keyed = docs.withColumn("_row", row)
+    m = mix(keyed.select("doc_id", "text", "source", "_row"), row_col="_row", **options)
+    copies = m.documents.filter("taken > 0").groupBy(F.col("row").alias("_row")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
+    return keyed.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

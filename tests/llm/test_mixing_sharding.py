@@ -100,3 +100,15 @@ def test_slot_map_versions():
     assert grown.version == 2 and abs(np.bincount(grown.shards, weights=sizes)[4] - sizes.sum() / 5) < 50
     # A new shard takes about its share; few slots move otherwise.
     assert (grown.shards != now.shards).sum() < 256 * 0.3
+
+
+def test_mixed_rows_keep_null_and_repeated_ids_apart(docs_of):
+    texts = [f"a b c d{i}" for i in range(40)]
+    docs = docs_of(texts, ids=[None] * 20 + [7] * 20)
+    taken = sorted((r["doc_id"] is None, -(-r["taken"] // r["size"])) for r in mixing.mix(docs.select("doc_id", "text", "source")).documents.collect())
+    got = {}
+    for r in mixing.mixed_rows(docs).collect():
+        got[r["text"]] = got.get(r["text"], 0) + 1
+        assert (r["doc_id"] is None) == (texts.index(r["text"]) < 20)
+    assert sorted((texts.index(t) < 20, n) for t, n in got.items()) == [x for x in taken if x[1]]
+    assert sum(texts.index(t) < 20 for t in got) > 0
