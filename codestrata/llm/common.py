@@ -19,15 +19,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 
 _shipped: set[str] = set()
+_own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests in one JVM)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="codestrata-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own_folder:
+            _own_folder[app] = tempfile.mkdtemp(prefix="codestrata-")
+            atexit.register(shutil.rmtree, _own_folder[app], ignore_errors=True)
+        folder = _own_folder[app]
     return folder.rstrip("/")
 
 
@@ -53,6 +58,28 @@ def store(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder of tables that a computation needs on its way; ``clear`` deletes them when their readers are done."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.folder, self.tables = spark, new_folder(spark, tag), 0
+
+    def store(self, df: DataFrame, tag: str) -> DataFrame:
+        self.tables += 1
+        return store(df, tag, f"{self.folder}/{self.tables}-{tag}")
+
+    def clear(self) -> None:
+        delete(self.spark, self.folder)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have: ``name`` with as many underscores behind it as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, so that their Python workers can import it, and bound Arrow batches.
 

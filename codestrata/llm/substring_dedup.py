@@ -4,23 +4,31 @@ A string of ``length`` bytes is repeated if it starts at another place too. Ever
 one anchor: the place of the least hash among its 32-byte grams. Equal windows have equal anchors, so the places that
 share an anchor's hash are the only ones that can repeat each other, and neighbouring windows of one anchor form one
 context (on average 285 bytes). Contexts that occur twice or more, byte for byte, are repeated throughout: they are
-grouped by hash before any text moves. What is left are contexts that share an anchor but differ, at the edges of
-repeats. Those, and one of each repeated context that shares their anchor, go to suffix arrays: suffixes are ranked by
-prefix doubling, adjacent common-prefix lengths give an interval tree by a stack scan, and intervals of at least ``length``
-whose occurrences differ on their left (or begin a context) are maximal repeat groups, reported with all
-occurrences. Their union covers every repeated window.
+grouped by 128 bits of hash before any text moves. What is left are contexts that share an anchor but differ, at the
+edges of repeats. Those, and one of each repeated context that shares their anchor, go to suffix arrays: suffixes are
+ranked by prefix doubling, adjacent common-prefix lengths give an interval tree by a stack scan, and intervals of at least
+``length`` whose occurrences differ on their left (or begin a context) are maximal repeat groups. A group is a depth and
+a range of the suffix array, so that groups and places together are linear in the text; ``occurrences`` writes a group out.
+For the spans, each place needs the deepest group that holds it only, and the places of a context make one span, as
+they begin less than ``length`` apart. The union of spans covers every repeated window.
 
 An anchor with more than ``MOST`` different contexts is split exactly: its windows are dealt to four ranges, each keyed
 by the hash of the bytes that all windows of the range contain, and equal pieces are grouped again, down to
 single windows. No group is capped, gathered on the driver or held whole by one task.
 
-Defined cases: a null text is the empty one; texts under ``length`` bytes keep all; rows are told apart by id and text,
-so that repeated rows repeat each other like copies; an empty table gives an empty result; other columns are not read.
+Contexts that very many places hold are dealt over several tasks: those with more than one in ``HOT`` of all places, of
+which there are fewer than ``HOT`` by counting, so that the list of them can be broadcast.
+
+Defined cases: a null text is the empty one; texts under ``length`` bytes keep all; a very long text is cut to contexts
+like any other (its grams and their hashes are held by one task: about 40 bytes a byte of text); rows are told apart by
+id and text, so that repeated rows repeat each other like copies; ties between equal gram hashes go to the leftmost; an
+empty table gives an empty result; other columns are not read. ``length`` has to be ``GRAM`` + 8 at least.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +36,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import partitions, store, table, utf8
+from codestrata.llm.common import Scratch, partitions, store, table, utf8
 from codestrata.llm.words import mix64
 
-LENGTH, GRAM, MOST, BATCH = 200, 32, 1024, 1 << 18
+LENGTH, GRAM, MOST, BATCH, HOT = 200, 32, 1024, 1 << 18, 1 << 14
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -69,16 +77,30 @@ def contexts(data: bytes, length: int = LENGTH):
     return h, c, first, last - first + 1
 
 
-def repeat_groups(texts: list[bytes], windows: list[int], length: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats among the texts: (size, [(text, place), ...]); only places under ``windows`` of a text count.
+@dataclass
+class Repeats:
+    """Maximal repeats: ``groups`` has rows (depth, from, to), the last included, over the suffix array whose places are
+    ``text`` and ``place``; ``widest`` is the depth of the deepest group that holds each place, 0 for none."""
+
+    text: np.ndarray
+    place: np.ndarray
+    groups: list[tuple[int, int, int]]
+    widest: np.ndarray
+
+    def occurrences(self, group: tuple[int, int, int]) -> list[tuple[int, int]]:
+        """(text, place) of every occurrence of a group."""
+        return list(zip(self.text[group[1] : group[2] + 1].tolist(), self.place[group[1] : group[2] + 1].tolist(), strict=True))
+
+
+def repeat_groups(texts: list[bytes], windows: list[int], length: int = LENGTH) -> Repeats:
+    """Maximal repeats of at least ``length`` among the texts; only places under ``windows`` of a text count.
 
-    Texts hold up to 2 * length - GRAM bytes each, for the length of 200.
     A text ends in a mark that sorts before every byte, so that a suffix cut short by its text's end comes first among
     those that begin alike and hides no longer common prefix of theirs."""
     sizes = np.array([len(t) for t in texts])
     begin = np.cumsum(sizes + 1) - sizes - 1
     data = b"\0".join(texts) + bytes(1)
-    total = len(data)
+    total, most = len(data), int(sizes.max())
     symbols = np.zeros(total + 8, dtype=np.int64)
     symbols[:total] = np.frombuffer(data, dtype=np.uint8)
     symbols[:total] += 1
@@ -88,21 +110,23 @@ def repeat_groups(texts: list[bytes], windows: list[int], length: int = LENGTH)
     for k in range(7):
         key = key * 257 + symbols[k : k + total]
     r = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    ranks = {7: r}
-    for span in (7, 14, 28, 56, 112):
+    ranks, span = {7: r}, 7
+    while 2 * span <= most:
         after = np.concatenate([r[span:], np.full(min(span, total), -1)])[:total] + 1
         r = np.unique(r * (total + 2) + after, return_inverse=True)[1].astype(np.int64)
-        ranks[2 * span] = r
+        span *= 2
+        ranks[span] = r
     text_of = np.repeat(np.arange(len(texts)), windows)
     starts = begin[text_of] + np.arange(len(text_of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    # The order of 224 symbols, then of the 224 from place 144 on: of 368 in all, the most that a context holds.
-    later = np.where(starts + 144 < total, r[np.minimum(starts + 144, total - 1)] + 1, 0)
+    # The order of `span` symbols, then of the `span` that end where the longest text would: of all that any text holds.
+    rest = max(0, most - span)
+    later = np.where(starts + rest < total, r[np.minimum(starts + rest, total - 1)] + 1, 0)
     order = np.argsort(r[starts] * (total + 2) + later, kind="stable")
     sa, text_of = starts[order], text_of[order]
     limit = begin[text_of] + sizes[text_of] - sa
     # Common prefixes of neighbours in the array, by descending spans, then single symbols.
     a, b, lcp = sa[:-1].copy(), sa[1:].copy(), np.zeros(max(0, len(sa) - 1), dtype=np.int64)
-    for span in (224, 112, 56, 28, 14, 7):
+    for span in sorted(ranks, reverse=True):
         inside = (a < total) & (b < total)
         same = np.zeros(len(a), dtype=bool)
         same[inside] = ranks[span][a[inside]] == ranks[span][b[inside]]
@@ -112,26 +136,28 @@ def repeat_groups(texts: list[bytes], windows: list[int], length: int = LENGTH)
         same &= lcp % 7 < 6
         a, b, lcp = a + same, b + same, lcp + same
     lcp = np.minimum(lcp, np.minimum(limit[:-1], limit[1:]))
+    found = Repeats(text_of, sa - begin[text_of], [], np.zeros(len(sa), dtype=np.int64))
     deep = lcp >= length
     if not deep.any():
-        return []
+        return found
     left = np.where(sa > begin[text_of], symbols[np.maximum(sa - 1, 0)], -1 - np.arange(len(sa)))  # a context's first place differs from all
+    changes = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])]).tolist()  # a range is diverse on its left if its ends differ in this
     edges = np.flatnonzero(np.diff(np.concatenate([[0], deep.astype(np.int8), [0]])))
-    out = []
     for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # suffixes lo..hi share `length` bytes
-        own = left[lo : hi + 1]
-        if (own == own[0]).all():
+        if changes[lo] == changes[hi]:
             continue  # one byte to the left the same places share more
         stack: list[tuple[int, int]] = []
-        for i, depth in enumerate([*lcp[lo:hi].tolist(), 0]):
+        for i, depth in enumerate([*lcp[lo:hi].tolist(), 0], lo):
             from_ = i
             while stack and stack[-1][0] > depth:
                 d, from_ = stack.pop()
-                if d >= length and not (own[from_ : i + 1] == own[from_]).all():
-                    out.append((d, [(int(text_of[lo + k]), int(sa[lo + k] - begin[text_of[lo + k]])) for k in range(from_, i + 1)]))
+                if d >= length and changes[from_] != changes[i]:
+                    found.groups.append((d, from_, i))
             if not stack or stack[-1][0] < depth:
                 stack.append((depth, from_))
-    return out
+    for d, from_, to in reversed(found.groups):  # outer groups come after inner ones
+        found.widest[from_ : to + 1] = d
+    return found
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,11 +240,19 @@ def _arrays(length: int):
         """Suffix arrays over whole groups of an anchor, several groups to an array."""
 
         def solve(groups):
+            """A span for each context found once that shares something: its places begin less than `length` apart."""
             out = []
             rows = [r for g in groups for r in g]
             if len(rows) > 1:
-                for size, places in repeat_groups([r["bytes"] for r in rows], [r["windows"] for r in rows], length):
-                    out += [(rows[t]["doc_id"], rows[t]["text_key"], rows[t]["first"] + at, rows[t]["first"] + at + size) for t, at in places if rows[t]["alone"]]
+                got = repeat_groups([r["bytes"] for r in rows], [r["windows"] for r in rows], length)
+                own = np.flatnonzero(got.widest)
+                lo, hi = np.full(len(rows), 1 << 62), np.zeros(len(rows), dtype=np.int64)
+                np.minimum.at(lo, got.text[own], got.place[own])
+                np.maximum.at(hi, got.text[own], got.place[own] + got.widest[own])
+                for t in np.flatnonzero(hi).tolist():
+                    r = rows[t]
+                    if r["alone"]:
+                        out.append((r["doc_id"], r["text_key"], r["first"] + int(lo[t]), r["first"] + int(hi[t])))
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "text_key", "lo", "hi"])
 
         groups, now, size = [], None, 0
@@ -263,7 +297,7 @@ def _split(length: int):
                         continue
                     core = r["bytes"][gram - g : gram - top + length]
                     piece = r["bytes"][a : z + length]
-                    key = np.uint64(xxhash.xxh3_64_intdigest(core, seed=g * 1000 + top)).astype(np.int64)
+                    key = np.uint64(xxhash.xxh3_64_intdigest(core, seed=g << 20 | top)).astype(np.int64)
                     c = np.uint64(xxhash.xxh3_64_intdigest(piece)).astype(np.int64)
                     out.append((r["doc_id"], r["text_key"], int(key), int(c), r["first"] + a, z - a + 1, piece, gram - a, g, top - g + 1, r["n"]))
             types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()] + [pa.int32()] * 3 + [pa.int64()]
@@ -275,16 +309,27 @@ def _split(length: int):
 _GRID = "gram int, grid int, width int"
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text_key, lo, hi: byte ranges that repeats cover, for ``keyed`` documents; ranges may overlap."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Scratch]:
+    """doc_id, text_key, lo, hi: byte ranges that repeats cover, for ``keyed`` documents; ranges may overlap. The
+    tables that they are made from can be cleared once they have been read."""
+    if length < GRAM + 8:
+        raise ValueError(f"length {length} is under {GRAM + 8}")
     spark = docs.sparkSession
     n = partitions(spark)
+    temporary = Scratch(spark, "substrings")
+    store = temporary.store
     found = store(docs.mapInArrow(_scan(length), "doc_id long, text_key long, h long, c long, first int, windows short"), "anchors")
     cells = found.groupBy("h", "c").agg(F.count("*").alias("n"))
     per_anchor = cells.groupBy("h").agg(F.count("*").alias("different"), F.sum("n").alias("places"))
     cells = store(cells.join(per_anchor.filter("places > 1"), "h"), "cells")
-    # Contexts that occur twice: every window of theirs is repeated.
-    whole = found.join(cells.filter("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "text_key", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + F.lit(length - 1)).cast("int").alias("hi"))
+    # Contexts that occur twice: every window of theirs is repeated. Fewer than HOT have more than a HOT-th of all places:
+    # their places are dealt over as many tasks as they are such shares.
+    share = max(1, (cells.agg(F.sum("n").alias("n")).first()["n"] or 0) // HOT)
+    shares = F.when(F.col("n") > share, F.ceil(F.col("n") / share)).otherwise(1).cast("long")
+    hot = cells.filter((F.col("n") > 1) & (F.col("n") > share)).select("h", "c", shares.alias("shares"))
+    dealt = found.join(F.broadcast(hot), ["h", "c"], "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("doc_id", "text_key", "first"), "shares"), F.lit(0).cast("long"))).drop("shares")
+    twice = dealt.join(cells.filter("n > 1").select("h", "c", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("deal")), ["h", "c", "deal"])
+    whole = twice.select("doc_id", "text_key", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + F.lit(length - 1)).cast("int").alias("hi"))
     # The rest: anchors with different contexts, one of them at least found once.
     mixed = cells.filter("different > 1")
     sieve = spark.sparkContext.broadcast(_sieve(mixed, "h"))
@@ -301,7 +346,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if large.head(1):
         columns = [x.split()[0] for x in f"{_CONTEXT}, {_GRID}, n long".split(", ")]
         level = large.drop("different")
-        for _ in range(6):
+        while True:  # a quarter of the windows at each level: at most log4(length) levels
             pieces = store(level.mapInArrow(_split(length), f"{_CONTEXT}, {_GRID}, n long"), "pieces")
             cells2 = pieces.groupBy("h", "c").agg(F.sum("n").alias("total"))
             per = cells2.groupBy("h").agg(F.count("*").alias("different"), F.sum("total").alias("places")).filter("places > 1")
@@ -321,7 +366,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
-    return out
+    return out, temporary
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -362,7 +407,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
     """A row for each document: sizes, the digest of what is left and, with ``keep_bytes``, what is left."""
     spark = docs.sparkSession
     base = keyed(docs, **columns)
-    spans = store(repeated_spans(base, length).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    found, temporary = repeated_spans(base, length)
+    spans = store(found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    temporary.clear()
     sieve = spark.sparkContext.broadcast(_sieve(spans, "text_key"))
 
     def passing(batches):
