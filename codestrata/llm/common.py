@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,44 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A key is hot if it has more than one in HOT of all rows: fewer than HOT keys are.
+HOT = 1 << 14
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``keys``, which has a row for each key and in column ``n`` the number of its rows.
+
+    Rows of a hot key are dealt by a hash of ``by`` over as many tasks as they are HOT-ths of all rows; the list of hot
+    keys, fewer than HOT by counting, is broadcast. ``keys`` is read three times: it should be a written table."""
+    share = max(1, (keys.agg(F.sum(n)).first()[0] or 0) // HOT)
+    shares = F.when(F.col(n) > share, F.ceil(F.col(n) / share)).otherwise(1).cast("long")
+    hot = keys.filter(F.col(n) > max(share, 16)).select(*on, shares.alias("_shares"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_deal", F.coalesce(F.pmod(F.xxhash64(*by), "_shares"), F.lit(0).cast("long"))).drop("_shares")
+    each = F.when(F.col(n) > max(share, 16), F.sequence(F.lit(0).cast("long"), shares - 1)).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(keys.withColumn("_deal", F.explode(each)), [*on, "_deal"]).drop("_deal")
+
+
+def key_sieve(rows: DataFrame, key: Column, most: int = 28) -> np.ndarray:
+    """A bitmap with the low bits of every key: a first selection, an exact join follows.
+
+    It has 32 bits a key, 2^16 at least and 2^``most`` at most (32 MB); beyond that it lets more through."""
+    bits = min(most, max(16, (32 * rows.count()).bit_length()))
+    slot = key.bitwiseAND(F.lit((1 << bits) - 1))
+    got = rows.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).toLocalIterator()
+    out = np.zeros((1 << bits) // 8 + 4096, dtype=np.uint8)
+    for r in got:
+        out[r["b"] * 4096 : r["b"] * 4096 + 4096] |= np.frombuffer(r["m"], dtype=np.uint8)
+    return out
+
+
+def passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the sieve. Bucket 1 holds the values 1 to 32768, bucket 0 what is not above 0."""
+    slot = keys.view(np.int64) & np.int64((len(sieve) - 4096) * 8 - 1)
+    bucket = np.where(slot > 0, 1 + (slot - 1) // 32768, 0)
+    bit = np.where(slot > 0, (slot - 1) % 32768, (-slot) % 32768)
+    return (sieve[bucket * 4096 + (bit >> 3)] >> (bit & 7)) & 1 == 1
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, so that their Python workers can import it, and bound Arrow batches.
 

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import store
+from codestrata.llm.common import HOT, Scratch, store
 
 
-SALTS = 8
+def _star(edges: DataFrame, large: bool, share: int) -> DataFrame:
+    """Large star: neighbours above a node are tied to its least neighbour; small star: the node and those below it.
 
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: neighbours above a node are tied to its least neighbour; small star: the node and those below it."""
+    A hub, a node with more than ``share`` edges, meets them by a broadcast row: there are at most 2 * HOT hubs."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    # A hub's rows are dealt over SALTS tasks, which its one row of `least` meets in each.
-    salted = both.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    tied = salted.join(least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))), ["u", "_s"])
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+    hubs = F.broadcast(least.filter(F.col("_n") > share).select("u", F.col("m").alias("_m")))
+    met = both.join(hubs, "u", "left")
+    tied = met.filter("_m is null").select("u", "v").join(least.filter(F.col("_n") <= share).select("u", "m"), "u").union(met.filter("_m is not null").select("u", "v", F.col("_m").alias("m")))
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -25,17 +24,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u != v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, component) of each node that has an edge; edges (u, v); a component is named by its least id.
 
     Alternates large-star and small-star steps, each a group-by and a join, until the edges are stars round the least
-    ids; a hub's rows are pre-aggregated and joined, not gathered. Each round is a written table."""
-    now = store(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
+    ids. Each round is a written table. It ends after about the squared logarithm of the nodes; should ``rounds`` not do,
+    it raises and gives no unfinished components."""
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.store(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
     seen = None
     for _ in range(rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen or not mark[0]:
-            break
-        seen = tuple(mark)
-        now = store(_star(_star(now, True), False), "edges")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+            out = store(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct(), "components")
+            scratch.clear()
+            return out
+        seen, share = tuple(mark), max(1024, mark[0] // HOT)
+        now = scratch.store(_star(_star(now, True, share), False, share), "edges")
+    raise RuntimeError(f"the components are not done after {rounds} rounds")

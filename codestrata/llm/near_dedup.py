@@ -3,19 +3,27 @@
 Equal texts are put together first; each different text then has one signature. ProbMinHash lets every shingle (five
 lower-case words) send Poisson arrivals at a rate of its weight to random registers, and stops a shingle as soon as its
 next arrival is later than the latest register; equal registers estimate the probability Jaccard similarity of
-weighted shingle sets. With ``weighting='set'`` every distinct shingle weighs 1 and that is the Jaccard similarity.
+weighted shingle sets. A shingle that a text holds n times weighs 1 + ln n (``weighting='log'``), n (``'count'``) or 1
+(``'set'``). Links are verified by the Jaccard similarity of the sets, so a text that repeats a shingle has a second
+signature with unit weights, lest weights hide a link; where nothing repeats the two are the same.
 
 Bands of ``ROWS`` registers make buckets. A pair of similarity 0.8 shares none of the 32 buckets with a probability of
 6e-5. Within a bucket, full signatures are compared and a spanning forest of pairs estimated at ``ESTIMATE`` (six
 deviations under 0.8) is kept; the components of those forests are families, which hold every link among their members.
-Within a family all similarities are computed exactly from the shingles, by postings, and a spanning forest of the
-pairs at or above the threshold is kept. Its components are the classes. No step writes more edges than it reads rows.
-Buckets and families over ``BLOCK`` members are dealt as a grid of block pairs over many tasks, so that nothing is
-capped and no task holds an unbounded group.
+Within a family similarities are computed exactly from the shingles, by postings, and a spanning forest of the pairs at
+or above the threshold is kept. Its components are the classes. No step writes more edges than it reads rows.
+
+A bucket or family over ``BLOCK`` members is dealt to blocks, each of which also meets about ``LEADERS`` members in
+common: as most are copies of one another, that alone ties most of them together, at a cost in proportion to their number.
+Only members outside the group's largest component are then compared with all others, again block by block, so that no pair
+that could still join two components is left out, nothing is capped and no task holds an unbounded group.
 
 Defined cases: a null text is the empty one; texts of one to four words are one shingle; texts without words are only
-copies of equal texts; a class is named by its least doc_id; rows of a repeated id belong to one document; null ids are
-named by their text's hash; an empty table gives an empty result; other columns are not read.
+copies of equal texts; a very long text is one set of shingles (a task holds it whole, 16 bytes a shingle). Rows are told
+apart by id and text, so that rows of a repeated id belong to the classes of their texts. A class is named by its least
+doc_id; where that is null, or names another class too, by the hash of its text. ``kept`` marks the class's row with the
+least doc_id, then the least text hash (and whole repeats of that row). An empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -25,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import partitions, store, table
+from codestrata.llm.common import Scratch, key_sieve, partitions, passes, spread_join, store, table
 from codestrata.llm.graph import components
 from codestrata.llm.words import STEP, WordHashes, grams, mix64
 
-SHINGLE, BANDS, ROWS, ESTIMATE, BLOCK, BLOCK_SHINGLES = 5, 32, 6, 0.62, 2048, 4_000_000
+SHINGLE, BANDS, ROWS, ESTIMATE, BLOCK, BLOCK_SHINGLES, LEADERS = 5, 32, 6, 0.62, 256, 1_000_000, 16
 REGISTERS = BANDS * ROWS
 
 
@@ -59,8 +67,19 @@ def prob_min_hash(sets: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarr
     return winner.reshape(n, m)
 
 
+def _bands(won: np.ndarray) -> np.ndarray:
+    """A hash of the registers of each band."""
+    key = mix64(won).reshape(len(won), BANDS, ROWS)
+    bands = np.broadcast_to(mix64(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(won), BANDS)).copy()
+    for r in range(ROWS):
+        bands = mix64(bands + STEP) ^ key[:, :, r]
+    return bands.view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, weighting: str) -> DataFrame:
-    """doc_id, text_key (md5), n (distinct shingles), bands (array of long; null without words), sig (a byte a register)."""
+    """doc_id, text_key (md5), n (distinct shingles), bands (array of long; null without words), sig (a byte a register)
+    and, of texts that repeat a shingle, unit (the signature with unit weights, whose bands are among the bands too)."""
+    weight = {"set": lambda c: np.ones(len(c)), "log": lambda c: 1 + np.log(c), "count": lambda c: c}[weighting]
 
     def run(batches):
         hashes = WordHashes()
@@ -70,40 +89,41 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, weighting: str) -> D
                 part = texts[lo : lo + 128]
                 found = [shingles(t, hashes) for t in part]
                 some = [i for i, (s, _) in enumerate(found) if len(s)]
-                weight = {"set": lambda c: np.ones(len(c)), "log": lambda c: 1 + np.log(c), "count": lambda c: c}[weighting]
-                won = prob_min_hash([found[i][0] for i in some], [weight(found[i][1]) for i in some])
-                key = mix64(won).reshape(len(some), BANDS, ROWS)
-                bands = np.broadcast_to(mix64(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(some), BANDS)).copy()
-                for r in range(ROWS):
-                    bands = mix64(bands + STEP) ^ key[:, :, r]
-                bands, sig = bands.view(np.int64), (won & np.uint64(255)).astype(np.uint8)
-                rows, sigs = [None] * len(part), [None] * len(part)
+                again = [i for i in some if weighting != "set" and found[i][1].max() > 1]
+                sets = [found[i][0] for i in some + again]
+                won = prob_min_hash(sets, [weight(found[i][1]) for i in some] + [np.ones(len(found[i][0])) for i in again])
+                bands, sig = _bands(won).tolist(), (won & np.uint64(255)).astype(np.uint8)
+                rows, sigs, units = [None] * len(part), [None] * len(part), [None] * len(part)
                 for j, i in enumerate(some):
-                    rows[i], sigs[i] = bands[j].tolist(), sig[j].tobytes()
+                    rows[i], sigs[i] = bands[j], sig[j].tobytes()
+                for j, i in enumerate(again, len(some)):
+                    rows[i], units[i] = list(set(rows[i] + bands[j])), sig[j].tobytes()
                 ids, md5 = b.column("doc_id").slice(lo, len(part)), b.column("text_key").slice(lo, len(part))
-                yield pa.RecordBatch.from_arrays([ids, md5, pa.array([len(s) for s, _ in found], pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "n", "bands", "sig"])
+                columns = [ids, md5, pa.array([len(s) for s, _ in found], pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(units, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n", "bands", "sig", "unit"])
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"), text.alias("_text"))
-    return df.mapInArrow(run, "doc_id long, text_key binary, n long, bands array<long>, sig binary")
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), _text(text_col))
+    return df.mapInArrow(run, "doc_id long, text_key binary, n long, bands array<long>, sig binary, unit binary")
 
 
-def _blocks(members: DataFrame, n: str, most: str | None = None) -> DataFrame:
-    """Adds block (g1, g2): one block for a small group; for a large one a grid in which each pair of members meets."""
-    g = F.ceil(F.col(n) / BLOCK) if most is None else F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(most) / BLOCK_SHINGLES))
-    own = F.pmod(F.xxhash64("id"), F.col("_g"))
-    return (
-        members.withColumn("_g", g.cast("long"))
-        .withColumn("_own", own)
-        .withColumn("_x", F.explode(F.when(F.col("_g") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1))))
-        .withColumn("block", F.xxhash64("group", F.least("_own", "_x"), F.greatest("_own", "_x")))
-        .drop("_g", "_own", "_x", n, *([most] if most else []))
-    )
+def _text(text_col: str):
+    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
+
+
+def text_key(text_col: str):
+    """What tells texts apart: the md5 of the text, null as the empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
 
 
 def _groups(batches, columns: list[str]):
-    """Rows of a partition sorted by (group, block), as lists of columns for each group and block."""
+    """Rows of a partition sorted by (group, block, id), as lists of columns for each group and block, an id once."""
     rest = None
+
+    def part(lo: int, hi: int):
+        ids = rest.column("id").to_numpy()[lo:hi]
+        own = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        return [rest.column(c).slice(lo, hi - lo).take(pa.array(own)) for c in columns] if len(own) > 1 else None
+
     for b in batches:
         t = pa.Table.from_batches([b])
         rest = pa.concat_tables([rest, t]) if rest is not None and len(rest) else t
@@ -111,21 +131,22 @@ def _groups(batches, columns: list[str]):
         cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         if not len(cut):
             continue
-        # Groups of one row, the most by far where blocks are sparse, need no work.
         ends = np.concatenate([[0], cut])
-        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-            if hi - lo > 1:
-                yield [rest.column(c).slice(lo, hi - lo) for c in columns]
+        # Groups of one row, the most by far where blocks are sparse, need no work.
+        for at in np.flatnonzero(np.diff(ends) > 1).tolist():
+            if found := part(int(ends[at]), int(ends[at + 1])):
+                yield found
         rest = rest.slice(cut[-1])
-    if rest is not None and len(rest) > 1:
-        yield [rest.column(c) for c in columns]
+    if rest is not None and len(rest) > 1 and (found := part(0, len(rest))):
+        yield found
 
 
 class Forest:
     """Labels of the components of what has been linked so far."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, known: np.ndarray):
+        self.label = np.unique(known, return_index=True, return_inverse=True)[1:]
+        self.label = self.label[0][self.label[1]]
 
     def link(self, a: int, b: int) -> bool:
         x, y = self.label[a], self.label[b]
@@ -134,117 +155,160 @@ class Forest:
         self.label[self.label == max(x, y)] = min(x, y)
         return True
 
+    def others(self, i: int) -> np.ndarray:
+        """Those behind i that are not linked with it."""
+        return np.flatnonzero(self.label[i + 1 :] != self.label[i]) + i + 1
+
+
+def _edges(out: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([float(x[2]) for x in out], pa.float64())], names=["u", "v", "similarity"])
+
+
+_EDGE = "u long, v long, similarity double"
+
 
 def _estimated(batches):
     """Spanning forests of the pairs of a block that signatures put at ESTIMATE or more."""
-    for ids, sig in _groups(batches, ["id", "sig"]):
-        ids = ids.to_numpy()
-        s = np.frombuffer(b"".join(sig.to_pylist()), dtype=np.uint8).reshape(len(ids), REGISTERS)
-        out, forest = [], Forest(len(ids))
+    for ids, label, sig, unit in _groups(batches, ["id", "label", "sig", "unit"]):
+        ids, sig = ids.to_numpy(), sig.to_pylist()
+        s = np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(ids), REGISTERS)
+        u = np.frombuffer(b"".join(x or y for x, y in zip(unit.to_pylist(), sig, strict=True)), dtype=np.uint8).reshape(len(ids), REGISTERS)
+        out, forest = [], Forest(label.to_numpy())
         for i in range(len(ids) - 1):
-            other = np.flatnonzero(forest.label[i + 1 :] != forest.label[i]) + i + 1
+            other = forest.others(i)
             if len(other):
-                near = other[(s[other] == s[i]).sum(axis=1) >= ESTIMATE * REGISTERS]
-                out += [(int(ids[i]), int(ids[j])) for j in near if forest.link(i, int(j))]
+                alike = np.maximum((s[other] == s[i]).sum(axis=1), (u[other] == u[i]).sum(axis=1)) / REGISTERS
+                out += [(int(ids[i]), int(ids[j]), a) for j, a in zip(other.tolist(), alike.tolist(), strict=True) if a >= ESTIMATE and forest.link(i, j)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            yield _edges(out)
 
 
 def _exact(threshold: float):
     def run(batches):
         """Spanning forests of the pairs of a block whose shingle sets have the similarity, by postings."""
-        for ids, packed in _groups(batches, ["id", "shingles"]):
+        for ids, label, packed in _groups(batches, ["id", "label", "shingles"]):
             ids, sets = ids.to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in packed.to_pylist()]
             sizes = np.array([len(x) for x in sets])
             every, code = np.unique(np.concatenate(sets), return_inverse=True)
             who = np.repeat(np.arange(len(sets)), sizes)
             order = np.argsort(code, kind="stable")
             posted, begin = who[order], np.searchsorted(code[order], np.arange(len(every) + 1))
-            ends, out, forest = np.cumsum(sizes), [], Forest(len(sets))
-            for i in range(len(sets)):
+            ends, out, forest = np.cumsum(sizes), [], Forest(label.to_numpy())
+            for i in range(len(sets) - 1):
+                if not len(forest.others(i)):
+                    continue
                 common = np.zeros(len(sets), dtype=np.int64)
                 c = code[ends[i] - sizes[i] : ends[i]]
                 for lo in range(0, len(c), 4096):
                     p = np.concatenate([posted[begin[x] : begin[x + 1]] for x in c[lo : lo + 4096]])
                     common += np.bincount(p, minlength=len(sets))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    near = np.flatnonzero((common > 0) & (common / (sizes + sizes[i] - common) >= threshold - 1e-12))
-                for j in near:
-                    if j > i and forest.link(i, int(j)):
-                        out.append((int(ids[i]), int(ids[j]), common[j] / (sizes[i] + sizes[j] - common[j])))
+                    alike = common / (sizes + sizes[i] - common)
+                near = np.flatnonzero((common > 0) & (alike >= threshold - 1e-12))
+                out += [(int(ids[i]), int(ids[j]), alike[j]) for j in near.tolist() if j > i and forest.link(i, j)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([float(x[2]) for x in out])], names=["u", "v", "similarity"])
+                yield _edges(out)
 
     return run
 
 
-BITS = 26
-
-
-def _member_bits(ids: DataFrame) -> np.ndarray:
-    """A bitmap of 2^BITS bits (8 MB at most) with the hash of every id: a first sieve, an exact join follows."""
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << BITS))
-    rows = ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
-    out = np.zeros((1 << BITS) // 8, dtype=np.uint8)
-    for r in rows:
-        m = np.frombuffer(r["m"], dtype=np.uint8)
-        at = (r["b"] - 1) * 4096  # bit 0 of bucket b is the value (b - 1) * 32768 + 1 for b > 1
-        out[at : at + len(m)] |= m[: len(out) - at]
-    return out
-
-
-def _family_shingles(docs: DataFrame, families: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles) of the texts of families; one row for an id."""
+def linked(placed: DataFrame, sizes: DataFrame, run, scratch: Scratch) -> DataFrame:
+    """Edges (u, v, similarity) that ``run`` finds among the members of each group.
+
+    placed: group, id, what run needs, and of its group _n (members) and _size (the same, or more where they are large:
+    a block holds a size of about BLOCK); sizes: group, _n, _size."""
+    n = partitions(placed.sparkSession)
+    payload = [c for c in placed.columns if c not in ("group", "id", "_n", "_size")]
+
+    def solve(rows: DataFrame) -> DataFrame:
+        return rows.select("group", "block", "id", "label", *payload).repartition(n, "group", "block").sortWithinPartitions("group", "block", "id").mapInArrow(run, _EDGE)
+
+    parts = F.ceil(F.col("_size") / BLOCK).cast("long")
+    part = lambda of: F.pmod(F.xxhash64("id"), of)
+    first = lambda of: F.sequence(F.lit(0).cast("long"), of - 1)
+    leader = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.ceil(F.col("_n") / LEADERS).cast("long"), F.lit(1).cast("long"))) == 0
+    dealt = placed.withColumn("label", F.col("id")).withColumn("block", F.explode(F.when((parts > 1) & leader, first(parts)).otherwise(F.array(part(parts)))))
+    edges = scratch.store(solve(dealt), "forest")
+    large = placed.filter(parts > 1)
+    if not sizes.filter(F.col("_size") > BLOCK).head(1):
+        return edges
+    # Members outside the largest component of a large group meet all of its members.
+    tied = components(edges)
+    large = scratch.store(large.join(tied, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "large")
+    per = large.groupBy("group", "label").agg(F.count("*").alias("_c"))
+    most = per.groupBy("group").agg(F.max(F.struct("_c", "label")).alias("_m"), F.sum("_c").alias("_n")).select("group", "_n", F.col("_m.label").alias("_most"), (F.col("_n") - F.col("_m._c")).alias("_rest"))
+    most = scratch.store(most.filter("_rest > 0"), "rest")
+    if not most.head(1):
+        return edges
+    other = spread_join(large.drop("_n"), most, ["group"], "_n", ["id"])
+    # The rest is as heavy as its share of the group.
+    slices = F.greatest(F.ceil(F.col("_rest") * F.col("_size") / F.col("_n") / BLOCK).cast("long"), F.lit(1).cast("long"))
+    is_rest = F.col("label") != F.col("_most")
+    cross = lambda a, b: F.xxhash64(a, b)
+    own = other.withColumn("_b", F.explode(first(slices))).withColumn("block", cross(part(parts), F.col("_b")))
+    outside = other.filter(is_rest).withColumn("_a", F.explode(first(parts))).withColumn("block", cross(F.col("_a"), part(slices)))
+    more = scratch.store(solve(own.select("group", "block", "id", "label", *payload).union(outside.select("group", "block", "id", "label", *payload))), "forest-rest")
+    return edges.union(more)
+
+
+def _family_shingles(docs: DataFrame, families: DataFrame, text_col: str) -> DataFrame:
+    """(group, id, shingles) of the texts of families (text_key, id, group), one row for a text."""
     spark = docs.sparkSession
-    n = partitions(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    base = base.withColumn("id", F.coalesce("id", F.xxhash64(F.unhex(F.md5(F.col("_text").cast("binary"))))))
-    bits = spark.sparkContext.broadcast(_member_bits(families))
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << BITS))
-    number, position = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    bits = spark.sparkContext.broadcast(key_sieve(families, F.xxhash64("text_key")))
 
     def run(batches):
-        hashes, sieve = WordHashes(), bits.value
+        hashes, sieve, seen = WordHashes(), bits.value, set()
         for b in batches:
-            number, position = b.column("number").to_numpy(), b.column("position").to_numpy()
-            keep = np.flatnonzero(sieve[(number - 1) * 4096 + (position >> 3)] >> (position & 7) & 1)
-            if len(keep):
-                part = b.take(pa.array(keep))
-                for lo in range(0, len(part), 512):
-                    p = part.slice(lo, 512)
-                    sets = [shingles(t, hashes)[0] for t in p.column("_text").to_pylist()]
-                    yield pa.RecordBatch.from_arrays([p.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
-
-    got = base.select("id", "_text", number.alias("number"), position.alias("position")).mapInArrow(run, "id long, shingles binary")
-    return got.join(families, "id").repartition(n, "id").dropDuplicates(["id"])
-
-
-def classes(docs: DataFrame, threshold: float = 0.8, weighting: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), text_copies (rows with an equal text), for every row of docs."""
+            keep = np.flatnonzero(passes(sieve, b.column("h").to_numpy()))
+            part = b.take(pa.array(keep))
+            for lo in range(0, len(part), 512):
+                p = part.slice(lo, 512)
+                texts = [(k, t) for k, t in zip(p.column("text_key").to_pylist(), p.column("_text").to_pylist(), strict=True) if k not in seen and not seen.add(k)]
+                if len(seen) > 100_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts], pa.binary()), pa.array([shingles(t, hashes)[0].tobytes() for _, t in texts], pa.binary())], names=["text_key", "shingles"])
+
+    key = text_key(text_col)
+    got = docs.select(key.alias("text_key"), F.xxhash64(key).alias("h"), _text(text_col)).mapInArrow(run, "text_key binary, shingles binary")
+    # Copies are put together before they move: a text that a third of all rows hold is a row of each task.
+    return got.groupBy("text_key").agg(F.first("shingles").alias("shingles")).join(families, "text_key").select("group", "id", "shingles")
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, weighting: str = "log", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, class_id, kept, text_copies (rows with an equal text), for every row of docs."""
     spark = docs.sparkSession
     signed = store(signatures(docs, id_col, text_col, weighting), "signatures")
-    texts = signed.groupBy("text_key").agg(F.coalesce(F.min("doc_id"), F.xxhash64("text_key")).alias("id"), F.count("*").alias("text_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    texts = store(texts, "texts")
+    scratch = Scratch(spark, "near-dedup")
+    texts = signed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("text_copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("unit").alias("unit"))
+    texts = scratch.store(texts.withColumn("id", F.monotonically_increasing_id()), "texts")  # numbers hold once they are written
     rows = texts.filter("bands is not null").select("id", F.explode("bands").alias("group"))
-    shared = rows.groupBy("group").agg(F.count("*").alias("_n")).filter("_n > 1")
-    placed = _blocks(rows.join(shared, "group"), "_n")
-    signed_rows = placed.join(texts.select("id", "sig"), "id").select("group", "block", "id", "sig")
-    n = partitions(spark)
-    near = signed_rows.repartition(n, "group", "block").sortWithinPartitions("group", "block", "id").mapInArrow(_estimated, "u long, v long")
+    buckets = scratch.store(rows.groupBy("group").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_size", F.col("_n")), "buckets")
+    members = spread_join(rows, buckets, ["group"], "_n", ["id"]).join(texts.select("id", "sig", "unit"), "id")
+    near = linked(members, buckets, _estimated, scratch)
     families = components(near).select("id", F.col("component").alias("group"))
-    families = store(families, "families")
-    linked = None
+    families = scratch.store(texts.select("id", "text_key").join(families, "id"), "families")
+    classed = texts.select("text_key", "id", "doc_id", "text_copies")
     if families.head(1):
-        packed = store(_family_shingles(docs, families, id_col, text_col), "shingles")
-        totals = packed.groupBy("group").agg(F.count("*").alias("_n"), F.sum(F.length("shingles") / 8).alias("_s"))
-        blocks = _blocks(packed.join(totals, "group"), "_n", "_s").select("group", "block", "id", "shingles")
-        exact = blocks.repartition(n, "group", "block").sortWithinPartitions("group", "block", "id").mapInArrow(_exact(threshold), "u long, v long, similarity double")
-        linked = components(exact).select("id", F.col("component").alias("class_id"))
-    named = texts.select("text_key", "id", "text_copies")
-    named = named.join(linked, "id", "left") if linked is not None else named.withColumn("class_id", F.lit(None).cast("long"))
-    named = named.select("text_key", F.coalesce("class_id", "id").alias("class_id"), "text_copies")
-    return signed.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "class_id", "text_copies")
+        packed = scratch.store(_family_shingles(docs, families, text_col), "shingles")
+        size = F.greatest(F.count("*"), F.ceil(F.sum(F.length("shingles") / 8) * BLOCK / F.lit(BLOCK_SHINGLES)))
+        sizes = scratch.store(packed.groupBy("group").agg(F.count("*").alias("_n"), size.cast("long").alias("_size")).filter("_n > 1"), "sizes")
+        exact = linked(spread_join(packed, sizes, ["group"], "_n", ["id"]), sizes, _exact(threshold), scratch)
+        classed = classed.join(components(exact), "id", "left").withColumn("class", F.coalesce("component", "id"))
+    else:
+        classed = classed.withColumn("class", F.col("id"))
+    classed = scratch.store(classed.select("text_key", "doc_id", "text_copies", "class"), "classed")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    heads = scratch.store(classed.groupBy("class").agg(F.min(least).alias("k"), F.count("*").alias("_n")), "heads")
+    # A least id names one class: that of the least text hash.
+    twice = heads.groupBy(F.col("k.doc_id").alias("_id")).agg(F.count("*").alias("_c"), F.min("k.text_key").alias("_first")).filter("_c > 1 and _id is not null")
+    named = heads.join(twice, F.col("k.doc_id") == F.col("_id"), "left").withColumn("class_id", F.when(F.col("_first").isNull() | (F.col("_first") == F.col("k.text_key")), F.col("k.doc_id")))
+    named = named.select("class", "_n", F.coalesce("class_id", F.xxhash64("k.text_key")).alias("class_id"), F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
+    by_text = spread_join(classed.select("text_key", "text_copies", "class"), named, ["class"], "_n", ["text_key"])
+    by_text = store(by_text.select("text_key", "text_copies", "class_id", "_id", (F.col("text_key") == F.col("_key")).alias("_head")), "classes")
+    scratch.clear()
+    out = spread_join(signed.select("doc_id", "text_key"), by_text, ["text_key"], "text_copies", ["doc_id"])
+    return out.select("doc_id", "text_key", "class_id", (F.col("_head") & F.col("doc_id").eqNullSafe(F.col("_id"))).alias("kept"), "text_copies")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "text_copies")
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "text_copies")

@@ -16,8 +16,7 @@ An anchor with more than ``MOST`` different contexts is split exactly: its windo
 by the hash of the bytes that all windows of the range contain, and equal pieces are grouped again, down to
 single windows. No group is capped, gathered on the driver or held whole by one task.
 
-Contexts that very many places hold are dealt over several tasks: those with more than one in ``HOT`` of all places, of
-which there are fewer than ``HOT`` by counting, so that the list of them can be broadcast.
+Contexts that very many places hold are dealt over several tasks (``common.spread_join``).
 
 Defined cases: a null text is the empty one; texts under ``length`` bytes keep all; a very long text is cut to contexts
 like any other (its grams and their hashes are held by one task: about 40 bytes a byte of text); rows are told apart by
@@ -36,10 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import Scratch, partitions, store, table, utf8
+from codestrata.llm.common import Scratch, key_sieve, partitions, passes, spread_join, store, table, utf8
 from codestrata.llm.words import mix64
 
-LENGTH, GRAM, MOST, BATCH, HOT = 200, 32, 1024, 1 << 18, 1 << 14
+LENGTH, GRAM, MOST, BATCH = 200, 32, 1024, 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -184,28 +183,6 @@ def _scan(length: int):
     return run
 
 
-SIEVE = 26
-
-
-def _sieve(rows: DataFrame, key: str) -> np.ndarray:
-    """A bitmap of 2^SIEVE bits (8 MB) with every key's low bits: a first selection; exact joins follow."""
-    slot = F.col(key).bitwiseAND(F.lit((1 << SIEVE) - 1))
-    got = rows.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()
-    out = np.zeros((1 << SIEVE) // 8 + 4096, dtype=np.uint8)
-    for r in got:
-        m = np.frombuffer(r["m"], dtype=np.uint8)
-        out[r["b"] * 4096 : r["b"] * 4096 + 4096] |= m
-    return out
-
-
-def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys may be in the sieve. Bucket 1 holds the values 1 to 32768, bucket 0 what is not above 0."""
-    slot = keys.view(np.int64) & np.int64((1 << SIEVE) - 1)
-    bucket = np.where(slot > 0, 1 + (slot - 1) // 32768, 0)
-    bit = np.where(slot > 0, (slot - 1) % 32768, (-slot) % 32768)
-    return (sieve[bucket * 4096 + (bit >> 3)] >> (bit & 7)) & 1 == 1
-
-
 def _fetch(sieve, length: int):
     def run(batches):
         """The contexts whose anchors the sieve lets through, with their bytes."""
@@ -213,7 +190,7 @@ def _fetch(sieve, length: int):
             out = []
             for d, k, t in zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), b.column("body").to_pylist(), strict=True):
                 h, first, last = anchors(t, length)
-                for i in np.flatnonzero(_passes(sieve.value, h)).tolist() if len(h) else ():
+                for i in np.flatnonzero(passes(sieve.value, h)).tolist() if len(h) else ():
                     bytes_ = t[first[i] : last[i] + length]
                     out.append((d, k, int(h[i : i + 1].view(np.int64)[0]), np.uint64(xxhash.xxh3_64_intdigest(bytes_)).astype(np.int64), int(first[i]), int(last[i] - first[i] + 1), bytes_))
                 if len(out) > 20_000:
@@ -316,23 +293,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Sc
         raise ValueError(f"length {length} is under {GRAM + 8}")
     spark = docs.sparkSession
     n = partitions(spark)
-    temporary = Scratch(spark, "substrings")
-    store = temporary.store
+    scratch = Scratch(spark, "substrings")
+    store = scratch.store
     found = store(docs.mapInArrow(_scan(length), "doc_id long, text_key long, h long, c long, first int, windows short"), "anchors")
     cells = found.groupBy("h", "c").agg(F.count("*").alias("n"))
     per_anchor = cells.groupBy("h").agg(F.count("*").alias("different"), F.sum("n").alias("places"))
     cells = store(cells.join(per_anchor.filter("places > 1"), "h"), "cells")
-    # Contexts that occur twice: every window of theirs is repeated. Fewer than HOT have more than a HOT-th of all places:
-    # their places are dealt over as many tasks as they are such shares.
-    share = max(1, (cells.agg(F.sum("n").alias("n")).first()["n"] or 0) // HOT)
-    shares = F.when(F.col("n") > share, F.ceil(F.col("n") / share)).otherwise(1).cast("long")
-    hot = cells.filter((F.col("n") > 1) & (F.col("n") > share)).select("h", "c", shares.alias("shares"))
-    dealt = found.join(F.broadcast(hot), ["h", "c"], "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("doc_id", "text_key", "first"), "shares"), F.lit(0).cast("long"))).drop("shares")
-    twice = dealt.join(cells.filter("n > 1").select("h", "c", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("deal")), ["h", "c", "deal"])
+    # Contexts that occur twice: every window of theirs is repeated.
+    twice = spread_join(found, cells.filter("n > 1").select("h", "c", "n"), ["h", "c"], "n", ["doc_id", "text_key", "first"])
     whole = twice.select("doc_id", "text_key", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + F.lit(length - 1)).cast("int").alias("hi"))
     # The rest: anchors with different contexts, one of them at least found once.
     mixed = cells.filter("different > 1")
-    sieve = spark.sparkContext.broadcast(_sieve(mixed, "h"))
+    sieve = spark.sparkContext.broadcast(key_sieve(mixed, F.col("h")))
     # One of each context before any join: a context that a third of all rows hold is a row of each task, not a hot key.
     one = F.min_by(F.struct("doc_id", "text_key", "first", "windows", "bytes"), F.struct("doc_id", "text_key", "first"))
     got = docs.mapInArrow(_fetch(sieve, length), _CONTEXT).groupBy("h", "c").agg(one.alias("r"))
@@ -366,7 +338,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Sc
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
-    return out, temporary
+    return out, scratch
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -390,7 +362,7 @@ def _cut(keep_bytes: bool, sieve=None):
         for b in batches:
             out = []
             if sieve is not None:
-                b = b.filter(pa.array(~_passes(sieve.value, b.column("text_key").to_numpy())))
+                b = b.filter(pa.array(~passes(sieve.value, b.column("text_key").to_numpy())))
             spans = b.column("spans").to_pylist() if "spans" in b.schema.names else [None] * b.num_rows
             for d, t, s in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist(), spans, strict=True):
                 gone = merged([(x["lo"], x["hi"]) for x in s or ()])
@@ -407,14 +379,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
     """A row for each document: sizes, the digest of what is left and, with ``keep_bytes``, what is left."""
     spark = docs.sparkSession
     base = keyed(docs, **columns)
-    found, temporary = repeated_spans(base, length)
+    found, scratch = repeated_spans(base, length)
     spans = store(found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    temporary.clear()
-    sieve = spark.sparkContext.broadcast(_sieve(spans, "text_key"))
+    scratch.clear()
+    sieve = spark.sparkContext.broadcast(key_sieve(spans, F.col("text_key")))
 
     def passing(batches):
         for b in batches:
-            yield b.filter(pa.array(_passes(sieve.value, b.column("text_key").to_numpy())))
+            yield b.filter(pa.array(passes(sieve.value, b.column("text_key").to_numpy())))
 
     # Rows that no repeat touches stay where they are; the others meet their spans.
     untouched = base.mapInArrow(_cut(keep_bytes, sieve), _RESULT)

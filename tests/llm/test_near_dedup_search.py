@@ -3,9 +3,11 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from codestrata.llm import common
 from codestrata.llm import decontaminate as D
 from codestrata.llm import near_dedup as N
 from codestrata.llm import vector_search as V
+from codestrata.llm.common import key_sieve, passes
 from codestrata.llm.graph import components
 from codestrata.llm.words import PLAIN, WordHashes
 
@@ -56,10 +58,13 @@ def test_classes_against_brute_force(docs_of):
 
 
 def test_blocks_of_large_groups_lose_nothing(docs_of, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 3)
-    texts = variants(3, groups=3, size=14)
-    rows = N.classes(docs_of(texts)).orderBy("doc_id").collect()
-    assert [r["class_id"] for r in rows] == brute_classes(texts)
+    for seed, block, leaders, hot in ((3, 3, 1, 1 << 14), (4, 4, 2, 20)):
+        monkeypatch.setattr(N, "BLOCK", block)
+        monkeypatch.setattr(N, "LEADERS", leaders)
+        monkeypatch.setattr(common, "HOT", hot)
+        texts = variants(seed, groups=3, size=14)
+        rows = N.classes(docs_of(texts)).orderBy("doc_id").collect()
+        assert [r["class_id"] for r in rows] == brute_classes(texts)
 
 
 def test_prob_min_hash_estimates_probability_jaccard():
@@ -74,6 +79,49 @@ def test_prob_min_hash_estimates_probability_jaccard():
     assert abs(got - exact) < 0.02
 
 
+def test_weights_lose_no_link(docs_of):
+    """Texts that repeat lines a different number of times: weights differ, sets hardly do."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(5))
+    texts = []
+    for _ in range(12):
+        base, line = [word() for _ in range(rng.randint(10, 60))], [word() for _ in range(8)]
+        texts += [" ".join(base + line * k) for k in (2, 3, 9, 60)]
+        texts += [" ".join(base + line), " ".join(line * 7)]
+    for weighting in ("log", "count", "set"):
+        rows = N.classes(docs_of(texts), weighting=weighting).orderBy("doc_id").collect()
+        assert [r["class_id"] for r in rows] == brute_classes(texts)
+
+
+def test_ids_of_any_hash_and_rows_of_repeated_ids(docs_of):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
+    rows = N.classes(docs_of([a, a.replace("p7 ", "p7x ")], ids=[194350146, 7])).collect()  # an id whose hash ends in 26 zeros
+    assert {r["class_id"] for r in rows} == {7}
+    rows = N.classes(docs_of([a, a, b, b], ids=[5, 9, 5, 7])).collect()
+    by = {(r["doc_id"], r["text_key"]): r for r in rows}
+    assert len({r["class_id"] for r in rows}) == 2 == sum(r["kept"] for r in rows) and len(by) == 4
+    of = {k: {r["class_id"] for r in rows if r["text_key"] == k} for _, k in by}
+    assert all(len(x) == 1 for x in of.values()) and 5 in {r["class_id"] for r in rows}
+
+
+def test_a_sieve_takes_every_key(spark):
+    keys = [0, 1, -1, 32768, 32769, 1 << 16, (1 << 16) - 1, 194350146, -(1 << 62)]
+    sieve = key_sieve(spark.createDataFrame([(k,) for k in keys], "k long"), F.col("k"))
+    assert passes(sieve, np.array(keys, dtype=np.int64)).all() and passes(sieve, np.arange(70_000)).sum() <= len(keys)
+
+
+def test_unfinished_components_raise(spark):
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"), rounds=2)
+
+
+def test_odd_texts_keep_one_row_each(docs_of):
+    rows = N.classes(docs_of([*ODD, "w " * 200_000]).selectExpr("*", "1 as id", "2 as bands", "3 as class_id", "4 as _n")).collect()
+    assert sum(r["kept"] for r in rows) == 5 and len(rows) == 6  # the null and the empty text are copies
+
+
 def test_repeated_null_ids_and_empty_tables(docs_of):
     rows = N.classes(docs_of(["a b c", "a b c", "x"], ids=[None, 4, 4])).collect()
     assert len(rows) == 3

@@ -5,6 +5,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
+from codestrata.llm import common
 from codestrata.llm import substring_dedup as S
 
 ODD = [None, "", "   \n\t", "word", "Ünï cödé ✓ 😀"]
@@ -44,7 +45,7 @@ def texts_with_repeats(seed, n=40, scale=1):
 def test_against_brute_force(docs_of, monkeypatch, seed, most, batch, length, hot):
     monkeypatch.setattr(S, "MOST", most)
     monkeypatch.setattr(S, "BATCH", batch)
-    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(common, "HOT", hot)
     texts = texts_with_repeats(seed, scale=length / 200)
     rows = S.remove_repeats(docs_of(texts).selectExpr("*", "1 as h", "2 as c", "3 as lo", "4 as spans", "5 as body"), length).orderBy("doc_id").collect()
     got = [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows]
