@@ -119,6 +119,17 @@ def passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (sieve[bucket * 4096 + (bit >> 3)] >> (bit & 7)) & 1 == 1
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one, ``row``, so that a computation's own names cannot clash with them."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("row")
+
+
+def row_key(doc_id: str | Column, text_key: str | Column) -> Column:
+    """``key``: one value for an id, null too, and the hash of a text."""
+    doc_id, text_key = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text_key))
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.hex(text_key)).cast("binary"))).alias("key")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, so that their Python workers can import it, and bound Arrow batches.
 

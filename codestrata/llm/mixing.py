@@ -8,8 +8,10 @@ block. Slots and words are ranked by two-level prefix sums over about sqrt(n) bu
 all rows is never in one task.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; rows
-that repeat (even whole rows) are each a row of the result; a null id is ordered by the empty text; an empty table gives
-an empty result; columns other than the id, source and text are not read.
+that repeat (even whole rows) are each a row of the result; a null id is ordered by the empty text; equal keys are ordered
+by id and size, so that ties only swap like with like; a text longer than many blocks fills them one after the other; an
+empty table gives an empty result; columns other than the id, source and text are not read, and ``mixed_rows`` gives them
+back whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import WORD, store, table
+from codestrata.llm.common import WORD, packed, store, table
 
 #: Odd multiplier nearest to the golden section of 2^31, and that grid.
 GOLDEN, GRID = 1327217885, 1 << 31
@@ -134,10 +136,9 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by id, source and text, null ids too; rows equal in all three are taken alike."""
     named = lambda c: F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
     row = F.unhex(F.md5(F.concat_ws(":", F.md5(named("doc_id").cast("binary")), F.md5(named("source").cast("binary")), named("text")).cast("binary")))
-    keyed = docs.withColumn("_row", row)
-    m = mix(keyed.select("doc_id", "text", "source", "_row"), row_col="_row", **options)
-    copies = m.documents.filter("taken > 0").groupBy(F.col("row").alias("_row")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
-    return keyed.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    m = mix(docs.select("doc_id", "text", "source", row.alias("row_key")), row_col="row_key", **options)
+    copies = m.documents.filter("taken > 0").groupBy(F.col("row").alias("row_key")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
+    return docs.select(packed(docs), row.alias("row_key")).join(copies, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
