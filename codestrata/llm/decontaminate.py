@@ -1,24 +1,37 @@
 """Benchmark decontamination: windows near a benchmark item in edit distance over words.
 
 Items and texts are compared as lower-case runs of letters and digits. A window matches an item of L words if at most
-``floor(rate * L)`` words have to be inserted, deleted or replaced (items under ``MIN_WORDS``: none). The windows that
-are looked at are those that hold one of an item's ``d + 1`` disjoint pieces unchanged, which every match must (no match
-is lost by that). Each such item-sized window, at every shift up to d, is mapped by CGK random walks, which turn edit
-distance into Hamming distance; bit sampling (``BITS`` coordinates of a walk, ``WALKS`` repetitions) makes candidates of
-windows whose sampled coordinates all equal the item's. For items of up to ``FILTERED`` words that misses a match at the
-allowed distance with a probability under a hundredth; for longer ones it does not, so all their windows are candidates.
-An exact edit distance between the item and the candidate's surroundings decides.
-
-The scan keeps rows where they are: one pass, no shuffle. Items are broadcast in slices of at most ``SLICE`` items; a
+``floor(rate * L)`` words have to be inserted, deleted or replaced (items under ``MIN_WORDS``: none).
+
+CGK random walks turn edit distance into Hamming distance: a walk copies the word at its place and then goes on if a random
+bit of (walk, step, word) says so, so that two walks over texts that differ fall into step again behind an edit. Bit sampling
+reads a few coordinates of an embedding; equal samples make a candidate. This is done twice.
+
+1. ``seeds``: ``WALKS`` = 64 walks start at every word of the corpus and of every item, and the coordinates 0, 2 and 4 are
+   sampled; samples of three different places count. As walks depend on the words alone, one pass serves items of all
+   lengths, and the 64 walks are the bits of one number. Wherever three words in a row are left unedited, a walk
+   samples just those with a probability of 1/4, so all 64 miss with one of 1e-8; every match within the allowed edits has such
+   a place, as ``floor(L / 5)`` edits leave a run of at least 3 of L >= 8 words.
+2. ``sampled``: item-sized windows at the seeds' places, at every shift up to the allowed edits, are embedded whole, and
+   ``BITS`` coordinates of ``REPEATS`` walks are sampled. For items of up to ``FILTERED`` words that misses a match at the allowed
+   distance with a probability under a hundredth; for longer ones it does not, so all their windows are candidates.
+
+Windows whose surroundings lack too many of the item's words are left out before that (none of these can match). An exact
+edit distance between the item and the candidate's surroundings decides; all occurrences that do not overlap are reported.
+
+The scan keeps rows where they are: one pass, no shuffle. Items are broadcast in slices of about ``SLICE`` characters; a
 larger benchmark takes several passes.
 
 Defined cases: null texts and texts without words match nothing; items that are null or without words are left out;
-repeated items and documents match as often as they stand there; a text shorter than the item is compared whole.
+repeated items and documents match as often as they stand there; a text shorter than the item is compared whole; a very
+long text is scanned whole (8 bytes a word); of overlapping occurrences the nearest, then the first, is reported; an empty
+table or benchmark gives no matches; other columns pass through, and one that has the result's name is replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,70 +39,116 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import table
-from codestrata.llm.words import PLAIN, WordHashes, grams, mix64
+from codestrata.llm.words import M1, PLAIN, STEP, WordHashes, mix64
 
-RATE, MIN_WORDS, PIECE, WALKS, BITS, FILTERED, SLICE = 0.2, 8, 4, 24, 2, 60, 50_000
+RATE, MIN_WORDS, WALKS, REPEATS, BITS, FILTERED, SLICE = 0.2, 8, 64, 24, 2, 60, 1 << 22
 MATCH = pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("item_words", pa.int32()), ("start_word", pa.int32()), ("end_word", pa.int32())])
 MATCH_SQL = "array<struct<item_id:long,distance:int,item_words:int,start_word:int,end_word:int>>"
 PAD = np.uint64(0)
+NONE = np.zeros(0, dtype=np.uint64)
+#: Stands between texts: no word hashes to it but by chance, and no item holds it.
+GAP = np.uint64(0x6A09E667F3BCC909)
+#: The different places that a walk can be at after two and after four steps, beside 0 at the start.
+PLACES = ((1, 2), (1, 3), (2, 3), (2, 4))
 
 
 def allowed(words: int, rate: float = RATE) -> int:
     return int(rate * words + 1e-9) if words >= MIN_WORDS else 0
 
 
+def _step(k: int) -> np.uint64:
+    return np.uint64(int(STEP) * k & 0xFFFFFFFFFFFFFFFF)
+
+
+def keys(h: np.ndarray, n: int, a: int | None, b: int | None) -> np.ndarray:
+    """A hash of the words at 0, a and b behind each of the first n places; None is past an item's end."""
+    at = lambda k: h[k : k + n] if k is not None else np.full(1, PAD)
+    return mix64(mix64(h[:n] + _step(1 + (a or 0) + 8 * (b or 0))) ^ at(a) * M1 ^ mix64(at(b) + STEP))
+
+
+def walkers(h: np.ndarray, at: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The walks (a bit each) from places ``at`` of h that are a places on after two steps and b after four."""
+    bits = lambda step, k: mix64(h[at + k] + _step(7 * step + 3))
+    go = bits(0, 0)
+    first = (~go & bits(1, 0)) | (go & ~bits(1, 1)) if a == 1 else go & bits(1, 1)
+    on = bits(2, a)
+    return first & (on & bits(3, a + 1) if b == a + 2 else (on & ~bits(3, a + 1)) | (~on & bits(3, a)))
+
+
 @dataclass
 class Items:
-    """Items as word hashes, the hashes of their pieces, and their walks' sampled coordinates."""
+    """Items as word hashes, an index of their walks' samples by key (key, item, place, walks), and samples of them whole."""
 
     ids: list[int]
     words: list[np.ndarray]
+    sorted_words: list[np.ndarray]
     limits: list[int]
-    piece_hash: dict[int, np.ndarray]
-    piece_of: dict[int, np.ndarray]
-    filters: dict[int, np.ndarray]
+    index: dict[tuple, tuple[np.ndarray, ...]]
     samples: list[np.ndarray | None]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], rate: float) -> Items:
-        hashes, ids, words, limits, pieces = WordHashes(), [], [], [], {}
+        hashes, ids, words = WordHashes(), [], []
         for item_id, text in rows:
             h = hashes.of(PLAIN.findall((text or "").lower()))
-            if not len(h):
-                continue
-            d = allowed(len(h), rate)
-            for k in range(d + 1):  # disjoint pieces; each match leaves one of them whole
-                lo, hi = k * len(h) // (d + 1), (k + 1) * len(h) // (d + 1)
-                q = min(PIECE, hi - lo)
-                if q > 0:
-                    pieces.setdefault(q, []).append((int(grams(h[lo : lo + q], q)[0]), len(ids), lo))
-            ids.append(item_id)
-            words.append(h)
-            limits.append(d)
-        piece_hash, piece_of, filters = {}, {}, {}
-        for q, found in pieces.items():
-            found.sort()
-            piece_hash[q] = np.array([x[0] for x in found], dtype=np.uint64)
-            piece_of[q] = np.array([x[1:] for x in found], dtype=np.int64)
-            filters[q] = np.zeros(1 << 22, dtype=bool)
-            filters[q][(piece_hash[q] & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+            if len(h):
+                ids.append(item_id)
+                words.append(h)
+        every = np.concatenate([*words, np.zeros(0, np.uint64)])
+        size = np.array([len(h) for h in words], dtype=np.int64)
+        item = np.repeat(np.arange(len(words)), size)
+        place = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
+        longer, index = np.concatenate([every, np.full(8, GAP)]), {}
+        for a, b in PLACES:
+            own = np.flatnonzero(place + b < size[item])
+            index[a, b] = keys(longer, len(every), a, b)[own], item[own], place[own], walkers(longer, own, a, b)
+        for short in (1, 2):  # the walks run past the end
+            a = 1 if short == 2 else None
+            own = np.flatnonzero((size[item] == short) & (place == 0))
+            index[a, None] = keys(longer, len(every), a, None)[own], item[own], place[own], np.full(len(own), ~np.uint64(0))
+        for k, found in index.items():
+            order = np.argsort(found[0], kind="stable")
+            width = max(16, (8 * len(order)).bit_length())
+            sieve = np.zeros(1 << width, dtype=bool)
+            sieve[(found[0] & np.uint64((1 << width) - 1)).astype(np.int64)] = True
+            index[k] = (*(x[order] for x in found), sieve)
         samples = [sampled(h[None, :], np.array([len(h)]), len(h))[0] if len(h) <= FILTERED else None for h in words]
-        return cls(ids, words, limits, piece_hash, piece_of, filters, samples)
+        return cls(ids, words, [np.sort(h) for h in words], [allowed(len(h), rate) for h in words], index, samples)
+
+
+def seeds(h: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in h, item, where the item would start) of all equal samples; h ends in at least 8 gaps."""
+    out = []
+    for (a, b), (known, item, place, walks, sieve) in items.index.items():
+        if not len(known):
+            continue
+        key = keys(h, len(h) - 8, a, b)
+        at = np.flatnonzero(sieve[(key & np.uint64(len(sieve) - 1)).astype(np.int64)])
+        lo, hi = np.searchsorted(known, key[at], "left"), np.searchsorted(known, key[at], "right")
+        at, n, lo = at[hi > lo], (hi - lo)[hi > lo], lo[hi > lo]
+        if not len(at):
+            continue
+        entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        own = walkers(h, at, a, b) if b is not None else np.full(len(at), ~np.uint64(0))
+        met = np.flatnonzero(np.repeat(own, n) & walks[entry])
+        at, entry = np.repeat(at, n)[met], entry[met]
+        out.append((at, item[entry], at - place[entry]))
+    return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
 
 
 def coordinates(length: int) -> np.ndarray:
-    """The sampled coordinates (WALKS, BITS) of an embedding of an item's length, in [0, 2 * length)."""
-    return np.random.default_rng(length).integers(0, max(1, 2 * length), (WALKS, BITS))
+    """The sampled coordinates (REPEATS, BITS) of an embedding of an item's length, in [0, 2 * length)."""
+    return np.random.default_rng(length).integers(0, max(1, 2 * length), (REPEATS, BITS))
 
 
 def sampled(windows: np.ndarray, lengths: np.ndarray, length: int) -> np.ndarray:
     """CGK: each walk copies the word at its place and goes on if a random bit of (walk, step, word) says so.
 
-    windows: (n, m) word hashes; gives (n, WALKS, BITS): the embedding's values at the sampled coordinates."""
+    windows: (n, m) word hashes; gives (n, REPEATS, BITS): the embedding's values at the sampled coordinates."""
     at = coordinates(length)
     n, m = windows.shape
-    place, out = np.zeros((n, WALKS), dtype=np.int64), np.zeros((n, WALKS, BITS), dtype=np.uint64)
-    rows, walks = np.arange(n)[:, None], mix64(np.arange(1, WALKS + 1, dtype=np.uint64))
+    place, out = np.zeros((n, REPEATS), dtype=np.int64), np.zeros((n, REPEATS, BITS), dtype=np.uint64)
+    rows, walks = np.arange(n)[:, None], mix64(np.arange(1, REPEATS + 1, dtype=np.uint64))
     for j in range(int(at.max()) + 1):
         now = np.where(place < lengths[:, None], windows[rows, np.minimum(place, m - 1)], PAD)
         for b in range(BITS):
@@ -118,54 +177,78 @@ def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
-def matches(h: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
-    """(item_id, distance, item words, start, end) of the best match with each item that has one."""
-    seeds = []
-    for q, known in items.piece_hash.items():
-        g = grams(h, q)
-        for p in np.flatnonzero(items.filters[q][(g & np.uint64((1 << 22) - 1)).astype(np.int64)]):
-            lo, hi = np.searchsorted(known, g[p], "left"), np.searchsorted(known, g[p], "right")
-            seeds += [(int(i), int(p) - int(o)) for i, o in items.piece_of[q][lo:hi]]
-    best: dict[int, tuple] = {}
-    by_item: dict[int, set[int]] = {}
-    for i, start in seeds:
-        by_item.setdefault(i, set()).update(range(start - items.limits[i], start + items.limits[i] + 1))
-    for i, starts in by_item.items():
-        item, d = items.words[i], items.limits[i]
-        size = len(item)
-        s = np.unique(np.clip(np.array(sorted(starts)), 0, max(0, len(h) - size)))
-        for lo in range(0, len(s), 2048):
-            part = s[lo : lo + 2048]
-            if items.samples[i] is not None:
-                lengths = np.minimum(size, len(h) - part)
-                windows = h[np.minimum(part[:, None] + np.arange(size)[None, :], len(h) - 1)]
-                part = part[(sampled(windows, lengths, size) == items.samples[i][None]).all(axis=2).any(axis=1)]
-            done = -1
-            for w in part:
-                if min(len(h), w + size + d) <= done:  # inside a part that has been aligned
-                    continue
-                a, done = max(0, int(w) - d), min(len(h), int(w) + size + 2 * d + 1)
-                cost, start, end = best_alignment(item, h[a:done])
-                if cost <= d and (i not in best or (cost, a + start) < best[i][:2]):
-                    best[i] = (cost, a + start, a + end)
-    return sorted((items.ids[i], c, len(items.words[i]), s, e) for i, (c, s, e) in best.items())
+def occurrences(h: np.ndarray, item: int, starts: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
+    """(distance, start, end) of the item in a text, from the places where seeds let it start."""
+    words, d = items.words[item], items.limits[item]
+    size, last = len(words), max(0, len(h) - len(words))
+    # A match lies within d of its window, and holds all but d of the item's words.
+    ordered, lo = items.sorted_words[item], max(0, int(starts.min()) - d)
+    near = h[lo : int(starts.max()) + size + 2 * d]
+    known = ordered[np.minimum(np.searchsorted(ordered, near), size - 1)] == near
+    held = np.concatenate([[0], np.cumsum(known)])
+    edge = lambda x: held[np.clip(x - lo, 0, len(near))]
+    starts = starts[edge(starts + size + 2 * d) - edge(starts - d) >= size - d]
+    if not len(starts):
+        return []
+    s = np.unique(np.clip(starts[:, None] + np.arange(-d, d + 1)[None, :], 0, last))
+    out = []
+    for at in range(0, len(s), 2048):
+        part = s[at : at + 2048]
+        if items.samples[item] is not None:
+            windows = h[np.minimum(part[:, None] + np.arange(size)[None, :], len(h) - 1)]
+            part = part[(sampled(windows, np.minimum(size, len(h) - part), size) == items.samples[item][None]).all(axis=2).any(axis=1)]
+        done = -1
+        for w in part.tolist():
+            if min(len(h), w + size + d) <= done:  # inside a part that has been aligned
+                continue
+            done = min(len(h), w + size + 2 * d + 1)
+            open_ = [(max(0, w - d), done)]
+            while open_:
+                a, z = open_.pop()
+                cost, start, end = best_alignment(words, h[a:z])
+                if cost <= d:
+                    out.append((cost, a + start, a + end))
+                    open_ += [(x, y) for x, y in ((a, a + start), (a + end, z)) if y - x >= max(1, size - d) and (x, y) != (a, z)]
+    kept: list[tuple[int, int, int]] = []
+    for m in sorted(set(out)):
+        if all(m[2] <= k[1] or k[2] <= m[1] for k in kept):
+            kept.append(m)
+    return kept
+
+
+def matches(texts: list[np.ndarray], items: Items) -> list[list[tuple[int, int, int, int, int]]]:
+    """For each text, given as word hashes, (item_id, distance, item words, start, end) of all occurrences of items."""
+    found: list[list] = [[] for _ in texts]
+    gap = np.full(8, GAP)
+    size = np.array([len(t) + 8 for t in texts], dtype=np.int64)
+    begin = np.cumsum(size) - size
+    at, item, start = seeds(np.concatenate([x for t in texts for x in (t, gap)]), items) if len(texts) else (np.zeros(0, np.int64),) * 3
+    text = np.searchsorted(begin, at, "right") - 1
+    start = start - begin[text]
+    order = np.lexsort((start, item, text))
+    text, item, start = text[order], item[order], start[order]
+    cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])).tolist() if len(text) else []
+    for lo, hi in pairwise([*cut, len(text)]):
+        t, i = int(text[lo]), int(item[lo])
+        found[t] += [(items.ids[i], c, len(items.words[i]), s, e) for c, s, e in occurrences(texts[t], i, np.unique(start[lo:hi]), items)]
+    return [sorted(f, key=lambda m: (m[0], m[3], m[1])) for f in found]
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", item_id_col: str = "item_id", item_col: str = "text", out_col: str = "matches") -> DataFrame:
     """``docs`` with an array of matches added, each row where it was."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(out_col)
     rows = benchmark.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_col).alias("t")).filter("t is not null and i is not null")
-    slices = max(1, -(-rows.count() // SLICE))
+    slices = max(1, -(-(rows.agg(F.sum(F.length("t"))).first()[0] or 0) // SLICE))
     names = docs.columns
     out = docs.withColumn(out_col, F.array().cast(MATCH_SQL))
     for k in range(slices):
-        part = rows.filter(F.pmod(F.xxhash64("i"), F.lit(slices)) == k).collect()  # about SLICE items
+        part = rows.filter(F.pmod(F.xxhash64("i"), F.lit(slices)) == k).collect()  # about SLICE characters
         items = spark.sparkContext.broadcast(Items.of(sorted((r["i"], r["t"]) for r in part), rate))
 
         def run(batches, items=items):
             own, hashes = items.value, WordHashes()
             for b in batches:
-                found = [matches(hashes.of(PLAIN.findall(t.lower())), own) if t else [] for t in b.column(text_col).to_pylist()]
+                found = matches([hashes.of(PLAIN.findall(t.lower())) if t else NONE for t in b.column(text_col).to_pylist()], own)
                 so_far = b.column(out_col).to_pylist()
                 now = [(x or []) + [dict(zip((f.name for f in MATCH), m, strict=True)) for m in y] for x, y in zip(so_far, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(now, pa.list_(MATCH))], names=[*names, out_col])

@@ -182,6 +182,39 @@ def test_leaks_against_brute_force(docs_of, spark):
     assert len(want) > 50 and len(want - got) <= 0.01 * len(want) and not {g[:2] for g in got} - {w[:2] for w in want}
     assert D.mark(docs_of(texts), bench.limit(0)).filter("size(matches) > 0").count() == 0
     assert D.mark(docs_of([]), bench).count() == 0
+    assert D.mark(docs_of(texts).selectExpr("*", "1 as matches", "2 as i"), bench).filter("size(matches) > 0").count() == len({i for i, _, _ in want})
+
+
+def test_all_occurrences_are_found():
+    rng, hashes = random.Random(14), WordHashes()
+    word = lambda: "w%d" % rng.randrange(10**9)
+    items = [[word() for _ in range(n)] for n in (1, 2, 3, 8, 12, 40, 100)]
+    own = D.Items.of([(i, " ".join(w)) for i, w in enumerate(items)], D.RATE)
+    texts, want = [], []
+    for _ in range(30):
+        text, places = [], []
+        for i in rng.choices(range(len(items)), k=4):
+            text += [word() for _ in range(rng.choice((0, 1, 30)))]
+            middle = edits(rng, items[i], rng.randint(0, D.allowed(len(items[i])) // 2))
+            places.append(i)
+            text += middle
+        texts.append(hashes.of(text))
+        want.append(sorted(places))
+    got = [sorted(m[0] for m in found) for found in D.matches([*texts, D.NONE], own)]
+    assert got[:-1] == want and got[-1] == []
+
+
+def test_seeds_need_no_piece_of_an_item_of_their_own():
+    """The recall of the walks alone: for every item and every spread of the allowed edits, some seed lies on the diagonal."""
+    rng, hashes, missed = random.Random(15), WordHashes(), 0
+    word = lambda: "w%d" % rng.randrange(10**9)
+    for k in range(600):
+        item = [word() for _ in range(rng.choice((8, 10, 13, 15, 19, 25, 59)))]
+        d = D.allowed(len(item))
+        text = [word() for _ in range(5)] + edits(rng, item, d) + [word() for _ in range(5)]
+        _, _, start = D.seeds(np.concatenate([hashes.of(text), np.full(8, D.GAP)]), D.Items.of([(k, " ".join(item))], D.RATE))
+        missed += not (np.abs(start - 5) <= d).any()
+    assert missed == 0
 
 
 def test_best_alignment_is_the_edit_distance():
@@ -259,5 +292,5 @@ def test_long_items_are_found_at_the_allowed_distance():
             d = D.allowed(size)
             middle = edits(rng, item, d) if k % 2 else [word() if x in where else w for where in [set(rng.sample(range(size), d))] for x, w in enumerate(item)]
             text = [word() for _ in range(30)] + middle + [word() for _ in range(30)]
-            found = D.matches(hashes.of(text), D.Items.of([(k, " ".join(item))], D.RATE))
+            found = D.matches([hashes.of(text)], D.Items.of([(k, " ".join(item))], D.RATE))[0]
             assert [m[0] for m in found] == [k] and found[0][1] <= d
