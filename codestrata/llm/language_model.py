@@ -13,8 +13,11 @@ that term a shard has the counts of the successors it stores: it asks for each o
 
 Tokens: runs of other than ASCII white space, A-Z lower-cased, then one end token. Defined cases: a null text is the
 empty one and scores its end; words unknown in training have a count of 0; with no training
-documents every token is unknown; rows of repeated ids are scored alike, row by row; other columns are not read.
-The most frequent words' pairs are spread over all shards by their second word, all others' share their word's shard.
+documents every token is unknown; rows of repeated ids are scored alike, row by row; a very long text is one chunk, held
+whole by a task (about 100 bytes a word); words of equal frequency are taken as heavy in the order of their characters; an
+empty table gives an empty result; columns other than those in ``keep`` and the text are not read.
+The most frequent words' pairs are spread over all shards by their second word, all others' share their word's shard. A
+shard holds what ``SHARD`` bytes of text give, up to ``MOST_SHARDS`` shards, from where on shards grow with the input.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from codestrata.llm.elias_fano import SUCCESSOR_BITS, Trie, pack, unpack
 from codestrata.llm.words import WordHashes
 
 CHUNK, MOST_DOCS = 1 << 20, 60_000
-#: Words with a unigram of their own: all.
-HEAD = float("inf")
+#: Bytes of text for each shard of the model, and shards at most (their number is that of the blobs of a chunk).
+SHARD, MOST_SHARDS = 1 << 26, 1 << 14
 #: Hashes of the marks at the ends of a text; words never hash from a text with white space.
 _marks = WordHashes()
 START, END = np.uint64(_marks["\n start"]), np.uint64(_marks["\n end"])
@@ -166,7 +169,8 @@ def heavy_words(docs: DataFrame, text_col: str, most: int = 64, sample: int = 20
 def train(docs: DataFrame, text_col: str = "text", shards: int | None = None) -> Model:
     """Count all documents and build the tries."""
     spark = docs.sparkSession
-    n_shards = shards or partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    n_shards = shards or min(MOST_SHARDS, max(partitions(spark), -(-size // SHARD)))
     heavy = heavy_words(docs, text_col)
 
     def count(batches):
@@ -316,7 +320,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
                     base_of = np.where(token, own.logp(c), 0)
                     model_of = base_of + np.where(known, np.log10(np.maximum(kinds_, 1) / np.maximum(c, 1)), 0)
                     pair_word = np.repeat(np.arange(len(word)), pairs_of)
-                    value = trie.value(at[pair_word], second) if trie else np.zeros(len(second))
+                    value = trie.values(at, pairs_of, second) if trie else np.zeros(len(second))
                     gain = np.zeros(len(second))
                     hit = value > 0
                     gain[hit] = np.log10(1 + value[hit] / kinds_[pair_word[hit]] / 10 ** own.logp(often[np.searchsorted(follower, second[hit])]))

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from codestrata.llm import language_model as L
-from codestrata.llm.elias_fano import EliasFano, Trie
+from codestrata.llm.elias_fano import Bits, EliasFano, Trie
 
 ODD = [None, "", "   \n\t", "word", "Ünï cödé ✓ 😀"]
 
@@ -21,6 +21,15 @@ def test_elias_fano_finds_what_it_holds(values, others, low):
     at = e.find(q >> np.uint64(low), q & mask)
     for x, i in zip(q.tolist(), at.tolist()):
         assert (i >= 0) == (x in set(values)) and (i < 0 or v[i] == x)
+    assert e.access(np.arange(len(v))).tolist() == v.tolist() and e.highs().tolist() == (v >> np.uint64(low)).tolist()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.booleans(), min_size=1, max_size=700))
+def test_select_on_packed_bits(bits):
+    b = Bits(np.packbits(np.array(bits, dtype=np.uint8)))
+    for want, got in ((np.flatnonzero(bits), b.ones), (np.flatnonzero(~np.array(bits)), b.zeros)):
+        assert got(np.arange(len(want))).tolist() == want.tolist()
 
 
 def test_trie_round_trip_through_a_mapped_file():
@@ -33,14 +42,22 @@ def test_trie_round_trip_through_a_mapped_file():
     t = Trie.mapped(Trie.build(words, np.arange(len(words)) + 1, np.ones(len(words), int), owner, succ, value).to_bytes())
     assert (t.context(words) == np.arange(len(words))).all() and (t.words() == words).all()
     assert t.context(np.array([words[0] + np.uint64(1)]))[0] == -1
-    got = t.value(owner, succ)
+    one = np.ones(len(owner), dtype=np.int64)
+    got = t.values(owner, one, succ)
     assert np.abs(np.log10(got) - np.log10(value)).max() < 0.01
-    assert (t.value(owner, succ ^ np.uint64(1 << 39)) == 0).mean() > 0.99
-    assert len(t.to_bytes()) < 500 * 16 + len(pairs) * 8 + 4000
-
-
-def brute(train, texts, head):
-    """The model written out: absolute discounting by one over a head of frequent words and a uniform tail."""
+    each = np.bincount(owner, minlength=len(words))
+    assert (t.values(np.arange(len(words)), each, succ) == got).all()
+    assert (t.values(owner, one, succ ^ np.uint64(1 << 39)) == 0).mean() > 0.99
+    # A successor is looked for in its context only.
+    other = (owner + 1) % len(words)
+    held = set(zip(owner.tolist(), succ.tolist()))
+    assert all((v > 0) == ((int(o), int(s)) in held) for o, s, v in zip(other, succ, t.values(other, one, succ)))
+    assert (t.values(np.full(3, -1), np.ones(3, int), succ[:3]) == 0).all() and len(t.stored()) == len(pairs)
+    assert len(t.to_bytes()) < 500 * 16 + len(pairs) * 7 + 4000
+
+
+def brute(train, texts):
+    """The model written out: absolute discounting by one over add-one unigrams."""
     toks = lambda t: (t or "").encode().lower().split()
     c, bi, succ = Counter(), Counter(), Counter()
     for t in train:
@@ -52,7 +69,6 @@ def brute(train, texts, head):
     n, v = sum(c.values()), len(c)
     ctx = Counter(c)
     ctx["START"] = len(train)
-    assert head >= v
     p = lambda w: (c[w] + 1) / (n + v + 1)
     out = []
     for t in texts:
@@ -69,11 +85,23 @@ def test_scores_match_the_model_written_out(docs_of, monkeypatch):
     train = texts[::2]
     model = L.train(docs_of(train), shards=3)
     got = sorted(L.score(docs_of(texts), model).collect())
-    for r, (n, known, total, base, sc) in zip(got, brute(train, texts, L.HEAD)):
+    for r, (n, known, total, base, sc) in zip(got, brute(train, texts)):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
         assert abs(r["base_score"] - base) < 1e-9 and abs(r["score"] - sc) < 0.02 * n
 
 
+def test_the_query_against_the_model_written_out(shipped, sf_dir):
+    import zlib
+
+    docs = sorted((r["doc_id"], r["text"]) for r in shipped.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs]
+    rows = sorted(L.op2_language_model(shipped, sf_dir).collect())
+    want = brute([t for (_, t), h in zip(docs, held) if not h], [t for _, t in docs])
+    for r, h, (n, known, total, base, sc) in zip(rows, held, want, strict=True):
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, n, known, total)
+        assert abs(r["base_score"] - base) < 1e-6 and abs(r["score"] - sc) < 0.02 * n
+
+
 def test_model_of_nothing(docs_of):
     got = L.score(docs_of(["a b", None]), L.train(docs_of([]), shards=2)).orderBy("doc_id").collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got] == [(3, 0, 0), (1, 0, 0)]
