@@ -1,16 +1,19 @@
 """Sharding by fixed virtual slots under a versioned slot-to-shard map.
 
 Records are hashed into thousands of virtual slots, whose bytes and rows are summed. The map from slot to shard is a
-small table with a version; rebalancing edits it: slots move from the fullest to the emptiest shard, each time the slot
-whose size comes nearest to half the gap, until no move narrows it. Only the slots moved change shard, so that an edit
-moves few bytes. The law is ``bytes``: shards hold nearly equal bytes.
+small stored table with versions; rebalancing edits it: slots move from the fullest to the emptiest shard, each time the
+slot whose size comes nearest to half the gap, until no move narrows it. Only the slots moved change shard, so that an edit
+moves few bytes. The law is ``bytes``: shards hold nearly equal bytes. A map that is stored at ``map_path`` is the one that
+is edited, and the next version is stored beside it; records are placed by what is read back from there.
 
 The driver sees one row for each virtual slot (4096 at any input size), which is the size bound of the broadcast map.
-A record's place in its shard is numbered from 0 by offsets of whole slots plus the place within the slot.
+A record's place in its shard is numbered from 0 by offsets of whole slots plus the place within the slot; rows that are
+alike in id, size and checksum are counted before they are numbered, so that they are no hot key.
 
-Defined cases: a null text has size 1 (one byte for the end) and the checksum of the empty text; null and repeated ids
-are hashed with their text's checksum, so that they spread; whole repeated rows stay together and get places of their
-own; an empty table gives an empty result; columns other than the id and the text are not read.
+Defined cases: a null text has size 1 (one byte for the end) and the checksum of the empty text; a very long text is one
+record; null and repeated ids are hashed with their text's checksum, so that they spread; whole repeated rows stay in one
+slot and get places of their own; slots of equal size are moved by number; an empty table gives an empty result and a first
+map; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import store, table, utf8
+from codestrata.llm.common import new_folder, store, table, utf8
 
 SLOTS = 4096
 
@@ -74,9 +77,24 @@ class SlotMap:
                 by_size[h] = np.array([x for x, _ in own[h]])
         return SlotMap(to, n, version, self.edits + moves)
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.version, s, int(h)) for s, h in enumerate(self.shards)]
-        return spark.createDataFrame(rows, "version int, virtual_slot int, shard int")
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Store this version beside earlier ones: a folder for each version."""
+        rows = [(self.version, self.n_shards, s, int(h)) for s, h in enumerate(self.shards)]
+        table_ = spark.createDataFrame(rows, "version int, n_shards int, virtual_slot int, shard int")
+        table_.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={self.version}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+        """The stored map of a version, or the last; None where none is stored."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return None
+        versions = [int(x.getPath().getName().partition("=")[2]) for x in files.listStatus(folder) if x.getPath().getName().startswith("version=")]
+        if not versions or version is not None and version not in versions:
+            return None
+        got = spark.read.parquet(f"{path}/version={max(versions) if version is None else version}").orderBy("virtual_slot").collect()
+        return cls(np.array([r["shard"] for r in got]), got[0]["n_shards"], got[0]["version"])
 
 
 def _exchange(full: list, bare: list, gap: float):
@@ -93,16 +111,25 @@ def _exchange(full: list, bare: list, gap: float):
 
 @dataclass
 class Sharded:
-    """records: a row for each record; map: the slot map in force; first: the one before the rebalancing."""
+    """records: a row for each record; map: the slot map in force; first: the one before the rebalancing; map_path: where both are stored."""
 
     records: DataFrame
     map: SlotMap
     first: SlotMap
+    map_path: str
+
 
+def shard(docs: DataFrame, n_shards: int = 16, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> Sharded:
+    """Shard ``docs`` under the map at ``map_path`` (a new folder if not given), edited for their bytes.
 
-def shard(docs: DataFrame, n_shards: int = 16, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> Sharded:
-    """Shard ``docs``; records also carry the columns in ``keep``, which come with a second read of the input."""
+    The stored map's slots are kept; it may have fewer shards than ``n_shards``."""
     spark = docs.sparkSession
+    map_path = map_path or new_folder(spark, "slot-map")
+    first = SlotMap.load(spark, map_path)
+    if first is None:
+        first = SlotMap.first(n_shards, slots)
+        first.save(spark, map_path)
+    slots = len(first.shards)
     body = utf8(text_col)
     hashed = docs.select(F.col(id_col).alias("doc_id"), (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     base = store(hashed.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int")), "shard-base")
@@ -110,19 +137,25 @@ def shard(docs: DataFrame, n_shards: int = 16, slots: int = SLOTS, id_col: str =
     sizes, rows = np.zeros(slots), np.zeros(slots, dtype=np.int64)
     for r in per_slot:
         sizes[r["virtual_slot"]], rows[r["virtual_slot"]] = r["bytes"], r["rows"]
-    first = SlotMap.first(n_shards, slots)
-    now = first.rebalanced(sizes)
+    first.rebalanced(sizes, n_shards).save(spark, map_path)
+    now = SlotMap.load(spark, map_path)
     offset = np.zeros(slots, dtype=np.int64)
     for h in range(n_shards):
         own = np.flatnonzero(now.shards == h)
         offset[own] = np.cumsum(rows[own]) - rows[own]
     placed = spark.createDataFrame([(s, int(now.shards[s]), int(offset[s])) for s in range(slots)], "virtual_slot int, shard int, offset long")
-    within = W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    records = base.join(F.broadcast(placed), "virtual_slot").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.row_number().over(within) - 1).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(now.version).alias("map_version"),
+    alike = base.groupBy("virtual_slot", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n"))
+    within = W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, 0)
+    records = (
+        alike.withColumn("before", F.sum("n").over(within) - F.col("n"))
+        .join(F.broadcast(placed), "virtual_slot")
+        .withColumn("i", F.explode(F.when(F.col("n") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))))
+        .select(
+            "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("before") + F.col("i")).alias("slot"),
+            F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(now.version).alias("map_version"),
+        )
     )
-    return Sharded(records, now, first)
+    return Sharded(records, now, first, map_path)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

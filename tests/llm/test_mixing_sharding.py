@@ -102,6 +102,38 @@ def test_slot_map_versions():
     assert (grown.shards != now.shards).sum() < 256 * 0.3
 
 
+def test_the_stored_map_is_edited(docs_of, shipped, tmp_path):
+    rng = random.Random(4)
+    texts = ["x" * rng.randint(0, 900) for _ in range(6000)]
+    path = f"file://{tmp_path}/map"
+    one = sharding.shard(docs_of(texts), n_shards=4, slots=512, map_path=path)
+    two = sharding.shard(docs_of(texts + ["y" * 400] * 2000), n_shards=5, map_path=path)
+    assert (one.map.version, two.map.version) == (1, 2) and (two.first.shards == one.map.shards).all()
+    assert (sharding.SlotMap.load(shipped, path, 1).shards == one.map.shards).all() and sharding.SlotMap.load(shipped, path).n_shards == 5
+    assert sharding.SlotMap.load(shipped, path, 9) is None
+    shards = {r["virtual_slot"]: r["shard"] for r in two.records.collect()}
+    assert all(two.map.shards[s] == h for s, h in shards.items()) and set(shards.values()) == set(range(5))
+    # Few slots but those of the new shard change places.
+    assert sum(a != b for a, b in zip(one.map.shards, two.map.shards)) < 512 * 0.4
+
+
+def test_rows_alike_have_places_of_their_own(docs_of):
+    docs = docs_of(["same"] * 500 + ["other", None], ids=[7] * 500 + [8, None]).selectExpr("*", "1 as size", "2 as n", "3 as virtual_slot", "4 as shard")
+    rows = sharding.shard(docs).records.collect()
+    assert len(rows) == 502 and sorted(r["slot"] for r in rows if r["doc_id"] == 7) == list(range(min(r["slot"] for r in rows if r["doc_id"] == 7), 500 + min(r["slot"] for r in rows if r["doc_id"] == 7)))
+
+
+def test_the_query_covers_its_table(shipped, sf_dir):
+    docs = [(r["doc_id"], (r["text"] or "").encode()) for r in shipped.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = sharding.op6_sharding(shipped, sf_dir).collect()
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == sorted((i, len(b) + 1, zlib.crc32(b)) for i, b in docs)
+    load, places = [0] * 16, [[] for _ in range(16)]
+    for r in rows:
+        load[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert max(load) - min(load) <= max(len(b) + 1 for _, b in docs) and all(sorted(p) == list(range(len(p))) for p in places)
+
+
 def test_mixed_rows_keep_null_and_repeated_ids_apart(docs_of):
     texts = [f"a b c d{i}" for i in range(40)]
     docs = docs_of(texts, ids=[None] * 20 + [7] * 20)
