@@ -1,15 +1,20 @@
 """Secret scan: fixed patterns, then probabilistic automata learnt from what those patterns found.
 
 One pass over the texts finds the base matches (three fixed patterns) and all candidates: runs of at least
-``MIN_CANDIDATE`` token characters with a digit. From a bounded sample of distinct matched credentials of each kind
-(``sample``, the smallest hashes) a prefix tree is built, and states whose end and symbol frequencies agree under a
-Hoeffding bound are merged (a state-merging grammar inference) into a probabilistic automaton. A background automaton
-comes the same way from candidates that no pattern matched. Every candidate is scored by the mean log-odds per
-character of the best credential automaton against the background; those at or above the level that ``recall`` of
-the labelled credentials reach when scored by automata that have not seen them, and above 0, are added as spans of kind ``format``. Base spans always stay.
+``MIN_CANDIDATE`` token characters, and the parts of such runs between ``= / :`` and the like. From a bounded sample of
+distinct matched credentials of each kind (``sample``, the smallest hashes) a prefix tree is built, and states whose end
+and symbol frequencies agree under a Hoeffding bound are merged (a state-merging grammar inference) into a probabilistic
+automaton. Background automata come the same way from candidates that no pattern matched, one for those with a digit and
+one for those without. Every base match and every candidate is scored by the mean log-odds per character of the best
+credential automaton against the better background. Candidates at or above the level that ``recall`` of the labelled
+credentials reach when scored by automata that have not seen them, and above 0, are added as spans of kind ``format``; of
+a run and its parts the best is. Base spans always stay, whatever their score.
 
 Defined cases: a null text is the empty one; offsets count code points; a candidate that overlaps a base span is not
-added again; with no labelled credentials nothing is added; repeated rows give the same spans each; a null id is kept.
+added again; credentials of over ``longest`` characters are not learnt from, but scored; of equal scores the earlier, then
+longer candidate stays; with no labelled credentials nothing is added and scores are null; a very long text is one row of
+spans; repeated rows give the same spans each; a null id is kept; an empty table gives an empty result; columns other than
+the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +36,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that have 16 characters or more
 KINDS = ("assign", "access", "hex", "format")
-MIN_ASSIGN, MIN_ACCESS, MIN_CANDIDATE = 12, 18, 16
+MIN_ASSIGN, MIN_ACCESS, MIN_CANDIDATE = 12, 18, 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_CANDIDATE},}}")
+#: A part of a run: it goes up to a character that stands between parts.
+PART = re.compile(rf"[A-Za-z0-9+_-]{{{MIN_CANDIDATE},}}")
 DIGIT = re.compile(r"[0-9]")
 
 
@@ -43,11 +52,24 @@ def base_matches(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, run), without those that overlap a base match."""
-    found = [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text) if DIGIT.search(m[0])]
+    """(start, end, run) of all runs and their parts, without those that overlap a base match."""
+    found = []
+    for m in CANDIDATE.finditer(text):
+        run, at = m[0], m.start()
+        found.append((at, m.end(), run))
+        found += [(at + p.start(), at + p.end(), p[0]) for p in PART.finditer(run) if len(p[0]) < len(run)]
     return [c for c in found if not any(b[1] < c[1] and c[0] < b[2] for b in base)] if base else found
 
 
+def best_of(found: list[tuple[float, int, int]]) -> list[int]:
+    """Which of scored spans (score, start, end) stay where some overlap: the best, then the earlier, then the longer."""
+    kept: list[int] = []
+    for k in sorted(range(len(found)), key=lambda k: (-found[k][0], found[k][1], -found[k][2])):
+        if all(found[k][2] <= found[j][1] or found[j][2] <= found[k][1] for j in kept):
+            kept.append(k)
+    return sorted(kept)
+
+
 class Automaton:
     """A probabilistic deterministic automaton, inferred from strings by merging compatible prefix-tree states."""
 
@@ -55,6 +77,8 @@ class Automaton:
         self.next: list[dict[str, int]] = [{}]
         self.arcs: list[dict[str, int]] = [{}]
         self.ends, self.seen = [0], [0]
+        self.symbols = Counter(chain.from_iterable(strings))
+        self.n_symbols = sum(self.symbols.values())
         for s in strings:
             at = 0
             for c in s:
@@ -127,14 +151,18 @@ class Automaton:
         self.arcs, self.ends, self.seen = [self.arcs[r] for r in red], [self.ends[r] for r in red], [self.seen[r] for r in red]
         self.next = [{c: keep[t] for c, t in self.next[r].items() if t in keep} for r in red]
 
+    def symbol(self, c: str) -> float:
+        """How likely a symbol is whatever the state; those never seen share one count over 70 symbols."""
+        return (self.symbols.get(c, 0) + 1 / 71) / (self.n_symbols + 1)
+
     def logp(self, s: str) -> float:
-        """Log-probability; symbols and ends that a state has not seen share one count over 70 symbols."""
+        """Log-probability; a state's own counts and one of the symbol's frequency; behind the last state only that."""
         at, total = 0, 0.0
         for c in s:
             if at is None:
-                total -= math.log(71)
+                total += math.log(self.symbol(c))
                 continue
-            total += math.log((self.arcs[at].get(c, 0) + 1 / 71) / (self.seen[at] + 1))
+            total += math.log((self.arcs[at].get(c, 0) + self.symbol(c)) / (self.seen[at] + 1))
             at = self.next[at].get(c)
         return total + (math.log((self.ends[at] + 1 / 71) / (self.seen[at] + 1)) if at is not None else -math.log(71))
 
@@ -154,14 +182,16 @@ class Formats:
 
     def _fit(self, labelled: dict[str, list[str]], background: list[str]) -> None:
         self.kinds = {k: Automaton(v) for k, v in labelled.items() if v}
-        self.background = Automaton(background)
+        parts = [[s for s in background if bool(DIGIT.search(s)) == digit] for digit in (False, True)]
+        self.backgrounds = [Automaton(x) for x in parts if x] or [Automaton([])]
         # Unmatched credentials of a known format are no background: learn it again without what already looks like one.
-        self.background = Automaton([s for s in background if self.score(s) < 0])
+        rest = [[s for s in x if self.score(s) < 0] for x in parts]
+        self.backgrounds = [Automaton(x) for x in rest if x] or [Automaton([])]
 
     def score(self, s: str) -> float:
         if not self.kinds:
             return -math.inf
-        return (max(a.logp(s) for a in self.kinds.values()) - self.background.logp(s)) / (len(s) + 1)
+        return (max(a.logp(s) for a in self.kinds.values()) - max(a.logp(s) for a in self.backgrounds)) / (len(s) + 1)
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
@@ -186,11 +216,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def learn(scanned: DataFrame, sample: int = 300, longest: int = 128, recall: float = 0.95) -> Formats:
-    """Formats from at most ``sample`` distinct credentials of each kind and as many unmatched candidates."""
+    """Formats from at most ``sample`` distinct credentials of each kind, of up to ``longest`` characters, and four
+    times as many unmatched candidates with and without a digit."""
 
     def some(df: DataFrame) -> list:
-        top = df.select("s.kind", "s.value").filter(F.length("value") <= longest).distinct()
-        return [r for k in ("assign", "access", "hex", "format") for r in top.filter(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
+        top = df.select(F.concat("s.kind", F.when((F.col("s.kind") == "format") & F.col("s.value").rlike("[0-9]"), "-digit").otherwise("")).alias("kind"), "s.value")
+        top = top.filter(F.length("value") <= longest).distinct()
+        kinds = {"assign": sample, "access": sample, "hex": sample, "format": 4 * sample, "format-digit": 4 * sample}
+        return [r for k, n in kinds.items() for r in top.filter(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(n).collect()]
 
     labelled: dict[str, list[str]] = {}
     for r in some(scanned.select(F.explode("base").alias("s"))):
@@ -200,23 +233,28 @@ def learn(scanned: DataFrame, sample: int = 300, longest: int = 128, recall: flo
 
 
 def find(docs: DataFrame, sample: int = 300, recall: float = 0.95, **columns: str) -> DataFrame:
-    """doc_id, base (spans of the fixed patterns) and spans (all, with a score for the added ones)."""
+    """doc_id, base (spans of the fixed patterns) and spans (all, each with its score)."""
     scanned = store(scan(docs, **columns), "secret-scan")
     shared = docs.sparkSession.sparkContext.broadcast(learn(scanned, sample, recall=recall))  # bounded by `sample`
 
     def run(batches):
         formats, known = shared.value, {}
+
+        def score(value: str) -> float:
+            if value not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[value] = formats.score(value)
+            return known[value]
+
         for b in batches:
             base, spans = b.column("base").to_pylist(), []
             for own, more in zip(base, b.column("candidates").to_pylist(), strict=True):
-                for c in more:
-                    if c["value"] not in known:
-                        known[c["value"]] = formats.score(c["value"])
-                    c["score"] = known[c["value"]]
-                if len(known) > 100_000:
-                    known.clear()
-                added = [c for c in more if c["score"] >= formats.level]
-                spans.append(sorted([x | {"score": None} for x in own] + added, key=lambda x: (x["start"], KINDS.index(x["kind"]))))
+                for c in chain(own, more):
+                    c["score"] = score(c["value"]) if formats.kinds else None
+                added = [c for c in more if formats.kinds and c["score"] >= formats.level]
+                added = [added[k] for k in best_of([(c["score"], c["start"], c["end"]) for c in added])]
+                spans.append(sorted([*own, *added], key=lambda x: (x["start"], KINDS.index(x["kind"]))))
             kind = pa.list_(pa.struct([*SPAN, pa.field("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("base"), pa.array(spans, kind)], names=["doc_id", "base", "spans"])
 

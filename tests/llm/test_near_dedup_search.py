@@ -294,3 +294,32 @@ def test_long_items_are_found_at_the_allowed_distance():
             text = [word() for _ in range(30)] + middle + [word() for _ in range(30)]
             found = D.matches([hashes.of(text)], D.Items.of([(k, " ".join(item))], D.RATE))[0]
             assert [m[0] for m in found] == [k] and found[0][1] <= d
+
+
+def test_the_queries_over_their_tables(shipped, sf_dir):
+    """op8, op9 and op10 as registered, against brute force over whole tables."""
+    read = lambda t: shipped.read.parquet(f"{sf_dir}/{t}.parquet")
+    docs = sorted((r["doc_id"], r["text"]) for r in read("documents").collect())
+    rows = sorted(N.op9_near_dedup(shipped, sf_dir).collect())
+    assert [r["class_id"] for r in rows] == [docs[k][0] for k in brute_classes([t for _, t in docs])]
+    assert {r["doc_id"] for r in rows if r["kept"]} == {r["class_id"] for r in rows}
+    items = [(r["item_id"], PLAIN.findall(r["text"].lower())) for r in read("benchmark").collect()]
+    want = set()
+    for i, t in docs:
+        w = PLAIN.findall((t or "").lower())
+        held = set(w)
+        want |= {(i, k) for k, item in items if sum(x in held for x in item) >= len(item) - D.allowed(len(item)) and levenshtein_window(item, w) <= D.allowed(len(item))}
+    got = {(r["doc_id"], r["item_id"]) for r in D.op10_decontaminate(shipped, sf_dir).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+    vectors = read("embeddings").orderBy("vec_id").collect()
+    ids, e = np.array([r["vec_id"] for r in vectors]), np.array([r["embedding"] for r in vectors], dtype=np.float64)
+    by: dict[int, list] = {}
+    for r in sorted(V.op8_vector_search(shipped, sf_dir).collect()):
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = e @ e[q]
+        s[q] = -np.inf
+        hits.append(len(set(by[ids[q]]) & set(ids[np.argsort(-s, kind="stable")[:20]].tolist())) / 20)
+        assert len(by[ids[q]]) == 20
+    assert np.mean(hits) >= 0.9

@@ -85,3 +85,59 @@ def test_candidates_of_the_format_are_added_and_base_spans_stay(docs_of):
         assert base <= {(s["kind"], s["start"], s["end"]) for s in r["spans"]}
     assert S.find(docs_of([])).count() == 0
     assert S.find(docs_of(["no secrets"]).withColumn("base", F.lit(1))).first()["spans"] == []
+
+
+def test_short_and_glued_credentials_are_scored_too(docs_of):
+    """Bare ones of 13 letters, and those behind `=`, `/` and a path: the part is found, not the run."""
+    rng = random.Random(9)
+    key = lambda: "zq" + "".join(rng.choice("BCDFGHJKLMNP") for _ in range(11))
+    words = lambda: " ".join(rng.choice(["internationality", "unquestionably", "straightforward", "see/also/the-appendix", "house"]) + str(rng.choice(["", "s"])) for _ in range(12))
+    keys = [key() for _ in range(3)]
+    bare = [f"é {keys[0]} .", f"export GH_PAT={keys[1]} x", f"at https://host/{keys[2]}/end"]
+    rows = {r["doc_id"]: r for r in S.find(docs_of([f"token = {key()} {words()}" for _ in range(150)] + bare)).collect()}
+    for i, k in enumerate(keys, 150):
+        assert [s["value"] for s in rows[i]["spans"] if s["kind"] == "format"] == [k]
+    assert not any(s["kind"] == "format" for i in range(150) for s in rows[i]["spans"])
+    assert all(s["score"] is not None for r in rows.values() for s in r["spans"])
+
+
+def test_the_secrets_query_against_the_patterns_written_out(shipped, sf_dir):
+    import hashlib
+    import re
+
+    patterns = (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))
+    text = {r["doc_id"]: r["text"] or "" for r in shipped.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = S.op7_secrets(shipped, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(text)
+    for r in rows:
+        spans = sorted((m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, p, g, n) in enumerate(patterns) for m in re.compile(p, re.ASCII).finditer(text[r["doc_id"]]) if len(m[g]) >= n)
+        assert r["base_sha256"] == hashlib.sha256(",".join(x[2] for x in spans).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[1] == k for x in spans) for k in range(3)]
+        assert {x[2] for x in spans} <= set(r["spans"].split(","))
+
+
+def test_the_quality_query_on_labels_that_it_has_not_seen(shipped, sf_dir):
+    import zlib
+
+    rows = {r["doc_id"]: r for r in Q.op3_quality(shipped, sf_dir).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in shipped.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    assert len(rows) == shipped.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7) for i, r in rows.items())
+    held = [i for i in labels if i in rows and rows[i]["held_out"]]
+    assert len(held) > 10 and sum(rows[i]["predicted"] == labels[i] for i in held) >= 0.8 * len(held)
+
+
+def test_clashing_names_and_very_long_texts(docs_of, spark):
+    texts, y = corpus(60, 3)
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int")
+    model = Q.train(docs_of(texts).selectExpr("*", "1 as quality", "2 as _id", "3 as _place"), labels)
+    docs = docs_of([*texts, texts[0] * 2000]).selectExpr("*", "1 as score", "2 as _text", "3 as body", "4 as predicted")
+    assert Q.score(docs, model, keep=("doc_id", "body")).count() == 61
+    try:
+        Q.score(docs, model, keep=("score",))
+        raise AssertionError
+    except ValueError:
+        pass
+    long = "x " * 300_000 + "token = abcdefghijklmnop"
+    found = S.find(docs_of([long]).selectExpr("*", "1 as spans", "2 as candidates")).first()
+    assert [(s["start"], s["end"]) for s in found["base"]] == [(600_000, len(long))]
