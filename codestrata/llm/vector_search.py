@@ -7,36 +7,43 @@ ranked by the exact inner product in double precision. Inner products are made a
 square root of the greatest squared norm less the vector's own, so that the nearest is the one with the largest product.
 
 ``fit`` takes a bounded sample of rows to find the typical distance and the least number of probes with which
-sampled queries reach ``recall`` against brute force over the sample. Every row is indexed; equal vectors are indexed
-once with their ``k + 1`` least ids, as no more can be among the nearest. A cell's rows are dealt in blocks of about
-``BLOCK`` rows over tasks, and each query meets the blocks of the cells that it probes, keeping its best k in a task.
+sampled queries reach ``recall`` against brute force over the sample; where no number of probes within ``REACH`` cells does, all
+queries are answered exactly. Every row is indexed; equal vectors are indexed once with their ``k + 1`` least ids, as no
+more can be among the nearest. Cells are dealt to parts by a hash of their number, those of very many rows in blocks. A query
+goes once to each part that holds cells of its list, with its vector and those cells' numbers, and keeps its best k there.
 A query whose cells held fewer than k candidates is answered exactly: it meets blocks of all rows.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, neither as query nor as candidate; rows of a repeated id and vector are one candidate; ties go to the smaller
-id; with fewer than k candidates all are returned; an empty table gives an empty result.
+Defined cases: vectors that are null, zero, of another length than most (of equally frequent lengths the shortest), or
+hold null or non-finite components take no part, neither as query nor as candidate, nor do rows without an id, which could
+neither be named nor ranked; rows of a repeated id and vector are one candidate; ties go to the smaller id; with fewer than
+k candidates all are returned; an empty table gives an empty result; columns other than the id and the vector are not read.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import product
+from itertools import pairwise, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import partitions, store, table
+from codestrata.llm.words import mix64
 
 TABLES, HASHES, WIDTH, REACH, BLOCK, SAMPLE, QUERIES, RECALL, SEED = 4, 4, 1.35, 3, 2048, 8000, 128, 0.97, 11
+#: Cells over BLOCK rows are known to all tasks: there are at most so many, as BLOCK grows with the rows.
+LARGE_CELLS, PART_BYTES = 1 << 16, 1 << 26
 
 
 @dataclass
 class Index:
-    """Projections, offsets, the greatest norm, the width of a cell, the typical deviation of a neighbour, the probes."""
+    """Projections, offsets, the greatest norm, the width of a cell, the typical deviation of a neighbour, the probes;
+    whole: probes do not reach the recall, so that queries meet all rows."""
 
     dim: int
     most: float
@@ -45,6 +52,7 @@ class Index:
     probes: int
     tables: int = TABLES
     hashes: int = HASHES
+    whole: bool = False
 
     def __post_init__(self):
         rng = np.random.default_rng(SEED)
@@ -95,20 +103,21 @@ def usable(vector: Column) -> Column:
 
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part."""
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    """vec_id and vector (floats stay floats, other numbers are doubles) of the rows that take part."""
+    kind = "array<float>" if dict(vectors.select(F.col(vector_col).alias("v")).dtypes)["v"] == "array<float>" else "array<double>"
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector")).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     sizes = v.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return v.filter(F.size("vector") == (sizes["n"] if sizes else 0))
 
 
 def _matrix(column) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
 def fit(rows: DataFrame, k: int, recall: float = RECALL) -> Index | None:
     """An index for ``clean`` rows, fitted on the SAMPLE rows with the least hashes of their ids."""
-    most = rows.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)).alias("m")).first()["m"]
+    most = rows.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))).alias("m")).first()["m"]
     if most is None:
         return None
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
@@ -132,11 +141,18 @@ def fit(rows: DataFrame, k: int, recall: float = RECALL) -> Index | None:
             at = {c: p for p, c in reversed(list(enumerate(probe.tolist())))}
             found[i] = np.minimum(found[i], [at.get(c, index.probes) for c in cells[top[i]].tolist()])
     flat = np.sort(found.ravel())
+    index.whole = (flat < index.probes).mean() < recall
     index.probes = min(index.probes, int(flat[min(len(flat) - 1, math.ceil(recall * len(flat)) - 1)]) + 1)
     return index
 
 
-_KEYED = "table int, cell long, block long, kind int, vec_id long, ids array<long>, vector array<double>"
+_ROW = "part int, phase int, code long, vec_id long, ids array<long>, codes array<long>, vector {0}"
+_BEST = "query_id long, best array<struct<nearness:double,vec_id:long>>"
+
+
+def _code(table_: int, cell: np.ndarray, block: np.ndarray | int) -> np.ndarray:
+    """A number for a block of a cell. Should two have the same, their queries meet a few rows more."""
+    return mix64(mix64(cell.view(np.uint64) + np.uint64(table_)) + np.asarray(block).astype(np.uint64) * np.uint64(2))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -147,103 +163,141 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | Non
     result = "query_id long, rank int, vec_id long, score double"
     if index is None:
         return spark.createDataFrame([], result)
+    kind = dict(rows.dtypes)["vector"]
     # Equal vectors once, with their k + 1 least ids (the limit is applied before and after the shuffle).
     one = W.partitionBy("vector").orderBy("vec_id")
     distinct = rows.distinct().withColumn("_r", F.row_number().over(one)).filter(F.col("_r") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    distinct = store(distinct, "vectors")
+    n, asked = distinct.count(), rows.filter(is_query).distinct()
+    n_asked = asked.count()
+    block = max(BLOCK, -(-n * index.tables // LARGE_CELLS))
+    parts = max(partitions(spark), -(-n_asked * index.tables * index.probes * (index.dim * 8 + 8) // PART_BYTES))
 
-    def place(batches):
+    def cells(batches):
         for b in batches:
             x = index.lifted(_matrix(b.column("vector")), False)
             for t in range(index.tables):
                 c = index.cell(np.floor(index.projected(x, t)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), t, np.int32)), pa.array(c), b.column("ids"), b.column("vector")], names=["table", "cell", "ids", "vector"])
-
-    placed = distinct.select("ids", "vector").mapInArrow(place, "table int, cell long, ids array<long>, vector array<double>")
-    sizes = placed.groupBy("table", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    none = F.lit(None)
-    stored = placed.join(sizes, ["table", "cell"]).select("table", "cell", F.pmod(F.xxhash64("ids"), F.col("blocks")).alias("block"), F.lit(0).alias("kind"), none.cast("long").alias("vec_id"), "ids", "vector")
-
-    def probe(batches):
-        """A row for each query and table with the cells to probe."""
-        for b in batches:
-            x = index.lifted(_matrix(b.column("vector")), True)
-            for t in range(index.tables):
-                cells = index.order(index.projected(x, t))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), b.column("vec_id"), b.column("vector"), pa.array(cells.tolist(), pa.list_(pa.int64()))], names=["table", "vec_id", "vector", "cells"])
-
-    queries = rows.filter(is_query).select("vec_id", "vector")
-    probes = queries.mapInArrow(probe, "table int, vec_id long, vector array<double>, cells array<long>")
-    asked = (
-        probes.withColumn("cell", F.explode("cells"))
-        .join(sizes, ["table", "cell"])
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("table", "cell", "block", F.lit(1).alias("kind"), "vec_id", none.cast("array<long>").alias("ids"), "vector")
-    )
-    keys = ["table", "cell", "block"]
-
-    def nearest(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.repartition(partitions(spark), *keys)
-            .sortWithinPartitions(*keys, "kind")
-            .mapInArrow(_rank(k), "query_id long, best array<struct<nearness:double,vec_id:long>>")
-            .groupBy("query_id")
-            .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
-        )
-
-    best = store(nearest(stored.union(asked)), "nearest")
-    full = best.filter(F.size("best") >= k)
-    short = queries.distinct().join(full.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    if short.head(1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), t, np.int32)), pa.array(c)], names=["table", "cell"])
+
+    def to_parts(df: DataFrame, f) -> DataFrame:
+        return df.mapInArrow(f, _ROW.format(kind))
+
+    def batch(n_rows: int, **columns) -> pa.RecordBatch:
+        types = {"part": pa.int32(), "phase": pa.int32(), "code": pa.int64(), "vec_id": pa.int64(), "ids": pa.list_(pa.int64()), "codes": pa.list_(pa.int64()), "vector": pa.list_(pa.float32() if kind == "array<float>" else pa.float64())}
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n_rows, t) for c, t in types.items()], names=list(types))
+
+    def nearest(pairs: DataFrame, n_parts: int) -> DataFrame:
+        ranked = pairs.repartitionById(n_parts, F.col("part")).sortWithinPartitions("phase", "code").mapInArrow(_rank(k), _BEST)
+        return ranked.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+
+    full, short = None, asked
+    if not index.whole:
+        large = distinct.select("vector").mapInArrow(cells, "table int, cell long").groupBy("table", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > block).collect()
+        blocks = [{r["cell"]: -(-r["n"] // block) for r in large if r["table"] == t} for t in range(index.tables)]
+
+        def place(batches):
+            """Each row in the block of its cell, for each table."""
+            for b in batches:
+                x = index.lifted(_matrix(b.column("vector")), False)
+                spread = mix64(pc.list_element(b.column("ids"), 0).to_numpy().view(np.uint64))
+                for t in range(index.tables):
+                    c = index.cell(np.floor(index.projected(x, t)))
+                    many = np.array([blocks[t].get(v, 1) for v in c.tolist()], dtype=np.uint64)
+                    code = _code(t, c, spread % many)
+                    yield batch(len(c), part=pa.array((code % np.uint64(parts)).astype(np.int32)), phase=pa.array(np.ones(len(c), np.int32)), code=pa.array(code.view(np.int64)), ids=b.column("ids"), vector=b.column("vector"))
+
+        def probe(batches):
+            """A row for each query and part: the cells of that part that it probes."""
+            for b in batches:
+                x = index.lifted(_matrix(b.column("vector")), True)
+                who, codes = [], []
+                for t in range(index.tables):
+                    c = index.order(index.projected(x, t))
+                    many = np.array([blocks[t].get(v, 1) for v in c.ravel().tolist()]) if blocks[t] else np.ones(c.size, np.int64)
+                    own = np.repeat(np.arange(c.size), many)
+                    who.append(own // c.shape[1])
+                    codes.append(_code(t, c.ravel()[own], np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)))
+                who, codes = np.concatenate(who), np.concatenate(codes)
+                part = (codes % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((codes, part, who))
+                who, codes, part = who[order], codes[order], part[order]
+                cut = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (part[1:] != part[:-1])])) if len(who) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([cut, [len(who)]]).astype(np.int32)), pa.array(codes.view(np.int64)))
+                yield batch(len(cut), part=pa.array(part[cut].astype(np.int32)), phase=pa.array(np.zeros(len(cut), np.int32)), vec_id=b.column("vec_id").take(pa.array(who[cut])), codes=lists, vector=b.column("vector").take(pa.array(who[cut])))
+
+        best = store(nearest(to_parts(distinct.select("ids", "vector"), place).union(to_parts(asked, probe)), parts), "nearest")
+        full = best.filter(F.size("best") >= k)
+        short = asked.join(full.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    if index.whole or short.head(1):
         # Blocks of all rows, whatever their cell.
-        blocks = -(-rows.count() // BLOCK)
-        whole = lambda df, block, kind, *rest: df.select(F.lit(-1).alias("table"), F.lit(0).cast("long").alias("cell"), block.cast("long").alias("block"), F.lit(kind).alias("kind"), *rest)
-        every = whole(distinct, F.pmod(F.xxhash64("ids"), F.lit(blocks)), 0, none.cast("long").alias("vec_id"), "ids", "vector")
-        again = whole(short.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), F.col("_block"), 1, "vec_id", none.cast("array<long>").alias("ids"), "vector")
-        best = full.union(nearest(every.union(again)))
+        every = -(-n // block)
+        no = lambda kind_: F.lit(None).cast(kind_)
+        zero, fixed = F.lit(0).cast("long"), lambda v: F.lit(v).cast("int")
+        all_rows = distinct.select(F.pmod(F.xxhash64("ids"), F.lit(every)).cast("int").alias("part"), fixed(1).alias("phase"), zero.alias("code"), no("long").alias("vec_id"), "ids", no("array<long>").alias("codes"), "vector")
+        again = short.withColumn("part", F.explode(F.sequence(fixed(0), fixed(every - 1)))).select("part", fixed(0).alias("phase"), no("long").alias("code"), "vec_id", no("array<long>").alias("ids"), F.array(zero).alias("codes"), "vector")
+        rest = nearest(all_rows.union(again), every)
+        best = full.union(rest) if full is not None else rest
     out = best.select("query_id", F.posexplode("best").alias("pos", "b"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), "b.vec_id", (-F.col("b.nearness")).alias("score"))
 
 
 def _rank(k: int):
     def run(batches):
-        """Queries against the block of their cell; the k best of each query so far are kept for the whole partition."""
+        """The queries of a part, then its cells' rows by code: each query's k best so far are kept for the whole part."""
         best: dict[int, list[tuple[float, int]]] = {}
-        now, x, ids = None, [], []
-        matrix = None
+        ids, vectors, codes = [], [], []
+        who = code_of = q = None
+        now, held, held_ids = None, [], []
+
+        def solve():
+            lo, hi = np.searchsorted(code_of, now, "left"), np.searchsorted(code_of, now, "right")
+            if lo == hi or not held_ids:
+                return
+            matrix = np.vstack(held)
+            slack = 4e-16 * matrix.shape[1] * np.sqrt((matrix * matrix).sum(axis=1).max())
+            for at in range(lo, hi, 256):
+                mine = who[at : min(hi, at + 256)]
+                score = q[mine] @ matrix.T
+                # The k-th best score bounds what can be among the k best; equal scores stay for the tie rule.
+                cut = np.partition(score, len(held_ids) - k - 1, axis=1)[:, len(held_ids) - k - 1] if len(held_ids) > k + 1 else np.full(len(mine), -np.inf)
+                for j, m in enumerate(mine.tolist()):
+                    me = ids[m]
+                    found = best.get(me, [])
+                    floor = max(cut[j], -found[k - 1][0]) if len(found) >= k else cut[j]
+                    near = np.flatnonzero(score[j] >= floor - slack * norms[m])
+                    new = [(-exact(q[m], matrix[c]), v) for c in near.tolist() for v in held_ids[c] if v != me]
+                    best[me] = sorted({*found, *new})[:k]
+
         for b in batches:
-            key = list(zip(*(b.column(c).to_pylist() for c in ("table", "cell", "block")), strict=True))
-            kind, own = b.column("kind").to_numpy(), b.column("vec_id").to_pylist()
-            idl, vec = b.column("ids").to_pylist(), _matrix(b.column("vector"))
-            lo = 0
-            while lo < len(key):
-                hi = lo
-                while hi < len(key) and key[hi] == key[lo] and kind[hi] == kind[lo]:
-                    hi += 1
-                if key[lo] != now:
-                    now, x, ids, matrix = key[lo], [], [], None
-                if kind[lo] == 0:
-                    x.append(vec[lo:hi])
-                    ids += idl[lo:hi]
-                elif ids:
-                    if matrix is None:
-                        matrix = np.vstack(x)
-                    for at in range(lo, hi, 256):
-                        q = vec[at : min(hi, at + 256)]
-                        score = np.einsum("qd,nd->qn", q, matrix) if len(matrix) * len(q) < 64 else q @ matrix.T
-                        # The k-th best score bounds what can be among the k best; equal scores stay for the tie rule.
-                        cut = np.partition(score, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1] if len(ids) > k + 1 else np.full(len(q), -np.inf)
-                        for j in range(len(q)):
-                            me = own[at + j]
-                            found = best.get(me, [])
-                            floor = max(cut[j], -found[k - 1][0]) if len(found) >= k else cut[j]
-                            for c in np.flatnonzero(score[j] >= floor - 1e-9):
-                                s = -exact(q[j], matrix[c])
-                                found = found + [(s, v) for v in ids[c] if v != me]
-                            best[me] = sorted(set(found))[:k]
-                lo = hi
+            first = int((b.column("phase").to_numpy() == 0).sum())
+            if first:
+                ids += b.column("vec_id").slice(0, first).to_pylist()
+                vectors.append(_matrix(b.column("vector").slice(0, first)))
+                codes.append(b.column("codes").slice(0, first))
+            if first == b.num_rows or not ids:
+                continue
+            if q is None:
+                q, lists = np.vstack(vectors), pa.chunked_array(codes).combine_chunks()
+                norms = np.sqrt((q * q).sum(axis=1))
+                code_of = lists.flatten().to_numpy()
+                who = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy())
+                order = np.argsort(code_of, kind="stable")
+                code_of, who = code_of[order], who[order]
+            code, x, idl = b.column("code").slice(first).to_numpy(), _matrix(b.column("vector").slice(first)), b.column("ids").slice(first).to_pylist()
+            ends = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)]]).tolist()
+            for lo, hi in pairwise(ends):
+                if code[lo] != now:
+                    if now is not None:
+                        solve()
+                    now, held, held_ids = code[lo], [], []
+                held.append(x[lo:hi])
+                held_ids += idl[lo:hi]
             if len(best) > 20_000:
                 yield _best_batch(best)
-                best = {}
+                best.clear()
+        if now is not None:
+            solve()
         yield _best_batch(best)
 
     return run

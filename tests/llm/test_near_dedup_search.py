@@ -283,6 +283,42 @@ def test_queries_whose_cells_hold_too_few_are_answered_whole(spark, shipped):
             assert len(x) > 20 or found == want
 
 
+def test_all_candidates_of_small_tables_and_far_neighbours(spark, shipped, monkeypatch):
+    """Two tight clusters of 2 to 25 rows in all; then a reach of no cells, which cannot give the recall."""
+    rng = np.random.default_rng(16)
+    for n in (2, 3, 19, 21, 25):
+        x = np.vstack([np.repeat(rng.normal(size=(1, 8)), n // 2, axis=0), np.repeat(rng.normal(size=(1, 8)), n - n // 2, axis=0)]) * 1000 + 0.01 * rng.normal(size=(n, 8))
+        df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+        by = {}
+        for r in V.search(df, F.col("vec_id") % 2 == 0).orderBy("query_id", "rank").collect():
+            by.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert all(len(by[q]) == min(20, n - 1) for q in range(0, n, 2)) and len(by) == (n + 1) // 2
+    monkeypatch.setattr(V, "REACH", 0)
+    monkeypatch.setattr(V, "BLOCK", 64)
+    x = rng.normal(size=(300, 32))
+    got = V.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), F.col("vec_id") < 3)
+    for q in range(3):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [r["vec_id"] for r in got.filter(F.col("query_id") == q).orderBy("rank").collect()] == np.argsort(-s)[:20].tolist()
+
+
+def test_cells_of_many_rows_are_met_block_by_block(spark, shipped, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 20)
+    rng = np.random.default_rng(17)
+    x = np.repeat(rng.normal(size=(3, 16)), 150, axis=0) + 0.02 * rng.normal(size=(450, 16))
+    df = spark.createDataFrame([(i, [float(c) for c in np.float32(v)]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    e, hits = np.float32(x).astype(np.float64), []
+    by = {}
+    for r in V.search(df, F.col("vec_id") % 20 == 0).collect():
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q, found in by.items():
+        s = e @ e[q]
+        s[q] = -np.inf
+        hits.append(len(set(found) & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert len(by) == 23 and np.mean(hits) >= 0.9
+
+
 def test_long_items_are_found_at_the_allowed_distance():
     rng, hashes = random.Random(13), WordHashes()
     word = lambda: "w%d" % rng.randrange(10**9)
