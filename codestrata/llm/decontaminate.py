@@ -5,19 +5,15 @@ Items and texts are compared as lower-case runs of letters and digits. A window
 
 CGK random walks turn edit distance into Hamming distance: a walk copies the word at its place and then goes on if a random
 bit of (walk, step, word) says so, so that two walks over texts that differ fall into step again behind an edit. Bit sampling
-reads a few coordinates of an embedding; equal samples make a candidate. This is done twice.
+reads a few coordinates of an embedding, and equal samples make a candidate. Here ``WALKS`` = 64 walks start at every word
+of the corpus and of every item, and the coordinates 0, 2 and 4 are sampled; samples of three different places count. As walks
+depend on the words alone, one pass serves the windows of items of all lengths, and the 64 repetitions are the bits of one
+number. Wherever three words in a row are left unedited, a walk samples just those with a probability of 1/4, so all 64
+miss with one of 1e-8; every match within the allowed edits has such a place, as ``floor(L / 5)`` edits leave a run of at least
+3 of L >= 8 words. Each candidate is the item-sized window that puts the equal samples over each other.
 
-1. ``seeds``: ``WALKS`` = 64 walks start at every word of the corpus and of every item, and the coordinates 0, 2 and 4 are
-   sampled; samples of three different places count. As walks depend on the words alone, one pass serves items of all
-   lengths, and the 64 walks are the bits of one number. Wherever three words in a row are left unedited, a walk
-   samples just those with a probability of 1/4, so all 64 miss with one of 1e-8; every match within the allowed edits has such
-   a place, as ``floor(L / 5)`` edits leave a run of at least 3 of L >= 8 words.
-2. ``sampled``: item-sized windows at the seeds' places, at every shift up to the allowed edits, are embedded whole, and
-   ``BITS`` coordinates of ``REPEATS`` walks are sampled. For items of up to ``FILTERED`` words that misses a match at the allowed
-   distance with a probability under a hundredth; for longer ones it does not, so all their windows are candidates.
-
-Windows whose surroundings lack too many of the item's words are left out before that (none of these can match). An exact
-edit distance between the item and the candidate's surroundings decides; all occurrences that do not overlap are reported.
+Windows whose surroundings lack too many of the item's words are left out (none of these can match). An exact edit
+distance between the item and the surroundings of the others decides; all occurrences that do not overlap are reported.
 
 The scan keeps rows where they are: one pass, no shuffle. Items are broadcast in slices of about ``SLICE`` characters; a
 larger benchmark takes several passes.
@@ -41,7 +37,7 @@ from pyspark.sql import functions as F
 from codestrata.llm.common import table
 from codestrata.llm.words import M1, PLAIN, STEP, WordHashes, mix64
 
-RATE, MIN_WORDS, WALKS, REPEATS, BITS, FILTERED, SLICE = 0.2, 8, 64, 24, 2, 60, 1 << 22
+RATE, MIN_WORDS, WALKS, SLICE = 0.2, 8, 64, 1 << 22
 MATCH = pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("item_words", pa.int32()), ("start_word", pa.int32()), ("end_word", pa.int32())])
 MATCH_SQL = "array<struct<item_id:long,distance:int,item_words:int,start_word:int,end_word:int>>"
 PAD = np.uint64(0)
@@ -77,14 +73,15 @@ def walkers(h: np.ndarray, at: np.ndarray, a: int, b: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Items as word hashes, an index of their walks' samples by key (key, item, place, walks), and samples of them whole."""
+    """Items as word hashes, hashes of all pairs of an item and a word of its, allowed edits and numbers of words, and an
+    index of their walks' samples (key, item, place, walks, sieve) by places."""
 
     ids: list[int]
     words: list[np.ndarray]
-    sorted_words: list[np.ndarray]
-    limits: list[int]
+    pairs: np.ndarray
+    limits: np.ndarray
+    sizes: np.ndarray
     index: dict[tuple, tuple[np.ndarray, ...]]
-    samples: list[np.ndarray | None]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], rate: float) -> Items:
@@ -112,8 +109,8 @@ class Items:
             sieve = np.zeros(1 << width, dtype=bool)
             sieve[(found[0] & np.uint64((1 << width) - 1)).astype(np.int64)] = True
             index[k] = (*(x[order] for x in found), sieve)
-        samples = [sampled(h[None, :], np.array([len(h)]), len(h))[0] if len(h) <= FILTERED else None for h in words]
-        return cls(ids, words, [np.sort(h) for h in words], [allowed(len(h), rate) for h in words], index, samples)
+        pairs = np.unique(mix64(every ^ mix64(item.astype(np.uint64) + STEP)))
+        return cls(ids, words, pairs, np.array([allowed(len(h), rate) for h in words], dtype=np.int64), size, index)
 
 
 def seeds(h: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,29 +133,6 @@ def seeds(h: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
 
 
-def coordinates(length: int) -> np.ndarray:
-    """The sampled coordinates (REPEATS, BITS) of an embedding of an item's length, in [0, 2 * length)."""
-    return np.random.default_rng(length).integers(0, max(1, 2 * length), (REPEATS, BITS))
-
-
-def sampled(windows: np.ndarray, lengths: np.ndarray, length: int) -> np.ndarray:
-    """CGK: each walk copies the word at its place and goes on if a random bit of (walk, step, word) says so.
-
-    windows: (n, m) word hashes; gives (n, REPEATS, BITS): the embedding's values at the sampled coordinates."""
-    at = coordinates(length)
-    n, m = windows.shape
-    place, out = np.zeros((n, REPEATS), dtype=np.int64), np.zeros((n, REPEATS, BITS), dtype=np.uint64)
-    rows, walks = np.arange(n)[:, None], mix64(np.arange(1, REPEATS + 1, dtype=np.uint64))
-    for j in range(int(at.max()) + 1):
-        now = np.where(place < lengths[:, None], windows[rows, np.minimum(place, m - 1)], PAD)
-        for b in range(BITS):
-            hit = at[:, b] == j
-            if hit.any():
-                out[:, hit, b] = now[:, hit]
-        place += (mix64(now + walks[None, :] * np.uint64(2 * j + 1)) >> np.uint64(37) & np.uint64(1)).astype(np.int64)
-    return out
-
-
 def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(distance, start, end) of the part of text nearest to item in edit distance; the first end of the nearest."""
     n = len(text)
@@ -177,38 +151,47 @@ def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
+def possible(h: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
+    """Which windows hold all but the allowed number of their item's words, within the allowed distance of them.
+
+    at: where the item would start; lo, hi: where the window's text begins and ends."""
+    d, size, out = items.limits[item], items.sizes[item], np.zeros(len(at), dtype=bool)
+    begin, end = np.maximum(at - d, lo), np.minimum(at + size + 2 * d, hi)
+    n = np.maximum(end - begin, 0)
+    total = np.cumsum(n)
+    first = 0
+    while first < len(at):  # about a million words at a time
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + (1 << 20), "right")))
+        m = n[first:last]
+        own = np.repeat(np.arange(last - first), m)
+        words = h[np.repeat(begin[first:last] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+        key = mix64(words ^ mix64(item[first:last].astype(np.uint64) + STEP)[own])
+        known = items.pairs[np.minimum(np.searchsorted(items.pairs, key), len(items.pairs) - 1)] == key
+        out[first:last] = np.bincount(own[known], minlength=last - first) >= (size - d)[first:last]
+        first = last
+    return out
+
+
 def occurrences(h: np.ndarray, item: int, starts: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
-    """(distance, start, end) of the item in a text, from the places where seeds let it start."""
-    words, d = items.words[item], items.limits[item]
-    size, last = len(words), max(0, len(h) - len(words))
-    # A match lies within d of its window, and holds all but d of the item's words.
-    ordered, lo = items.sorted_words[item], max(0, int(starts.min()) - d)
-    near = h[lo : int(starts.max()) + size + 2 * d]
-    known = ordered[np.minimum(np.searchsorted(ordered, near), size - 1)] == near
-    held = np.concatenate([[0], np.cumsum(known)])
-    edge = lambda x: held[np.clip(x - lo, 0, len(near))]
-    starts = starts[edge(starts + size + 2 * d) - edge(starts - d) >= size - d]
-    if not len(starts):
-        return []
-    s = np.unique(np.clip(starts[:, None] + np.arange(-d, d + 1)[None, :], 0, last))
-    out = []
-    for at in range(0, len(s), 2048):
-        part = s[at : at + 2048]
-        if items.samples[item] is not None:
-            windows = h[np.minimum(part[:, None] + np.arange(size)[None, :], len(h) - 1)]
-            part = part[(sampled(windows, np.minimum(size, len(h) - part), size) == items.samples[item][None]).all(axis=2).any(axis=1)]
-        done = -1
-        for w in part.tolist():
-            if min(len(h), w + size + d) <= done:  # inside a part that has been aligned
-                continue
-            done = min(len(h), w + size + 2 * d + 1)
-            open_ = [(max(0, w - d), done)]
-            while open_:
-                a, z = open_.pop()
-                cost, start, end = best_alignment(words, h[a:z])
-                if cost <= d:
-                    out.append((cost, a + start, a + end))
-                    open_ += [(x, y) for x, y in ((a, a + start), (a + end, z)) if y - x >= max(1, size - d) and (x, y) != (a, z)]
+    """(distance, start, end) of the item in a text, from the places (sorted) where seeds let it start."""
+    words, d = items.words[item], int(items.limits[item])
+    size, out = len(words), []
+    for s in starts.tolist():
+        if s >= 0 and np.array_equal(h[s : s + size], words):
+            out.append((0, s, s + size))
+    for _, s, _ in out:  # no other occurrence has a seed there that does not overlap this one
+        starts = starts[(starts <= s - size + 2 * d) | (starts >= s + size - d)]
+    while len(starts):
+        # A match lies within d of its seeds' places: those of one match are at most 2 * d apart.
+        together = int(np.searchsorted(starts, starts[0] + 2 * d, "right"))
+        open_ = [(max(0, int(starts[0]) - d), min(len(h), int(starts[together - 1]) + size + 2 * d))]
+        starts = starts[together:]
+        while open_:
+            a, z = open_.pop()
+            cost, start, end = best_alignment(words, h[a:z])
+            if cost <= d:
+                out.append((cost, a + start, a + end))
+                open_ += [(x, y) for x, y in ((a, a + start), (a + end, z)) if y - x >= max(1, size - d) and (x, y) != (a, z)]
     kept: list[tuple[int, int, int]] = []
     for m in sorted(set(out)):
         if all(m[2] <= k[1] or k[2] <= m[1] for k in kept):
@@ -222,15 +205,21 @@ def matches(texts: list[np.ndarray], items: Items) -> list[list[tuple[int, int,
     gap = np.full(8, GAP)
     size = np.array([len(t) + 8 for t in texts], dtype=np.int64)
     begin = np.cumsum(size) - size
-    at, item, start = seeds(np.concatenate([x for t in texts for x in (t, gap)]), items) if len(texts) else (np.zeros(0, np.int64),) * 3
+    if not texts or not items.ids:
+        return found
+    h = np.concatenate([x for t in texts for x in (t, gap)])
+    at, item, start = seeds(h, items)
     text = np.searchsorted(begin, at, "right") - 1
-    start = start - begin[text]
-    order = np.lexsort((start, item, text))
+    order = np.lexsort((start, item, text))  # a window once, of however many samples
     text, item, start = text[order], item[order], start[order]
+    once = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])])[: len(text)]
+    text, item, start = text[once], item[once], start[once]
+    good = possible(h, start, begin[text], begin[text] + size[text] - 8, item, items)
+    text, item, start = text[good], item[good], start[good] - begin[text[good]]
     cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])).tolist() if len(text) else []
     for lo, hi in pairwise([*cut, len(text)]):
         t, i = int(text[lo]), int(item[lo])
-        found[t] += [(items.ids[i], c, len(items.words[i]), s, e) for c, s, e in occurrences(texts[t], i, np.unique(start[lo:hi]), items)]
+        found[t] += [(items.ids[i], c, len(items.words[i]), s, e) for c, s, e in occurrences(texts[t], i, start[lo:hi], items)]
     return [sorted(f, key=lambda m: (m[0], m[3], m[1])) for f in found]
 
 
