@@ -104,7 +104,7 @@ def key_sieve(rows: DataFrame, key: Column, most: int = 28) -> np.ndarray:
     It has 32 bits a key, 2^16 at least and 2^``most`` at most (32 MB); beyond that it lets more through."""
     bits = min(most, max(16, (32 * rows.count()).bit_length()))
     slot = key.bitwiseAND(F.lit((1 << bits) - 1))
-    got = rows.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).toLocalIterator()
+    got = rows.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()  # 32 MB at most
     out = np.zeros((1 << bits) // 8 + 4096, dtype=np.uint8)
     for r in got:
         out[r["b"] * 4096 : r["b"] * 4096 + 4096] |= np.frombuffer(r["m"], dtype=np.uint8)

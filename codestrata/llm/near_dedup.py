@@ -213,7 +213,7 @@ def _exact(threshold: float):
 
 
 def linked(placed: DataFrame, sizes: DataFrame, run, scratch: Scratch) -> DataFrame:
-    """Edges (u, v, similarity) that ``run`` finds among the members of each group.
+    """(id, component) of the members of each group that edges tie which ``run`` finds among them.
 
     placed: group, id, what run needs, and of its group _n (members) and _size (the same, or more where they are large:
     a block holds a size of about BLOCK); sizes: group, _n, _size."""
@@ -231,7 +231,7 @@ def linked(placed: DataFrame, sizes: DataFrame, run, scratch: Scratch) -> DataFr
     edges = scratch.store(solve(dealt), "forest")
     large = placed.filter(parts > 1)
     if not sizes.filter(F.col("_size") > BLOCK).head(1):
-        return edges
+        return components(edges)
     # Members outside the largest component of a large group meet all of its members.
     tied = components(edges)
     large = scratch.store(large.join(tied, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "large")
@@ -239,7 +239,7 @@ def linked(placed: DataFrame, sizes: DataFrame, run, scratch: Scratch) -> DataFr
     most = per.groupBy("group").agg(F.max(F.struct("_c", "label")).alias("_m"), F.sum("_c").alias("_n")).select("group", "_n", F.col("_m.label").alias("_most"), (F.col("_n") - F.col("_m._c")).alias("_rest"))
     most = scratch.store(most.filter("_rest > 0"), "rest")
     if not most.head(1):
-        return edges
+        return tied
     other = spread_join(large.drop("_n"), most, ["group"], "_n", ["id"])
     # The rest is as heavy as its share of the group.
     slices = F.greatest(F.ceil(F.col("_rest") * F.col("_size") / F.col("_n") / BLOCK).cast("long"), F.lit(1).cast("long"))
@@ -248,7 +248,7 @@ def linked(placed: DataFrame, sizes: DataFrame, run, scratch: Scratch) -> DataFr
     own = other.withColumn("_b", F.explode(first(slices))).withColumn("block", cross(part(parts), F.col("_b")))
     outside = other.filter(is_rest).withColumn("_a", F.explode(first(parts))).withColumn("block", cross(F.col("_a"), part(slices)))
     more = scratch.store(solve(own.select("group", "block", "id", "label", *payload).union(outside.select("group", "block", "id", "label", *payload))), "forest-rest")
-    return edges.union(more)
+    return components(tied.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more.select("u", "v"))) if more.head(1) else tied
 
 
 def _family_shingles(docs: DataFrame, families: DataFrame, text_col: str) -> DataFrame:
@@ -285,7 +285,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, weighting: str = "log", id_
     buckets = scratch.store(rows.groupBy("group").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_size", F.col("_n")), "buckets")
     members = spread_join(rows, buckets, ["group"], "_n", ["id"]).join(texts.select("id", "sig", "unit"), "id")
     near = linked(members, buckets, _estimated, scratch)
-    families = components(near).select("id", F.col("component").alias("group"))
+    families = near.select("id", F.col("component").alias("group"))
     families = scratch.store(texts.select("id", "text_key").join(families, "id"), "families")
     classed = texts.select("text_key", "id", "doc_id", "text_copies")
     if families.head(1):
@@ -293,7 +293,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, weighting: str = "log", id_
         size = F.greatest(F.count("*"), F.ceil(F.sum(F.length("shingles") / 8) * BLOCK / F.lit(BLOCK_SHINGLES)))
         sizes = scratch.store(packed.groupBy("group").agg(F.count("*").alias("_n"), size.cast("long").alias("_size")).filter("_n > 1"), "sizes")
         exact = linked(spread_join(packed, sizes, ["group"], "_n", ["id"]), sizes, _exact(threshold), scratch)
-        classed = classed.join(components(exact), "id", "left").withColumn("class", F.coalesce("component", "id"))
+        classed = classed.join(exact, "id", "left").withColumn("class", F.coalesce("component", "id"))
     else:
         classed = classed.withColumn("class", F.col("id"))
     classed = scratch.store(classed.select("text_key", "doc_id", "text_copies", "class"), "classed")
