@@ -53,20 +53,23 @@ def cache_key(provider: Column, project: Column, iid: Column, sha: Column) -> Co
 
 
 def idempotency_key(path: Column, line: Column, kind: Column, snippet_hash: Column) -> Column:
-    return F.concat(path, F.lit(":"), line.cast("string"), F.lit("|"), kind, F.lit("#"), snippet_hash)
+    """A dash stands for the line, and nothing for the path, of what has none (files and the whole)."""
+    return F.concat(F.coalesce(path, F.lit("")), F.lit(":"), F.coalesce(line.cast("string"), F.lit("-")), F.lit("|"), kind, F.lit("#"), snippet_hash)
 
 
-SIMHASH_BITS = 60
+SIMHASH_BITS = 64
 
 
 def simhash_of(tokens) -> int:
-    """A bit for each of 60 hash bits (md5 of token trigrams): 1 where as many trigrams have it as not. Under 3 tokens: 0."""
+    """A bit for each of 64 hash bits (md5 of token trigrams): 1 where as many trigrams have it as not; a signed number.
+    Under 3 tokens: 0."""
     if len(tokens) < 3:
         return 0
     raw = b"".join(hashlib.md5(" ".join(tokens[i : i + 3]).encode()).digest()[:8] for i in range(len(tokens) - 2))
     h = np.frombuffer(raw, dtype=">u8").astype(np.uint64) >> np.uint64(64 - SIMHASH_BITS)
     votes = [int((h >> np.uint64(i) & np.uint64(1)).sum()) * 2 >= len(h) for i in range(SIMHASH_BITS)]
-    return sum(1 << i for i, v in enumerate(votes) if v)
+    found = sum(1 << i for i, v in enumerate(votes) if v)
+    return found - (1 << SIMHASH_BITS) if found >> (SIMHASH_BITS - 1) else found
 
 
 @F.pandas_udf(T.LongType())
@@ -75,7 +78,7 @@ def _simhash(tokens: pd.Series) -> pd.Series:
 
 
 def simhash(c: Column) -> Column:
-    """SimHash of a text's tokens; an Arrow UDF, as folding 60 counters by higher-order functions is a hundred times slower."""
+    """SimHash of a text's tokens; an Arrow UDF, as folding 64 counters by higher-order functions is a hundred times slower."""
     return _simhash(simhash_tokens(c))
 
 

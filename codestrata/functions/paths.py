@@ -140,13 +140,16 @@ def slashes_to_underscores(c: Column) -> Column:
 
 
 def origin(uri: Column) -> Column:
-    """sdk, package, local or unknown."""
-    return (
-        F.when(uri.startswith("dart:") | F.contains(uri, F.lit("/flutter/bin/cache/")) | F.contains(uri, F.lit("/dart-sdk/")), "sdk")
-        .when(uri.startswith("package:") | F.contains(uri, F.lit("/.pub-cache/")), "package")
-        .when(uri.startswith("file:") | uri.startswith("/") | uri.startswith("."), "local")
-        .otherwise("unknown")
-    )
+    """sdk, package, local (a file URI) or unknown."""
+    return F.when(uri.startswith("dart:"), "sdk").when(uri.startswith("package:"), "package").when(F.lower(uri).startswith("file:"), "local").otherwise("unknown")
+
+
+def target_path(uri: Column, root: Column) -> Column:
+    """A file URI inside the repository relative to it, one inside an SDK below ``flutter_sdk/``, any other as it is."""
+    path = F.when(F.lower(uri).startswith("file://"), F.url_decode(F.regexp_replace(uri, r"(?i)^file://[^/]*", "")))
+    sdk = F.regexp_extract(path, r"^(?:.*?/)flutter/((?:bin|packages)(?:/.*)?)$", 1)
+    inside = path.startswith(F.concat(F.regexp_replace(unix_path(root), "/+$", ""), F.lit("/")))
+    return F.when(inside, repo_relative(path, root)).when(sdk != "", F.concat(F.lit("flutter_sdk/"), sdk)).otherwise(uri)
 
 
 def import_target(uri: Column) -> Column:

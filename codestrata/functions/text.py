@@ -23,6 +23,10 @@ def rtrim_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+$", "")
 
 
+def ltrim_ws(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+", "")
+
+
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\s+$", ""), r"^\s+", "")
 
@@ -237,16 +241,19 @@ def excerpt(c: Column, most: int) -> Column:
     return F.left(F.concat(title, F.when(title != "", F.lit(" — ")).otherwise(""), rest), F.lit(most))
 
 
-#: Fixed value: calls that release something.
-CLEANUP_NAMES = ("dispose", "cancel", "close", "removeListener", "unsubscribe", "stop", "release", "free", "destroy")
+#: Fixed value: names of what releases something.
+CLEANUP_NAMES = ("dispose", "close", "finalize", "deinit", "__del__", "Drop", "free", "cancel", "unsubscribe")
 
 
 def returns_outline(c: Column, most: int = 6) -> Column:
-    return F.slice(F.regexp_extract_all(c, F.lit(r"(?m)^\s*(return\b[^\n;]*)"), 1), 1, most)
+    """``return`` with what follows it up to a semicolon or the line's end, wherever it stands, in any case."""
+    tails = F.regexp_extract_all(c, F.lit(r"(?i)\breturn\b([^\n;]*)"), 1)
+    return F.slice(F.transform(tails, lambda t: F.rtrim(F.concat(F.lit("return "), trim_ws(t)))), 1, most)
 
 
 def cleanup_like(c: Column) -> Column:
-    return F.filter(F.array(*[F.lit(n) for n in CLEANUP_NAMES]), lambda n: F.contains(c, F.concat(n, F.lit("("))))
+    """The names that stand in the text as words."""
+    return F.array_compact(F.array(*[F.when(c.rlike(rf"\b{n}\b"), F.lit(n)) for n in CLEANUP_NAMES]))
 
 
 def sanitize_line_mentions(c: Column, start: Column, end: Column) -> Column:

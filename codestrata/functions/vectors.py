@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,9 +38,9 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def confidence(body: Column, prompt_chars: Column, patch_stripped: Column) -> Column:
-    """0.6, more for code in the body and for long bodies, less for long prompts and lost patches, within 0 to 1."""
-    code = F.when(F.contains(body, F.lit("```")) | F.contains(body, F.lit("`")), 0.15).otherwise(0.0)
-    raw = 0.6 + code + F.when(F.char_length(body) > 300, 0.05).otherwise(0.0) - F.when(prompt_chars > 20000, 0.05).otherwise(0.0)
+    """0.6, more for code in the body and for over 300 bytes, less for long prompts and lost patches, within 0 to 1."""
+    code = F.when(F.contains(body, F.lit("```")) | F.contains(body, F.lit("::")) | F.contains(body, F.lit("()")), 0.15).otherwise(0.0)
+    raw = 0.6 + code + F.when(F.octet_length(body) > 300, 0.05).otherwise(0.0) - F.when(prompt_chars > 20000, 0.05).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw) - F.when(patch_stripped, 0.2).otherwise(0.0))
 
 
@@ -55,13 +57,34 @@ def rank_of(table: dict[str, int], c: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), F.lit(0))
 
 
-def initial_route(prompt_tokens: Column, target_kind: Column, span: Column) -> Column:
-    """fast or slow: slow for long prompts, whole symbols and spans of 80 lines or more."""
-    return F.when((prompt_tokens > 2500) | (target_kind == "symbol") | (F.coalesce(span, F.lit(0)) >= 80), "slow").otherwise("fast")
+@dataclass
+class Policy:
+    """When a slow model may be asked: at most ``most`` times, for findings of ``severity`` or above."""
+
+    enabled: bool = True
+    most: int = 40
+    severity: str = "Medium"
+    confidence: float = 0.7
+    long_prompt: int = 2500
+
+    def open(self, severity_rank: Column, used: Column) -> Column:
+        return F.lit(self.enabled) & (used < self.most) & (severity_rank >= SEVERITY_RANK[self.severity])
+
+
+def initial_route(prompt_tokens: Column, target_kind: Column, span: Column, used: Column | None = None, policy: Policy | None = None) -> Column:
+    """fast or slow: slow for long prompts, symbols and ranges of 80 lines or more, where the policy is open for the
+    severity to be expected (High for symbols and ranges of 60 lines or more, Medium for other ranges and lines)."""
+    policy, used = policy or Policy(), F.lit(0) if used is None else used
+    wide = lambda n: (target_kind == "range") & (F.coalesce(span, F.lit(0)) >= n)
+    expected = F.when((target_kind == "symbol") | wide(60), 3).when(target_kind.isin("range", "line"), 2).otherwise(1)
+    return F.when(policy.open(expected, used) & ((prompt_tokens > policy.long_prompt) | (target_kind == "symbol") | wide(80)), "slow").otherwise("fast")
 
 
-def should_escalate(route: Column, severity: Column, confidence_: Column) -> Column:
-    return (route == "fast") & (rank_of(SEVERITY_RANK, severity) >= 2) & (confidence_ < 0.7)
+def should_escalate(route: Column, severity: Column, confidence_: Column, prompt_tokens: Column | None = None, used: Column | None = None, policy: Policy | None = None) -> Column:
+    """After a fast answer: where the policy is open for its severity, if it has little confidence or a long prompt."""
+    policy, used = policy or Policy(), F.lit(0) if used is None else used
+    long = F.lit(False) if prompt_tokens is None else prompt_tokens > policy.long_prompt
+    return (route == "fast") & policy.open(rank_of(SEVERITY_RANK, severity), used) & ((confidence_ < policy.confidence) | long)
 
 
 def fetch_k(k: int) -> int:

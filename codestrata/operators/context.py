@@ -38,14 +38,16 @@ def primary_context(targets: DataFrame, files: DataFrame, pad: int = 20, near_to
 
 def code_facts(targets: DataFrame, files: DataFrame, spans: DataFrame, pad: int = 80, chunk_lines: int = 160) -> DataFrame:
     """targets (target_id, path, line): the enclosing scope (else ``pad`` lines each way), the chunk that holds the line, and
-    the scope's most frequent calls, returns and clean-up calls."""
+    the scope's most frequent calls and assigned names, its returns and clean-up names."""
     placed = I.smallest_enclosing(targets, spans, "path", "line", "target_id")
     scope = placed.join(spans.select("span_id", F.col("start").alias("_s"), F.col("end").alias("_e")), "span_id", "left")
     scope = scope.withColumn("scope_start", F.coalesce("_s", F.greatest(F.col("line") - pad, F.lit(1)))).withColumn("scope_end", F.coalesce("_e", F.col("line") + pad))
     d = scope.join(files.select("path", "text"), "path").withColumn("body", T.slice_lines(F.col("text"), F.col("scope_start"), F.col("scope_end")))
     facts = d.select("target_id", "scope_start", "scope_end", F.floor((F.col("line") - 1) / chunk_lines).cast("int").alias("chunk_index"), T.returns_outline(F.col("body")).alias("returns"), T.cleanup_like(F.col("body")).alias("cleanup"))
-    calls = X.top_calls(d, "target_id", "body").groupBy("target_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"]).alias("calls"))
-    return facts.join(calls, "target_id", "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<string>")))
+    listed = lambda df, name: df.groupBy("target_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"]).alias(name))
+    none = F.array().cast("array<string>")
+    facts = facts.join(listed(X.top_calls(d, "target_id", "body"), "calls"), "target_id", "left").join(listed(X.writes_in_scope(d, "target_id", "body"), "writes"), "target_id", "left")
+    return facts.withColumn("calls", F.coalesce("calls", none)).withColumn("writes", F.coalesce("writes", none))
 
 
 def enclosing_body(targets: DataFrame, files: DataFrame, spans: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,7 +108,15 @@ def types(c: Column) -> Column:
 
 
 def go_routes(c: Column, most: int = 128) -> Column:
-    return F.slice(F.array_distinct(F.concat(F.regexp_extract_all(c, F.lit(r"\.(?:go|push|replace)\(\s*['\"](/[^'\"]*)['\"]"), 1), F.regexp_extract_all(c, F.lit(r"\b(?:path|initialLocation)\s*:\s*['\"](/[^'\"]*)['\"]"), 1))), 1, most)
+    """What ``.go(`` calls name, sorted: up to the bracket, without quotes, beginning with /, of at most ``most`` bytes."""
+    parts = F.split(c, r"\.go\(")
+    inner = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.regexp_replace(T.trim_ws(F.substring_index(x, ")", 1)), r"^['\"]+|['\"]+$", ""))
+    return F.array_sort(F.array_distinct(F.filter(inner, lambda x: x.startswith("/") & (F.octet_length(x) <= most))))
+
+
+def config_routes(c: Column, most: int = 128) -> Column:
+    """Paths that a router's configuration names."""
+    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(r"\b(?:path|initialLocation)\s*:\s*['\"](/[^'\"]*)['\"]"), 1), lambda x: F.octet_length(x) <= most)))
 
 
 def graph_hints(imports: Column, identifiers: Column, routes: Column, is_widget: Column) -> Column:
@@ -128,41 +138,65 @@ def dedup_chunks(chunks: DataFrame) -> DataFrame:
     return once.withColumn("_r", F.row_number().over(w2)).filter("_r = 1").drop("_r")
 
 
-def flatten_symbols(docs: DataFrame, key: str, json_col: str, depth: int = 8) -> DataFrame:
-    """Nodes of document-symbol trees: name, first line of the detail and depth; children by repeated explosion."""
-    level = docs.select(key, F.explode(F.try_variant_get(F.try_parse_json(json_col), "$", "array<variant>")).alias("v")).withColumn("depth", F.lit(0))
-    out = None
-    for d in range(depth):
-        rows = level.select(key, F.try_variant_get("v", "$.name", "string").alias("name"), T.first_line(F.try_variant_get("v", "$.detail", "string"), 240).alias("detail"), F.try_variant_get("v", "$.range.start.line", "int").alias("start_line"), F.try_variant_get("v", "$.range.end.line", "int").alias("end_line"), "depth")
-        out = rows if out is None else out.unionByName(rows)
-        level = level.select(key, F.explode(F.try_variant_get("v", "$.children", "array<variant>")).alias("v"), F.lit(d + 1).alias("depth"))
-    return out
+def flatten_symbols(docs: DataFrame, key: str, json_col: str) -> DataFrame:
+    """Nodes of document-symbol trees: name, first line of the detail and depth; a recursive view, to any depth."""
+    spark = docs.sparkSession
+    view = f"symbols_{uuid.uuid4().hex}"
+    docs.select(F.col(key).alias("k"), F.explode(F.try_variant_get(F.try_parse_json(json_col), "$", "array<variant>")).alias("v")).select("k", F.to_json("v").alias("v")).createOrReplaceTempView(view)
+    rows = spark.sql(f"""WITH RECURSIVE t(k, v, depth) MAX RECURSION LEVEL 10000 AS (SELECT k, v, 0 FROM {view} UNION ALL
+        SELECT k, to_json(c.col), depth + 1 FROM t, LATERAL explode(try_variant_get(try_parse_json(v), '$.children', 'array<variant>')) AS c) SELECT k, depth, try_parse_json(v) AS v FROM t""")
+    return rows.select(F.col("k").alias(key), F.try_variant_get("v", "$.name", "string").alias("name"), T.first_line(F.try_variant_get("v", "$.detail", "string"), 240).alias("detail"), F.try_variant_get("v", "$.range.start.line", "int").alias("start_line"), F.try_variant_get("v", "$.range.end.line", "int").alias("end_line"), "depth")
 
 
-def import_like(c: Column) -> Column:
-    """A line that begins like an import."""
+#: How a line of imports begins or what it holds, and what shows that a text has imports.
+IMPORT_STARTS = ("import ", "include ", "#include", "using ", "use ", "require(", "from ")
+IMPORT_INSIDE = (" import ",)
+IMPORT_PROBES = ("import ", "#include", " include ", " using ", " from ", " require(", "\nuse ")
+
+
+def _any(tests: list[Column]) -> Column:
     out = F.lit(False)
-    for p in ("import ", "export ", "from ", "using ", "#include", "use ", "require(", "package "):
-        out = out | F.ltrim(c).startswith(p)
+    for t in tests:
+        out = out | t
     return out
 
 
+def import_like(c: Column) -> Column:
+    """A line that begins like an import, or holds the word."""
+    begin = T.ltrim_ws(c)
+    return _any([begin.startswith(p) for p in IMPORT_STARTS] + [F.contains(begin, F.lit(p)) for p in IMPORT_INSIDE])
+
+
 def contains_import_like(c: Column) -> Column:
-    out = F.lit(False)
-    for p in ("import ", "export ", "#include", "require(", "using ", "use ", "from "):
-        out = out | F.contains(c, F.lit(p))
-    return out
+    return _any([F.contains(c, F.lit(p)) for p in IMPORT_PROBES])
+
+
+def body_without_imports(c: Column) -> Column:
+    """The lines behind the second one that is no import, blank or comment, without those that look like imports."""
+    every = T.lines(c)
+    head = F.transform(every, lambda x: ~(contains_import_like(T.ltrim_ws(x)) | (T.trim_ws(x) == "") | T.ltrim_ws(x).rlike(r"^(//|#!|/\*)")))
+    at = F.filter(F.sequence(F.lit(1), F.size(every)), lambda i: F.element_at(head, i.cast("int")))
+    second = F.coalesce(F.get(at, F.lit(1)), F.size(every))
+    return F.array_join(F.filter(F.slice(every, second + 1, F.greatest(F.size(every) - second, F.lit(0))), lambda x: ~contains_import_like(T.ltrim_ws(x))), "\n")
+
 
+def unused_import_is_false(snippet: Column, full: Column) -> Column:
+    """Whether a symbol of the snippet's import lines (``12 | line`` or the line alone) is a token of the file's body."""
+    shown = F.transform(T.lines(snippet), lambda x: T.trim_ws(F.when(F.contains(x, F.lit("|")), F.regexp_replace(x, r"^[^|]*\|", "")).otherwise(x)))
+    names = F.flatten(F.transform(F.filter(shown, import_like), T.import_symbols))
+    return F.coalesce(F.arrays_overlap(names, F.regexp_extract_all(body_without_imports(full), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)(?:\W|$)"), 1)), F.lit(False))
 
-def unused_import_is_false(snippet: Column) -> Column:
-    """Whether a symbol of the import lines is a token of the other lines."""
-    every = T.lines(snippet)
-    names = F.flatten(F.transform(F.filter(every, import_like), T.import_symbols))
-    rest = F.array_join(F.filter(every, lambda x: ~import_like(x)), "\n")
-    return F.arrays_overlap(names, F.regexp_extract_all(rest, F.lit(r"(\w+)"), 1))
+
+def _most_frequent(df: DataFrame, key: str, text_col: str, pattern: str, k: int) -> DataFrame:
+    names = df.select(key, F.explode(F.regexp_extract_all(text_col, F.lit(pattern), 1)).alias("name")).groupBy(key, "name").agg(F.count("*").alias("n"))
+    return names.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "name"))).filter(F.col("rank") <= k)
+
+
+def writes_in_scope(df: DataFrame, key: str, text_col: str, k: int = 6) -> DataFrame:
+    """The k most frequent targets of assignments in each text, ties by name."""
+    return _most_frequent(df, key, text_col, r"(?m)\b([A-Za-z_][A-Za-z0-9_]*)\s*[\+\-\*/%]?=", k)
 
 
 def top_calls(df: DataFrame, key: str, text_col: str, k: int = 6) -> DataFrame:
     """The k most frequent call names of each text, ties by name."""
-    names = df.select(key, F.explode(F.regexp_extract_all(text_col, F.lit(r"([A-Za-z_]\w*)\s*\("), 1)).alias("name")).groupBy(key, "name").agg(F.count("*").alias("n"))
-    return names.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "name"))).filter(F.col("rank") <= k)
+    return _most_frequent(df, key, text_col, r"([A-Za-z_]\w*)\s*\(", k)

@@ -34,9 +34,9 @@ def parse_findings(raw: DataFrame, key: str = "target_id", raw_col: str = "raw",
 
 
 def heuristic(severity: Column, body: Column, start: Column, end: Column) -> Column:
-    """severity * 2000, 500 for a patch, a tenth of the length up to 600, less three a line up to 600."""
-    span = F.coalesce(end - start + 1, F.lit(0))
-    return rank_of(SEVERITY_RANK, severity) * 2000 + F.when(F.contains(body, F.lit("```diff")), 500).otherwise(0) + F.least(F.floor(F.char_length(body) / 10), F.lit(600)) - F.least(span * 3, F.lit(600))
+    """severity * 2000, 500 for a patch, a tenth of the bytes up to 600, less three a line up to 600; 600 without an anchor."""
+    span = F.when(start.isNull(), 9999).otherwise(F.greatest(F.coalesce(end, start) - start, F.lit(0)))
+    return rank_of(SEVERITY_RANK, severity) * 2000 + F.when(F.contains(body, F.lit("```diff")), 500).otherwise(0) + F.least(F.floor(F.octet_length(body) / 10), F.lit(600)) - F.least(span * 3, F.lit(600))
 
 
 def anchor_clusters(drafts: DataFrame, gap: int = 10) -> DataFrame:
@@ -114,9 +114,19 @@ def counts(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
     return rows.agg(*[F.count_if(F.col(column) == v).alias(v) for v in values])
 
 
-def to_markdown(severity: Column, title: Column, body: Column, patch: Column, key: Column) -> Column:
-    fence = F.when(patch.isNotNull(), F.concat(F.lit("\n\n```diff\n"), patch, F.lit("\n```")))
-    return F.concat(F.lit("**["), severity, F.lit("]** "), title, F.lit("\n\n"), body, F.coalesce(fence, F.lit("")), F.lit("\n\n<!-- review:key="), key, F.lit(" -->"))
+def to_markdown(title: Column, body: Column, patch: Column) -> Column:
+    """The title in bold, the body, and the patch, where there is one, in a fence."""
+    fence = F.when(patch.isNotNull(), F.concat(F.lit("\n```diff\n"), T.trim_ws(patch), F.lit("\n```\n"))).otherwise("")
+    return F.concat(F.lit("**"), T.trim_ws(title), F.lit("**\n\n"), T.trim_ws(body), F.lit("\n"), fence)
+
+
+def report_rows(drafts: DataFrame) -> DataFrame:
+    """A row for each draft (id, path, kind, line, start, end, snippet_hash, severity, body, confidence, prompt_tokens, escalated)."""
+    key = ids.idempotency_key(F.col("path"), F.col("line"), F.col("kind"), F.col("snippet_hash"))
+    return drafts.select(
+        "id", F.col("kind").alias("target_kind"), "path", F.col("start").alias("anchor_start"), F.col("end").alias("anchor_end"), "snippet_hash", key.alias("idempotency_key"), "severity", "confidence",
+        F.col("prompt_tokens").alias("prompt_len"), "escalated", F.octet_length("body").alias("body_len"),
+    )
 
 
 def anchor_ranges(ranges: Column) -> Column:

@@ -16,7 +16,7 @@ ID_KEYS, SNIPPET_KEYS, PATH_KEYS, VECTOR_KEYS = ["id", "uuid", "hash"], ["snippe
 def tags(kind: Column, path: Column) -> Column:
     """Kind tags, ``test`` and ``widget``."""
     k = F.lower(kind)
-    kind_tag = F.when(k == "class", "class").when(k.isin("function", "method"), "function").when(k.isin("variable", "field"), "variable").when(k == "import", "import").when(k == "export", "export").when(k == "file", "file")
+    kind_tag = F.when(k == "class", "class").when(k.isin("function", "method"), "function").when(k == "variable", "variable").when(k == "import", "import").when(k == "export", "export").when(k == "file", "file")
     return F.filter(F.array(kind_tag, F.when(F.contains(path, F.lit("/test/")), F.lit("test")), F.when(F.contains(path, F.lit("widget")), F.lit("widget"))), lambda t: t.isNotNull())
 
 

@@ -162,11 +162,12 @@ def unpublished(spark, d):
     return publish_plan(spark, d).filter("action = 'create'").drop("action")
 
 
-@query("SELECT conv_id, turn, round(greatest(0.0, least(1.0, 0.6::DOUBLE + CASE WHEN contains(text, '`') THEN 0.15 ELSE 0 END + CASE WHEN length(text) > 300 THEN 0.05 ELSE 0 END - CASE WHEN conv_id * 900 > 20000 THEN 0.05 ELSE 0 END) - CASE WHEN turn % 2 = 1 THEN 0.2 ELSE 0 END), 6)::DOUBLE AS confidence, CASE WHEN conv_id * 20 > 2500 OR turn % 5 = 0 OR turn * 30 >= 80 THEN 'slow' ELSE 'fast' END AS route, floor(length(text) / 4)::BIGINT AS tokens FROM conversations")
+@query("SELECT conv_id, turn, round(greatest(0.0, least(1.0, 0.6::DOUBLE + CASE WHEN contains(text, '```') OR contains(text, '::') OR contains(text, '()') THEN 0.15 ELSE 0 END + CASE WHEN strlen(text) > 300 THEN 0.05 ELSE 0 END - CASE WHEN conv_id * 900 > 20000 THEN 0.05 ELSE 0 END) - CASE WHEN turn % 2 = 1 THEN 0.2 ELSE 0 END), 6)::DOUBLE AS confidence, CASE WHEN turn % 5 <> 4 AND conv_id % 50 < 40 AND (conv_id * 20 > 2500 OR turn % 5 = 0 OR turn % 5 IN (1, 2) AND turn * 30 >= 80) THEN 'slow' ELSE 'fast' END AS route, floor(length(text) / 4)::BIGINT AS tokens FROM conversations")
 def confidence_and_route(spark, d):
     n, t = F.col("conv_id"), F.col("turn")
+    kind = F.when(t % 5 == 0, "symbol").when(t % 5 == 3, "line").when(t % 5 == 4, "file").otherwise("range")
     c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", F.round(V.confidence(F.col("text"), n * 900, t % 2 == 1), 6).alias("confidence"), V.initial_route(n * 20, F.when(t % 5 == 0, "symbol").otherwise("range"), t * 30).alias("route"), V.approx_tokens(F.col("text")).alias("tokens"))
+    return c.select("conv_id", "turn", F.round(V.confidence(F.col("text"), n * 900, t % 2 == 1), 6).alias("confidence"), V.initial_route(n * 20, kind, t * 30, n % 50).alias("route"), V.approx_tokens(F.col("text")).alias("tokens"))
 
 
 @query("SELECT count(*) FILTER (role = 'user') AS \"user\", count(*) FILTER (role = 'assistant') AS assistant FROM conversations")

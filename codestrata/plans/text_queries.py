@@ -154,9 +154,9 @@ def record_ids(spark, d):
 
 @query(
     r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 3) AS t FROM documents),
-g AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: ('0x' || left(md5(t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]), 15))::BIGINT)) AS h FROM t WHERE len(t) >= 3),
-b AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM g CROSS JOIN (SELECT unnest(range(60)) AS i) GROUP BY doc_id, i),
-s AS (SELECT doc_id, sum(CASE WHEN v >= 0 THEN 1::BIGINT << i ELSE 0 END)::BIGINT AS simhash FROM b GROUP BY doc_id)
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: ('0x' || left(md5(t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]), 16))::UBIGINT)) AS h FROM t WHERE len(t) >= 3),
+b AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1::UBIGINT = 1 THEN 1 ELSE -1 END) AS v FROM g CROSS JOIN (SELECT unnest(range(64))::UBIGINT AS i) GROUP BY doc_id, i),
+s AS (SELECT doc_id, sum(CASE WHEN v >= 0 THEN CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::UBIGINT << i)::HUGEINT END ELSE 0::HUGEINT END)::BIGINT AS simhash FROM b GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(simhash, 0) AS simhash FROM documents LEFT JOIN s USING (doc_id)"""
 )
 def simhash(spark, d):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,17 +24,20 @@ def scan_repo(spark: SparkSession, root: str, ignore: list[str] | None = None, g
 
 
 #: What the project scan takes and leaves.
-CODE_EXTENSIONS = ("dart", "rs", "ts", "tsx", "js", "jsx", "py", "kt", "swift")
-CONFIG_EXTENSIONS = ("yaml", "yml", "json", "toml", "md", "gradle", "xml", "plist", "properties")
-EXCLUDED_DIRS = (".git", ".dart_tool", "build", "node_modules", "target", ".idea", ".vscode", "ios/Pods", "dist")
+CODE_EXTENSIONS = ("dart", "kt", "kts", "swift", "ts", "tsx", "js", "jsx", "java")
+CONFIG_EXTENSIONS = ("yaml", "yml", "json", "arb", "xml", "plist", "toml", "gradle", "properties")
+EXCLUDED_DIRS = (".git", ".dart_tool", ".fvm", ".idea", ".ide", ".vscode", "build", "Pods", ".gradle")
+GENERATED_ENDS = (".g.dart", ".freezed.dart", ".gr.dart", "flutter_app_icons.dart")
 
 
 def scan_project(files: DataFrame) -> DataFrame:
-    """Rows of ``files`` (path) with an allowed extension, outside excluded folders, not generated."""
+    """Rows of ``files`` (path) with an allowed extension (as written), outside excluded folders, not generated."""
     p = P.unix_path(F.col("path"))
-    ok = F.lower(P.extension(p)).isin(*CODE_EXTENSIONS, *CONFIG_EXTENSIONS) & ~P.looks_generated(p, folders=False) & ~p.endswith("flutter_app_icons.dart")
+    ok = F.regexp_extract(p, r"[^/]\.([^./]*)$", 1).isin(*CODE_EXTENSIONS, *CONFIG_EXTENSIONS)
+    for e in GENERATED_ENDS:
+        ok = ok & ~p.endswith(e)
     for d in EXCLUDED_DIRS:
-        ok = ok & ~F.contains(F.concat(F.lit("/"), p), F.lit(f"/{d}/"))
+        ok = ok & ~F.contains(F.concat(F.lit("/"), p, F.lit("/")), F.lit(f"/{d}/"))
     return files.filter(ok)
 
 
@@ -102,24 +106,37 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A single text file is the format: ranges are sorted in parallel, then written in order."""
-    graphml_lines(nodes, edges).orderBy("part", "pos").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """A single text file is the format, so that one task sorts and writes it."""
+    graphml_lines(nodes, edges).coalesce(1).sortWithinPartitions("part", "pos").select("line").write.mode("overwrite").text(path)
 
 
-def upsert(batch: DataFrame, path: str, key: str = "id") -> None:
-    """Idempotent: rows of ``batch`` replace rows of the table at ``path`` by key, written to a new version beside it."""
+def upsert(batch: DataFrame, path: str, key: str = "id", order: Column | None = None) -> None:
+    """Idempotent: rows of ``batch`` replace rows of the table at ``path`` by key, null being a key like any other.
+
+    Of several rows of a key the last by ``order`` stays (by all columns, where it is not given). The new version is written
+    whole beside the table; the old one steps aside before it takes its place, and a table that an earlier run left aside
+    is put back first, so that a crash loses nothing."""
     spark = batch.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    batch = batch.dropDuplicates([key])
-    if not fs.exists(jpath):
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    here, new, aside = of(path), of(f"{path}.new"), of(f"{path}.old")
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(aside):
+        if fs.exists(here):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, here)
+    last = [order.desc()] if order is not None else [F.to_json(F.struct(*batch.columns)).desc()]
+    batch = batch.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*last))).filter("_r = 1").drop("_r")
+    if not fs.exists(here):
         batch.write.parquet(path)
         return
-    old = spark.read.parquet(path).join(batch.select(key), key, "left_anti")
-    new = f"{path}.new"
-    old.unionByName(batch, allowMissingColumns=True).write.mode("overwrite").parquet(new)
-    fs.delete(jpath, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(new), jpath)
+    old = spark.read.parquet(path)
+    keys = batch.select(F.col(key).alias("_key"))
+    kept = old.join(keys, old[key].eqNullSafe(F.col("_key")), "left_anti")
+    kept.unionByName(batch, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}.new")
+    fs.rename(here, aside)
+    fs.rename(new, here)
+    fs.delete(aside, True)
 
 
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:

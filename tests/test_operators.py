@@ -86,7 +86,7 @@ def drafts_in_python(rows):
                 for r in sorted(r for r in c if theme(r[5]) == th):
                     if all(bin(simhash_of(toks(r[5])) ^ simhash_of(toks(k[5]))).count("1") > 5 for k in kept):
                         kept.append(r)
-                value = lambda r: SEVERITY_RANK[r[4]] * 2000 + (500 if "```diff" in r[5] else 0) + min(len(r[5]) // 10, 600) - min(3 * (r[3] - r[2] + 1) if r[2] is not None else 0, 600)
+                value = lambda r: SEVERITY_RANK[r[4]] * 2000 + (500 if "```diff" in r[5] else 0) + min(len(r[5].encode()) // 10, 600) - min(3 * (r[3] - r[2] if r[2] is not None else 9999), 600)
                 out.append(max(kept, key=lambda r: (value(r), -r[0]))[0])
     return sorted(out)
 
@@ -128,7 +128,7 @@ def test_extraction(spark):
     assert docs["doc"] == "A page.\nOf two lines."
     nodes = extract.ast_nodes(f)
     assert nodes.filter("kind = 'file'").count() == 1 and nodes.select("symbol_id").distinct().count() == nodes.count()
-    one = f.select(extract.go_routes(F.lit("x.go('/a'); path: '/b'")).alias("r"), extract.is_widget(F.col("text")).alias("w"), extract.unused_import_is_false(F.lit("import {a} from 'x'\nuse(a)")).alias("u")).first()
+    one = f.select(F.concat(extract.go_routes(F.lit("x.go('/a'); path: '/b'")), extract.config_routes(F.lit("x.go('/a'); path: '/b'"))).alias("r"), extract.is_widget(F.col("text")).alias("w"), extract.unused_import_is_false(F.lit("import {a} from 'x'"), F.lit("import {a} from 'x'\nx\ny\nuse(a)")).alias("u")).first()
     assert one["r"] == ["/a", "/b"] and one["w"] and one["u"]
     tree = '[{"name": "A", "detail": "d1\\nd2", "range": {"start": {"line": 1}, "end": {"line": 9}}, "children": [{"name": "b", "range": {"start": {"line": 2}, "end": {"line": 3}}}]}]'
     flat = extract.flatten_symbols(spark.createDataFrame([(1, tree)], "k int, j string"), "k", "j").collect()
@@ -189,7 +189,7 @@ def test_embedding_provider(spark):
     got = {r["text"]: r["embedding"] for r in records.embed_missing(rows, records.hashing_embedder(8)).collect()}
     assert sum(got["a b a"]) == 3 and got["c"] == [1.0, 2.0]
     always = records.embed_missing(rows, records.hashing_embedder(8), "provider_only").filter("text = 'c'").first()
-    assert sum(always["embedding"]) == 1 and ids.SIMHASH_BITS == 60
+    assert sum(always["embedding"]) == 1 and ids.SIMHASH_BITS == 64
 
 
 def test_plans_push_down_and_do_not_shuffle(spark, sf_dir):
