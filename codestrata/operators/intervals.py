@@ -36,20 +36,38 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, key: str, point: str
 
 def siblings(target: DataFrame, symbols: DataFrame, most: int = 12) -> DataFrame:
     """target (path, span_id, start, end): other symbols inside, by start, at most 12 for each."""
-    t = target.select("path", F.col("span_id").alias("target_id"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = symbols.join(t, "path").filter((F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")) & (F.col("span_id") != F.col("target_id")))
-    return inside.withColumn("ord", F.row_number().over(W.partitionBy("target_id").orderBy("start", "span_id"))).filter(F.col("ord") <= most).drop("_s", "_e")
+    t = target.select("path", F.col("span_id").alias("target_id"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(cells(F.col("start"), F.col("end"))).alias("_cell"))
+    inside = symbols.withColumn("_cell", F.floor(F.col("start") / CELL)).join(t, ["path", "_cell"]).filter((F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")) & (F.col("span_id") != F.col("target_id")))
+    return inside.withColumn("ord", F.row_number().over(W.partitionBy("target_id").orderBy("start", "span_id"))).filter(F.col("ord") <= most).drop("_s", "_e", "_cell")
 
 
 def best_overlap(chunks: DataFrame, symbols: DataFrame, key: str, epsilon: int = 1) -> DataFrame:
-    """chunks (chunk_id, start, end) with the symbol of most overlap (touching counts as ``epsilon``), else the nearest by gap."""
+    """chunks (chunk_id, start, end) with the symbol of most overlap (touching counts as ``epsilon``), else the nearest by gap.
+
+    What may overlap meets on cells. For the other chunks the nearest symbols before and behind them come from one sorted
+    pass over each file's symbols and chunks."""
     s = symbols.filter(F.col("end") >= F.col("start")).select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), "symbol_id")
-    pair = chunks.join(s, F.col(key) == F.col("_k"), "left")
+    c = chunks.select("chunk_id", F.col(key).alias("_k"), "start", "end")
+    met = c.withColumn("_c", F.explode(cells(F.col("start"), F.col("end")))).join(s.withColumn("_c", F.explode(cells(F.col("_s"), F.col("_e")))), ["_k", "_c"])
     overlap = F.least("end", "_e") - F.greatest("start", "_s")
-    weight = F.when(overlap > 0, overlap).when(overlap == 0, epsilon).otherwise(0)
-    pair = pair.withColumn("overlap", weight).withColumn("gap", F.greatest(F.lit(0), -overlap))
-    order = F.struct((-F.col("overlap")).alias("o"), F.col("gap").alias("g"), F.col("_s").alias("s"), F.col("symbol_id").alias("i"))
-    return pair.groupBy("chunk_id").agg(F.min(order).alias("b")).select("chunk_id", F.col("b.i").alias("symbol_id"), (-F.col("b.o")).alias("overlap"), F.col("b.g").alias("gap"))
+    met = met.withColumn("o", F.when(overlap > 0, overlap).when(overlap == 0, epsilon)).filter("o is not null")
+    best = met.groupBy("chunk_id").agg(F.min(F.struct((-F.col("o")).alias("o"), F.lit(0).cast("bigint").alias("g"), F.col("_s").cast("bigint").alias("s"), F.col("symbol_id").alias("i"))).alias("b"))
+    rest = c.join(best.select("chunk_id"), "chunk_id", "left_anti")
+    # A symbol ends before the chunk begins, or begins behind its end: the nearest of each kind, of equal ones the first.
+    symbol = F.struct(F.col("_s").cast("bigint").alias("s"), F.col("symbol_id").alias("i"))
+    none = F.lit(None).cast(s.select(symbol.alias("x")).schema["x"].dataType)
+    ends = s.groupBy("_k", F.col("_e").alias("at")).agg(F.min(symbol).alias("x")).select("_k", "at", "x", F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"))
+    starts = s.groupBy("_k", F.col("_s").alias("at")).agg(F.min(symbol).alias("x")).select("_k", "at", "x", F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"))
+    asked = lambda at: rest.select("_k", F.col(at).alias("at"), none.alias("x"), "chunk_id")
+    found = F.struct("x", "at")
+    before = W.partitionBy("_k").orderBy("at", F.col("chunk_id").isNull()).rowsBetween(W.unboundedPreceding, -1)
+    behind = W.partitionBy("_k").orderBy("at", F.col("chunk_id").isNotNull()).rowsBetween(1, W.unboundedFollowing)
+    left = ends.union(asked("start")).withColumn("f", F.last(F.when(F.col("x").isNotNull(), found), True).over(before)).filter("chunk_id is not null").select("chunk_id", "f", (F.col("at") - F.col("f.at")).cast("bigint").alias("g"))
+    right = starts.union(asked("end")).withColumn("f", F.first(F.when(F.col("x").isNotNull(), found), True).over(behind)).filter("chunk_id is not null").select("chunk_id", "f", (F.col("f.at") - F.col("at")).cast("bigint").alias("g"))
+    near = left.union(right).filter("f is not null").groupBy("chunk_id").agg(F.min(F.struct(F.lit(0).alias("o"), F.col("g").alias("g"), F.col("f.x.s").alias("s"), F.col("f.x.i").alias("i"))).alias("b"))
+    out = lambda df: df.select("chunk_id", F.col("b.i").alias("symbol_id"), (-F.col("b.o")).alias("overlap"), F.col("b.g").alias("gap"))
+    every = out(best).union(out(near))
+    return chunks.select("chunk_id").join(every, "chunk_id", "left")
 
 
 def clusters(rows: DataFrame, key: list[str], value: str, gap: int, name: str = "cluster", tie: list[str] | None = None) -> DataFrame:
@@ -66,17 +84,17 @@ def within_any(start: Column, end: Column, ranges: Column) -> Column:
 
 def first_in_range(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """ranges (range_id, start, end) with the least ``line`` of points in them."""
-    hit = ranges.join(points.select(F.col(key).alias("_k"), "line"), (F.col(key) == F.col("_k")) & F.col("line").between(F.col("start"), F.col("end")), "left")
-    return hit.groupBy("range_id").agg(F.min("line").alias("line"))
+    r = ranges.select("range_id", F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(cells(F.col("start"), F.col("end"))).alias("_c"))
+    p = points.select(F.col(key).alias("_k"), "line", F.floor(F.col("line") / CELL).alias("_c"))
+    hit = r.join(p, ["_k", "_c"]).filter(F.col("line").between(F.col("_s"), F.col("_e"))).groupBy("range_id").agg(F.min("line").alias("line"))
+    return ranges.select("range_id").join(hit, "range_id", "left")
 
 
 def anti_overlapping(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``new`` that share no key with a span of ``old`` that they overlap."""
-    o = old.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("start").alias("_s"), F.col("end").alias("_e"))
-    same = F.lit(True)
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return new.join(o, same & (F.col("start") <= F.col("_e")) & (F.col("_s") <= F.col("end")), "left_anti")
+    """Rows of ``new`` that share no key (null is a key too) with a span of ``old`` that they overlap."""
+    of = lambda df, s, e: df.select(F.to_json(F.struct(*key)).alias("_k"), F.col("start").alias(s), F.col("end").alias(e), F.explode(cells(F.col("start"), F.col("end"))).alias("_c"))
+    met = of(new, "_s", "_e").join(of(old, "_s2", "_e2"), ["_k", "_c"]).filter((F.col("_s") <= F.col("_e2")) & (F.col("_s2") <= F.col("_e"))).select("_k", "_s", "_e").distinct()
+    return new.join(met, (F.to_json(F.struct(*key)) == F.col("_k")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")), "left_anti")
 
 
 def prev_next(rows: DataFrame, key: str, order: str, id_col: str) -> DataFrame:

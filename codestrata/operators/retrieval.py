@@ -176,7 +176,7 @@ def expand_neighbors(selected: DataFrame, index: DataFrame, k: int, floor: float
 
     An equi-join on source, then a limit within each seed; never all pairs of the index."""
     seeds = selected.filter(F.col("score") >= floor).select(F.col("id").alias("seed"), F.col("source").alias("_source"), F.col(vector_col).alias("_v"))
-    near = index.join(F.broadcast(seeds), F.col("source") == F.col("_source")).filter("id != seed").withColumn("score", F.round(V.cosine(F.col(vector_col), F.col("_v")), 6))
+    near = index.join(seeds, F.col("source") == F.col("_source")).filter("id != seed").withColumn("score", F.round(V.cosine(F.col(vector_col), F.col("_v")), 6))
     near = near.withColumn("_r", F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "id"))).filter(F.col("_r") <= k)
     both = selected.select("id", "source", "fqn", "text", "score").unionByName(near.select("id", "source", "fqn", "text", "score"))
     once = both.withColumn("_r", F.row_number().over(W.partitionBy("source", "fqn", "text").orderBy(F.desc("score"), "id"))).filter("_r = 1").drop("_r")

@@ -9,14 +9,14 @@ from codestrata.operators import graph as G
 from codestrata.operators import records as M
 from codestrata.plans.registry import query, table
 
-# Nodes: 60 customers' files with their orders as members; 20 of the files import or export one another.
-_NODES = """nodes AS (SELECT 'f' || c_custkey AS id, 'file' AS kind, 'n' || c_nationkey || '/c' || c_custkey || '.dart' AS name, 'n' || c_nationkey || '/c' || c_custkey || '.dart' AS file, NULL::VARCHAR AS target FROM customer WHERE c_custkey <= 120
- UNION ALL SELECT 'o' || o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'method' ELSE 'function' END, 'o' || o_orderkey, 'n' || c_nationkey || '/c' || c_custkey || '.dart', NULL::VARCHAR FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey <= 120
- UNION ALL SELECT 'i' || a.c_custkey || '-' || b.c_custkey, CASE b.c_custkey % 2 WHEN 0 THEN 'import' ELSE 'export' END, 'c' || b.c_custkey || '.dart', 'n' || a.c_nationkey || '/c' || a.c_custkey || '.dart', 'n' || b.c_nationkey || '/c' || b.c_custkey || '.dart' FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey % 40 + 1 OR b.c_custkey = a.c_custkey % 17 + 2 WHERE a.c_custkey <= 120)"""
+# Nodes: customers' files with their orders as members; each imports or exports two of the first.
+_NODES = """nodes AS (SELECT 'f' || c_custkey AS id, 'file' AS kind, 'n' || c_nationkey || '/c' || c_custkey || '.dart' AS name, 'n' || c_nationkey || '/c' || c_custkey || '.dart' AS file, NULL::VARCHAR AS target FROM customer
+ UNION ALL SELECT 'o' || o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'method' ELSE 'function' END, 'o' || o_orderkey, 'n' || c_nationkey || '/c' || c_custkey || '.dart', NULL::VARCHAR FROM orders JOIN customer ON o_custkey = c_custkey
+ UNION ALL SELECT 'i' || a.c_custkey || '-' || b.c_custkey, CASE b.c_custkey % 2 WHEN 0 THEN 'import' ELSE 'export' END, 'c' || b.c_custkey || '.dart', 'n' || a.c_nationkey || '/c' || a.c_custkey || '.dart', 'n' || b.c_nationkey || '/c' || b.c_custkey || '.dart' FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey % 40 + 1 OR b.c_custkey = a.c_custkey % 17 + 2)"""
 
 
 def _nodes(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey <= 120")
+    c = table(spark, d, "customer")
     name = lambda n, k: F.concat(F.lit("n"), n.cast("string"), F.lit("/c"), k.cast("string"), F.lit(".dart"))
     file = name(F.col("c_nationkey"), F.col("c_custkey"))
     none = F.lit(None).cast("string")
@@ -57,11 +57,11 @@ def imports_via_export(spark, d):
     return G.imports_via_export(G.import_edges(_nodes(spark, d)))
 
 
-@query("WITH c AS (SELECT o_orderkey AS id, o_custkey % 50 AS file, o_orderpriority AS sig, split_part(o_orderpriority, '-', 2) AS name FROM orders WHERE o_orderkey <= 800) SELECT a.id AS src, b.id AS dst, 'calls' AS label FROM c a JOIN c b ON a.file = b.file AND a.id <> b.id AND b.name <> '' AND contains(a.sig, b.name)")
+@query("WITH c AS (SELECT o_orderkey AS id, o_custkey AS file, o_orderpriority AS sig, split_part(o_orderpriority, '-', 2) AS name FROM orders) SELECT a.id AS src, b.id AS dst, 'calls' AS label FROM c a JOIN c b ON a.file = b.file AND a.id <> b.id AND b.name <> '' AND contains(a.sig, b.name)")
 def intrafile_calls(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey <= 800")
+    o = table(spark, d, "orders")
     name = F.coalesce(F.get(F.split("o_orderpriority", "-"), F.lit(1)), F.lit(""))
-    n = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("file"), F.lit("function").alias("kind"), F.col("o_orderpriority").alias("signature"), F.lit(None).cast("string").alias("doc"), name.alias("name"))
+    n = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("file"), F.lit("function").alias("kind"), F.col("o_orderpriority").alias("signature"), F.lit(None).cast("string").alias("doc"), name.alias("name"))
     return G.intrafile_calls(n)
 
 

@@ -65,8 +65,8 @@ def diff_numbering(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, l_suppkey % 30 AS path, (l_partkey % 400)::INT AS line FROM lineitem WHERE l_orderkey <= 4000),
-s AS (SELECT p_partkey AS span_id, p_partkey % 30 AS path, (p_partkey % 400)::INT AS decl_line, (p_partkey % 400)::INT AS start, (p_partkey % 400 + p_size)::INT AS "end" FROM part WHERE p_partkey <= 300),
+    """WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, l_suppkey % 30 AS path, (l_partkey % 400)::INT AS line FROM lineitem),
+s AS (SELECT p_partkey AS span_id, p_partkey % 30 AS path, (p_partkey % 400)::INT AS decl_line, (p_partkey % 400)::INT AS start, (p_partkey % 400 + p_size)::INT AS "end" FROM part),
 j AS (SELECT line_id, arg_min(span_id, ("end" - start, start, span_id)) AS span_id FROM a JOIN s ON a.path = s.path AND line BETWEEN start AND "end" GROUP BY line_id),
 p AS (SELECT a.path, line, coalesce(j.span_id, -1) AS own, decl_line FROM a LEFT JOIN j USING (line_id) LEFT JOIN s ON s.span_id = j.span_id),
 n AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY path, own ORDER BY line) <= 2 THEN 0 ELSE 1 END AS new FROM p),
@@ -75,10 +75,10 @@ g AS (SELECT path, own, c, min(line) AS start_line, max(line) AS end_line, coale
 SELECT path, CASE WHEN own >= 0 THEN own END AS span_id, start_line, end_line, CASE WHEN t AND own >= 0 THEN 'symbol' WHEN start_line < end_line THEN 'range' ELSE 'line' END AS target_kind FROM g"""
 )
 def diff_targets(spark, d):
-    r = table(spark, d, "lineitem").filter("l_orderkey <= 4000")
+    r = table(spark, d, "lineitem")
     added = r.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), (F.col("l_suppkey") % 30).alias("path"), (F.col("l_partkey") % 400).cast("int").alias("line"))
     k = F.col("p_partkey")
-    symbols = table(spark, d, "part").filter("p_partkey <= 300").select(k.alias("span_id"), (k % 30).alias("path"), (k % 400).cast("int").alias("decl_line"), (k % 400).cast("int").alias("start"), (k % 400 + F.col("p_size")).cast("int").alias("end"))
+    symbols = table(spark, d, "part").select(k.alias("span_id"), (k % 30).alias("path"), (k % 400).cast("int").alias("decl_line"), (k % 400).cast("int").alias("start"), (k % 400 + F.col("p_size")).cast("int").alias("end"))
     return D.targets(added, symbols)
 
 

@@ -47,16 +47,16 @@ def smallest_enclosing(spark, d):
     return I.smallest_enclosing(_points(spark, d), _spans(spark, d), "file", "line", "o_orderkey").select("o_orderkey", "file", "line", "span_id")
 
 
-@query(f'WITH s AS ({_SPANS}) SELECT t.span_id AS target_id, s.span_id, row_number() OVER (PARTITION BY t.span_id ORDER BY s.start, s.span_id)::INT AS ord FROM s JOIN s t ON s.file = t.file AND s.start >= t.start AND s."end" <= t."end" AND s.span_id <> t.span_id WHERE t.span_id <= 200 QUALIFY ord <= 12')
+@query(f'WITH s AS ({_SPANS}) SELECT t.span_id AS target_id, s.span_id, row_number() OVER (PARTITION BY t.span_id ORDER BY s.start, s.span_id)::INT AS ord FROM s JOIN s t ON s.file = t.file AND s.start >= t.start AND s."end" <= t."end" AND s.span_id <> t.span_id QUALIFY ord <= 12')
 def siblings(spark, d):
     s = _spans(spark, d).withColumnRenamed("file", "path")
-    return I.siblings(s.filter("span_id <= 200"), s).select("target_id", "span_id", "ord")
+    return I.siblings(s, s).select("target_id", "span_id", "ord")
 
 
 @query(
     f"""WITH s AS ({_SPANS}), c AS (SELECT s_suppkey AS chunk_id, s_suppkey % 25 AS file, (s_suppkey % 450)::INT AS start, (s_suppkey % 450 + 12)::INT AS "end" FROM supplier),
-j AS (SELECT chunk_id, span_id, s.start AS s, least(c."end", s."end") - greatest(c.start, s.start) AS o FROM c LEFT JOIN s ON c.file = s.file),
-w AS (SELECT *, CASE WHEN o > 0 THEN o WHEN o = 0 THEN 1 ELSE 0 END AS ov, greatest(0, -o) AS g FROM j)
+j AS (SELECT chunk_id, span_id, s.start AS s, CASE WHEN span_id IS NOT NULL THEN least(c."end", s."end") - greatest(c.start, s.start) END AS o FROM c LEFT JOIN s ON c.file = s.file),
+w AS (SELECT *, CASE WHEN o > 0 THEN o WHEN o = 0 THEN 1 ELSE 0 END AS ov, CASE WHEN o IS NOT NULL THEN greatest(0, -o) END AS g FROM j)
 SELECT chunk_id, arg_min(span_id, (-ov, g, s, span_id)) AS symbol_id, max(ov)::INT AS overlap, arg_min(g, (-ov, g, s, span_id))::INT AS gap FROM w GROUP BY chunk_id"""
 )
 def best_overlap(spark, d):
@@ -82,10 +82,12 @@ def first_in_range(spark, d):
     return I.first_in_range(_points(spark, d), _spans(spark, d).withColumnRenamed("span_id", "range_id"), "file")
 
 
-@query(f'WITH s AS ({_SPANS}) SELECT a.span_id FROM s a WHERE a.span_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.span_id % 3 = 1 AND a.file = b.file AND a.start <= b."end" AND b.start <= a."end")')
+@query(f'WITH s AS ({_SPANS}) SELECT a.span_id FROM s a WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_partkey % 20 AS file, (p_partkey * 7 % 300)::INT AS start, (p_partkey * 7 % 300 + p_size % 3)::INT AS "end" FROM part WHERE p_size > 25) b WHERE a.file = b.file AND a.start <= b."end" AND b.start <= a."end")')
 def anti_overlapping(spark, d):
     s = _spans(spark, d)
-    return I.anti_overlapping(s.filter("span_id % 3 = 0"), s.filter("span_id % 3 = 1"), ["file"]).select("span_id")
+    k = F.col("p_partkey")
+    old = table(spark, d, "part").filter("p_size > 25").select((k % 20).alias("file"), (k * 7 % 300).cast("int").alias("start"), (k * 7 % 300 + F.col("p_size") % 3).cast("int").alias("end"))
+    return I.anti_overlapping(s, old, ["file"]).select("span_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, (l_quantity >= 10 AND l_quantity + 2 <= 20) OR (l_quantity >= 30 AND l_quantity + 2 <= 45) AS ok FROM lineitem")
