@@ -164,11 +164,12 @@ def simhash(spark, d):
 
 
 @query(
-    r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z_]\w*)\s*\(', 1)) AS name FROM documents),
+    r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(replace(text, ' ', '('), '([A-Za-z_]\w*)\s*\(', 1)) AS name FROM documents),
 c AS (SELECT doc_id, name, count(*) AS n FROM n GROUP BY ALL) SELECT doc_id, name, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, name)::INT AS rank FROM c QUALIFY rank <= 6"""
 )
 def top_calls(spark, d):
-    return X.top_calls(docs(spark, d), "doc_id", "text")
+    """Every word that a blank follows as a call."""
+    return X.top_calls(docs(spark, d).select("doc_id", F.replace(F.col("text"), F.lit(" "), F.lit("(")).alias("text")), "doc_id", "text")
 
 
 _STARTS = "CASE WHEN n <= 8 THEN [0] ELSE range(0, (ceil((n - 8) / 6.0) * 6 + 1)::BIGINT, 6) END"

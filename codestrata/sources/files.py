@@ -18,7 +18,7 @@ def scan_repo(spark: SparkSession, root: str, ignore: list[str] | None = None, g
     raw = raw.filter(F.col("length") <= max_bytes)
     for d in P.PRUNED_DIRS:
         raw = raw.filter(~F.contains("path", F.lit(f"/{d}/")))
-    out = raw.select("path", F.decode("content", "UTF-8").alias("text"), F.col("length").alias("size"))
+    out = raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("length").alias("size"))
     out = out.filter(~P.matches_globs(F.col("path"), ignore or []))
     return out.withColumn("language", P.detect_language(F.col("path"))).withColumn("is_generated", P.looks_generated(F.col("path")) | P.matches_globs(F.col("path"), generated or []))
 
@@ -73,7 +73,9 @@ def latest_dump(spark: SparkSession, root: str) -> str | None:
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    """name, path and n_records of the files that a dump's summary lists."""
+    listed = "files array<struct<name:string,path:string,n_records:long>>"
+    return spark.read.schema(listed).option("multiLine", True).json(path).select(F.explode("files").alias("f")).select("f.*")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -147,3 +149,29 @@ def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
 
 def reset_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def persist_all(tables: dict[str, DataFrame], root: str, stamp: str) -> dict[str, str]:
+    """Write tables as JSON Lines below ``root/stamp`` with a summary of names, paths and counts; gives the paths."""
+    paths = {name: f"{root.rstrip('/')}/{stamp}/{name}" for name in tables}
+    for name, df in tables.items():
+        write_jsonl(df, paths[name])
+    spark = next(iter(tables.values())).sparkSession
+    counts = {name: spark.read.text(path).count() for name, path in paths.items()}
+    spark.createDataFrame([([(n, p, counts[n]) for n, p in paths.items()],)], "files array<struct<name:string,path:string,n_records:long>>").coalesce(1).write.mode("overwrite").json(f"{root.rstrip('/')}/{stamp}/summary")
+    return paths
+
+
+def ingest_latest(spark: SparkSession, root: str, table: str, name: str = "rag_records") -> str | None:
+    """Upsert the records of the latest dump below root into a table; the dump's folder, or None without one."""
+    dump = latest_dump(spark, root)
+    if dump is not None:
+        upsert(read_strict_or_fallback(spark, f"{dump}/{name}").select("id", "text", "source", "embedding"), table)
+    return dump
+
+
+def dump_rows(rows: DataFrame, root: str, kind: str, key: str) -> str:
+    """Prompts, hits or step reports of a review, as JSON Lines in a folder named by what they belong to."""
+    path = f"{root.rstrip('/')}/{key}/{kind}"
+    write_jsonl(rows, path)
+    return path
