@@ -241,8 +241,9 @@ def linked(placed: DataFrame, sizes: DataFrame, run, scratch: Scratch) -> DataFr
     if not most.head(1):
         return tied
     other = spread_join(large.drop("_n"), most, ["group"], "_n", ["id"])
-    # The rest is as heavy as its share of the group.
-    slices = F.greatest(F.ceil(F.col("_rest") * F.col("_size") / F.col("_n") / BLOCK).cast("long"), F.lit(1).cast("long"))
+    # The rest is as heavy as its share of the group. Blocks four times as large make a quarter of the copies.
+    slices = F.greatest(F.ceil(F.col("_rest") * F.col("_size") / F.col("_n") / (4 * BLOCK)).cast("long"), F.lit(1).cast("long"))
+    parts = F.ceil(F.col("_size") / (4 * BLOCK)).cast("long")
     is_rest = F.col("label") != F.col("_most")
     cross = lambda a, b: F.xxhash64(a, b)
     own = other.withColumn("_b", F.explode(first(slices))).withColumn("block", cross(part(parts), F.col("_b")))
