@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import table
+from codestrata.llm.common import packed, table
 from codestrata.llm.words import M1, PLAIN, STEP, WordHashes, mix64
 
 RATE, MIN_WORDS, WALKS, SLICE = 0.2, 8, 64, 1 << 22
@@ -228,8 +228,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: st
     spark, docs = docs.sparkSession, docs.drop(out_col)
     rows = benchmark.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_col).alias("t")).filter("t is not null and i is not null")
     slices = max(1, -(-(rows.agg(F.sum(F.length("t"))).first()[0] or 0) // SLICE))
-    names = docs.columns
-    out = docs.withColumn(out_col, F.array().cast(MATCH_SQL))
+    out = docs.select(packed(docs), F.col(text_col).cast("string").alias("body"), F.array().cast(MATCH_SQL).alias("found"))
     for k in range(slices):
         part = rows.filter(F.pmod(F.xxhash64("i"), F.lit(slices)) == k).collect()  # about SLICE characters
         items = spark.sparkContext.broadcast(Items.of(sorted((r["i"], r["t"]) for r in part), rate))
@@ -237,13 +236,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: st
         def run(batches, items=items):
             own, hashes = items.value, WordHashes()
             for b in batches:
-                found = matches([hashes.of(PLAIN.findall(t.lower())) if t else NONE for t in b.column(text_col).to_pylist()], own)
-                so_far = b.column(out_col).to_pylist()
+                found = matches([hashes.of(PLAIN.findall(t.lower())) if t else NONE for t in b.column("body").to_pylist()], own)
+                so_far = b.column("found").to_pylist()
                 now = [(x or []) + [dict(zip((f.name for f in MATCH), m, strict=True)) for m in y] for x, y in zip(so_far, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(now, pa.list_(MATCH))], names=[*names, out_col])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("body"), pa.array(now, pa.list_(MATCH))], names=["row", "body", "found"])
 
         out = out.mapInArrow(run, out.schema)
-    return out
+    return out.select("row.*", F.col("found").alias(out_col))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codestrata.llm.common import id_crc, partitions, store, table, utf8
 from codestrata.llm.elias_fano import SUCCESSOR_BITS, Trie, pack, unpack
@@ -271,7 +272,6 @@ def successor_counts(tries: DataFrame, shards: int) -> DataFrame:
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns in ``keep``, n_tokens, n_known, train_tokens, base_score and score, for every row."""
     spark = docs.sparkSession
-    kinds = dict(docs.select(*keep).dtypes)
     shared = spark.sparkContext.broadcast(Model(None, None, model.shards, model.n, model.v, model.docs, model.heavy, model.heavy_counts, model.heavy_kinds))
     names = ["shard", "chunk", "kind", "blob"]
     fields = docs.select(*keep).schema
@@ -364,7 +364,10 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     tries = model.tries.select("shard", F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("kind"), F.col("trie").alias("blob"))
     after = model.after.select("shard", F.col("part").cast("long").alias("chunk"), F.lit(1).alias("kind"), "blob")
     summed = tries.union(after).union(pairs).repartitionById(model.shards, F.col("shard")).sortWithinPartitions("shard", "kind", "chunk").mapInArrow(look_up, "chunk long, kind int, blob binary")
-    out = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = T.StructType(list(fields))
+    for c in ("n_tokens", "n_known", "train_tokens"):
+        out = out.add(c, T.LongType())
+    out = out.add("base_score", T.DoubleType()).add("score", T.DoubleType())
     return summed.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gather, out)
 
 

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codestrata.llm.common import fresh, id_crc, table
 
@@ -234,8 +235,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str =
             s = model.scores(np.array(x, dtype=np.float64).reshape(len(x), WORD_DIM + SHAPE_DIM + FIGURES))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    fields = ", ".join(f"`{c}` {k}" for c, k in docs.select(*keep).dtypes)
-    return docs.select(*keep, F.col(text_col).alias(body)).mapInArrow(run, f"{fields}, score double, predicted int")
+    result = T.StructType(docs.select(*keep).schema.fields).add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    return docs.select(*keep, F.col(text_col).alias(body)).mapInArrow(run, result)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
