@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.common import delete, new_folder, partitions, store, table
 
-WINDOW, MASK_BITS, LEAST, MOST, PAGE, CACHE = 8, 8, 64, 1024, 512, 500_000
+WINDOW, MASK_BITS, LEAST, MOST, PAGE, CACHE = 8, 8, 64, 1024, 512, 1_000_000
 MARKS = ".,;:!?"
 _GEAR = np.random.default_rng(20240501).integers(0, 2**63, 1 << 16, dtype=np.uint64)
 
