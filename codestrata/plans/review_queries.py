@@ -65,7 +65,7 @@ def diff_numbering(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, l_suppkey % 997 AS path, (l_partkey % 400)::INT AS line FROM lineitem),
+    """WITH a AS (SELECT DISTINCT l_suppkey % 997 * 1000 + l_partkey % 400 AS line_id, l_suppkey % 997 AS path, (l_partkey % 400)::INT AS line FROM lineitem),
 s AS (SELECT p_partkey AS span_id, p_partkey % 997 AS path, (p_partkey % 400)::INT AS decl_line, (p_partkey % 400)::INT AS start, (p_partkey % 400 + p_size)::INT AS "end" FROM part),
 j AS (SELECT line_id, arg_min(span_id, ("end" - start, start, span_id)) AS span_id FROM a JOIN s ON a.path = s.path AND line BETWEEN start AND "end" GROUP BY line_id),
 p AS (SELECT a.path, line, coalesce(j.span_id, -1) AS own, decl_line FROM a LEFT JOIN j USING (line_id) LEFT JOIN s ON s.span_id = j.span_id),
@@ -76,7 +76,8 @@ SELECT path, CASE WHEN own >= 0 THEN own END AS span_id, start_line, end_line, C
 )
 def diff_targets(spark, d):
     r = table(spark, d, "lineitem")
-    added = r.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), (F.col("l_suppkey") % 997).alias("path"), (F.col("l_partkey") % 400).cast("int").alias("line"))
+    path, line = F.col("l_suppkey") % 997, F.col("l_partkey") % 400
+    added = r.select((path * 1000 + line).alias("line_id"), path.alias("path"), line.cast("int").alias("line")).distinct()
     k = F.col("p_partkey")
     symbols = table(spark, d, "part").select(k.alias("span_id"), (k % 997).alias("path"), (k % 400).cast("int").alias("decl_line"), (k % 400).cast("int").alias("start"), (k % 400 + F.col("p_size")).cast("int").alias("end"))
     return D.targets(added, symbols)
