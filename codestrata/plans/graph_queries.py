@@ -108,51 +108,17 @@ def graph_records(spark, d):
     return m.select(F.element_at(F.split("id", r"\|"), 3).alias("source"), F.element_at(F.split("id", r"\|"), 1).alias("text"), F.col("text").alias("edge"))
 
 
-DART = """import 'dart:async';
-import 'src/a.dart' as a;
-export 'src/b.dart';
-part 'c.dart';
-
-/// A page.
-/// Of two lines.
-abstract class Page extends StatelessWidget {
-  final int _count = 1;
-  static String title(int x) {
-    return go('/home');
-  }
-  int get size => _count;
-}
-
-mixin Walks on Page {}
-mixin class Both {}
-enum Kind { one, two }
-extension Shout on String {}
-extension on int {}
-extension type Id(int v) {}
-
-void main() {
-  runApp(Page());
-}
-"""
-
-
-def _source_files(spark):
-    return spark.createDataFrame([("lib/page.dart", DART), ("lib/x.py", "import os\nfrom a.b import c\nprint(os.sep)\n"), ("lib/gen/y.g.dart", "class Y {}\n"), ("README", "words\n")], "path string, text string")
-
-
 @query(
-    "SELECT * FROM (VALUES ('import', 'dart:async', 1, NULL, NULL), ('import', 'src/a.dart', 2, NULL, 'lib/src/a.dart'), ('export', 'src/b.dart', 3, NULL, 'lib/src/b.dart'), ('part', 'c.dart', 4, NULL, 'lib/c.dart'), ('class', 'Page', 8, NULL, NULL), ('field', '_count', 9, 'Page', NULL), ('method', 'title', 10, 'Page', NULL), ('getter', 'size', 13, 'Page', NULL), "
-    "('mixin', 'Walks', 16, NULL, NULL), ('class', 'Both', 17, NULL, NULL), ('enum', 'Kind', 18, NULL, NULL), ('extension', 'Shout', 19, NULL, NULL), ('extension', 'extension', 20, NULL, NULL), ('extension_type', 'Id', 21, NULL, NULL), ('function', 'main', 23, NULL, NULL)) v(kind, name, line, owner, resolved_target)"
+    """WITH f AS (SELECT 'n' || doc_id % 7 || '/d' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.dart' WHEN 1 THEN '.py' ELSE '.txt' END AS path, doc_id, CASE doc_id % 3 WHEN 0 THEN 'import ''src/a' || doc_id || '.dart'';' WHEN 1 THEN 'from m' || doc_id || ' import x' ELSE '' END || chr(10) || coalesce(text, '') AS text FROM documents)
+SELECT path, CASE doc_id % 3 WHEN 0 THEN 'dart' WHEN 1 THEN 'python' ELSE 'other' END AS language, CASE doc_id % 3 WHEN 0 THEN 'src/a' || doc_id || '.dart' WHEN 1 THEN 'py:m' || doc_id ELSE '' END AS import,
+ (len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END)::INTEGER AS end_row, sha256(text) AS content_sha256 FROM f"""
 )
-def dart_symbols(spark, d):
-    return X.symbols(_source_files(spark).filter("path = 'lib/page.dart'")).select("kind", "name", "line", "owner", "resolved_target")
-
-
-@query("SELECT * FROM (VALUES ('lib/page.dart', 'dart', 'src/a.dart src/b.dart'), ('lib/x.py', 'python', 'py:os py:a.b'), ('lib/gen/y.g.dart', 'dart', ''), ('README', 'other', '')) v(path, language, imports)")
 def generic_chunks(spark, d):
-    out = X.generic_chunk(_source_files(spark))
-    own = F.filter("imports", lambda x: ~x.startswith("dart:") & ~(F.col("path").endswith("dart") & x.startswith("py:")) & ~(F.col("path").endswith("py") & ~x.startswith("py:")))
-    return out.select("path", "language", F.array_join(own, " ").alias("imports"))
+    n, key = F.col("doc_id"), F.col("doc_id").cast("string")
+    ending = F.when(n % 3 == 0, ".dart").when(n % 3 == 1, ".py").otherwise(".txt")
+    line = F.when(n % 3 == 0, F.concat(F.lit("import 'src/a"), key, F.lit(".dart';"))).when(n % 3 == 1, F.concat(F.lit("from m"), key, F.lit(" import x"))).otherwise("")
+    files = table(spark, d, "documents").select(F.concat(F.lit("n"), (n % 7).cast("string"), F.lit("/d"), key, ending).alias("path"), F.concat(line, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return X.generic_chunk(files).select("path", "language", F.coalesce(F.get("imports", F.lit(0)), F.lit("")).alias("import"), "end_row", "content_sha256")
 
 
 @query("WITH s AS (SELECT doc_id, source, lang FROM documents) SELECT doc_id, list_filter([CASE WHEN lang = 'en' THEN 'class' WHEN lang = 'de' THEN 'function' END, CASE WHEN contains(source, '1') THEN 'widget' END], lambda x: x IS NOT NULL) AS tags FROM s")
