@@ -135,10 +135,28 @@ def related_blocks(hits: DataFrame, facts: DataFrame, take: int = 3, min_score:
 
 
 def symbol_facts(targets: DataFrame, symbols: DataFrame, most: int = 12) -> DataFrame:
-    """targets (target_id, path, line): one text of the symbols of the file, those next to the line first."""
+    """targets (target_id, path, line): one text of the symbols of the file, the ``most`` next to the line first.
+
+    Symbols and targets of a file are sorted once together; a target then meets at most ``most`` symbols on each side of its line, by
+    their numbers, and never all of its file."""
     from pyspark.sql import Window as W
 
-    near = targets.join(symbols.select("path", "name", "kind", F.col("start").alias("_s")), "path").withColumn("_r", F.row_number().over(W.partitionBy("target_id").orderBy(F.abs(F.col("_s") - F.col("line")), "_s", "name")))
+    kind = targets.schema["target_id"].dataType
+    own = symbols.select("path", F.col("start").cast("long").alias("at"), "name", "kind", F.lit(None).cast(kind).alias("target_id"))
+    none = F.lit(None).cast("string")
+    asked = targets.select("path", F.col("line").cast("long").alias("at"), none.alias("name"), none.alias("kind"), "target_id")
+    is_symbol = F.when(F.col("target_id").isNull(), 1).otherwise(0)
+    order = ["at", F.col("target_id").isNotNull(), "name", "kind"]
+    both = own.unionByName(asked).withColumn("up", F.sum(is_symbol).over(W.partitionBy("path").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    # Downwards the nearest come first too, those of one line by name.
+    both = both.withColumn("down", F.sum(is_symbol).over(W.partitionBy("path").orderBy(F.desc("at"), F.col("target_id").isNull(), "name", "kind").rowsBetween(W.unboundedPreceding, 0)))
+    both = both.withColumn("n", F.sum(is_symbol).over(W.partitionBy("path")))
+    s = both.filter("target_id is null").select("path", F.col("at").alias("_s"), "name", "kind", "up", "down")
+    t = both.filter("target_id is not null")
+    side = lambda first, name: t.select("path", "target_id", "at", F.explode(F.sequence(first + 1, first + most)).alias(name)).join(s, ["path", name]).select("target_id", "at", "_s", "name", "kind")
+    # ``up`` counts the symbols at or above a target, so that those below begin behind it, and the others at n - up from the end.
+    near = side(F.col("up"), "up").unionByName(side(F.col("n") - F.col("up"), "down"))
+    near = near.withColumn("_r", F.row_number().over(W.partitionBy("target_id").orderBy(F.abs(F.col("_s") - F.col("at")), "_s", "name")))
     row = F.struct("_r", F.concat_ws(" ", "kind", "name", F.concat(F.lit("@"), F.col("_s").cast("string"))).alias("x"))
     return near.filter(F.col("_r") <= most).groupBy("target_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["x"]), "\n").alias("text"))
 

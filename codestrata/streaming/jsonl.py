@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators.records import map_any_line
+from codestrata.sources.bucketed import BucketedTable
 from codestrata.sources.files import upsert
 
 
@@ -23,6 +24,16 @@ def upsert_stream(records: DataFrame, table: str, checkpoint: str):
     return records.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
+def upsert_bucketed_stream(records: DataFrame, table: str, checkpoint: str, key: str = "id"):
+    """Start the stream into a bucketed table: a micro-batch rewrites the buckets that it touches, and one that was published before a
+    restart is not applied again. The size of a batch is ``files_per_trigger`` of ``record_stream``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        BucketedTable(batch.sparkSession, table, key).upsert(batch, batch_id=f"{checkpoint}#{number}")
+
+    return records.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """An extension: counts and sums by event type in tumbling windows, with a watermark for late rows."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
