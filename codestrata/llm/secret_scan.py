@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from itertools import chain
 
@@ -58,16 +59,29 @@ def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[i
         run, at = m[0], m.start()
         found.append((at, m.end(), run))
         found += [(at + p.start(), at + p.end(), p[0]) for p in PART.finditer(run) if len(p[0]) < len(run)]
-    return [c for c in found if not any(b[1] < c[1] and c[0] < b[2] for b in base)] if base else found
+    # Base matches come by start: merged, they are disjoint, and only the last that begins before a span ends can meet it.
+    starts, ends = [], []
+    for _, lo, hi, _ in base:
+        if ends and lo < ends[-1]:
+            ends[-1] = max(ends[-1], hi)
+        else:
+            starts.append(lo)
+            ends.append(hi)
+    free = lambda lo, hi: not (at := bisect_left(starts, hi)) or ends[at - 1] <= lo
+    return [c for c in found if free(c[0], c[1])] if base else found
 
 
 def best_of(found: list[tuple[float, int, int]]) -> list[int]:
-    """Which of scored spans (score, start, end) stay where some overlap: the best, then the earlier, then the longer."""
-    kept: list[int] = []
+    """Which of scored spans (score, start, end) stay where some overlap: the best, then the earlier, then the longer.
+
+    What stays is disjoint, so that a span has two neighbours to be held against: the work is that of sorting."""
+    kept: list[tuple[int, int, int]] = []
     for k in sorted(range(len(found)), key=lambda k: (-found[k][0], found[k][1], -found[k][2])):
-        if all(found[k][2] <= found[j][1] or found[j][2] <= found[k][1] for j in kept):
-            kept.append(k)
-    return sorted(kept)
+        _, lo, hi = found[k]
+        at = bisect_left(kept, (hi,))
+        if not at or kept[at - 1][1] <= lo:
+            kept.insert(at, (lo, hi, k))
+    return sorted(k for _, _, k in kept)
 
 
 class Automaton:
