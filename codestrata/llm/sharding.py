@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from codestrata.llm.common import new_folder, store, table, utf8
 
 SLOTS = 4096
+#: Rows alike over so many get their places in blocks of as many.
+PLACES = 1 << 16
 
 
 @dataclass
@@ -132,8 +134,10 @@ def shard(docs: DataFrame, n_shards: int = 16, slots: int = SLOTS, id_col: str =
     slots = len(first.shards)
     body = utf8(text_col)
     hashed = docs.select(F.col(id_col).alias("doc_id"), (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    base = store(hashed.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int")), "shard-base")
-    per_slot = base.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()  # at most `slots` rows
+    slotted = hashed.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    # Rows alike once, with their number, before and after the shuffle.
+    alike = store(slotted.groupBy("virtual_slot", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n")), "shard-base")
+    per_slot = alike.groupBy("virtual_slot").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("rows"), F.max("n").alias("most")).collect()  # at most `slots` rows
     sizes, rows = np.zeros(slots), np.zeros(slots, dtype=np.int64)
     for r in per_slot:
         sizes[r["virtual_slot"]], rows[r["virtual_slot"]] = r["bytes"], r["rows"]
@@ -144,12 +148,16 @@ def shard(docs: DataFrame, n_shards: int = 16, slots: int = SLOTS, id_col: str =
         own = np.flatnonzero(now.shards == h)
         offset[own] = np.cumsum(rows[own]) - rows[own]
     placed = spark.createDataFrame([(s, int(now.shards[s]), int(offset[s])) for s in range(slots)], "virtual_slot int, shard int, offset long")
-    alike = base.groupBy("virtual_slot", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n"))
     within = W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, 0)
+    ranked = alike.withColumn("before", F.sum("n").over(within) - F.col("n")).join(F.broadcast(placed), "virtual_slot")
+    zero = F.lit(0).cast("long")
+    upto = lambda n: F.explode(F.sequence(zero, n - 1))
+    if max((r["most"] for r in per_slot), default=0) > PLACES:
+        # Places of very many rows alike in blocks, which are dealt out before they become rows.
+        ranked = ranked.withColumn("_block", upto(F.ceil(F.col("n") / PLACES))).withColumns({"before": F.col("before") + F.col("_block") * PLACES, "n": F.least(F.lit(PLACES).cast("long"), F.col("n") - F.col("_block") * PLACES)})
+        ranked = ranked.repartition("virtual_slot", "doc_id", "_block")
     records = (
-        alike.withColumn("before", F.sum("n").over(within) - F.col("n"))
-        .join(F.broadcast(placed), "virtual_slot")
-        .withColumn("i", F.explode(F.when(F.col("n") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))))
+        ranked.withColumn("i", upto(F.col("n")))
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("before") + F.col("i")).alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(now.version).alias("map_version"),
