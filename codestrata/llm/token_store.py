@@ -277,16 +277,16 @@ def _place(width: int):
         """Rows in doc_id order: before a document's own rows (kind 1) come the keys that it owns (kind 0)."""
         from pyspark import TaskContext
 
-        part, offset, n, now, owned = TaskContext.get().partitionId(), 0, 0, object(), {}
+        part, offset, n, now, owned, seen = TaskContext.get().partitionId(), 0, 0, object(), {}, set()
         for b in batches:
             out = []
             for doc_id, kind, ids, keys, lengths, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "kind", "ids", "keys", "lengths", "own")), strict=True):
                 if doc_id != now:
-                    now, owned = doc_id, {}
+                    now, owned, seen = doc_id, {}, set()  # rows of one id own their chunks together: the first place stores one
                 if kind == 0:
                     owned = {x["key"]: x["shared"] for x in own}
                     continue
-                pieces, at, mine, seen, many = [], 0, [], set(), []
+                pieces, at, mine, many = [], 0, [], []
                 for k, size in zip(keys, lengths, strict=True):
                     mine.append(k in owned and k not in seen)
                     many.append(owned.get(k, True))
