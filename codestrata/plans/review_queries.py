@@ -1,4 +1,4 @@
-"""Diffs, findings and drafts over literal rows (no such tables are shipped) and over conversations."""
+"""Diffs, findings and drafts, made of orders, documents and conversations."""
 
 from __future__ import annotations
 
@@ -9,45 +9,35 @@ from codestrata.functions import text as T
 from codestrata.functions import vectors as V
 from codestrata.operators import diff as D
 from codestrata.operators import findings as N
-from codestrata.plans.registry import query, table
-
-DIFF = """diff --git a/x.dart b/x.dart
---- a/x.dart
-+++ b/x.dart
-@@ -1,3 +1,4 @@
- a
--b
-+B
-+C
- d
-@@ -10 +11,2 @@ void f()
- k
-+l
-\\ No newline at end of file
-diff --git a/y.dart b/y.dart
---- a/y.dart
-+++ /dev/null
-@@ -1,2 +0,0 @@
--one
--two
-"""
-
-
-def _changes(spark):
-    return spark.createDataFrame([(1, DIFF)], "bundle int, raw string")
-
-
-@query("SELECT * FROM (VALUES ('x.dart', 'x.dart'), ('y.dart', NULL)) v(old_path, new_path)")
+from codestrata.plans.registry import query, scratch, table
+
+# A raw diff for each customer with a file for each of its orders: changed, deleted or binary.
+_HUNKS = ["@@ -1,3 +1,4 @@\n a", "\n-b\n+B\n+C\n d\n@@ -10 +11,2 @@ void f()\n k\n+l\n\\ No newline at end of file\n"]
+
+
+def _changes(spark, d):
+    n, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    name = F.concat(F.lit("o"), key, F.lit(".dart"))
+    head = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n"))
+    old = F.concat(F.lit("--- a/"), name, F.lit("\n"))
+    changed = F.concat(head, old, F.lit("+++ b/"), name, F.lit("\n" + _HUNKS[0]), key, F.lit(_HUNKS[1]))
+    deleted = F.concat(head, old, F.lit("+++ /dev/null\n@@ -1,2 +0,0 @@\n-one"), key, F.lit("\n-two\n"))
+    part = F.when(n % 3 == 0, changed).when(n % 3 == 1, deleted).otherwise(F.concat(head, F.lit("GIT binary patch\nliteral 0\n")))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("x")))), lambda r: r["x"]), "")
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("bundle")).agg(parts.alias("raw"))
+
+
+@query("SELECT o_custkey AS bundle, CASE WHEN o_orderkey % 3 < 2 THEN 'o' || o_orderkey || '.dart' END AS old_path, CASE WHEN o_orderkey % 3 = 0 THEN 'o' || o_orderkey || '.dart' END AS new_path FROM orders")
 def split_raw_diff(spark, d):
-    return D.split_raw(_changes(spark), "raw").select("old_path", "new_path")
+    return D.split_raw(_changes(spark, d), "raw").select("bundle", "old_path", "new_path")
 
 
 @query(
-    "SELECT * FROM (VALUES ('x.dart', 1, 'context', 1, 1, 'a'), ('x.dart', 1, 'removed', 2, NULL, 'b'), ('x.dart', 1, 'added', NULL, 2, 'B'), ('x.dart', 1, 'added', NULL, 3, 'C'), ('x.dart', 1, 'context', 3, 4, 'd'), "
-    "('x.dart', 2, 'context', 10, 11, 'k'), ('x.dart', 2, 'added', NULL, 12, 'l'), ('y.dart', 1, 'removed', 1, NULL, 'one'), ('y.dart', 1, 'removed', 2, NULL, 'two')) v(path, hunk, op, old_line, new_line, content)"
+    """SELECT 'o' || o_orderkey || '.dart' AS path, hunk, op, old_line, new_line, replace(content, '#', o_orderkey::VARCHAR) AS content FROM orders JOIN (VALUES (0, 1, 'context', 1, 1, 'a#'), (0, 1, 'removed', 2, NULL, 'b'), (0, 1, 'added', NULL, 2, 'B'), (0, 1, 'added', NULL, 3, 'C'),
+ (0, 1, 'context', 3, 4, 'd'), (0, 2, 'context', 10, 11, 'k'), (0, 2, 'added', NULL, 12, 'l'), (1, 1, 'removed', 1, NULL, 'one#'), (1, 1, 'removed', 2, NULL, 'two')) v(m, hunk, op, old_line, new_line, content) ON o_orderkey % 3 = m"""
 )
 def diff_lines(spark, d):
-    files = D.split_raw(_changes(spark), "raw").withColumn("path", F.coalesce("new_path", "old_path"))
+    files = D.split_raw(_changes(spark, d), "raw").withColumn("path", F.coalesce("new_path", "old_path"))
     return D.parse_lines(files, "path", "body")
 
 
@@ -83,42 +73,35 @@ def diff_targets(spark, d):
     return D.targets(added, symbols)
 
 
-@query("SELECT * FROM (VALUES ('x.dart')) v(path)")
+@query("SELECT 'o' || o_orderkey || '.dart' AS path FROM orders WHERE o_orderkey % 3 = 0")
 def candidate_paths(spark, d):
-    files = D.split_raw(_changes(spark), "raw").withColumn("change_id", F.coalesce("old_path", "new_path")).withColumn("is_binary", D.is_binary_patch(F.col("body"))).withColumn("is_deleted", F.col("new_path").isNull())
+    files = D.split_raw(_changes(spark, d), "raw").withColumn("change_id", F.coalesce("old_path", "new_path")).withColumn("is_binary", D.is_binary_patch(F.col("body")) | F.contains("body", F.lit("GIT binary patch"))).withColumn("is_deleted", F.col("new_path").isNull())
     return D.candidate_paths(files, D.parse_lines(files, "change_id", "body"))
 
 
-RAW = """<think>ignore
-ANCHOR: 1-1
-TITLE: never
-BODY: never
-</think>
-<<<BEGIN_STRICT>>>
-ANCHOR: 2-3
-SEVERITY: high
-TITLE: First one
-BODY: See lines 2-3 and line 9.
-More of it.
-PATCH:
-```diff
--a
-+b
-```
-ANCHOR: 90-91
-TITLE: Outside
-BODY: dropped
-ANCHOR: 2-3
-TITLE: FIRST ONE
-BODY: a duplicate
-TITLE lost
-<<<END_STRICT>>>"""
-
-
-@query("SELECT 7 AS target_id, 2 AS start, 3 AS \"end\", 'High' AS severity, 'First one' AS title, 'See lines 2-3 and these lines.' || chr(10) || 'More of it.' AS body, '-a' || chr(10) || '+b' AS patch")
+@query("SELECT 'o' || o_orderkey || '.dart' AS path, max(line) FILTER (line > 0)::INTEGER AS last_added, count(*) FILTER (line > 0)::INTEGER AS n FROM orders, (VALUES (2), (3), (12)) v(line) WHERE o_orderkey % 3 = 0 GROUP BY 1")
+def added_lines(spark, d):
+    files = D.split_raw(_changes(spark, d), "raw").withColumn("path", F.coalesce("new_path", "old_path"))
+    return D.added_lines(D.parse_lines(files, "path", "body"), "path").select("path", F.array_max("added").alias("last_added"), F.size("added").alias("n"))
+
+
+# Answers of a model, one an order: a think block, a finding, one outside of what is allowed, a duplicate, one without a title.
+_ANSWER = [
+    "<think>ignore\nANCHOR: 1-1\nTITLE: never\nBODY: never\n</think>\n<<<BEGIN_STRICT>>>\nANCHOR: ", "start", "-", "stop", "\nSEVERITY: high\nTITLE: First ", "key", "\nBODY: See lines ", "start", "-", "stop", " and line 99.\nMore of it.\nPATCH:\n```diff\n-a\n+b\n```\nANCHOR: 90-91\nTITLE: Outside\nBODY: dropped\nANCHOR: ",
+    "start", "-", "stop", "\nTITLE: FIRST ", "key", "\nBODY: a duplicate\nTITLE lost\nANCHOR: ", "stop", "-", "stop", "\nTITLE: Second\nBODY: ", "o_orderpriority", "\n<<<END_STRICT>>> tail",
+]
+
+
+@query(
+    """WITH a AS (SELECT o_orderkey AS target_id, (o_orderkey % 20 + 1)::INTEGER AS start, (o_orderkey % 20 + 2 + o_orderkey % 5)::INTEGER AS stop, o_orderpriority FROM orders)
+SELECT target_id, start, stop AS "end", 'High' AS severity, 'First ' || target_id AS title, 'See lines ' || start || '-' || stop || ' and these lines.' || chr(10) || 'More of it.' AS body, '-a' || chr(10) || '+b' AS patch FROM a
+UNION ALL SELECT target_id, stop, stop, 'Low', 'Second', o_orderpriority, NULL FROM a"""
+)
 def parse_findings(spark, d):
-    raw = spark.createDataFrame([(7, RAW, [(1, 20)])], "target_id int, raw string, allowed array<struct<start:int,end:int>>")
-    return N.parse_findings(raw)
+    n = F.col("o_orderkey")
+    rows = table(spark, d, "orders").withColumns({"start": (n % 20 + 1).cast("string"), "stop": (n % 20 + 2 + n % 5).cast("string"), "key": n.cast("string")})
+    raw = F.concat(*(F.col(p) if p in ("start", "stop", "key", "o_orderpriority") else F.lit(p) for p in _ANSWER))
+    return N.parse_findings(rows.select(n.alias("target_id"), raw.alias("raw"), F.array(F.struct(F.lit(1).alias("start"), F.lit(40).alias("end"))).alias("allowed")))
 
 
 def _drafts(spark, d):
@@ -188,23 +171,29 @@ def patch_positions(spark, d):
     return docs.select("doc_id", D.patch_applies(patch, F.col("text")).alias("applies"), D.reanchor(patch, F.col("text")).alias("line"))
 
 
-@query("SELECT * FROM (VALUES (1, 'see these lines and lines 4-6'), (2, 'see line 12 and these lines'), (3, 'see these lines and these lines')) v(id, body)")
+@query(
+    """WITH m AS (SELECT o_orderkey, (o_orderkey % 4 + 10)::INTEGER AS s, CASE WHEN o_orderkey % 9 <> 0 THEN (o_orderkey % 4 + 10 + o_orderkey % 3)::INTEGER END AS e, o_orderkey % 3 + 10 AS n, o_orderpriority FROM orders)
+SELECT o_orderkey, o_orderpriority || ': see ' || CASE WHEN s = n AND e = n THEN 'Line ' || n ELSE 'these lines' END || ' and ' || CASE WHEN s = 11 AND e = 12 THEN 'lines 11 - 12' ELSE 'these lines' END || ', baseline 10' AS body FROM m"""
+)
 def line_mentions(spark, d):
-    rows = spark.createDataFrame([(1, "see line 12 and lines 4-6", 4, 6), (2, "see line 12 and lines 4-6", 12, 12), (3, "see line 12 and lines 4-6", None, None)], "id int, body string, s int, e int")
-    return rows.select("id", T.sanitize_line_mentions(F.col("body"), F.col("s"), F.col("e")).alias("body"))
+    n = F.col("o_orderkey")
+    body = F.concat("o_orderpriority", F.lit(": see Line "), (n % 3 + 10).cast("string"), F.lit(" and lines 11 - 12, baseline 10"))
+    start, end = (n % 4 + 10).cast("int"), F.when(n % 9 != 0, (n % 4 + 10 + n % 3).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", T.sanitize_line_mentions(body, start, end).alias("body"))
 
 
 @query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, d):
     """A streaming query run to its end: counts of events in windows, with a watermark (an extension)."""
-    import uuid
-
     from codestrata.streaming.jsonl import windowed_counts
 
     events = table(spark, d, "events")
-    name = f"w{uuid.uuid4().hex}"
     # pathGlobFilter: the folder holds other tables.
     source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(d)
-    q = windowed_counts(source).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+    folder = scratch(spark)
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/counts")  # complete mode: every batch brings all windows
+
+    windowed_counts(source).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/counts").select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
