@@ -160,7 +160,7 @@ IMPORT_USE = r"(?m)^\s*use\s+([a-zA-Z0-9_:]+)"
 
 def naive_imports(c: Column) -> Column:
     """Module names in order of kind, then place, each once: quoted, require(), ``py:`` and ``use:``."""
-    some = lambda p: F.transform(F.regexp_extract_all(c, F.lit(p), 1), F.trim)
+    some = lambda p: F.transform(F.regexp_extract_all(c, F.lit(p), 1), lambda x: F.trim(x))
     py = F.zip_with(F.regexp_extract_all(c, F.lit(IMPORT_FROM), 1), F.regexp_extract_all(c, F.lit(IMPORT_PLAIN), 1), lambda a, b: F.when(a != "", a).otherwise(b))
     tagged = lambda a, t: F.transform(a, lambda x: F.concat(F.lit(t), x))
     return F.array_distinct(F.concat(some(IMPORT_QUOTED), some(IMPORT_REQUIRE), tagged(py, "py:"), tagged(some(IMPORT_USE), "use:")))
@@ -172,7 +172,7 @@ def dart_import_uris(c: Column) -> Column:
 
 def import_modifiers(c: Column) -> Column:
     """struct(alias, shown, hidden) of an import line."""
-    names = lambda word: F.filter(F.transform(F.split(F.regexp_extract(c, rf"\b{word}\s+([\w\s,]+?)(?:\s+(?:show|hide)\b|;|$)", 1), ","), F.trim), lambda x: x != "")
+    names = lambda word: F.filter(F.transform(F.split(F.regexp_extract(c, rf"\b{word}\s+([\w\s,]+?)(?:\s+(?:show|hide)\b|;|$)", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     alias = F.regexp_extract(c, r"\bas\s+([A-Za-z_]\w*)", 1)
     return F.struct(F.when(alias != "", alias).alias("alias"), names("show").alias("shown"), names("hide").alias("hidden"))
 

@@ -118,7 +118,10 @@ def generic_chunks(spark, d):
     ending = F.when(n % 3 == 0, ".dart").when(n % 3 == 1, ".py").otherwise(".txt")
     line = F.when(n % 3 == 0, F.concat(F.lit("import 'src/a"), key, F.lit(".dart';"))).when(n % 3 == 1, F.concat(F.lit("from m"), key, F.lit(" import x"))).otherwise("")
     files = table(spark, d, "documents").select(F.concat(F.lit("n"), (n % 7).cast("string"), F.lit("/d"), key, ending).alias("path"), F.concat(line, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
-    return X.generic_chunk(files).select("path", "language", F.coalesce(F.get("imports", F.lit(0)), F.lit("")).alias("import"), "end_row", "content_sha256")
+    key = F.regexp_extract("path", r"/d(\d+)", 1)
+    own = F.when(F.col("path").endswith(".dart"), F.concat(F.lit("src/a"), key, F.lit(".dart"))).when(F.col("path").endswith(".py"), F.concat(F.lit("py:m"), key))
+    found = F.when(F.array_contains("imports", own), own).otherwise("")  # texts may hold what looks like more imports
+    return X.generic_chunk(files).select("path", "language", found.alias("import"), "end_row", "content_sha256")
 
 
 @query("WITH s AS (SELECT doc_id, source, lang FROM documents) SELECT doc_id, list_filter([CASE WHEN lang = 'en' THEN 'class' WHEN lang = 'de' THEN 'function' END, CASE WHEN contains(source, '1') THEN 'widget' END], lambda x: x IS NOT NULL) AS tags FROM s")

@@ -45,7 +45,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 def _load() -> None:
-    for m in ("assembly_queries", "source_queries", "vector_queries", "text_queries", "structure_queries", "graph_queries", "review_queries", "declaration_queries", "storage_queries"):
+    for m in ("assembly_queries", "source_queries", "vector_queries", "text_queries", "structure_queries", "graph_queries", "review_queries", "declaration_queries", "storage_queries", "helper_queries"):
         importlib.import_module(f"codestrata.plans.{m}")
 
 
