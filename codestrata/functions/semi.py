@@ -42,3 +42,9 @@ def sorted_distinct(a: Column, most: int | None = None) -> Column:
 def require_dimension(v: Column, dim: int) -> Column:
     """The vector, or an error where its length differs."""
     return F.when(F.size(v) == dim, v).otherwise(F.raise_error(F.concat(F.lit(f"vector of length {dim} expected, got "), F.size(v).cast("string"))).cast("array<float>"))
+
+
+def ordered_extras(c: Column) -> Column:
+    """A map of a JSON object's fields in the order of their names, values as JSON text; null where it is no object."""
+    entries = F.map_entries(F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>"))
+    return F.map_from_entries(F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value")))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass
 
@@ -46,6 +47,19 @@ class RetrievalConfig:
                 continue
         return out.validated()
 
+    @staticmethod
+    def filter_from_env(env: dict[str, str] | None = None) -> list[tuple[str, object]]:
+        """The condition that every search begins with, for ``retrieval.payload_filter``: the value is read as JSON, so that ``5`` is a
+        number and ``true`` a boolean, else as text; none where no key is set."""
+        env = os.environ if env is None else env
+        key, value = env.get("RAG_FILTER_KEY", "").strip(), env.get("RAG_FILTER_VALUE")
+        if not key or value is None:
+            return []
+        try:
+            return [(key, json.loads(value))]
+        except ValueError:
+            return [(key, value)]
+
     def validated(self) -> RetrievalConfig:
         if self.top_k < 1 or self.context_k < 1 or self.dim < 1 or not 0 <= self.mmr_lambda <= 1:
             raise ValueError("top_k, context_k and dim have to be positive, mmr_lambda between 0 and 1")

@@ -15,6 +15,7 @@ from codestrata.operators import diff as D
 from codestrata.operators import extract as X
 from codestrata.operators import findings as G
 from codestrata.operators import records as M
+from codestrata.operators import symbol_index as I
 from codestrata.plans.registry import query, table
 
 _NL = "chr(10)"
@@ -225,3 +226,37 @@ def records_without_imports(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", kind.alias("kind"), F.to_json(F.struct(kind.alias("kind"), F.concat(F.lit("c"), k.cast("string")).alias("name"))).alias("value"))
     kept = M.map_any_line(rows.select("value"), "value")
     return kept.select(F.regexp_extract("text", r"(\d+)$", 1).cast("long").alias("c_custkey"), F.lit("Class").alias("kind"), "text")
+
+
+@query(
+    """WITH c AS (SELECT *, 'lib/c' || c_custkey || '.dart' AS path, strlen('class C' || c_custkey || ' {' || chr(10)) AS base FROM customer)
+SELECT path, kind, replace(name, '#', c_custkey::VARCHAR) AS name, first, decl_last, body_last, (CASE WHEN kind = 'Class' THEN 0 ELSE base + skip END)::INTEGER AS start_byte FROM c, (VALUES ('Class', 'C#', 1, 1, 6, 0), ('Field', 'a', 2, 2, 2, 2), ('Method', 'run', 3, 3, 5, 15)) v(kind, name, first, decl_last, body_last, skip) WHERE c_custkey % 4 > 1"""
+)
+def symbols_at_head(spark, d):
+    """Files at a head: some are missing, some are not in UTF-8; the symbols of the others."""
+    k, key = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("class C"), key, F.lit(" {\n  int a = 1;\n  void run() {\n    go();\n  }\n}\n"))
+    content = F.when(k % 4 == 0, None).when(k % 4 == 1, F.concat(F.encode(text, "UTF-8"), F.lit(b"\xff"))).otherwise(F.encode(text, "UTF-8"))
+    files = table(spark, d, "customer").select(F.concat(F.lit("lib/c"), key, F.lit(".dart")).alias("path"), content.alias("content"))
+    out = I.symbol_records(I.decoded(files))
+    return out.select("path", "kind", "name", F.col("decl_span.start_line").alias("first"), F.col("decl_span.end_line").alias("decl_last"), F.col("body_span.end_line").alias("body_last"), F.col("body_span.start_byte").alias("start_byte"))
+
+
+@query("SELECT c_custkey, ['a', 'n', 'z'] AS keys, '{\"k\":' || c_nationkey || '}' AS n FROM customer")
+def ordered_fields(spark, d):
+    text = F.concat(F.lit('{"z": 1, "n": {"k": '), F.col("c_nationkey").cast("string"), F.lit('}, "a": [1, "x"]}'))
+    return table(spark, d, "customer").select("c_custkey", S.ordered_extras(text).alias("m")).select("c_custkey", F.map_keys("m").alias("keys"), F.element_at("m", F.lit("n")).alias("n"))
+
+
+@query(
+    f"""WITH {_LINES}, t AS (SELECT doc_id, l, list_transform(range(1, least(len(l), 8) + 1), lambda i: list_sum(list_transform(l[1:i], lambda x: strlen(x))) + i - 1) AS used FROM l WHERE len(l) > 0),
+k AS (SELECT doc_id, l, len(list_filter(used, lambda u: u <= 400)) AS n FROM t)
+SELECT doc_id, n::INTEGER AS kept, n < len(l) AS marked FROM k"""
+)
+def clamped_snippets(spark, d):
+    """Lines within 8 and 400 bytes, with an ellipsis where some are left out; at most as long with it."""
+    docs = _docs(spark, d).withColumn("n", F.size(T.lines(F.col("text")))).filter("n > 0")
+    out = docs.withColumn("s", T.clamp_ellipsis(F.col("text"), 400, 8)).withColumn("plain", T.clamp_ellipsis(F.col("text"), 400, 8, ellipsis=False))
+    kept = F.size(T.within_budget(F.slice(T.lines(F.col("text")), 1, 8), 400, first_free=True))
+    checked = F.when((F.octet_length("s") <= 400) | ~F.col("s").endswith("…"), F.col("s").endswith("…") & ~F.col("plain").endswith("…"))
+    return out.select("doc_id", kept.alias("kept"), checked.alias("marked"))

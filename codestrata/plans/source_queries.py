@@ -106,13 +106,14 @@ def graphml(spark, d):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-@query("SELECT lang AS folder, sum(strlen(text) + 1)::BIGINT AS bytes, true AS generated FROM documents WHERE text NOT LIKE '%' || chr(10) || '%' AND text NOT LIKE '%' || chr(13) || '%' GROUP BY lang")
+@query("SELECT lang AS folder, sum(strlen(text) + 1)::BIGINT AS bytes, true AS generated FROM documents WHERE text IS NOT NULL GROUP BY lang")
 def repo_scan(spark, d):
-    """One-line documents as files below a folder for each language, which a pattern marks as generated."""
+    """All documents in files below a folder for each language, which a pattern marks as generated."""
     path = scratch(spark)
-    docs = table(spark, d, "documents").filter(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit("\r")))
-    docs.select("lang", "text").write.partitionBy("lang").text(path)
-    found = S.scan_repo(spark, path, ignore=["**/_SUCCESS"], generated=["**/lang=*/*"])
+    # Files of at most a thousand documents: one over the scan's bound would be left out.
+    docs = table(spark, d, "documents").filter("text is not null").select("lang", "text")
+    docs.write.partitionBy("lang").option("maxRecordsPerFile", 1000).text(path)
+    found = S.scan_repo(spark, path, max_bytes=1 << 30, ignore=["**/_SUCCESS"], generated=["**/lang=*/*"])
     return found.groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("folder")).agg(F.sum("size").alias("bytes"), F.bool_and("is_generated").alias("generated"))
 
 

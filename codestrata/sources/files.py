@@ -13,11 +13,16 @@ STRICT = T.StructType([T.StructField("id", T.StringType()), T.StructField("text"
 
 
 def scan_repo(spark: SparkSession, root: str, ignore: list[str] | None = None, generated: list[str] | None = None, max_bytes: int = P.MAX_FILE_BYTES) -> DataFrame:
-    """path, text, size, language, is_generated of the files below root; unknown languages stay."""
+    """path, text, size, language, is_generated of the files below root; unknown languages stay.
+
+    Size, pruned folders and ignored patterns are tested on the files' metadata, so that Spark leaves those files out when it
+    lists them and opens none."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    raw = raw.filter(F.col("length") <= max_bytes)
+    at = F.col("_metadata.file_path")
+    keep = F.col("_metadata.file_size") <= max_bytes
     for d in P.PRUNED_DIRS:
-        raw = raw.filter(~F.contains("path", F.lit(f"/{d}/")))
+        keep = keep & ~F.contains(at, F.lit(f"/{d}/"))
+    raw = raw.filter(keep)
     out = raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("length").alias("size"))
     out = out.filter(~P.matches_globs(F.col("path"), ignore or []))
     return out.withColumn("language", P.detect_language(F.col("path"))).withColumn("is_generated", P.looks_generated(F.col("path")) | P.matches_globs(F.col("path"), generated or []))
@@ -107,9 +112,11 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return frame(0, head).unionByName(n).unionByName(e).unionByName(frame(3, ["  </graph>", "</graphml>"]))
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A single text file is the format, so that one task sorts and writes it."""
-    graphml_lines(nodes, edges).coalesce(1).sortWithinPartitions("part", "pos").select("line").write.mode("overwrite").text(path)
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, files: int = 1) -> None:
+    """Files whose lines, one file after the other by name, are the document: one by default, as readers of the format want it.
+
+    What leads to the lines runs in all tasks; only sorted writing is by file."""
+    graphml_lines(nodes, edges).repartitionByRange(files, "part", "pos").sortWithinPartitions("part", "pos").select("line").write.mode("overwrite").text(path)
 
 
 def upsert(batch: DataFrame, path: str, key: str = "id", order: Column | None = None) -> None:
@@ -162,11 +169,16 @@ def persist_all(tables: dict[str, DataFrame], root: str, stamp: str) -> dict[str
     return paths
 
 
+def ingest_file(spark: SparkSession, path: str, table: str) -> None:
+    """Upsert the records of one file, strict or mapped, into a table."""
+    upsert(read_strict_or_fallback(spark, path).select("id", "text", "source", "embedding"), table)
+
+
 def ingest_latest(spark: SparkSession, root: str, table: str, name: str = "rag_records") -> str | None:
     """Upsert the records of the latest dump below root into a table; the dump's folder, or None without one."""
     dump = latest_dump(spark, root)
     if dump is not None:
-        upsert(read_strict_or_fallback(spark, f"{dump}/{name}").select("id", "text", "source", "embedding"), table)
+        ingest_file(spark, f"{dump}/{name}", table)
     return dump
 
 
