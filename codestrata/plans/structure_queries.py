@@ -28,18 +28,23 @@ def stitch_blocks(spark, d):
     return I.merge_intervals(_pieces(spark, d), ["file"])
 
 
-# Spans: parts as symbols [p_partkey % 500, + p_size] in one of 20 files; points: orders.
-_SPANS = "SELECT p_partkey AS span_id, p_partkey % 20 AS file, (p_partkey % 500)::INT AS start, (p_partkey % 500 + p_size)::INT AS \"end\" FROM part"
-_POINTS = "SELECT o_orderkey, o_custkey % 20 AS file, (o_orderkey % 520)::INT AS line FROM orders"
+# Spans: parts as symbols [p_partkey % 500, + p_size], some fifty a file, so that files grow in number and not in size; points: orders.
+_FILES = "(SELECT count(*) // 50 + 20 FROM part)"
+_SPANS = f"SELECT p_partkey AS span_id, p_partkey % {_FILES} AS file, (p_partkey % 500)::INT AS start, (p_partkey % 500 + p_size)::INT AS \"end\" FROM part"
+_POINTS = f"SELECT o_orderkey, o_custkey % {_FILES} AS file, (o_orderkey % 520)::INT AS line FROM orders"
+
+
+def _files(spark, d):
+    return table(spark, d, "part").count() // 50 + 20
 
 
 def _spans(spark, d):
     k = F.col("p_partkey")
-    return table(spark, d, "part").select(k.alias("span_id"), (k % 20).alias("file"), (k % 500).cast("int").alias("start"), (k % 500 + F.col("p_size")).cast("int").alias("end"))
+    return table(spark, d, "part").select(k.alias("span_id"), (k % _files(spark, d)).alias("file"), (k % 500).cast("int").alias("start"), (k % 500 + F.col("p_size")).cast("int").alias("end"))
 
 
 def _points(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("file"), (F.col("o_orderkey") % 520).cast("int").alias("line"))
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % _files(spark, d)).alias("file"), (F.col("o_orderkey") % 520).cast("int").alias("line"))
 
 
 @query(f'WITH s AS ({_SPANS}), p AS ({_POINTS}), j AS (SELECT o_orderkey, arg_min(span_id, ("end" - start, start, span_id)) AS span_id FROM p JOIN s ON p.file = s.file AND line BETWEEN start AND "end" GROUP BY o_orderkey) SELECT p.o_orderkey, p.file, p.line, j.span_id FROM p LEFT JOIN j USING (o_orderkey)')
@@ -54,14 +59,14 @@ def siblings(spark, d):
 
 
 @query(
-    f"""WITH s AS ({_SPANS}), c AS (SELECT s_suppkey AS chunk_id, s_suppkey % 25 AS file, (s_suppkey % 450)::INT AS start, (s_suppkey % 450 + 12)::INT AS "end" FROM supplier),
+    f"""WITH s AS ({_SPANS}), c AS (SELECT s_suppkey AS chunk_id, s_suppkey % ({_FILES} + 5) AS file, (s_suppkey % 450)::INT AS start, (s_suppkey % 450 + 12)::INT AS "end" FROM supplier),
 j AS (SELECT chunk_id, span_id, s.start AS s, CASE WHEN span_id IS NOT NULL THEN least(c."end", s."end") - greatest(c.start, s.start) END AS o FROM c LEFT JOIN s ON c.file = s.file),
 w AS (SELECT *, CASE WHEN o > 0 THEN o WHEN o = 0 THEN 1 ELSE 0 END AS ov, CASE WHEN o IS NOT NULL THEN greatest(0, -o) END AS g FROM j)
 SELECT chunk_id, arg_min(span_id, (-ov, g, s, span_id)) AS symbol_id, max(ov)::INT AS overlap, arg_min(g, (-ov, g, s, span_id))::INT AS gap FROM w GROUP BY chunk_id"""
 )
 def best_overlap(spark, d):
     k = F.col("s_suppkey")
-    chunks = table(spark, d, "supplier").select(k.alias("chunk_id"), (k % 25).alias("file"), (k % 450).cast("int").alias("start"), (k % 450 + 12).cast("int").alias("end"))
+    chunks = table(spark, d, "supplier").select(k.alias("chunk_id"), (k % (_files(spark, d) + 5)).alias("file"), (k % 450).cast("int").alias("start"), (k % 450 + 12).cast("int").alias("end"))
     out = I.best_overlap(chunks, _spans(spark, d).withColumnRenamed("span_id", "symbol_id"), "file")
     return out.select("chunk_id", "symbol_id", F.coalesce("overlap", F.lit(0)).cast("int").alias("overlap"), F.col("gap").cast("int").alias("gap"))
 
@@ -82,11 +87,11 @@ def first_in_range(spark, d):
     return I.first_in_range(_points(spark, d), _spans(spark, d).withColumnRenamed("span_id", "range_id"), "file")
 
 
-@query(f'WITH s AS ({_SPANS}) SELECT a.span_id FROM s a WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_partkey % 20 AS file, (p_partkey * 7 % 300)::INT AS start, (p_partkey * 7 % 300 + p_size % 3)::INT AS "end" FROM part WHERE p_size > 25) b WHERE a.file = b.file AND a.start <= b."end" AND b.start <= a."end")')
+@query(f'WITH s AS ({_SPANS}) SELECT a.span_id FROM s a WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_partkey % {_FILES} AS file, (p_partkey * 7 % 300)::INT AS start, (p_partkey * 7 % 300 + p_size % 3)::INT AS "end" FROM part WHERE p_size > 25) b WHERE a.file = b.file AND a.start <= b."end" AND b.start <= a."end")')
 def anti_overlapping(spark, d):
     s = _spans(spark, d)
     k = F.col("p_partkey")
-    old = table(spark, d, "part").filter("p_size > 25").select((k % 20).alias("file"), (k * 7 % 300).cast("int").alias("start"), (k * 7 % 300 + F.col("p_size") % 3).cast("int").alias("end"))
+    old = table(spark, d, "part").filter("p_size > 25").select((k % _files(spark, d)).alias("file"), (k * 7 % 300).cast("int").alias("start"), (k * 7 % 300 + F.col("p_size") % 3).cast("int").alias("end"))
     return I.anti_overlapping(s, old, ["file"]).select("span_id")
 
 
@@ -121,7 +126,7 @@ def top_per_group(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT doc_id * 100 + i AS id, doc_id AS file, (i * 3)::INT AS s, least(i * 3 + 4, len(string_split(text, chr(10))))::INT AS e, string_split(text, chr(10)) AS l, (doc_id * 7 + i * 13) % 50 / 50.0::DOUBLE AS score FROM documents, (SELECT unnest(range(5)) AS i) WHERE i * 3 < len(string_split(text, chr(10))) AND (doc_id + i) % 3 <> 0),
+    """WITH c AS (SELECT doc_id * 10000 + i AS id, doc_id AS file, (i * 3)::INT AS s, least(i * 3 + 4, len(string_split(text, chr(10))))::INT AS e, string_split(text, chr(10)) AS l, (doc_id * 7 + i * 13) % 50 / 50.0::DOUBLE AS score FROM documents, LATERAL (SELECT unnest(range((len(string_split(text, chr(10))) + 2) // 3)) AS i) WHERE (doc_id + i) % 3 <> 0),
 r AS (SELECT *, max(e) OVER (PARTITION BY file ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
 b AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY s, id) AS b FROM r),
 g AS (SELECT file, min(s) AS start, max(e) AS "end", count(*) AS n, arg_max(id, (score, -s, -id)) AS best_id, max(score) AS best_score, any_value(l) AS l FROM b GROUP BY file, b)
@@ -132,7 +137,7 @@ def code_results(spark, d):
 
     docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\r", "").alias("text"))
     n = F.size(F.split("text", "\n", -1))
-    c = docs.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).filter((F.col("i") * 3 < F.col("n")) & ((F.col("doc_id") + F.col("i")) % 3 != 0))
-    c = c.select((F.col("doc_id") * 100 + F.col("i")).alias("id"), F.col("doc_id").alias("file"), (F.col("i") * 3).alias("start_row"), F.least(F.col("i") * 3 + 4, F.col("n")).alias("end_row"), ((F.col("doc_id") * 7 + F.col("i") * 13) % 50 / 50.0).alias("score"))
+    c = docs.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 3)))).filter((F.col("doc_id") + F.col("i")) % 3 != 0)
+    c = c.select((F.col("doc_id") * 10000 + F.col("i")).alias("id"), F.col("doc_id").alias("file"), (F.col("i") * 3).cast("int").alias("start_row"), F.least(F.col("i") * 3 + 4, F.col("n")).cast("int").alias("end_row"), ((F.col("doc_id") * 7 + F.col("i") * 13) % 50 / 50.0).alias("score"))
     hits = c.select("id", "score", F.lit(1).alias("rank"))
     return stitched(hits, c.drop("score"), docs.withColumnRenamed("doc_id", "path"), 50).drop("rank")
