@@ -123,6 +123,15 @@ def test_rows_alike_have_places_of_their_own(docs_of):
     assert len(rows) == 502 and sorted(r["slot"] for r in rows if r["doc_id"] == 7) == list(range(min(r["slot"] for r in rows if r["doc_id"] == 7), 500 + min(r["slot"] for r in rows if r["doc_id"] == 7)))
 
 
+def test_places_of_very_many_rows_alike_in_blocks(docs_of, monkeypatch):
+    monkeypatch.setattr(sharding, "PLACES", 60)
+    rows = sharding.shard(docs_of(["same"] * 500 + ["x"] * 130, ids=[7] * 500 + list(range(100, 230)))).records.collect()
+    places = {}
+    for r in rows:
+        places.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == 630 and all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_the_query_covers_its_table(shipped, sf_dir):
     docs = [(r["doc_id"], (r["text"] or "").encode()) for r in shipped.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows = sharding.op6_sharding(shipped, sf_dir).collect()

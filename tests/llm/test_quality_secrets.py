@@ -141,3 +141,23 @@ def test_clashing_names_and_very_long_texts(docs_of, spark):
     long = "x " * 300_000 + "token = abcdefghijklmnop"
     found = S.find(docs_of([long]).selectExpr("*", "1 as spans", "2 as candidates")).first()
     assert [(s["start"], s["end"]) for s in found["base"]] == [(600_000, len(long))]
+
+
+def test_many_candidates_in_one_text_are_swept():
+    import random
+    import time
+
+    rng = random.Random(1)
+    text = " ".join(f"token={rng.getrandbits(80):x}q" if i % 2 else f"abc{rng.getrandbits(64):x}/part{rng.getrandbits(60):x}x" for i in range(40_000))
+    began = time.time()
+    base = S.base_matches(text)
+    found = S.candidates(text, base)
+    kept = S.best_of([(rng.random(), s, e) for s, e, _ in found])
+    assert time.time() - began < 5 and len(base) >= 10_000 and len(found) >= 20_000  # all pairs would take minutes
+    spans = [(found[k][0], found[k][1]) for k in kept]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    small = text[:6000]
+    base = S.base_matches(small)
+    every = [(m.start(), m.end()) for m in S.CANDIDATE.finditer(small)]
+    assert {(s, e) for s, e, _ in S.candidates(small, base)} >= {(s, e) for s, e in every if not any(b[1] < e and s < b[2] for b in base)}
+    assert not any(b[1] < e and s < b[2] for s, e, _ in S.candidates(small, base) for b in base)

@@ -118,3 +118,15 @@ def test_an_altered_recipe_and_a_missing_part_are_seen(docs_of, spark, tmp_path)
     rows.filter("doc_id <> 1").write.mode("overwrite").parquet(f"{lost}/rows")
     with pytest.raises(ValueError, match="not as in the manifest"):
         T.verified(spark, lost)
+
+
+def test_rows_of_one_id_store_their_chunks_once(docs_of, spark, tmp_path):
+    text = " ".join(str(i) for i in range(2000))
+    sizes = {}
+    for name, ids in (("one", [1]), ("repeated", [1, 1, 1]), ("null", [None, None]), ("both", [None, 4, 4])):
+        path = str(tmp_path / name)
+        T.write(docs_of([text] * len(ids), ids=ids), path, PATH)
+        sizes[name] = spark.read.parquet(f"{path}/rows").selectExpr("sum(length(payload)) as b").first()["b"]
+        rows = T.verified(spark, path).collect()
+        assert len({bytes(r["ids"]) for r in rows}) == 1 and len(rows) == len(ids)
+    assert len(set(sizes.values())) == 1
