@@ -63,13 +63,17 @@ SIMHASH_BITS = 64
 def simhash_of(tokens) -> int:
     """A bit for each of 64 hash bits (md5 of token trigrams): 1 where as many trigrams have it as not; a signed number.
     Under 3 tokens: 0."""
-    if len(tokens) < 3:
-        return 0
     raw = b"".join(hashlib.md5(" ".join(tokens[i : i + 3]).encode()).digest()[:8] for i in range(len(tokens) - 2))
-    h = np.frombuffer(raw, dtype=">u8").astype(np.uint64) >> np.uint64(64 - SIMHASH_BITS)
-    votes = [int((h >> np.uint64(i) & np.uint64(1)).sum()) * 2 >= len(h) for i in range(SIMHASH_BITS)]
-    found = sum(1 << i for i, v in enumerate(votes) if v)
-    return found - (1 << SIMHASH_BITS) if found >> (SIMHASH_BITS - 1) else found
+    return _folded(raw)
+
+
+def _folded(raw: bytes) -> int:
+    """The majority of each bit over hashes of eight bytes."""
+    if not raw:
+        return 0
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
+    majority = bits.sum(axis=0, dtype=np.int64) * 2 >= len(bits)
+    return int.from_bytes(np.packbits(majority).tobytes(), "big", signed=True)
 
 
 @F.pandas_udf(T.LongType())
