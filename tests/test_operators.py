@@ -120,9 +120,35 @@ def test_imports_by_language(spark):
     assert {("a", "b", "imports"), ("c", "d", "imports"), ("e", "f", "imports")} <= edges
 
 
-def test_extraction(spark):
-    from codestrata.plans.graph_queries import DART
+DART = """import 'dart:async';
+import 'src/a.dart' as a;
+export 'src/b.dart';
+part 'c.dart';
+
+/// A page.
+/// Of two lines.
+abstract class Page extends StatelessWidget {
+  final int _count = 1;
+  static String title(int x) {
+    return go('/home');
+  }
+  int get size => _count;
+}
+
+mixin Walks on Page {}
+mixin class Both {}
+enum Kind { one, two }
+extension Shout on String {}
+extension on int {}
+extension type Id(int v) {}
+
+void main() {
+  runApp(Page());
+}
+"""
+
 
+def test_extraction(spark):
     f = spark.createDataFrame([("lib/page.dart", DART)], "path string, text string")
     docs = extract.docs_above(f, extract.symbols(f).filter("name = 'Page'").select("path", "line")).first()
     assert docs["doc"] == "A page.\nOf two lines."
