@@ -91,12 +91,21 @@ def clamp_ellipsis(c: Column, most: int, lines_max: int, ellipsis: bool = True,
     return F.when(F.size(kept) < F.size(every), F.concat(cut, F.lit(ELLIPSIS))).otherwise(joined)
 
 
+def _byte_prefix(c: Column, most: int, over: bool) -> Column:
+    """The longest prefix of whole characters within ``most`` bytes; with ``over`` the shortest that reaches them."""
+    body = F.encode(c, "UTF-8")
+    cut = lambda n: F.substring(body, 1, n).cast("string")
+    return F.coalesce(*(F.when(F.is_valid_utf8(cut(n)), cut(n)) for n in (most + k if over else most - k for k in range(4)) if n >= 0))
+
+
 def trim_to_cap(c: Column, most: int) -> Column:
-    return F.left(c, F.lit(most))
+    """A text of over ``most`` characters cut to whole characters within as many bytes."""
+    return F.when(F.char_length(c) > most, _byte_prefix(c, most, over=False)).otherwise(c)
 
 
 def first_line(c: Column, most: int) -> Column:
-    return trim_ws(F.left(F.substring_index(c, "\n", 1), F.lit(most)))
+    """The first line up to the character with which it reaches ``most`` bytes, trimmed."""
+    return trim_ws(_byte_prefix(F.substring_index(c, "\n", 1), most, over=True))
 
 
 def truncate(c: Column, most: int, mark: str = ELLIPSIS) -> Column:

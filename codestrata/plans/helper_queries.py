@@ -14,9 +14,11 @@ from codestrata.operators import context as K
 from codestrata.operators import diff as D
 from codestrata.operators import extract as X
 from codestrata.operators import findings as G
+from codestrata.operators import graph as Q
 from codestrata.operators import records as M
 from codestrata.operators import symbol_index as I
-from codestrata.plans.registry import query, table
+from codestrata.plans.registry import query, scratch, table
+from codestrata.sources import files as W
 
 _NL = "chr(10)"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -260,3 +262,47 @@ def clamped_snippets(spark, d):
     kept = F.size(T.within_budget(F.slice(T.lines(F.col("text")), 1, 8), 400, first_free=True))
     checked = F.when((F.octet_length("s") <= 400) | ~F.col("s").endswith("…"), F.col("s").endswith("…") & ~F.col("plain").endswith("…"))
     return out.select("doc_id", kept.alias("kept"), checked.alias("marked"))
+
+
+@query("WITH t AS (SELECT doc_id, coalesce(replace(text, chr(13), ''), '') AS text FROM documents) SELECT doc_id, CASE WHEN length(text) <= 100 THEN text ELSE left(text, len(list_filter(range(1, 101), lambda k: strlen(left(text, k)) <= 100))) END AS capped FROM t")
+def capped_texts(spark, d):
+    return _docs(spark, d).select("doc_id", T.trim_to_cap(F.col("text"), 100).alias("capped"))
+
+
+@query(
+    """WITH c AS (SELECT o_orderkey AS id, o_custkey AS file, 'f' || o_custkey || '::C' || CASE WHEN o_orderkey % 4 > 0 THEN '::m' || o_orderkey ELSE '' END AS p FROM orders),
+par AS (SELECT file, min(id) AS parent_id FROM c WHERE id % 4 = 0 GROUP BY file), k AS (SELECT parent_id, count(*) AS n, min(id) AS lo, max(id) AS hi FROM c JOIN par USING (file) WHERE id % 4 > 0 GROUP BY parent_id)
+SELECT id, coalesce(k.n, 0)::INTEGER AS n, k.lo AS first, k.hi AS last FROM c LEFT JOIN k ON k.parent_id = id"""
+)
+def chunk_children(spark, d):
+    """Orders as chunks of a class or its members: the children of each, by id."""
+    n, key = F.col("o_orderkey"), F.col("o_custkey")
+    path = F.concat(F.lit("f"), key.cast("string"), F.lit("::C"), F.when(n % 4 > 0, F.concat(F.lit("::m"), n.cast("string"))).otherwise(""))
+    out = Q.children_and_parent(table(spark, d, "orders").select(n.alias("id"), key.alias("file"), path.alias("symbol_path")))
+    return out.select("id", F.size("children").alias("n"), F.array_min("children").alias("first"), F.array_max("children").alias("last"))
+
+
+@query("SELECT conv_id * 1000 + turn AS id, role AS path, role || ':' || turn || '|line#' || left(sha256(text), 8) AS idempotency_key, strlen(text)::INTEGER AS body_len, turn % 2 = 0 AS escalated FROM conversations")
+def report_rows(spark, d):
+    n, t = F.col("conv_id"), F.col("turn")
+    c = table(spark, d, "conversations").select((n * 1000 + t).alias("id"), F.col("role").alias("path"), F.lit("line").alias("kind"), t.alias("line"), t.alias("start"), t.alias("end"), F.substring(F.sha2("text", 256), 1, 8).alias("snippet_hash"), F.lit("Low").alias("severity"), F.col("text").alias("body"), F.lit(0.5).alias("confidence"), F.lit(9).alias("prompt_tokens"), (t % 2 == 0).alias("escalated"))
+    return G.report_rows(c).select("id", "path", "idempotency_key", "body_len", "escalated")
+
+
+@query("SELECT conv_id, turn, md5(role || ': ' || text) AS prompt FROM conversations")
+def dumped_prompts(spark, d):
+    """Prompts of a review written for each that reads them later, and read back."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("prompt"))
+    path = W.dump_rows(rows, scratch(spark), "prompts", "mr-1")
+    return spark.read.schema("conv_id long, turn long, prompt string").json(path).select("conv_id", "turn", F.md5(F.col("prompt").cast("binary")).alias("prompt"))
+
+
+@query("SELECT doc_id, md5(text) AS text FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 3 = 0 OR text IS NULL")
+def materialized_files(spark, d):
+    """Texts of targets from files that were stored at a head; what was not stored is null."""
+    docs = table(spark, d, "documents")
+    path = scratch(spark)
+    name = F.concat(F.lit("h/d"), F.col("doc_id").cast("string")).alias("path")
+    docs.filter("doc_id % 3 <> 0").select(name, "text").write.parquet(path)
+    found = K.primary_context(docs.select(F.col("doc_id").alias("target_id"), name, F.lit(1).alias("start"), F.lit(1).alias("end")), spark.read.parquet(path))
+    return found.select(F.col("target_id").alias("doc_id"), F.md5(F.col("full_text").cast("binary")).alias("text"))

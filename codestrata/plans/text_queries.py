@@ -95,7 +95,7 @@ def redact(spark, d):
     return docs(spark, d).select("doc_id", T.redact_secrets(F.col("text")).alias("body"))
 
 
-@query(f"SELECT doc_id, trim(left(split_part(text, {_NL}, 1), 80)) AS head, CASE WHEN length(text) > 120 THEN left(text, 120) || '…' ELSE text END AS short, length(text) > 500 AS cut FROM documents")
+@query(f"SELECT doc_id, trim(left(split_part(text, {_NL}, 1), coalesce(list_filter(range(1, 81), lambda k: strlen(left(split_part(text, {_NL}, 1), k)) >= 80)[1], 80))) AS head, CASE WHEN length(text) > 120 THEN left(text, 120) || '…' ELSE text END AS short, length(text) > 500 AS cut FROM documents")
 def first_lines(spark, d):
     return docs(spark, d).select("doc_id", T.first_line(F.col("text"), 80).alias("head"), T.truncate(F.col("text"), 120).alias("short"), T.maybe_truncate(F.col("text"), 500)["truncated"].alias("cut"))
 
@@ -209,14 +209,14 @@ def pick_chunk(spark, d):
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, lang, source, text, {lines_sql("text")} AS f FROM documents), m AS (SELECT *, f[1:50] AS l FROM l)
-SELECT doc_id, lang || ' | File | ' || source || {_NL} || 'Doc: ' || left(split_part(text, {_NL}, 1), 240) AS head FROM m WHERE split_part(text, {_NL}, 1) <> '' AND trim(left(split_part(text, {_NL}, 1), 240)) = left(split_part(text, {_NL}, 1), 240)"""
+    f"""WITH l AS (SELECT doc_id, lang, source, split_part(coalesce(text, ''), {_NL}, 1) AS x FROM documents),
+m AS (SELECT *, trim(left(x, coalesce(list_filter(range(1, 241), lambda k: strlen(left(x, k)) >= 240)[1], 240)), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS h FROM l)
+SELECT doc_id, lang || ' | File | ' || source || CASE WHEN h <> '' THEN {_NL} || 'Doc: ' || h ELSE '' END AS head FROM m"""
 )
 def embedding_heads(spark, d):
     none = F.array().cast("array<string>")
     body = M.embedding_text(F.col("lang"), F.lit("File"), F.col("source"), F.lit(None).cast("string"), F.col("text"), none, none, none, F.lit(None).cast("string"))
-    first = F.substring_index("text", "\n", 1)
-    return docs(spark, d).filter((first != "") & (F.trim(F.left(first, F.lit(240))) == F.left(first, F.lit(240)))).select("doc_id", body.alias("head"))
+    return docs(spark, d).select("doc_id", body.alias("head"))
 
 
 @query("SELECT doc_id, lang || chr(10) || source || chr(10) || doc_id AS blob FROM documents")
