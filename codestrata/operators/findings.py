@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +14,7 @@ from codestrata.functions import ids
 from codestrata.functions import text as T
 from codestrata.functions.vectors import SEVERITY_RANK, rank_of
 from codestrata.operators.intervals import within_any
+from codestrata.session import scratch
 
 
 def parse_findings(raw: DataFrame, key: str = "target_id", raw_col: str = "raw", allowed_col: str = "allowed") -> DataFrame:
@@ -49,29 +53,80 @@ def anchor_clusters(drafts: DataFrame, gap: int = 10) -> DataFrame:
     return drafts.withColumn("_new", F.when(first | ~close, 1).otherwise(0)).withColumn("cluster", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
+#: Distinct hashes of a group that one task takes; larger groups are decided in rounds.
+GROUP, LOWEST = 4096, 64
+
+
 def greedy_near(hamming_max: int = 5):
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         """In id order, drop what is within ``hamming_max`` bits of a kept one."""
-        kept: list[int] = []
-        flags = []
-        for h in pdf.sort_values("id")["simhash"]:
-            near = any(bin((int(h) ^ k) & 0xFFFFFFFFFFFFFFFF).count("1") <= hamming_max for k in kept)
-            flags.append(not near)
-            if not near:
-                kept.append(int(h))
-        return pdf.sort_values("id").assign(keep=flags)
+        pdf = pdf.sort_values(["id", "simhash"])
+        kept, n, flags = np.empty(len(pdf), np.uint64), 0, []
+        for h in pdf["simhash"].to_numpy(np.int64).view(np.uint64):
+            flags.append(not (np.bitwise_count(kept[:n] ^ h) <= hamming_max).any())
+            if flags[-1]:
+                kept[n] = h
+                n += 1
+        return pdf[flags]
 
     return keep
 
 
+def _pieces(nodes: DataFrame, hamming_max: int) -> DataFrame:
+    """Each node once for each of hamming_max + 1 pieces of its hash: hashes within that distance share a piece."""
+    cuts = [64 * i // (hamming_max + 1) for i in range(hamming_max + 2)]
+    bits = lambda a, b: F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
+    return nodes.withColumn("piece", F.explode(F.array(*[F.struct(F.lit(i).alias("p"), bits(a, b).alias("v")) for i, (a, b) in enumerate(pairwise(cuts))])))
+
+
+def _greedy_rounds(nodes: DataFrame, hamming_max: int) -> DataFrame:
+    """What ``greedy_near`` keeps of each group (g, id, simhash), decided in rounds over pieces of hashes.
+
+    A node that is among the LOWEST undecided of all its pieces and near none of those before it is kept, as whatever is near it
+    shares a piece; then all that is near a kept one is decided. The first undecided node of a group is always kept, so rounds end."""
+    kept = None
+    while nodes.head(1):
+        pieces = _pieces(nodes, hamming_max)
+        low = pieces.withColumn("_r", F.row_number().over(W.partitionBy("g", "piece").orderBy("id", "simhash"))).filter(F.col("_r") <= LOWEST)
+        lists = low.groupBy("g", "piece").agg(F.array_sort(F.collect_list(F.struct("id", "simhash"))).alias("l"))
+        near = lambda a, b: ids.hamming(a["simhash"], b["simhash"]) <= hamming_max
+        free = F.filter("l", lambda x: ~F.exists("l", lambda y: (y < x) & near(x, y)))
+        found = lists.select("g", F.explode(free).alias("x")).groupBy("g", "x").agg(F.count("*").alias("n")).filter(F.col("n") == hamming_max + 1).select("g", "x.id", "x.simhash")
+        found = _written(found)
+        kept = found if kept is None else kept.unionByName(found)
+        by = _pieces(found, hamming_max).select("g", "piece", F.col("simhash").alias("_k"))
+        decided = pieces.join(by, ["g", "piece"]).filter(ids.hamming(F.col("simhash"), F.col("_k")) <= hamming_max).select("g", "id", "simhash").distinct()
+        nodes = _written(nodes.join(decided, ["g", "id", "simhash"], "left_anti"))
+    return nodes if kept is None else kept
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_near(rows: DataFrame, by: list[str], hamming_max: int = 5, group: int = GROUP) -> DataFrame:
+    """``rows`` (id, simhash, ...) without those within ``hamming_max`` bits of a kept one before them (in id order) in their group.
+
+    Of equal hashes the first decides for all. A group of up to ``group`` different hashes is one task's work; those of larger
+    groups meet by pieces of their hashes, in rounds that are jobs of their own. Ids are taken to be unique in a group."""
+    first = rows.withColumn("_r", F.row_number().over(W.partitionBy(*by, "simhash").orderBy("id"))).filter("_r = 1").drop("_r")
+    first = _written(first.withColumn("g", F.to_json(F.struct(*by))))
+    nodes = first.select("g", "id", "simhash")
+    large = nodes.groupBy("g").count().filter(F.col("count") > group).select("g")
+    schema = nodes.schema
+    kept = nodes.join(large, "g", "left_anti").groupBy("g").applyInPandas(greedy_near(hamming_max), schema)
+    if large.head(1):
+        kept = kept.unionByName(_greedy_rounds(_written(nodes.join(large, "g", "left_semi")), hamming_max))
+    return first.join(kept, ["g", "id", "simhash"], "left_semi").select(*rows.columns)
+
+
 def dedup_drafts(drafts: DataFrame, hamming_max: int = 5, choose=None) -> DataFrame:
     """One draft of each (path, cluster, theme): near copies go first, then the best by heuristic, or by ``choose``, a
-    function of a DataFrame with a ``value`` column to rank by.
-
-    A group is the drafts of one file's lines under one theme: few rows by nature."""
+    function of a DataFrame with a ``value`` column to rank by. A group may be of any size (``drop_near``)."""
     d = anchor_clusters(drafts).withColumn("theme", T.theme(F.col("body"))).withColumn("simhash", ids.simhash(F.col("body")))
-    schema = f"{', '.join(f'`{c}` {t}' for c, t in d.dtypes)}, keep boolean"
-    rest = d.groupBy("path", "cluster", "theme").applyInPandas(greedy_near(hamming_max), schema).filter("keep").drop("keep")
+    rest = drop_near(d, ["path", "cluster", "theme"], hamming_max)
     rest = rest.withColumn("value", heuristic(F.col("severity"), F.col("body"), F.col("start"), F.col("end")))
     rest = choose(rest) if choose else rest
     w = W.partitionBy("path", "cluster", "theme").orderBy(F.desc("value"), "id")

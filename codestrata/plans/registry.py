@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import importlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codestrata.session import scratch as scratch  # noqa: PLC0414  (queries take it from here)
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
@@ -30,20 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see, deleted when the application ends: below spark.checkpoint.dir, or a local one
-    where that is unset and the session is local."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="codestrata-queries-")
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    of = spark._jvm.org.apache.hadoop.fs.Path(path)
-    of.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(of)
-    return path
-
-
 def _load() -> None:
     for m in ("assembly_queries", "source_queries", "vector_queries", "text_queries", "structure_queries", "graph_queries", "review_queries", "declaration_queries", "storage_queries", "helper_queries"):
         importlib.import_module(f"codestrata.plans.{m}")

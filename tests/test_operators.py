@@ -103,6 +103,34 @@ def test_drafts_against_python(spark):
     assert sorted(r["id"] for r in findings.dedup_drafts(df).collect()) == drafts_in_python(rows)
 
 
+def test_near_copies_of_large_groups_go_as_in_small_ones(spark, monkeypatch):
+    """Chains and families of near hashes, equal ones and null groups: rounds over pieces keep what the greedy pass keeps."""
+    rng = random.Random(8)
+    rows = []
+    for g, n in ((None, 150), ("a", 300), ("b", 3)):
+        family = [rng.getrandbits(64) for _ in range(6)]
+        for _ in range(n):
+            h = rng.choice(family)
+            for _ in range(rng.randrange(5)):
+                h ^= 1 << rng.randrange(64)
+            if rng.random() < 0.3:
+                family.append(h)
+            rows.append((len(rows), g, h - (1 << 64) if h >> 63 else h))
+    rng.shuffle(rows)
+    want = []
+    for g in (None, "a", "b"):
+        kept = []
+        for i, _, h in sorted(r for r in rows if r[1] == g):
+            if all(bin((h ^ k) & (1 << 64) - 1).count("1") > 5 for k in kept):
+                kept.append(h)
+                want.append(i)
+    df = spark.createDataFrame(rows, "id int, path string, simhash long")
+    monkeypatch.setattr(findings, "LOWEST", 8)
+    for group in (4096, 20):
+        assert sorted(r["id"] for r in findings.drop_near(df, ["path"], group=group).collect()) == sorted(want)
+    assert not findings.drop_near(df.limit(0), ["path"]).collect()
+
+
 def test_patches(spark):
     df = spark.createDataFrame([("-b \n-c\n+x", "a\nb\nc  \nd"), ("+only", "a"), ("-b\n-d", "a\nb\nc\nd"), ("-b", None)], "p string, t string")
     r = df.select(diff.patch_applies(F.col("p"), F.col("t")).alias("ok"), diff.reanchor(F.col("p"), F.col("t")).alias("at")).collect()
