@@ -6,9 +6,11 @@ the typical distance falls into the cell, from the normal distribution of its pr
 ranked by the exact inner product in double precision. Inner products are made a distance by one more coordinate, the
 square root of the greatest squared norm less the vector's own, so that the nearest is the one with the largest product.
 
-``fit`` takes a bounded sample of rows to find the typical distance and the least number of probes with which
-sampled queries reach ``recall`` against brute force over the sample; where no number of probes within ``REACH`` cells does, all
-queries are answered exactly. Every row is indexed; equal vectors are indexed once with their ``k + 1`` least ids, as no
+``fit`` finds the exact neighbours of a bounded sample of queries among all rows, in one pass, and tries widths of a cell around
+their typical distance, 4 to 12 hashes and 2 or 4 tables. Of those with which the sampled queries reach ``recall`` it takes the one that
+costs the least: the rows that its probes meet, as a share of a bounded sample of rows times the number of all rows, and the probes
+themselves. More rows make finer cells worth their probes. Where no choice reaches the recall with cells within ``REACH``, all queries
+are answered exactly. Every row is indexed; equal vectors are indexed once with their ``k + 1`` least ids, as no
 more can be among the nearest. Cells are dealt to parts by a hash of their number, those of very many rows in blocks. A query
 goes once to each part that holds cells of its list, with its vector and those cells' numbers, and keeps its best k there.
 A query whose cells held fewer than k candidates is answered exactly: it meets blocks of all rows.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import pairwise, product
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import partitions, store, table
-from codestrata.llm.words import mix64
+from codestrata.llm.words import STEP, mix64
 
-TABLES, HASHES, WIDTH, REACH, BLOCK, SAMPLE, QUERIES, RECALL, SEED = 4, 4, 1.35, 3, 2048, 8000, 128, 0.97, 11
+TABLES, HASHES, WIDTH, REACH, BLOCK, SAMPLE, QUERIES, RECALL, SEED = 4, 4, 1.35, 3, 2048, 8000, 64, 0.97, 11
+#: What ``fit`` tries: widths as multiples of the typical distance, numbers of hashes and of tables.
+FACTORS, ALL_HASHES, ALL_TABLES = (0.8, 1.2, 1.8, 2.7), (4, 8, 12), (2, 4)
+#: Perturbed cells that are ordered for each query and table (the least perturbed of all).
+PERTURBED = 2401
 #: Cells over BLOCK rows are known to all tasks: there are at most so many, as BLOCK grows with the rows.
 LARGE_CELLS, PART_BYTES = 1 << 16, 1 << 26
 
@@ -58,6 +64,7 @@ class Index:
         rng = np.random.default_rng(SEED)
         self.a = rng.normal(size=(self.tables, self.dim + 1, self.hashes))
         self.b = rng.uniform(0, 1, (self.tables, self.hashes))
+        self.shifts = perturbations(self.hashes)
 
     def lifted(self, x: np.ndarray, query: bool) -> np.ndarray:
         """One more coordinate: 0 for queries, which are scaled to the greatest norm; the missing norm for others."""
@@ -71,25 +78,34 @@ class Index:
 
     @staticmethod
     def cell(slots: np.ndarray) -> np.ndarray:
-        """A number for each row of slots (8 bits a hash)."""
-        out = np.zeros(len(slots), dtype=np.int64)
+        """A number for each row of slots. Should two cells have the same, their queries meet a few rows more."""
+        out = np.zeros(len(slots), dtype=np.uint64)
         for j in range(slots.shape[1]):
-            out = out * 256 + (np.clip(slots[:, j], -127, 127).astype(np.int64) + 128)
-        return out
+            out = out * STEP + slots[:, j].astype(np.int64).view(np.uint64)
+        return mix64(out).view(np.int64)
 
     def order(self, f: np.ndarray) -> np.ndarray:
         """Cells to probe for each row of projections, the likeliest to hold a neighbour first: (rows, probes)."""
-        own, shifts = np.floor(f), np.arange(-REACH, REACH + 1)
+        own, shifts, combos = np.floor(f), np.arange(-REACH, REACH + 1), self.shifts
         low = own[:, :, None] + shifts - f[:, :, None]
         z = lambda v: 0.5 * (1 + _erf(v / (self.deviation * 2**0.5)))
         logp = np.log(np.maximum(z(low + 1) - z(low), 1e-12))
-        combos = np.array(list(product(range(len(shifts)), repeat=self.hashes)))
         total = sum(logp[:, j, combos[:, j]] for j in range(self.hashes))
         best = np.argsort(-total, axis=1, kind="stable")[:, : self.probes]
         slots = own[:, None, :] + shifts[combos[best]]
         return self.cell(slots.reshape(-1, self.hashes)).reshape(len(f), -1)
 
 
+def perturbations(hashes: int) -> np.ndarray:
+    """Shifts of all hashes, as places in -REACH..REACH, by how far they are from none; the first PERTURBED."""
+    out = np.zeros((1, 0), dtype=np.int64)
+    for j in range(hashes):  # the least perturbed prefixes hold the prefixes of the least perturbed
+        out = np.hstack([np.repeat(out, 2 * REACH + 1, axis=0), np.tile(np.arange(2 * REACH + 1), len(out))[:, None]])
+        far = ((out - REACH) ** 2).sum(axis=1)
+        out = out[np.argsort(far, kind="stable")[:PERTURBED]]
+    return out
+
+
 def _erf(x: np.ndarray) -> np.ndarray:
     """The error function to 1.5e-7 (a rational approximation)."""
     t = 1 / (1 + 0.3275911 * np.abs(x))
@@ -115,35 +131,84 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _neighbours(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> dict[int, np.ndarray]:
+    """The vectors of the k exact nearest rows of each query but its own, by its place in ids: one pass over ``rows``."""
+    asked = rows.sparkSession.sparkContext.broadcast((ids, q))  # at most QUERIES vectors
+    kind = dict(rows.dtypes)["vector"]
+
+    def run(batches):
+        own, x = asked.value
+        best = [(np.full(0, 0.0), np.zeros((0, x.shape[1]))) for _ in own]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m, name = _matrix(b.column("vector")), b.column("vec_id").to_numpy()
+            score = x @ m.T
+            score[own[:, None] == name[None, :]] = -np.inf
+            for j, (s, v) in enumerate(best):
+                near = np.argpartition(-score[j], k - 1)[:k] if len(name) > k else np.arange(len(name))
+                near = near[np.isfinite(score[j][near])]
+                s, v = np.concatenate([s, score[j][near]]), np.vstack([v, m[near]])
+                top = np.argsort(-s, kind="stable")[:k]
+                best[j] = s[top], v[top]
+        at = np.repeat(np.arange(len(own)), [len(s) for s, _ in best])
+        vectors = pa.array(list(np.vstack([v for _, v in best])), pa.list_(pa.float32() if kind == "array<float>" else pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.concatenate([s for s, _ in best])), vectors], names=["at", "score", "vector"])
+
+    found = rows.mapInArrow(run, f"at long, score double, vector {kind}")
+    found = found.withColumn("r", F.row_number().over(W.partitionBy("at").orderBy(F.desc("score"), "vector"))).filter(F.col("r") <= k)
+    out: dict[int, list] = {}
+    for r in found.collect():  # at most QUERIES * k rows
+        out.setdefault(r["at"], []).append(r["vector"])
+    return {at: np.array(v, dtype=np.float64) for at, v in out.items()}
+
+
+def choose(x: np.ndarray, asked: np.ndarray, near: list[np.ndarray], n: int, most: float, recall: float = RECALL) -> tuple[Index, float]:
+    """The cheapest index for n rows, of which x is a sample, that finds ``recall`` of the queries' neighbours; and what a query costs."""
+    dim = x.shape[1]
+    own = np.repeat(np.arange(len(near)), [len(v) for v in near])
+    every = np.vstack(near)
+    plain = Index(dim, most, 1.0, 1.0, 1)
+    gap = np.sqrt(((plain.lifted(asked, True)[own] - plain.lifted(every, False)) ** 2).sum(axis=1)) / most
+    far = max(float(np.quantile(gap, 0.9)), 1e-3)
+    typical = max(float(np.median(gap)), far / 4)
+    best, cost = None, math.inf
+    for hashes in ALL_HASHES:
+        for factor in FACTORS:
+            index = Index(dim, most, factor * far, typical / (factor * far), PERTURBED, hashes=hashes)
+            index.probes = limit = len(index.shifts)
+            rows, lifted, ask = index.lifted(x, False), index.lifted(every, False), index.lifted(asked, True)
+            first, met = np.full(len(own), limit), np.zeros(limit)
+            for t in range(TABLES):
+                probes = index.order(index.projected(ask, t))
+                cells, count = np.unique(index.cell(np.floor(index.projected(rows, t))), return_counts=True)
+                at = np.minimum(np.searchsorted(cells, probes), len(cells) - 1)
+                met += np.where(cells[at] == probes, count[at], 0).mean(axis=0)
+                goal = index.cell(np.floor(index.projected(lifted, t)))
+                for lo in range(0, len(own), 256):  # the first probe of any table that meets the neighbour
+                    same = probes[own[lo : lo + 256]] == goal[lo : lo + 256, None]
+                    first[lo : lo + 256] = np.minimum(first[lo : lo + 256], np.where(same.any(axis=1), same.argmax(axis=1), limit))
+                need = int(np.sort(first)[math.ceil(recall * len(first)) - 1]) + 1
+                if t + 1 not in ALL_TABLES or need > limit:
+                    continue
+                work = float(met[:need].sum()) / len(x) * n + need * (t + 1)
+                if work < cost:
+                    cost, best = work, Index(dim, most, index.width, index.deviation, need, t + 1, hashes)
+    return best or Index(dim, most, WIDTH, typical / WIDTH, 1, whole=True), cost
+
+
 def fit(rows: DataFrame, k: int, recall: float = RECALL) -> Index | None:
-    """An index for ``clean`` rows, fitted on the SAMPLE rows with the least hashes of their ids."""
-    most = rows.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))).alias("m")).first()["m"]
+    """An index for ``clean`` rows, fitted on the SAMPLE rows with the least hashes of their ids; the first QUERIES of them ask."""
+    n, most = rows.agg(F.count("*"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))).first()
     if most is None:
         return None
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    x = np.array([r["vector"] for r in got])
-    index = Index(x.shape[1], math.sqrt(most), WIDTH, 1.0, 1)
-    q = np.arange(min(QUERIES, len(x)))
-    near = min(k, len(x) - 1)
-    if near < 1:
-        return index
-    score = x[q] @ x.T
-    score[q, q] = -np.inf
-    top = np.argsort(-score, axis=1, kind="stable")[:, :near]
-    lifted, asked = index.lifted(x, False), index.lifted(x[q], True)
-    gap = np.sqrt(((asked[:, None, :] - lifted[top]) ** 2).sum(axis=2)) / index.most
-    index.deviation = float(np.median(gap)) / index.width
-    index.probes = (2 * REACH + 1) ** index.hashes
-    found = np.full((len(q), near), index.probes)  # the first probe of any table that meets the neighbour
-    for t in range(index.tables):
-        cells = index.cell(np.floor(index.projected(lifted, t)))
-        for i, probe in enumerate(index.order(index.projected(asked, t))):
-            at = {c: p for p, c in reversed(list(enumerate(probe.tolist())))}
-            found[i] = np.minimum(found[i], [at.get(c, index.probes) for c in cells[top[i]].tolist()])
-    flat = np.sort(found.ravel())
-    index.whole = (flat < index.probes).mean() < recall
-    index.probes = min(index.probes, int(flat[min(len(flat) - 1, math.ceil(recall * len(flat)) - 1)]) + 1)
-    return index
+    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE).collect()
+    x, ids = np.array([r["vector"] for r in got], dtype=np.float64), np.array([r["vec_id"] for r in got])
+    near = _neighbours(rows, ids[:QUERIES], x[:QUERIES], k)
+    if not near:
+        return Index(x.shape[1], math.sqrt(most), WIDTH, 1.0, 1)
+    asked = sorted(near)
+    return choose(x, x[asked], [near[at] for at in asked], n, math.sqrt(most), recall)[0]
 
 
 _ROW = "part int, phase int, code long, vec_id long, ids array<long>, codes array<long>, vector {0}"

@@ -319,6 +319,30 @@ def test_cells_of_many_rows_are_met_block_by_block(spark, shipped, monkeypatch):
     assert len(by) == 23 and np.mean(hits) >= 0.9
 
 
+def test_rows_met_grow_slower_than_the_rows():
+    """Fitted for eight times the rows of low inner dimension, a query meets under three times as many, and finds as much."""
+    met = []
+    for n in (5_000, 40_000):
+        rng = np.random.default_rng(5)
+        x = rng.normal(size=(60, 32))[rng.integers(0, 60, n)] + 0.25 * rng.normal(size=(n, 6)) @ rng.normal(size=(6, 32))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+
+        def nearest(at, x=x):
+            s = x[at] @ x.T
+            s[np.arange(len(at)), at] = -np.inf
+            return np.argpartition(-s, 20, axis=1)[:, :20]
+
+        index, _ = V.choose(x[:4000], x[:32], [x[r] for r in nearest(np.arange(32))], n, 1.0)
+        asked, seen = np.arange(100, 140), np.zeros((40, n), dtype=bool)
+        for t in range(index.tables):
+            cells, probes = index.cell(np.floor(index.projected(index.lifted(x, False), t))), index.order(index.projected(index.lifted(x[asked], True), t))
+            for j, p in enumerate(probes):
+                seen[j] |= np.isin(cells, p)
+        assert not index.whole and np.take_along_axis(seen, nearest(asked), 1).mean() >= 0.9
+        met.append(seen.sum() / len(asked))
+    assert met[1] < 3 * met[0] and met[1] < 0.1 * 40_000
+
+
 def test_long_items_are_found_at_the_allowed_distance():
     rng, hashes = random.Random(13), WordHashes()
     word = lambda: "w%d" % rng.randrange(10**9)
