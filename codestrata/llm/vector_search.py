@@ -188,6 +188,8 @@ def choose(x: np.ndarray, asked: np.ndarray, near: list[np.ndarray], n: int, mos
                 for lo in range(0, len(own), 256):  # the first probe of any table that meets the neighbour
                     same = probes[own[lo : lo + 256]] == goal[lo : lo + 256, None]
                     first[lo : lo + 256] = np.minimum(first[lo : lo + 256], np.where(same.any(axis=1), same.argmax(axis=1), limit))
+                if (first == limit).mean() ** (TABLES / (t + 1)) > 1 - recall:
+                    break  # neighbours that tables miss with a probability m are missed by j of them with m ** j or more often
                 need = int(np.sort(first)[math.ceil(recall * len(first)) - 1]) + 1
                 if t + 1 not in ALL_TABLES or need > limit:
                     continue
