@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    for m in ("assembly_queries", "source_queries", "vector_queries", "text_queries", "structure_queries", "graph_queries", "review_queries", "declaration_queries", "storage_queries", "helper_queries"):
+    for m in ("assembly_queries", "source_queries", "vector_queries", "text_queries", "structure_queries", "graph_queries", "review_queries", "declaration_queries", "storage_queries", "helper_queries", "enrichment_queries"):
         importlib.import_module(f"codestrata.plans.{m}")
 
 
