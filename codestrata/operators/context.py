@@ -51,10 +51,13 @@ def code_facts(targets: DataFrame, files: DataFrame, spans: DataFrame, pad: int
 
 
 def enclosing_body(targets: DataFrame, files: DataFrame, spans: DataFrame) -> DataFrame:
-    """targets (target_id, path, line): the smallest span, else the body that braces give; null if neither."""
+    """targets (target_id, path, line): the smallest span, else the body that braces give; null if neither.
+
+    Texts are read only for lines that no span holds, once for each line of a file."""
     placed = I.smallest_enclosing(targets, spans, "path", "line", "target_id").join(spans.select("span_id", F.col("start").alias("_s"), F.col("end").alias("_e")), "span_id", "left")
-    braces = C.brace_body(targets.join(files.select("path", "text"), "path"), "target_id", "text", F.col("line"))
-    return placed.join(braces, "target_id", "left").select("target_id", F.coalesce("_s", "body_start").alias("start"), F.coalesce("_e", "body_end").alias("end"))
+    open_ = placed.filter("_s is null").select("path", "line").distinct().join(files.select("path", "text"), "path")
+    braces = C.brace_body(open_.withColumn("at", F.struct("path", "line")), "at", "text", F.col("line")).select("at.path", "at.line", "body_start", "body_end")
+    return placed.join(braces, ["path", "line"], "left").select("target_id", F.coalesce("_s", "body_start").alias("start"), F.coalesce("_e", "body_end").alias("end"))
 
 
 def decode_diagnostics(messages: DataFrame, json_col: str, root: str) -> DataFrame:
