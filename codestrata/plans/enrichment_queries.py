@@ -9,7 +9,7 @@ from codestrata.functions import vectors as V
 from codestrata.operators import context as K
 from codestrata.operators import extract as X
 from codestrata.plans.registry import query, table
-from codestrata.plans.structure_queries import _FILES, _POINTS, _SPANS, _files, _points, _spans
+from codestrata.plans.structure_queries import _FILES, _MANY_POINTS, _MANY_SPANS, _files, _points, _spans
 
 
 @query(
@@ -48,17 +48,17 @@ def import_lines(spark, d):
 
 # A file's body opens in line (file % 500) + 2 and closes ten lines on.
 @query(
-    f"""WITH s AS ({_SPANS}), p AS ({_POINTS}), j AS (SELECT o_orderkey, arg_min(struct_pack(s := start, e := "end"), ("end" - start, start, span_id)) AS b FROM p JOIN s ON p.file = s.file AND line BETWEEN start AND "end" GROUP BY o_orderkey),
+    f"""WITH s AS ({_MANY_SPANS}), p AS ({_MANY_POINTS}), j AS (SELECT o_orderkey, arg_min(struct_pack(s := start, e := "end"), ("end" - start, start, span_id)) AS b FROM p JOIN s ON p.file = s.file AND line BETWEEN start AND "end" GROUP BY o_orderkey),
 f AS (SELECT DISTINCT file, file % 500 + 2 AS o FROM p)
 SELECT p.o_orderkey, coalesce(j.b.s, CASE WHEN f.o BETWEEN p.line AND p.line + 4 THEN f.o END)::INT AS start, coalesce(j.b.e, CASE WHEN f.o BETWEEN p.line AND p.line + 4 THEN f.o + 10 END)::INT AS "end" FROM p LEFT JOIN j USING (o_orderkey) JOIN f USING (file)"""
 )
 def enclosing_bodies(spark, d):
     """The shortest span that holds a line, else the body that opens soon behind it."""
-    points = _points(spark, d)
+    points = _points(spark, d, _files(spark, d))
     body = F.concat(F.repeat(F.lit("\n"), (F.col("file") % 500 + 1).cast("int")), F.lit("void a() {\n"), F.repeat(F.lit("  x;\n"), F.lit(9)), F.lit("}\n"))
     files = points.select("file").distinct().select(F.col("file").alias("path"), body.alias("text"))
     targets = points.select(F.col("o_orderkey").alias("target_id"), F.col("file").alias("path"), "line")
-    out = K.enclosing_body(targets, files, _spans(spark, d).withColumnRenamed("file", "path"))
+    out = K.enclosing_body(targets, files, _spans(spark, d, _files(spark, d)).withColumnRenamed("file", "path"))
     return out.select(F.col("target_id").alias("o_orderkey"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
@@ -66,7 +66,7 @@ _CHUNKS = f"SELECT s_suppkey AS chunk_id, s_suppkey % {_FILES} AS file, (s_suppk
 
 
 @query(
-    f"""WITH s AS ({_SPANS}), c AS ({_CHUNKS}), w AS (SELECT chunk_id, span_id, s.start AS s, least(c."end", s."end") - greatest(c.start, s.start) AS o FROM c LEFT JOIN s ON c.file = s.file),
+    f"""WITH s AS ({_MANY_SPANS}), c AS ({_CHUNKS}), w AS (SELECT chunk_id, span_id, s.start AS s, least(c."end", s."end") - greatest(c.start, s.start) AS o FROM c LEFT JOIN s ON c.file = s.file),
 b AS (SELECT chunk_id, arg_min(span_id, (-CASE WHEN o > 0 THEN o WHEN o = 0 THEN 1 ELSE 0 END, greatest(0, -o), s, span_id)) AS symbol_id FROM w GROUP BY chunk_id),
 g AS (SELECT o_custkey % {_FILES} AS file, count(*) FILTER (o_orderkey % 4 = 1) AS errors, count(*) FILTER (o_orderkey % 4 = 2) AS warnings FROM orders GROUP BY ALL),
 h AS (SELECT p_partkey AS symbol_id, p_name AS hover FROM part WHERE p_size > 10),
@@ -77,7 +77,7 @@ def enriched_chunks(spark, d):
     """Chunks with their best symbols, diagnostics, hovers and references; of these the first 32 are kept beside their number."""
     k, files = F.col("s_suppkey"), _files(spark, d)
     chunks = table(spark, d, "supplier").select(k.alias("chunk_id"), (k % files).cast("string").alias("file"), F.lit("method").alias("kind"), F.concat(F.lit("C"), k.cast("string")).alias("symbol_path"), (k % 450).cast("int").alias("start"), (k % 450 + 12).cast("int").alias("end"))
-    symbols = _spans(spark, d).select(F.col("span_id").alias("symbol_id"), F.col("file").cast("string").alias("file"), "start", "end")
+    symbols = _spans(spark, d, _files(spark, d)).select(F.col("span_id").alias("symbol_id"), F.col("file").cast("string").alias("file"), "start", "end")
     problems = table(spark, d, "orders").select((F.col("o_custkey") % files).cast("string").alias("file"), (F.col("o_orderkey") % 4).cast("int").alias("severity"))
     hovers = table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("symbol_id"), F.concat(F.lit("```dart\n\n "), "p_name", F.lit("\nmore\n```")).alias("text"))
     uses = table(spark, d, "lineitem").select(F.col("l_partkey").alias("symbol_id"), F.lit("f").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
