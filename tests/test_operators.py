@@ -278,3 +278,42 @@ def test_context(spark):
     assert h[0]["h"]["queries"] == ["q"] and h[1]["h"]["need_paths_like"] == []
     rep = K.review_report(targets, spark.createDataFrame([(1, True), (None, False)], "start int, escalated boolean")).first()
     assert (rep["targets"], rep["drafts"], rep["escalated"], rep["without_anchor"]) == (2, 2, 1, 1)
+
+
+def test_interval_joins_against_brute_force(spark):
+    """Repeated places, empty spans, negative lines and null files; results are those of all pairs."""
+    import random
+
+    rng = random.Random(3)
+    spans = [(i, rng.choice([None, 0, 0, 1]), s := rng.randint(-70, 200), s + rng.choice([-1, 0, 0, 3, 40, 130])) for i in range(300)]
+    spans += [(1000 + i, 0, 10, 20) for i in range(20)]
+    points = [(i, rng.choice([None, 0, 1]), rng.randint(-80, 330)) for i in range(200)]
+    s = spark.createDataFrame(spans, "span_id int, file int, start int, end int")
+    p = spark.createDataFrame(points, "p int, file int, line int")
+    inside = lambda f, n: [x for x in spans if f is not None and x[1] == f and x[2] <= n <= x[3]]
+    got = {r["p"]: r["span_id"] for r in intervals.smallest_enclosing(p, s, "file", "line", "p").collect()}
+    assert got == {i: min(((x[3] - x[2], x[2], x[0]) for x in inside(f, n)), default=(None,))[-1] for i, f, n in points}
+    got = {r["range_id"]: r["line"] for r in intervals.first_in_range(p, s.withColumnRenamed("span_id", "range_id"), "file").collect()}
+    assert got == {x[0]: min((n for _, f, n in points if f is not None and f == x[1] and x[2] <= n <= x[3]), default=None) for x in spans}
+    by_path = s.withColumnRenamed("file", "path")
+    got = sorted((r["target_id"], r["ord"], r["span_id"]) for r in intervals.siblings(by_path, by_path).collect())
+    held = lambda t: sorted((x[2], x[0]) for x in spans if t[1] is not None and x[1] == t[1] and t[2] <= x[2] and x[3] <= t[3] and x[0] != t[0] and t[2] <= t[3])[:12]
+    assert got == sorted((t[0], i + 1, x[1]) for t in spans if t[2] <= t[3] for i, x in enumerate(held(t)))
+
+
+def test_interval_joins_meet_each_place_once(spark):
+    """Many rows in few places of one file: what the joins put out is bounded by the places, not by pairs of rows."""
+    from pyspark.sql import functions as F
+
+    s = spark.range(20_000).select(F.col("id").alias("span_id"), F.lit(0).alias("file"), (F.col("id") % 5).cast("int").alias("start"), (F.col("id") % 5 + 3).cast("int").alias("end"))
+    p = spark.range(100_000).select(F.col("id").alias("p"), F.lit(0).alias("file"), (F.col("id") % 9).cast("int").alias("line"))
+    got = intervals.smallest_enclosing(p, s, "file", "line", "p").groupBy("line", "span_id").count().collect()
+    assert {r["line"]: r["span_id"] for r in got} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 2, 6: 3, 7: 4, 8: None}
+    by_path = s.withColumnRenamed("file", "path")
+    got = intervals.siblings(by_path, by_path).filter("target_id = 7").orderBy("ord").collect()
+    assert [r["span_id"] for r in got] == [2, *range(12, 67, 5)]
+    got = intervals.first_in_range(p, s.withColumnRenamed("span_id", "range_id"), "file").groupBy("line").count().collect()
+    assert {r["line"]: r["count"] for r in got} == {i: 4000 for i in range(5)}
+    chunks = spark.range(5_000).select(F.col("id").alias("chunk_id"), F.lit(0).alias("file"), (F.col("id") % 2 * 20).cast("int").alias("start"), (F.col("id") % 2 * 20 + 2).cast("int").alias("end"))
+    got = intervals.best_overlap(chunks, s.withColumnRenamed("span_id", "symbol_id"), "file").groupBy("symbol_id", "overlap", "gap").count().collect()
+    assert {tuple(r) for r in got} == {(0, 2, 0, 2500), (4, 0, 13, 2500)}
