@@ -44,6 +44,8 @@ FACTORS, ALL_HASHES, ALL_TABLES = (0.8, 1.2, 1.8, 2.7), (4, 8, 12), (2, 4)
 PERTURBED = 2401
 #: Cells over BLOCK rows are known to all tasks: there are at most so many, as BLOCK grows with the rows.
 LARGE_CELLS, PART_BYTES = 1 << 16, 1 << 26
+#: Queries that a task holds, placed rows of a part, products and candidates that are held at once, and parts without need.
+GROUP, PART_ROWS, PAIRS, PARTS = 1 << 15, 1 << 17, 1 << 20, 64
 
 
 @dataclass
@@ -234,11 +236,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | Non
     # Equal vectors once, with their k + 1 least ids (the limit is applied before and after the shuffle).
     one = W.partitionBy("vector").orderBy("vec_id")
     distinct = rows.distinct().withColumn("_r", F.row_number().over(one)).filter(F.col("_r") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    distinct = store(distinct, "vectors")
+    distinct = store(distinct.select(F.monotonically_increasing_id().alias("row"), "ids", "vector"), "vectors")
     n, asked = distinct.count(), rows.filter(is_query).distinct()
     n_asked = asked.count()
     block = max(BLOCK, -(-n * index.tables // LARGE_CELLS))
-    parts = max(partitions(spark), -(-n_asked * index.tables * index.probes * (index.dim * 8 + 8) // PART_BYTES))
+    groups = max(1, -(-n_asked // GROUP))
+    parts = max(min(partitions(spark), PARTS), -(-n * index.tables // PART_ROWS), -(-(n_asked // groups) * index.tables * index.probes * 24 // PART_BYTES))
+    group_of = lambda ids: (mix64(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
     def cells(batches):
         for b in batches:
@@ -272,7 +276,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | Non
                     c = index.cell(np.floor(index.projected(x, t)))
                     many = np.array([blocks[t].get(v, 1) for v in c.tolist()], dtype=np.uint64)
                     code = _code(t, c, spread % many)
-                    yield batch(len(c), part=pa.array((code % np.uint64(parts)).astype(np.int32)), phase=pa.array(np.ones(len(c), np.int32)), code=pa.array(code.view(np.int64)), ids=b.column("ids"), vector=b.column("vector"))
+                    for g in range(groups):
+                        part = (code % np.uint64(parts)).astype(np.int32) + np.int32(g * parts)
+                        yield batch(len(c), part=pa.array(part), phase=pa.array(np.ones(len(c), np.int32)), code=pa.array(code.view(np.int64)), vec_id=b.column("row"), ids=b.column("ids"), vector=b.column("vector"))
 
         def probe(batches):
             """A row for each query and part: the cells of that part that it probes."""
@@ -286,86 +292,138 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | Non
                     who.append(own // c.shape[1])
                     codes.append(_code(t, c.ravel()[own], np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)))
                 who, codes = np.concatenate(who), np.concatenate(codes)
-                part = (codes % np.uint64(parts)).astype(np.int64)
+                part = (codes % np.uint64(parts)).astype(np.int64) + group_of(b.column("vec_id").to_numpy())[who] * parts
                 order = np.lexsort((codes, part, who))
                 who, codes, part = who[order], codes[order], part[order]
                 cut = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (part[1:] != part[:-1])])) if len(who) else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([cut, [len(who)]]).astype(np.int32)), pa.array(codes.view(np.int64)))
                 yield batch(len(cut), part=pa.array(part[cut].astype(np.int32)), phase=pa.array(np.zeros(len(cut), np.int32)), vec_id=b.column("vec_id").take(pa.array(who[cut])), codes=lists, vector=b.column("vector").take(pa.array(who[cut])))
 
-        best = store(nearest(to_parts(distinct.select("ids", "vector"), place).union(to_parts(asked, probe)), parts), "nearest")
+        best = store(nearest(to_parts(distinct, place).union(to_parts(asked, probe)), groups * parts), "nearest")
         full = best.filter(F.size("best") >= k)
         short = asked.join(full.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
     if index.whole or short.head(1):
         # Blocks of all rows, whatever their cell.
-        every = -(-n // block)
+        every = max(min(partitions(spark), PARTS, -(-n // block)), -(-n // PART_ROWS))
         no = lambda kind_: F.lit(None).cast(kind_)
         zero, fixed = F.lit(0).cast("long"), lambda v: F.lit(v).cast("int")
-        all_rows = distinct.select(F.pmod(F.xxhash64("ids"), F.lit(every)).cast("int").alias("part"), fixed(1).alias("phase"), zero.alias("code"), no("long").alias("vec_id"), "ids", no("array<long>").alias("codes"), "vector")
-        again = short.withColumn("part", F.explode(F.sequence(fixed(0), fixed(every - 1)))).select("part", fixed(0).alias("phase"), no("long").alias("code"), "vec_id", no("array<long>").alias("ids"), F.array(zero).alias("codes"), "vector")
-        rest = nearest(all_rows.union(again), every)
+        deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+        each = lambda m: F.explode(F.sequence(fixed(0), fixed(m - 1)))
+        all_rows = distinct.withColumn("b", deal("row", every)).withColumn("g", each(groups)).select((F.col("g") * every + F.col("b")).alias("part"), fixed(1).alias("phase"), zero.alias("code"), F.col("row").alias("vec_id"), "ids", no("array<long>").alias("codes"), "vector")
+        again = short.withColumn("g", deal("vec_id", groups)).withColumn("b", each(every)).select((F.col("g") * every + F.col("b")).alias("part"), fixed(0).alias("phase"), no("long").alias("code"), "vec_id", no("array<long>").alias("ids"), F.array(zero).alias("codes"), "vector")
+        rest = nearest(all_rows.union(again), groups * every)
         best = full.union(rest) if full is not None else rest
     out = best.select("query_id", F.posexplode("best").alias("pos", "b"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), "b.vec_id", (-F.col("b.nearness")).alias("score"))
 
 
-def _rank(k: int):
-    def run(batches):
-        """The queries of a part, then its cells' rows by code: each query's k best so far are kept for the whole part."""
+class _Best:
+    """The best rows so far of the queries of a part, by their products in blocks; the k best are those by ``exact`` in the end."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.norms = np.sqrt((q * q).sum(axis=1))
+        #: The (k + 1)-th best product of different rows, of which at most one holds nothing but the query's own id.
+        self.floor = np.full(len(q), -np.inf)
+        self.longest, self.new = 0.0, 0
+        self.who, self.at, self.score = [], [], []
+        self.rows, self.vectors, self.names, self.held = [], [], [], 0
+
+    def meet(self, mine: np.ndarray, x: np.ndarray, rows: np.ndarray, names: pa.Array) -> None:
+        """Different rows (their vectors, numbers and lists of ids) for some of the queries."""
+        self.longest = max(self.longest, float(np.sqrt((x * x).sum(axis=1).max())))
+        found = False
+        step = max(1, PAIRS // len(x))
+        for s in range(0, len(mine), step):
+            me = mine[s : s + step]
+            score = self.q[me] @ x.T
+            slack = 4e-16 * x.shape[1] * self.longest * self.norms[me]  # of rounding, twice
+            near = score >= (self.floor[me] - slack)[:, None]
+            many = np.flatnonzero(near.sum(axis=1) > 2 * (self.k + 1))
+            if len(many):
+                cut = np.partition(score[many], len(x) - self.k - 1, axis=1)[:, len(x) - self.k - 1]
+                self.floor[me[many]] = np.maximum(self.floor[me[many]], cut)
+                near[many] = score[many] >= (self.floor[me[many]] - slack[many])[:, None]
+            w, r = np.nonzero(near)
+            if len(w):
+                found = True
+                self.who.append(me[w])
+                self.at.append(r + self.held)
+                self.score.append(score[w, r])
+                self.new += len(w)
+        if found:
+            self.rows.append(rows)
+            self.vectors.append(x)
+            self.names.append(names)
+            self.held += len(x)
+        if self.new > PAIRS:
+            self.prune()
+
+    def prune(self) -> None:
+        """Each row once, the best k + 1 of each query and what equals the last; rows that no query holds are let go."""
+        if not self.who:
+            return
+        who, at, score = np.concatenate(self.who), np.concatenate(self.at), np.concatenate(self.score)
+        rows, vectors, names = np.concatenate(self.rows), np.vstack(self.vectors), pa.concat_arrays(self.names)
+        order = np.lexsort((rows[at], who))
+        who, at, score = who[order], at[order], score[order]
+        first = np.concatenate([[True], (who[1:] != who[:-1]) | (rows[at[1:]] != rows[at[:-1]])])
+        who, at, score = who[first], at[first], score[first]
+        order = np.lexsort((-score, who))
+        who, at, score = who[order], at[order], score[order]
+        last = np.arange(len(who)) - np.searchsorted(who, who) == self.k
+        self.floor[who[last]] = np.maximum(self.floor[who[last]], score[last])
+        keep = score >= self.floor[who] - 4e-16 * vectors.shape[1] * self.longest * self.norms[who]
+        who, at, score = who[keep], at[keep], score[keep]
+        used, at = np.unique(at, return_inverse=True)
+        self.who, self.at, self.score, self.new = [who], [at], [score], 0
+        self.rows, self.vectors, self.names, self.held = [rows[used]], [vectors[used]], [names.take(pa.array(used))], len(used)
+
+    def result(self):
+        """Batches of each query's k best."""
+        self.prune()
+        if not self.who:
+            return
+        who, at = self.who[0], self.at[0]
+        names, vectors, ids = self.names[0].to_pylist(), self.vectors[0], self.ids.tolist()
         best: dict[int, list[tuple[float, int]]] = {}
-        ids, vectors, codes = [], [], []
-        who = code_of = q = None
-        now, held, held_ids = None, [], []
-
-        def solve():
-            lo, hi = np.searchsorted(code_of, now, "left"), np.searchsorted(code_of, now, "right")
-            if lo == hi or not held_ids:
-                return
-            matrix = np.vstack(held)
-            slack = 4e-16 * matrix.shape[1] * np.sqrt((matrix * matrix).sum(axis=1).max())
-            for at in range(lo, hi, 256):
-                mine = who[at : min(hi, at + 256)]
-                score = q[mine] @ matrix.T
-                # The k-th best score bounds what can be among the k best; equal scores stay for the tie rule.
-                cut = np.partition(score, len(held_ids) - k - 1, axis=1)[:, len(held_ids) - k - 1] if len(held_ids) > k + 1 else np.full(len(mine), -np.inf)
-                for j, m in enumerate(mine.tolist()):
-                    me = ids[m]
-                    found = best.get(me, [])
-                    floor = max(cut[j], -found[k - 1][0]) if len(found) >= k else cut[j]
-                    near = np.flatnonzero(score[j] >= floor - slack * norms[m])
-                    new = [(-exact(q[m], matrix[c]), v) for c in near.tolist() for v in held_ids[c] if v != me]
-                    best[me] = sorted({*found, *new})[:k]
+        for m, c in zip(who.tolist(), at.tolist(), strict=True):
+            others = [v for v in names[c] if v != ids[m]]
+            if others:
+                s = -exact(self.q[m], vectors[c])
+                best.setdefault(ids[m], []).extend((s, v) for v in others)
+            if len(best) > 20_000 and ids[m] not in best:
+                yield _best_batch({i: sorted(set(f))[: self.k] for i, f in best.items()})
+                best = {}
+        yield _best_batch({i: sorted(set(f))[: self.k] for i, f in best.items()})
+
 
+def _rank(k: int):
+    def run(batches):
+        """The queries of a part, then its cells' rows by code: each query's k best of the whole part."""
+        ids, vectors, codes, best = [], [], [], None
         for b in batches:
             first = int((b.column("phase").to_numpy() == 0).sum())
             if first:
-                ids += b.column("vec_id").slice(0, first).to_pylist()
+                ids.append(b.column("vec_id").slice(0, first).to_numpy())
                 vectors.append(_matrix(b.column("vector").slice(0, first)))
                 codes.append(b.column("codes").slice(0, first))
             if first == b.num_rows or not ids:
                 continue
-            if q is None:
-                q, lists = np.vstack(vectors), pa.chunked_array(codes).combine_chunks()
-                norms = np.sqrt((q * q).sum(axis=1))
+            if best is None:
+                best, lists = _Best(np.concatenate(ids), np.vstack(vectors), k), pa.chunked_array(codes).combine_chunks()
                 code_of = lists.flatten().to_numpy()
-                who = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy())
+                who = np.repeat(np.arange(len(best.ids)), pc.list_value_length(lists).to_numpy())
                 order = np.argsort(code_of, kind="stable")
                 code_of, who = code_of[order], who[order]
-            code, x, idl = b.column("code").slice(first).to_numpy(), _matrix(b.column("vector").slice(first)), b.column("ids").slice(first).to_pylist()
-            ends = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)]]).tolist()
-            for lo, hi in pairwise(ends):
-                if code[lo] != now:
-                    if now is not None:
-                        solve()
-                    now, held, held_ids = code[lo], [], []
-                held.append(x[lo:hi])
-                held_ids += idl[lo:hi]
-            if len(best) > 20_000:
-                yield _best_batch(best)
-                best.clear()
-        if now is not None:
-            solve()
-        yield _best_batch(best)
+            code, x, rows, names = b.column("code").slice(first).to_numpy(), _matrix(b.column("vector").slice(first)), b.column("vec_id").slice(first).to_numpy(), b.column("ids").slice(first)
+            ends = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)]])
+            asked = np.searchsorted(code_of, code[ends[:-1]], "left").tolist(), np.searchsorted(code_of, code[ends[:-1]], "right").tolist()
+            for (lo, hi), a, z in zip(pairwise(ends.tolist()), *asked, strict=True):
+                if a < z:
+                    best.meet(who[a:z], x[lo:hi], rows[lo:hi], names.slice(lo, hi - lo))
+        if best is not None:
+            yield from best.result()
 
     return run
 

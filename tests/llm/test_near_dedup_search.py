@@ -383,3 +383,24 @@ def test_the_queries_over_their_tables(shipped, sf_dir):
         hits.append(len(set(by[ids[q]]) & set(ids[np.argsort(-s, kind="stable")[:20]].tolist())) / 20)
         assert len(by[ids[q]]) == 20
     assert np.mean(hits) >= 0.9
+
+
+def test_exact_products_do_not_grow_with_the_cells_of_a_part(monkeypatch):
+    """A part of 60 cells that every query probes: exact products are taken of what may be among its k best, not of each cell's best."""
+    import numpy as np
+    import pyarrow as pa
+
+    from codestrata.llm import vector_search as V
+
+    rng = np.random.default_rng(5)
+    x, q, k, cells = rng.normal(size=(1200, 8)), rng.normal(size=(10, 8)), 5, 60
+    calls, plain = [], V.exact
+    monkeypatch.setattr(V, "exact", lambda a, b: calls.append(1) or plain(a, b))
+    vec = lambda m: pa.array(list(m), pa.list_(pa.float64()))
+    names = ["part", "phase", "code", "vec_id", "ids", "codes", "vector"]
+    zeros = lambda n, v=0: pa.array(np.full(n, v, np.int32))
+    asked = pa.RecordBatch.from_arrays([zeros(10), zeros(10), pa.nulls(10, pa.int64()), pa.array(range(10)), pa.nulls(10, pa.list_(pa.int64())), pa.array([list(range(cells))] * 10, pa.list_(pa.int64())), vec(q)], names=names)
+    rows = pa.RecordBatch.from_arrays([zeros(1200), zeros(1200, 1), pa.array(np.repeat(np.arange(cells), 20)), pa.array(range(1200)), pa.array([[100 + i] for i in range(1200)], pa.list_(pa.int64())), pa.nulls(1200, pa.list_(pa.int64())), vec(x)], names=names)
+    got = {i: [(c["nearness"], c["vec_id"]) for c in f] for b in V._rank(k)([asked, rows]) for i, f in zip(b.column("query_id").to_pylist(), b.column("best").to_pylist(), strict=True)}
+    assert got == {i: sorted((-plain(q[i], v), 100 + j) for j, v in enumerate(x))[:k] for i in range(10)}
+    assert len(calls) < 10 * 3 * k
