@@ -5,7 +5,7 @@ and an approximation of one byte a component, the number of its cell among CELLS
 rows (the outermost cells reach to the exact extremes of all rows, so bounds hold for every row).
 
 Scan: queries in groups of at most GROUP meet the approximations in blocks. The bounds of a group and a batch are two matrix products,
-as q.x lies between q+ lo + q- hi and q+ hi + q- lo for a cell's ends lo and hi. What a query's (k + 1)-th
+as q.x is within |q| (hi - lo) / 2 of q (lo + hi) / 2 for a cell's ends lo and hi. What a query's (k + 1)-th
 best lower bound exceeds is dropped; of the rest a block gives at most HELD, the best upper bounds first, and the best
 upper bound it left out. Read: the exact vectors of a query's candidates are read in the order of their bounds, the first
 k + 1, then all whose upper bound reaches the k-th score found. A query is certain if no bound that a block left out
@@ -70,20 +70,25 @@ class _Group:
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
         self.ids, self.k = ids, k
-        q = q.astype(np.float64)
-        self.up, self.down = np.maximum(q, 0), np.minimum(q, 0)
+        self.q = q.astype(np.float64)
+        self.size = np.abs(self.q)
         self.lower = np.full((len(ids), k), -np.inf)
         self.rest = np.full(len(ids), -np.inf)
         self.who, self.row, self.upper = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def meet(self, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
         """A batch of rows with the ends of their cells."""
-        slack = 2.0**-50 * lo.shape[1] * max(np.abs(lo).max(), np.abs(hi).max()) * np.maximum(self.up, -self.down).max()  # of rounding
+        slack = 2.0**-49 * lo.shape[1] * max(np.abs(lo).max(), np.abs(hi).max()) * self.size.max()  # of rounding
+        middle, half = ((lo + hi) / 2).T, ((hi - lo) / 2).T
         who, row, upper = [self.who], [self.row], [self.upper]
         for s in range(0, len(self.ids), SLICE):
-            up, down = self.up[s : s + SLICE], self.down[s : s + SLICE]
-            least = self.lower[s : s + SLICE] = _best(self.lower[s : s + SLICE], up @ lo.T + down @ hi.T - slack, self.k)
-            bound = up @ hi.T + down @ lo.T + slack
+            score, wide = self.q[s : s + SLICE] @ middle, self.size[s : s + SLICE] @ half
+            lower = score - wide - slack
+            better = (lower > self.lower[s : s + SLICE, :1]).any(axis=0)  # few rows, but for the first ones
+            if better.any():
+                self.lower[s : s + SLICE] = _best(self.lower[s : s + SLICE], lower[:, better], self.k)
+            least = self.lower[s : s + SLICE]
+            bound = score + wide + slack
             w, r = np.nonzero(bound >= least[:, :1])
             who.append(w + s)
             row.append(rows[r])

@@ -200,3 +200,23 @@ def test_integers_of_double_vectors(shipped):
     table, dim = I.as_integers(rows, "vec_id", "embedding", {}, "t")
     assert dim == 2 and {r["vec_id"]: r["values"] for r in table.collect()} == {1: [25, -26], 2: [255, 512]}
     assert I.limit(64) == 2**27
+
+
+def test_bounds_of_a_batch_are_compared_before_they_are_ordered(monkeypatch):
+    """Rows that are no query's best so far take no part in the ordering of bounds; candidates are those of all bounds."""
+    import numpy as np
+
+    from codestrata.llm import exact_search as E
+
+    rng, seen, plain = np.random.default_rng(2), [], E._best
+    monkeypatch.setattr(E, "_best", lambda held, new, k: seen.append(new.shape[1]) or plain(held, new, k))
+    q, x = rng.integers(-300, 300, (20, 8)), rng.integers(-300, 300, (8000, 8))
+    lo, hi = x - rng.integers(0, 4, x.shape), x + rng.integers(0, 4, x.shape)
+    group, k = E._Group(np.arange(20), q, 3), 3
+    for s in range(0, 8000, 500):
+        group.meet(np.arange(s, s + 500), lo[s : s + 500].astype(float), hi[s : s + 500].astype(float))
+    low, high = (np.maximum(q, 0) @ a.T + np.minimum(q, 0) @ b.T for a, b in ((lo, hi), (hi, lo)))
+    for i in range(20):
+        least = np.sort(low[i])[-k]
+        assert set(group.row[group.who == i].tolist()) == set(np.flatnonzero(high[i] >= least).tolist())
+    assert sum(seen) < 4000
