@@ -7,6 +7,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,12 +174,137 @@ def mmr_select(hits: list[dict], query: list[float], n: int, weight: float = 0.7
     return sorted(chosen, key=lambda h: (-h["score"], h["id"]))
 
 
+#: Seeds that a task of ``expand_neighbors`` holds, and pairs that it looks at or keeps at once.
+SEEDS, PAIRS = 1 << 16, 1 << 20
+
+
+def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vectors by their length (null as empty, null components as 0): rows and matrix."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        flat = column.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(0.0) if n else pa.array([], pa.float64())
+        out[n] = at, flat.to_numpy(zero_copy_only=False).reshape(len(at), n)
+    return out
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of pairs, added up in the order of the components, as ``vectors.dot`` does."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+class _Near:
+    """The nearest rows so far of the seeds of a task."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k, self.floor, self.new = ids, k, np.full(len(ids), -np.inf), 0
+        self.who, self.score, self.rows = [], [], []
+
+    def meet(self, mine: np.ndarray, q: np.ndarray, x: np.ndarray, rows: pa.RecordBatch) -> None:
+        """Some seeds with their vectors, and rows of their source."""
+        n = min(q.shape[1], x.shape[1])
+        q, x = q[:, :n], x[:, :n]
+        a, b = np.sqrt(_in_order(q, q)), np.sqrt(_in_order(x, x))
+        own = rows.column("id").to_numpy(zero_copy_only=False)
+        step = max(1, PAIRS // len(x))
+        for s in range(0, len(mine), step):
+            me = mine[s : s + step]
+            norms = a[s : s + step, None] * b
+            score = np.divide(q[s : s + step] @ x.T, norms, out=np.zeros(norms.shape), where=~(norms <= 0))
+            score[np.isnan(score)] = np.inf
+            score[self.ids[me][:, None] == own] = -np.inf
+            if len(x) > self.k:  # rounded scores are within half a millionth, so that what is near the k-th stays
+                self.floor[me] = np.maximum(self.floor[me], np.partition(score, len(x) - self.k, axis=1)[:, len(x) - self.k])
+            w, r = np.nonzero((score >= self.floor[me][:, None] - 2e-6) & (score > -np.inf))
+            if len(w):
+                norms = norms[w, r]
+                self.who.append(me[w])
+                self.score.append(np.divide(_in_order(q[w + s], x[r]), norms, out=np.zeros(len(w)), where=~(norms <= 0)))
+                self.rows.append(rows.take(pa.array(r)))
+                self.new += len(w)
+            if self.new > PAIRS:
+                self.prune()
+
+    def prune(self) -> None:
+        """Of each seed what may be among the k best by rounded score and id; of equal scores the k least ids."""
+        if not self.who:
+            return
+        who, score, rows = np.concatenate(self.who), np.concatenate(self.score), pa.Table.from_batches(self.rows).combine_chunks().to_batches()[0]
+        key = np.where(np.isnan(score), np.inf, score)
+        order = np.lexsort((np.unique(rows.column("id").to_numpy(zero_copy_only=False), return_inverse=True)[1], -key, who))
+        who, score, key = who[order], score[order], key[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        last = place == self.k - 1
+        self.floor[who[last]] = np.maximum(self.floor[who[last]], key[last])
+        run = np.concatenate([[True], (who[1:] != who[:-1]) | (key[1:] != key[:-1])])
+        alike = np.arange(len(who)) - np.flatnonzero(run)[np.cumsum(run) - 1]
+        keep = (key >= self.floor[who] - 2e-6) & (alike < self.k)
+        self.who, self.score, self.rows, self.new = [who[keep]], [score[keep]], [rows.take(pa.array(order[keep]))], 0
+
+
+def _near(k: int):
+    def run(batches):
+        """The seeds of a task, then rows by source."""
+        ids, vectors, sources, near = [], [], [], None
+        for b in batches:
+            first = int((b.column("kind").to_numpy() == 0).sum())
+            if first:
+                ids.append(b.column("seed").slice(0, first).to_numpy(zero_copy_only=False))
+                vectors.append(b.column("vector").slice(0, first))
+                sources += b.column("_source").slice(0, first).to_pylist()
+            if first == b.num_rows or not ids:
+                continue
+            if near is None:
+                near, asked, names = _Near(np.concatenate(ids), k), {}, np.array(sources, dtype=object)
+                for n, (at, q) in _by_length(pa.concat_arrays(vectors)).items():
+                    order = np.argsort(names[at], kind="stable")
+                    at, q = at[order], q[order]
+                    ends = np.concatenate([[0], np.flatnonzero(names[at[1:]] != names[at[:-1]]) + 1, [len(at)]]).tolist()
+                    for lo, hi in zip(ends, ends[1:], strict=False):
+                        asked.setdefault(names[at[lo]], []).append((at[lo:hi], q[lo:hi]))
+            rows = b.slice(first)
+            source = rows.column("_source").to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.flatnonzero(source[1:] != source[:-1]) + 1, [len(source)]]).tolist()
+            for lo, hi in zip(ends, ends[1:], strict=False):
+                for mine, q in asked.get(source[lo], []):
+                    part = rows.slice(lo, hi - lo)
+                    for at, x in _by_length(part.column("vector")).values():
+                        near.meet(mine, q, x, part.select(["id", "row"]).take(pa.array(at)))
+        if near is not None:
+            near.prune()
+            for who, score, rows in zip(near.who, near.score, near.rows, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(near.ids[who], rows.column("id").type), pa.array(score), rows.column("row")], names=["seed", "score", "row"])
+
+    return run
+
+
 def expand_neighbors(selected: DataFrame, index: DataFrame, k: int, floor: float, n: int, vector_col: str = "embedding") -> DataFrame:
     """Rows of the selected ones' sources that are near them: k for each, equal (source, fqn, text) once, 2n in all.
 
-    An equi-join on source, then a limit within each seed; never all pairs of the index."""
-    seeds = selected.filter(F.col("score") >= floor).select(F.col("id").alias("seed"), F.col("source").alias("_source"), F.col(vector_col).alias("_v"))
-    near = index.join(seeds, F.col("source") == F.col("_source")).filter("id != seed").withColumn("score", F.round(V.cosine(F.col(vector_col), F.col("_v")), 6))
+    Groups of seeds meet blocks of the index in tasks, source by source as products of matrices, and keep their best k there; pairs are
+    never rows. Scores are those of ``vectors.cosine``, rounded to six digits."""
+    spark = index.sparkSession
+    seeds = selected.filter((F.col("score") >= floor) & F.col("id").isNotNull() & F.col("source").isNotNull()).select(F.col("id").alias("seed"), F.col("source").alias("_source"), F.col(vector_col).alias("vector"))
+    rows = index.filter(F.col("id").isNotNull() & F.col("source").isNotNull())
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(1, -(-seeds.count() // SEEDS))
+    blocks = max(1, -(-tasks // groups))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    tile = (F.col("_g") * blocks + F.col("_b")).alias("tile")
+    row = F.struct("id", "source", "fqn", "text").alias("row")
+    no = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    left = seeds.withColumn("_g", F.pmod(F.xxhash64("seed"), F.lit(groups)).cast("int")).withColumn("_b", every(blocks))
+    left = left.select(tile, F.lit(0).alias("kind"), "_source", "seed", no(rows, "id").alias("id"), "vector", F.lit(None).cast(rows.select(row).schema["row"].dataType).alias("row"))
+    right = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_g", every(groups))
+    right = right.select(tile, F.lit(1).alias("kind"), F.col("source").alias("_source"), no(seeds, "seed").alias("seed"), "id", F.col(vector_col).alias("vector"), row)
+    tiles = left.unionByName(right).repartitionById(groups * blocks, F.col("tile")).sortWithinPartitions("kind", "_source").drop("tile")
+    kind = tiles.schema
+    found = tiles.mapInArrow(_near(k), f"seed {kind['seed'].dataType.simpleString()}, score double, row {kind['row'].dataType.simpleString()}")
+    near = found.select("seed", F.round("score", 6).alias("score"), "row.*")
     near = near.withColumn("_r", F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "id"))).filter(F.col("_r") <= k)
     both = selected.select("id", "source", "fqn", "text", "score").unionByName(near.select("id", "source", "fqn", "text", "score"))
     once = both.withColumn("_r", F.row_number().over(W.partitionBy("source", "fqn", "text").orderBy(F.desc("score"), "id"))).filter("_r = 1").drop("_r")

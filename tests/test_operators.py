@@ -317,3 +317,33 @@ def test_interval_joins_meet_each_place_once(spark):
     chunks = spark.range(5_000).select(F.col("id").alias("chunk_id"), F.lit(0).alias("file"), (F.col("id") % 2 * 20).cast("int").alias("start"), (F.col("id") % 2 * 20 + 2).cast("int").alias("end"))
     got = intervals.best_overlap(chunks, s.withColumnRenamed("span_id", "symbol_id"), "file").groupBy("symbol_id", "overlap", "gap").count().collect()
     assert {tuple(r) for r in got} == {(0, 2, 0, 2500), (4, 0, 13, 2500)}
+
+
+def test_expanded_neighbours_are_those_of_all_pairs_without_rows_for_pairs(spark):
+    """Copies, null and zero vectors, null sources and several lengths: results of all pairs, by a plan that joins nothing."""
+    import random
+
+    rng = random.Random(4)
+    vectors = [[round(rng.gauss(0, 1), 1) for _ in range(3)] for _ in range(30)] + [[0.0] * 3, None, [1.0, 2.0], []]
+    rows = [(i, rng.choice(["a", "b", None]), f"f{i % 40}", f"t{i % 50}", rng.choice(vectors)) for i in range(300)]
+    index = spark.createDataFrame(rows, "id long, source string, fqn string, text string, embedding array<float>")
+    selected = index.filter("id % 7 = 0").selectExpr("*", "0.5D as score")
+    got = retrieval.expand_neighbors(selected, index, 4, 0.0, 60)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+    def cosine(a, b):
+        n = min(len(a or []), len(b or []))
+        x, y = (a or [])[:n], (b or [])[:n]
+        size = sum(v * v for v in x) ** 0.5 * (sum(v * v for v in y) ** 0.5)
+        return round(sum(v * w for v, w in zip(x, y, strict=True)) / size, 6) if size > 0 else 0.0
+
+    held = [tuple(r) for r in index.collect()]
+    every = [(0.5, i, s, f, t) for i, s, f, t, _ in held if i % 7 == 0]
+    for i, s, *_, v in held:
+        if i % 7 == 0 and s is not None:
+            every += sorted(((cosine(v, w), j, s, f, t) for j, o, f, t, w in held if o == s and j != i), key=lambda x: (-x[0], x[1]))[:4]
+    once = {}
+    for e in sorted(every, key=lambda x: (-x[0], x[1])):
+        once.setdefault(e[2:], e)
+    want = sorted(once.values(), key=lambda x: (-x[0], x[1]))[:120]
+    assert [(r["id"], r["score"]) for r in got.collect()] == [(e[1], e[0]) for e in want]
