@@ -101,26 +101,32 @@ def language_aware_graph(nodes: DataFrame) -> DataFrame:
 def neighbours(records: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 2, most: int = 24) -> DataFrame:
     """The most ``most`` neighbours of each record (id, node, kind, file, owner), ranked.
 
-    Hop 0 are all edges at the node, in both directions; further hops follow declares edges from what a hop found, each
-    a join with an anti-join on what is known. A neighbour counts where it is met first, through an allowed label."""
-    allowed = F.element_at(F.create_map(*[x for p, ls in ALLOWED.items() for x in (F.lit(p), F.array(*[F.lit(y) for y in ls]))]), profile(F.col("kind")))
-    roots = records.select(F.col("id").alias("rec"), F.col("node").alias("at"), F.col("file").alias("_file"), F.col("owner").alias("_owner"), allowed.alias("_allowed"), F.col("node").alias("_root"))
+    Hop 0 are all edges at the node, in both directions; further hops follow declares edges, which every profile allows, from what a hop
+    found, each a join with an anti-join on what is known. A neighbour counts where it is met first, through an allowed
+    label. The walk moves pairs of ids only; files and owners are looked up once, in the end."""
+    roots = records.select(F.col("id").alias("rec"), F.col("node").alias("at"), profile(F.col("kind")).alias("_profile"))
     out_edges = edges.select(F.col("src").alias("at"), F.col("dst").alias("nbr"), "label", F.lit(0).alias("dir"))
     in_edges = edges.select(F.col("dst").alias("at"), F.col("src").alias("nbr"), "label", F.lit(1).alias("dir"))
     both = out_edges.unionByName(in_edges)
-    step = roots.join(both, "at").filter((F.col("nbr") != F.col("_root")) & F.array_contains("_allowed", F.col("label"))).withColumn("hop", F.lit(0))
-    first = W.partitionBy("rec", "nbr").orderBy("hop", "dir", F.desc(rank_of(LABEL_PRIORITY, F.col("label"))), "label")
-    known = step.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r", "at")
-    frontier = known
-    walk = both.filter("label = 'declares'")
+    may = F.lit(False)
+    for name, labels in ALLOWED.items():
+        may = may | ((F.col("_profile") == name) & F.col("label").isin(*labels))
+    first = F.min(F.struct("dir", (-rank_of(LABEL_PRIORITY, F.col("label"))).alias("p"), "label"))
+    known = roots.join(both, "at").filter((F.col("nbr") != F.col("at")) & may).groupBy("rec", "nbr").agg(first["label"].alias("label"))
+    walk = both.filter("label = 'declares'").select("at", "nbr").distinct()
+    # The node itself is no neighbour: it is met before all.
+    met = known.select("rec", "nbr").unionByName(roots.select("rec", F.col("at").alias("nbr")))
+    found, frontier = known.withColumn("hop", F.lit(0)), known.select("rec", "nbr")
     for hop in range(1, hops + 1):
-        nxt = frontier.withColumnRenamed("nbr", "at").drop("label", "dir", "hop").join(walk, "at").filter((F.col("nbr") != F.col("_root")) & F.array_contains("_allowed", F.col("label"))).withColumn("hop", F.lit(hop))
-        frontier = nxt.join(known.select("rec", "nbr"), ["rec", "nbr"], "left_anti").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r", "at")
-        known = known.unionByName(frontier)
+        step = frontier.withColumnRenamed("nbr", "at").join(walk, "at").select("rec", "nbr").distinct()
+        frontier = step.join(met, ["rec", "nbr"], "left_anti")
+        met = met.unionByName(frontier)
+        found = found.unionByName(frontier.select("rec", "nbr", F.lit("declares").alias("label"), F.lit(hop).alias("hop")))
     info = nodes.select(F.col("id").alias("nbr"), F.col("file").alias("_nf"), F.col("fqn").alias("fqn"))
+    own = records.select(F.col("id").alias("rec"), F.col("file").alias("_file"), F.col("owner").alias("_owner"))
     prefix = F.regexp_extract("_owner", r"^(.*:):", 1)
     score = rank_of(LABEL_PRIORITY, F.col("label")) + F.when(F.col("_nf") == F.col("_file"), 2).otherwise(0) + F.when(F.col("fqn").startswith(prefix), 1).otherwise(0)
-    ranked = known.join(info, "nbr").withColumn("score", F.greatest(score - F.col("hop"), F.lit(0)))
+    ranked = found.join(info, "nbr").join(own, "rec").withColumn("score", F.greatest(score - F.col("hop"), F.lit(0)))
     ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("rec").orderBy(F.desc("score"), "hop", "nbr")))
     return ranked.filter(F.col("rank") <= most).select("rec", "nbr", "label", "hop", "score", "rank", "fqn")
 

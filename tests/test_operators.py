@@ -347,3 +347,17 @@ def test_expanded_neighbours_are_those_of_all_pairs_without_rows_for_pairs(spark
         once.setdefault(e[2:], e)
     want = sorted(once.values(), key=lambda x: (-x[0], x[1]))[:120]
     assert [(r["id"], r["score"]) for r in got.collect()] == [(e[1], e[0]) for e in want]
+
+
+def test_a_neighbourhood_walk_moves_pairs_of_ids(spark):
+    """One window, over the scored rows; steps are distinct pairs, and a node that two ways lead to counts once, where it is met first."""
+    nodes = spark.createDataFrame([("f1", "file", "a", "a::"), ("f2", "file", "b", "b::"), ("m1", "method", "a", "a::m1"), ("m2", "method", "a", "a::m2"), ("m3", "method", "b", "b::m3")], "id string, kind string, file string, fqn string")
+    edges = spark.createDataFrame([("f1", "m1", "declares"), ("f1", "m2", "declares"), ("f2", "m3", "declares"), ("f1", "f2", "imports"), ("f1", "f2", "exports"), ("f1", "f2", "imports")], "src string, dst string, label string")
+    records = nodes.selectExpr("id", "id as node", "file", "kind", "file || '::' as owner")
+    out = graph.neighbours(records, nodes, edges)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
+    assert "_allowed" not in plan
+    got = {(r["rec"], r["nbr"]): (r["label"], r["hop"], r["rank"]) for r in out.collect()}
+    assert {n: v for (rec, n), v in got.items() if rec == "f1"} == {"m1": ("declares", 0, 1), "m2": ("declares", 0, 2), "m3": ("declares", 1, 3), "f2": ("exports", 0, 4)}
+    assert {n: v[1] for (rec, n), v in got.items() if rec == "m1"} == {"f1": 0, "m2": 1}
