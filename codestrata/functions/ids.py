@@ -77,13 +77,14 @@ def _folded(raw: bytes) -> int:
 
 
 @F.pandas_udf(T.LongType())
-def _simhash(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: 0 if t is None else simhash_of(t))
+def _simhash(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: simhash_of(t.split(" ")) if t else 0)
 
 
 def simhash(c: Column) -> Column:
     """SimHash of a text's tokens; an Arrow UDF, as folding 64 counters by higher-order functions is a hundred times slower."""
-    return _simhash(simhash_tokens(c))
+    # One text a row, as a batch of token lists is an object for each token of all its rows; tokens hold no space.
+    return _simhash(F.array_join(simhash_tokens(c), " "))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -132,3 +132,14 @@ def test_semi(spark):
     assert one(spark, semi.parse(F.col("s")).isNull(), s="{oops")
     with pytest.raises(Exception, match="length 3 expected"):
         one(spark, semi.require_dimension(F.array(F.lit(1.0)).cast("array<float>"), 3))
+
+
+def test_simhash_holds_the_tokens_of_one_text_at_a_time(spark):
+    """Tasks in Python get texts, not lists of tokens; nulls, short and empty texts are 0."""
+    from codestrata.functions import ids
+
+    df = spark.createDataFrame([(0, None), (1, ""), (2, "abc de fgh"), (3, "Abc, (def) gh ijk. über\tabc"), (4, "same word " * 5000)], "i int, text string")
+    out = df.select("i", ids.simhash(F.col("text")).alias("h"))
+    assert "array_join(" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {0: 0, 1: 0, 2: 0, 3: ids.simhash_of(["abc", "def", "ijk", "über", "abc"]), 4: ids.simhash_of(["same", "word"] * 5000)}
+    assert {r["i"]: r["h"] for r in out.collect()} == want
