@@ -163,8 +163,8 @@ def _any(tests: list[Column]) -> Column:
 
 def import_like(c: Column) -> Column:
     """A line that begins like an import, or holds the word."""
-    begin = T.ltrim_ws(c)
-    return _any([begin.startswith(p) for p in IMPORT_STARTS] + [F.contains(begin, F.lit(p)) for p in IMPORT_INSIDE])
+    test = lambda begin: _any([begin.startswith(p) for p in IMPORT_STARTS] + [F.contains(begin, F.lit(p)) for p in IMPORT_INSIDE])
+    return F.exists(F.array(T.ltrim_ws(c)), test)  # trimmed once, not for each test
 
 
 def contains_import_like(c: Column) -> Column:
@@ -173,11 +173,18 @@ def contains_import_like(c: Column) -> Column:
 
 def body_without_imports(c: Column) -> Column:
     """The lines behind the second one that is no import, blank or comment, without those that look like imports."""
-    every = T.lines(c)
-    head = F.transform(every, lambda x: ~(contains_import_like(T.ltrim_ws(x)) | (T.trim_ws(x) == "") | T.ltrim_ws(x).rlike(r"^(//|#!|/\*)")))
-    at = F.filter(F.sequence(F.lit(1), F.size(every)), lambda i: F.element_at(head, i.cast("int")))
-    second = F.coalesce(F.get(at, F.lit(1)), F.size(every))
-    return F.array_join(F.filter(F.slice(every, second + 1, F.greatest(F.size(every) - second, F.lit(0))), lambda x: ~contains_import_like(T.ltrim_ws(x))), "\n")
+    rows = F.transform(T.lines(c), lambda x: F.struct(x.alias("x"), T.ltrim_ws(x).alias("t")))
+    rows = F.transform(rows, lambda r: F.struct(r["x"].alias("x"), r["t"].alias("t"), contains_import_like(r["t"]).alias("i")))
+    head = lambda r: ~(r["i"] | (r["t"] == "") | r["t"].rlike(r"^(//|#!|/\*)"))
+
+    def body(every):
+        # Each line is looked at once: a number where it is no head, then the second of them.
+        at = F.filter(F.transform(every, lambda r, i: F.when(head(r), i + 1)), lambda i: i.isNotNull())
+        second = F.coalesce(F.get(at, F.lit(1)), F.size(every))
+        rest = F.filter(F.slice(every, second + 1, F.greatest(F.size(every) - second, F.lit(0))), lambda r: ~r["i"])
+        return F.array_join(F.transform(rest, lambda r: r["x"]), "\n")
+
+    return F.get(F.transform(F.array(rows), body), F.lit(0))
 
 
 def unused_import_is_false(snippet: Column, full: Column) -> Column:

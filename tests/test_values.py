@@ -103,3 +103,11 @@ def test_symbol_trees_of_any_depth(spark):
         tree = f'{{"name": "n{i}", "children": [{tree}]}}'
     got = extract.flatten_symbols(spark.createDataFrame([(1, f"[{tree}]"), (2, "[]"), (3, "x")], "k int, j string"), "k", "j").collect()
     assert sorted((r["depth"], r["name"]) for r in got) == [(29 - i, f"n{i}") for i in reversed(range(30))]
+
+
+def test_bodies_of_short_texts_and_of_long_ones(spark):
+    """A text without lines has an empty body; each line of a long text is looked at once."""
+    long = "import a;\n// c\n" + "int x = 1;\n" * 3000 + "import late;\nuse(a)\n"
+    rows = spark.createDataFrame([(0, ""), (1, "\n"), (2, "import a;"), (3, "import a;\nint a;\nint b;\nimport c;\nd(a)\n"), (4, long)], "k int, t string")
+    body = {r["k"]: r["b"] for r in rows.select("k", extract.body_without_imports(F.col("t")).alias("b")).collect()}
+    assert body == {0: "", 1: "", 2: "", 3: "d(a)", 4: "int x = 1;\n" * 2998 + "use(a)"}
