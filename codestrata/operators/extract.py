@@ -43,25 +43,29 @@ def symbols(files: DataFrame, members: bool = True) -> DataFrame:
 
     One pass over exploded lines; the owner of a member is the class-like declaration that is last above it and whose
     braces are still open there (depth by a running sum within the file)."""
-    rows = numbered_lines(files)
+    # Texts are dealt by path before they are cut, so that the windows shuffle no lines.
+    rows = numbered_lines(files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path"))
     w = W.partitionBy("path").orderBy("n")
-    delta = F.char_length(F.regexp_replace("line", r"[^{]", "")) - F.char_length(F.regexp_replace("line", r"[^}]", ""))
-    rows = rows.withColumn("_depth", F.coalesce(F.sum(delta).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    without = lambda x: F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(x), F.lit("")))
+    found = F.lit(None).cast("struct<kind:string,name:string>")
     for k, p in reversed(PATTERNS + (MEMBERS if members else [])):
-        kind, name = F.when(F.col("line").rlike(p), k).otherwise(kind), F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1)).otherwise(name)
-    rows = rows.withColumn("kind", kind).withColumn("name", F.when((F.col("kind") == "extension") & (name == ""), "extension").otherwise(name))
+        found = F.when(F.col("line").rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract("line", p, 1).alias("name"))).otherwise(found)
+    alias = F.nullif(F.regexp_extract("line", r"\bas\s+([A-Za-z_]\w*)", 1), F.lit(""))
+    # Every pattern needs a letter. Only lines that declare or have braces go on; the lines themselves stay behind.
+    rows = rows.select("path", "n", (without("{") - without("}")).alias("_delta"), F.when(F.col("line").rlike("[A-Za-z]"), found).alias("_found"), "line")
+    rows = rows.filter("_delta <> 0 or _found is not null").select("path", "n", "_delta", F.col("_found.kind").alias("kind"), F.col("_found.name").alias("name"), F.when(F.col("_found.kind") == "import", alias).alias("_alias"))
+    rows = rows.withColumn("_depth", F.coalesce(F.sum("_delta").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("name", F.when((F.col("kind") == "extension") & (F.col("name") == ""), "extension").otherwise(F.col("name")))
     control = F.col("name").isin("if", "for", "while", "switch", "catch", "return", "else")
     rows = rows.withColumn("kind", F.when(control & (F.col("kind") == "function"), None).otherwise(F.col("kind")))
     top = F.when(F.col("kind").isin(*CLASS_LIKE) & (F.col("_depth") == 0), F.col("name"))
     rows = rows.withColumn("_open", F.last(top, True).over(w.rowsBetween(W.unboundedPreceding, 0)))
     owner = F.when((F.col("_depth") > 0) & ~F.col("kind").isin(*CLASS_LIKE), F.col("_open"))
     kind = F.when((F.col("kind") == "function") & owner.isNotNull(), "method").when((F.col("kind") == "variable") & owner.isNotNull(), "field").otherwise(F.col("kind"))
-    alias = F.nullif(F.regexp_extract("line", r"\bas\s+([A-Za-z_]\w*)", 1), F.lit(""))
     out = rows.filter("kind is not null").withColumn("owner", owner)
     out = out.filter(~F.col("kind").isin("function", "variable") | (F.col("_depth") <= 1))
     target = F.when(F.col("kind").isin("import", "export", "part"), P.resolve_relative(F.col("path"), F.col("name")))
-    return out.select("path", kind.alias("kind"), "name", F.col("n").alias("line"), F.when(F.col("kind") == "import", alias).alias("alias"), "owner", F.when(F.col("name").startswith("_"), "private").otherwise("public").alias("visibility"), target.alias("resolved_target"))
+    return out.select("path", kind.alias("kind"), "name", F.col("n").alias("line"), F.col("_alias").alias("alias"), "owner", F.when(F.col("name").startswith("_"), "private").otherwise("public").alias("visibility"), target.alias("resolved_target"))
 
 
 def file_nodes(files: DataFrame) -> DataFrame:

@@ -111,3 +111,11 @@ def test_bodies_of_short_texts_and_of_long_ones(spark):
     rows = spark.createDataFrame([(0, ""), (1, "\n"), (2, "import a;"), (3, "import a;\nint a;\nint b;\nimport c;\nd(a)\n"), (4, long)], "k int, t string")
     body = {r["k"]: r["b"] for r in rows.select("k", extract.body_without_imports(F.col("t")).alias("b")).collect()}
     assert body == {0: "", 1: "", 2: "", 3: "d(a)", 4: "int x = 1;\n" * 2998 + "use(a)"}
+
+
+def test_symbols_shuffle_texts_not_lines(spark):
+    rows = spark.createDataFrame([("a.dart", "class A {\n\n  int f(int x) {\n    // {\n    return x; }\n  }\n}\nvoid g() {\n}\n")], "path string, text string")
+    out = extract.symbols(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # what stands below comes later
+    assert [(r["kind"], r["name"], r["line"], r["owner"]) for r in out.orderBy("line").collect()] == [("class", "A", 1, None), ("method", "f", 3, "A"), ("function", "g", 8, None)]
