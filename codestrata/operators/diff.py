@@ -28,20 +28,24 @@ def parse_lines(changes: DataFrame, key: str, diff_col: str) -> DataFrame:
     A hunk's number is a running count of headers, a line's number the header's start plus running counts, all within one
     file's diff. A header without a comma gives its start as it stands; prelude and backslash lines go."""
     raw = changes.filter(F.col(diff_col).isNotNull() & ~is_binary_patch(F.col(diff_col)))
+    # Diffs are dealt by key before they are cut, and all numbers come from one order of lines, so a task sorts its lines once.
+    raw = raw.select(key, diff_col).repartition(int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     rows = raw.select(key, F.posexplode(T.lines(F.col(diff_col))).alias("pos", "line"))
     order = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    head = F.col("line").startswith("@@")
+    line = F.col("line")
+    head = line.startswith("@@")
     number = lambda sign: F.regexp_extract("line", rf"^@@.*?{sign}(\d+)", 1).cast("int")
-    rows = rows.withColumn("hunk", F.sum(head.cast("int")).over(order))
-    rows = rows.withColumn("_o", F.last(F.when(head, number("-")), True).over(order)).withColumn("_n", F.last(F.when(head, number(r"\+")), True).over(order))
-    body = rows.filter((F.col("hunk") > 0) & ~head & ~F.col("line").startswith("\\"))
-    op = F.when(F.col("line").startswith("+"), "added").when(F.col("line").startswith("-"), "removed").otherwise("context")
-    body = body.withColumn("op", op)
-    before = W.partitionBy(key, "hunk").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    count = lambda *ops: F.coalesce(F.sum(F.col("op").isin(*ops).cast("int")).over(before), F.lit(0))
-    body = body.withColumn("old_line", F.when(F.col("op") != "added", F.col("_o") + count("removed", "context"))).withColumn("new_line", F.when(F.col("op") != "removed", F.col("_n") + count("added", "context")))
+    op = F.when(head | line.startswith("\\"), None).when(line.startswith("+"), "added").when(line.startswith("-"), "removed").otherwise("context")
+    rows = rows.select(key, "pos", "line", head.alias("_head"), op.alias("op"))
+    count = lambda *ops: F.sum(F.col("op").isin(*ops).cast("int")).over(order)
+    rows = rows.select("*", F.sum(F.col("_head").cast("int")).over(order).alias("hunk"), F.coalesce(count("removed", "context"), F.lit(0)).alias("_co"), F.coalesce(count("added", "context"), F.lit(0)).alias("_cn"))
+    # A header's start less what was counted up to it; each side keeps the last start that could be read.
+    last = lambda c: F.last(F.when(F.col("_head"), c), True).over(order)
+    rows = rows.select("*", last(number("-")).alias("_o"), last(number(r"\+")).alias("_n"), last(F.col("_co")).alias("_ho"), last(F.col("_cn")).alias("_hn"))
+    body = rows.filter((F.col("hunk") > 0) & F.col("op").isNotNull())
+    body = body.withColumn("old_line", F.when(F.col("op") != "added", F.col("_o") + F.col("_co") - F.col("_ho") - 1)).withColumn("new_line", F.when(F.col("op") != "removed", F.col("_n") + F.col("_cn") - F.col("_hn") - 1))
     content = F.when(F.col("line").rlike(r"^[+\- ]"), F.substr("line", F.lit(2))).otherwise(F.col("line"))
-    return body.select(key, F.col("hunk").cast("int").alias("hunk"), "op", F.col("old_line").cast("int").alias("old_line"), F.col("new_line").cast("int").alias("new_line"), content.alias("content"))
+    return body.select(key, F.col("hunk").cast("int").alias("hunk"), F.coalesce("op", F.lit("context")).alias("op"), F.col("old_line").cast("int").alias("old_line"), F.col("new_line").cast("int").alias("new_line"), content.alias("content"))
 
 
 def candidate_paths(changes: DataFrame, lines: DataFrame) -> DataFrame:

@@ -119,3 +119,14 @@ def test_symbols_shuffle_texts_not_lines(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange")  # what stands below comes later
     assert [(r["kind"], r["name"], r["line"], r["owner"]) for r in out.orderBy("line").collect()] == [("class", "A", 1, None), ("method", "f", 3, "A"), ("function", "g", 8, None)]
+
+
+def test_diff_lines_are_sorted_once(spark):
+    from codestrata.operators import diff
+
+    rows = spark.createDataFrame([("a", "prelude\n@@ -5,2 +7,3 @@ f\n x\n+y\n\\ No newline\n-z\n@@ -20 +30 @@\n+p\n q"), ("b", None)], "k string, t string")
+    out = diff.parse_lines(rows, "k", "t")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert sorted((r["hunk"], r["op"], r["old_line"], r["new_line"], r["content"]) for r in out.collect() if r["op"] == "context") == [(1, "context", 5, 7, "x"), (2, "context", 20, 31, "q")]
+    assert {(r["op"], r["old_line"], r["new_line"]) for r in out.collect() if r["op"] != "context"} == {("added", None, 8), ("removed", 6, None), ("added", None, 30)}
