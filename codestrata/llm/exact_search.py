@@ -4,8 +4,9 @@ Vectors become integers (``integer_vectors``). Equal ones are stored once, with
 and an approximation of one byte a component, the number of its cell among CELLS between bounds fitted on at most SAMPLE
 rows (the outermost cells reach to the exact extremes of all rows, so bounds hold for every row).
 
-Scan: queries in groups of at most GROUP meet the approximations in blocks. The bounds of a group and a batch are two matrix products,
-as q.x is within |q| (hi - lo) / 2 of q (lo + hi) / 2 for a cell's ends lo and hi. What a query's (k + 1)-th
+Scan: queries in groups of at most GROUP meet the approximations in blocks. The upper bounds of a group and a batch are one matrix
+product in single precision, with an allowance for its rounding, as q.x is within |q| (hi - lo) / 2 of q (lo + hi) / 2 for a cell's ends lo and hi;
+lower bounds are taken of the pairs only whose upper bound counts. What a query's (k + 1)-th
 best lower bound exceeds is dropped; of the rest a block gives at most HELD, the best upper bounds first, and the best
 upper bound it left out. Read: the exact vectors of a query's candidates are read in the order of their bounds, the first
 k + 1, then all whose upper bound reaches the k-th score found. A query is certain if no bound that a block left out
@@ -30,6 +31,8 @@ from codestrata.llm.common import partitions, store, table
 from codestrata.llm.integer_vectors import as_integers, matrix
 
 CELLS, SAMPLE, GROUP, SLICE, HELD, BLOCK = 64, 8000, 16_384, 512, 64, 1 << 22
+#: Rows a product, rows that all bounds are taken of at first, pairs taken at once, and pairs that may wait before the best are kept.
+CHUNK, FIRST, PAIRS, WAITING = 4096, 1024, 1 << 17, 1 << 21
 
 
 def fit_cells(vectors: DataFrame, dim: int, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
@@ -72,36 +75,68 @@ class _Group:
         self.ids, self.k = ids, k
         self.q = q.astype(np.float64)
         self.size = np.abs(self.q)
+        self.both = np.hstack([self.q, self.size]).astype(np.float32)
         self.lower = np.full((len(ids), k), -np.inf)
         self.rest = np.full(len(ids), -np.inf)
-        self.who, self.row, self.upper = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.held, self.new, self.waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+
+    who, row, upper = (property(lambda self, i=i: self._settled()[i]) for i in range(3))
 
     def meet(self, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
         """A batch of rows with the ends of their cells."""
-        slack = 2.0**-49 * lo.shape[1] * max(np.abs(lo).max(), np.abs(hi).max()) * self.size.max()  # of rounding
-        middle, half = ((lo + hi) / 2).T, ((hi - lo) / 2).T
-        who, row, upper = [self.who], [self.row], [self.upper]
+        # What rounding of the factors and of any order of the sums can take or add, in single precision and in double.
+        most = max(np.abs(lo).max(), np.abs(hi).max())
+        loose = (2 * lo.shape[1] + 8) * 2.0**-22 * self.size.sum(axis=1) * most
+        slack = 2.0**-49 * lo.shape[1] * most * self.size.max()
+        for c in range(0, len(rows), CHUNK):
+            self._chunk(rows[c : c + CHUNK], (lo[c : c + CHUNK] + hi[c : c + CHUNK]) / 2, (hi[c : c + CHUNK] - lo[c : c + CHUNK]) / 2, loose, slack)
+
+    def _chunk(self, rows: np.ndarray, middle: np.ndarray, half: np.ndarray, loose: np.ndarray, slack: float) -> None:
+        ends = np.ascontiguousarray(np.hstack([middle, half]).astype(np.float32).T)
         for s in range(0, len(self.ids), SLICE):
-            score, wide = self.q[s : s + SLICE] @ middle, self.size[s : s + SLICE] @ half
-            lower = score - wide - slack
-            better = (lower > self.lower[s : s + SLICE, :1]).any(axis=0)  # few rows, but for the first ones
-            if better.any():
-                self.lower[s : s + SLICE] = _best(self.lower[s : s + SLICE], lower[:, better], self.k)
-            least = self.lower[s : s + SLICE]
-            bound = score + wide + slack
-            w, r = np.nonzero(bound >= least[:, :1])
-            who.append(w + s)
-            row.append(rows[r])
-            upper.append(bound[w, r])
-        who, row, upper = np.concatenate(who), np.concatenate(row), np.concatenate(upper)
-        keep = upper >= self.lower[who, 0]
-        who, row, upper = who[keep], row[keep], upper[keep]
-        order = np.lexsort((row, -upper, who))
-        who, row, upper = who[order], row[order], upper[order]
-        place = np.arange(len(who)) - np.searchsorted(who, who)
-        out = place >= HELD
-        np.maximum.at(self.rest, who[out], upper[out])
-        self.who, self.row, self.upper = who[~out], row[~out], upper[~out]
+            part, fresh = slice(s, s + SLICE), 0
+            if np.isneginf(self.lower[part, 0]).any():  # the first rows, or too few so far
+                fresh = FIRST
+                self.lower[part] = _best(self.lower[part], self.q[part] @ middle[:fresh].T - self.size[part] @ half[:fresh].T - slack, self.k)
+            upper = self.both[part] @ ends
+            # Rounded down, so that a comparison in single precision loses nothing.
+            least = np.nextafter((self.lower[part, 0] - loose[part] - slack).astype(np.float32), np.float32(-np.inf))
+            at = np.flatnonzero(upper >= least[:, None])
+            for i in range(0, len(at), PAIRS):
+                w, r = np.divmod(at[i : i + PAIRS], len(rows))
+                w += s
+                score, wide = np.einsum("ij,ij->i", self.q[w], middle[r]), np.einsum("ij,ij->i", self.size[w], half[r])
+                self.new.append((w, rows[r], score + wide + slack))
+                self.waiting += len(w)
+                self._raise(w[r >= fresh], (score - wide - slack)[r >= fresh])
+        if self.waiting > WAITING:
+            self._settled()
+
+    def _raise(self, w: np.ndarray, lower: np.ndarray) -> None:
+        """Raises the best lower bounds of queries by those of new pairs."""
+        better = lower > self.lower[w, 0]
+        w, lower = w[better], lower[better]
+        order = np.lexsort((-lower, w))
+        w, lower = w[order], lower[order]
+        queries, begin, of = np.unique(w, return_index=True, return_inverse=True)
+        place = np.arange(len(w)) - begin[of]
+        best = np.full((len(queries), self.k), -np.inf)
+        best[of[place < self.k], place[place < self.k]] = lower[place < self.k]
+        self.lower[queries] = _best(self.lower[queries], best, self.k)
+
+    def _settled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query the candidates with the best upper bounds (who, row, upper); pairs that wait are put among them."""
+        if self.new:
+            who, row, upper = (np.concatenate([h, *(n[i] for n in self.new)]) for i, h in enumerate(self.held))
+            keep = upper >= self.lower[who, 0]
+            who, row, upper = who[keep], row[keep], upper[keep]
+            order = np.lexsort((row, -upper, who))
+            who, row, upper = who[order], row[order], upper[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            out = place >= HELD
+            np.maximum.at(self.rest, who[out], upper[out])
+            self.held, self.new, self.waiting = (who[~out], row[~out], upper[~out]), [], 0
+        return self.held
 
     def result(self) -> pa.RecordBatch:
         n = np.concatenate([[0], np.cumsum(np.bincount(self.who, minlength=len(self.ids)))]).astype(np.int32)

@@ -220,3 +220,27 @@ def test_bounds_of_a_batch_are_compared_before_they_are_ordered(monkeypatch):
         least = np.sort(low[i])[-k]
         assert set(group.row[group.who == i].tolist()) == set(np.flatnonzero(high[i] >= least).tolist())
     assert sum(seen) < 4000
+
+
+def test_lower_bounds_are_taken_of_pairs_that_count(monkeypatch):
+    """Bounds in single precision lose no candidate, large components too, and the best are not put in order for every batch."""
+    import numpy as np
+
+    from codestrata.llm import exact_search as E
+
+    rng, sorts, plain = np.random.default_rng(3), [], np.lexsort
+    for most in (200, 2**27):
+        q, x = rng.integers(-most, most, (30, 64)), rng.integers(-most, most, (6000, 64))
+        x[1000:1040] = x[0]
+        group, k = E._Group(np.arange(30), q, 4), 4
+        monkeypatch.setattr(E.np, "lexsort", lambda keys: (len(keys) == 3 and sorts.append(1)) or plain(keys))
+        for s in range(0, 6000, 300):
+            group.meet(np.arange(s, s + 300), x[s : s + 300] - 1.0, x[s : s + 300] + 1.0)
+        assert not sorts
+        group.result()
+        score = q @ x.T
+        for i in range(30):
+            need = set(np.flatnonzero(score[i] >= np.sort(score[i])[-k]).tolist())
+            assert need <= set(group.row[group.who == i].tolist()) and group.lower[i, 0] <= np.sort(score[i])[-k]
+        monkeypatch.undo()
+        sorts.clear()
