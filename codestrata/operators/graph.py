@@ -102,31 +102,45 @@ def neighbours(records: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int
     """The most ``most`` neighbours of each record (id, node, kind, file, owner), ranked.
 
     Hop 0 are all edges at the node, in both directions; further hops follow declares edges, which every profile allows, from what a hop
-    found, each a join with an anti-join on what is known. A neighbour counts where it is met first, through an allowed
-    label. The walk moves pairs of ids only; files and owners are looked up once, in the end."""
-    roots = records.select(F.col("id").alias("rec"), F.col("node").alias("at"), profile(F.col("kind")).alias("_profile"))
-    out_edges = edges.select(F.col("src").alias("at"), F.col("dst").alias("nbr"), "label", F.lit(0).alias("dir"))
-    in_edges = edges.select(F.col("dst").alias("at"), F.col("src").alias("nbr"), "label", F.lit(1).alias("dir"))
-    both = out_edges.unionByName(in_edges)
+    found. A neighbour counts where it is met first, through an allowed label. Ids of records and of nodes are unique.
+
+    Files and owners are put to the edges, not to the pairs, so that a pair has its score where it is made, and pairs move once, to their
+    record. A node with one declares edge leads back to where it was met from; only others are followed further."""
+    prefix = F.regexp_extract("owner", r"^(.*:):", 1)
+    roots = records.select(F.col("id").alias("rec"), F.col("node").alias("at"), profile(F.col("kind")).alias("_profile"), F.col("file").alias("_file"), prefix.alias("_prefix"))
+    way = lambda at, nbr, back: F.struct(F.col(at).alias("at"), F.col(nbr).alias("nbr"), F.lit(back).alias("dir"))
+    both = edges.select("label", F.explode(F.array(way("src", "dst", 0), way("dst", "src", 1))).alias("_w")).select("_w.at", "_w.nbr", "label", "_w.dir")
     may = F.lit(False)
     for name, labels in ALLOWED.items():
         may = may | ((F.col("_profile") == name) & F.col("label").isin(*labels))
     first = F.min(F.struct("dir", (-rank_of(LABEL_PRIORITY, F.col("label"))).alias("p"), "label"))
-    known = roots.join(both, "at").filter((F.col("nbr") != F.col("at")) & may).groupBy("rec", "nbr").agg(first["label"].alias("label"))
-    walk = both.filter("label = 'declares'").select("at", "nbr").distinct()
-    # The node itself is no neighbour: it is met before all.
-    met = known.select("rec", "nbr").unionByName(roots.select("rec", F.col("at").alias("nbr")))
-    found, frontier = known.withColumn("hop", F.lit(0)), known.select("rec", "nbr")
+    # The pairs are grouped where they were joined: by node.
+    known = roots.join(both, "at").filter((F.col("nbr") != F.col("at")) & may).groupBy("at", "rec", "nbr", "_file", "_prefix").agg(first["label"].alias("label"))
+    known = known.select("rec", F.col("at").alias("_root"), F.col("nbr").alias("at"), "_file", "_prefix", "label")
+    # Declares edges, each with the file and name of its end and whether that end has more of them: both are known of a
+    # node where its edges lie, and the edges are there in both directions. A node itself is a step of none.
+    info = nodes.select(F.col("id").alias("nbr"), F.col("file").alias("_nf"), "fqn", F.lit(True).alias("_there"))
+    walk = both.filter("label = 'declares'").select(F.col("at").alias("nbr"), F.col("nbr").alias("at")).distinct()
+    walk = walk.withColumn("more", F.count("*").over(W.partitionBy("nbr")) > 1).join(info, "nbr", "left")
+    steps = walk.select("at", "nbr", "_nf", "fqn", "_there", "more", F.lit(1).alias("step"))
+    itself = info.select(F.col("nbr").alias("at"), "nbr", "_nf", "fqn", "_there", F.lit(False).alias("more"), F.lit(0).alias("step"))
+    near = F.when(F.col("_nf") == F.col("_file"), 2).otherwise(0) + F.when(F.col("fqn").startswith(F.col("_prefix")), 1).otherwise(0)
+    label = F.when(F.col("step") == 0, F.col("label")).otherwise("declares")
+    met = known.join(itself.unionByName(steps) if hops > 0 else itself, "at").filter(F.col("nbr") != F.col("_root")).withColumn("label", label)
+    found, front = None, met.withColumnRenamed("step", "hop")
     for hop in range(1, hops + 1):
-        step = frontier.withColumnRenamed("nbr", "at").join(walk, "at").select("rec", "nbr").distinct()
-        frontier = step.join(met, ["rec", "nbr"], "left_anti")
-        met = met.unionByName(frontier)
-        found = found.unionByName(frontier.select("rec", "nbr", F.lit("declares").alias("label"), F.lit(hop).alias("hop")))
-    info = nodes.select(F.col("id").alias("nbr"), F.col("file").alias("_nf"), F.col("fqn").alias("fqn"))
-    own = records.select(F.col("id").alias("rec"), F.col("file").alias("_file"), F.col("owner").alias("_owner"))
-    prefix = F.regexp_extract("_owner", r"^(.*:):", 1)
-    score = rank_of(LABEL_PRIORITY, F.col("label")) + F.when(F.col("_nf") == F.col("_file"), 2).otherwise(0) + F.when(F.col("fqn").startswith(prefix), 1).otherwise(0)
-    ranked = found.join(info, "nbr").join(own, "rec").withColumn("score", F.greatest(score - F.col("hop"), F.lit(0)))
+        found = front if found is None else found.unionByName(front)
+        if hop == hops:
+            break
+        # Of what a hop met, once a record.
+        going = front.filter((F.col("hop") == hop) & F.col("more")).select("rec", "_root", F.col("nbr").alias("at"), "_file", "_prefix", "label").distinct()
+        front = going.join(steps.drop("step"), "at").filter(F.col("nbr") != F.col("_root")).withColumn("hop", F.lit(hop + 1))
+    found = front if found is None else found
+    score = F.greatest(rank_of(LABEL_PRIORITY, F.col("label")) + near - F.col("hop"), F.lit(0))
+    pairs = found.filter("_there").select("rec", "nbr", "hop", "label", score.alias("score"), "fqn").repartition("rec")
+    # The first meeting counts; what one record meets lies together.
+    best = F.min(F.struct("hop", "label", "score"))
+    ranked = pairs.groupBy("rec", "nbr").agg(best.alias("_b"), F.min_by("fqn", "hop").alias("fqn")).select("rec", "nbr", "_b.label", "_b.hop", "_b.score", "fqn")
     ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("rec").orderBy(F.desc("score"), "hop", "nbr")))
     return ranked.filter(F.col("rank") <= most).select("rec", "nbr", "label", "hop", "score", "rank", "fqn")
 

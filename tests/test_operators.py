@@ -361,3 +361,21 @@ def test_a_neighbourhood_walk_moves_pairs_of_ids(spark):
     got = {(r["rec"], r["nbr"]): (r["label"], r["hop"], r["rank"]) for r in out.collect()}
     assert {n: v for (rec, n), v in got.items() if rec == "f1"} == {"m1": ("declares", 0, 1), "m2": ("declares", 0, 2), "m3": ("declares", 1, 3), "f2": ("exports", 0, 4)}
     assert {n: v[1] for (rec, n), v in got.items() if rec == "m1"} == {"f1": 0, "m2": 1}
+
+
+def test_pairs_of_neighbours_move_once(spark):
+    """Scores are made with the pairs and no pair is held against all others; hops through classes that declare and through nodes that are missing count."""
+    from codestrata.operators import graph
+
+    files = {"f": "a", "c": "a", "m": "a", "n": "a", "g": "b", "h": "b", "x": "b"}
+    nodes = spark.createDataFrame([(i, f, f"{f}::{i}") for i, f in files.items()], "id string, file string, fqn string")
+    declares = [("f", "c"), ("c", "m"), ("c", "n"), ("g", "h"), ("g", "gone"), ("gone", "x")]
+    edges = spark.createDataFrame([*((a, b, "declares") for a, b in declares), ("f", "g", "imports"), ("g", "f", "imports"), ("f", "f", "calls")], "src string, dst string, label string")
+    records = spark.createDataFrame([("f", "f", "a", "file", "a::"), ("m", "m", "a", "method", "a::")], "id string, node string, file string, kind string, owner string")
+    out = graph.neighbours(records, nodes, edges)
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["rec"], r["nbr"]): (r["label"], r["hop"], r["score"], r["rank"]) for r in out.collect()}
+    assert {k[1]: v[1] for k, v in got.items() if k[0] == "f"} == {"c": 0, "g": 0, "m": 1, "n": 1, "h": 1, "x": 2}
+    assert {k[1]: v[1] for k, v in got.items() if k[0] == "m"} == {"c": 0, "n": 1, "f": 1}
+    assert got["f", "c"][0] == "declares" and got["f", "g"][0] == "imports" and got["f", "x"][0] == "declares" and got["f", "c"][3] == 1
+    assert {len(graph.neighbours(records, nodes, edges, hops=h).collect()) for h in (0, 1)} == {3, 8}
